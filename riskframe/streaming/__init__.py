@@ -1,0 +1,7 @@
+"""No streaming operators.
+
+The analysed workload is one batch job: there is no watermark, window,
+session, state or late data to model, so nothing is built here.  Every
+operator in ``riskframe.operators`` is a pure DataFrame function and can be
+applied to a micro-batch inside ``foreachBatch`` unchanged.
+"""
