@@ -319,3 +319,170 @@ SELECT label, count(*) AS count, 'returned_open' AS pipeline FROM t1 GROUP BY la
 UNION ALL
 SELECT CAST({T1_FLAGS_SQL} > 1 AS INTEGER) AS label, count(*) AS count, 'flags_gt1' AS pipeline
 FROM t1 GROUP BY 1"""
+
+# ---------------------------------------------------------------- evaluation
+S_SCORED = f"""{T1},
+s AS (SELECT {T1_KEY}, label, l_extendedprice, least(l_quantity / 50, CAST(1.0 AS DOUBLE)) AS s_qty,
+             coalesce(l_discount, 0.0) * 10 AS s_disc, coalesce(l_tax, 0.0) * CAST(12.5 AS DOUBLE) AS s_tax FROM t1)"""
+
+_THS = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
+_CFG = ", ".join(f"('{n}', {m * 100 + i}, CAST({th} AS DOUBLE))"
+                 for m, n in enumerate(["qty", "disc", "tax"]) for i, th in enumerate(_THS))
+
+GRID = f"""{S_SCORED},
+cfg(model, ordinal, threshold) AS (VALUES {_CFG}),
+p AS (SELECT s.*, cfg.model, cfg.ordinal, cfg.threshold,
+             CAST(CASE cfg.model WHEN 'qty' THEN s_qty WHEN 'disc' THEN s_disc ELSE s_tax END > cfg.threshold
+                  AS INTEGER) AS pred
+      FROM s CROSS JOIN cfg)"""
+
+
+def cm_sql(src, group, y="label", p="pred"):
+    g = f"{group}, " if group else ""
+    gb = f" GROUP BY {group}" if group else ""
+    return (f"SELECT {g}count(*) FILTER (WHERE {y} = 0 AND {p} = 0) AS tn, "
+            f"count(*) FILTER (WHERE {y} = 0 AND {p} = 1) AS fp, "
+            f"count(*) FILTER (WHERE {y} = 1 AND {p} = 0) AS fn, "
+            f"count(*) FILTER (WHERE {y} = 1 AND {p} = 1) AS tp FROM {src}{gb}")
+
+
+PREC = "coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 0.0)"
+REC = "coalesce(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 0.0)"
+F1 = "coalesce(2 * CAST(tp AS DOUBLE) / nullif(2 * tp + fp + fn, 0), 0.0)"
+ACC = "coalesce(CAST(tp + tn AS DOUBLE) / nullif(tp + tn + fp + fn, 0), 0.0)"
+TNR = "coalesce(CAST(tn AS DOUBLE) / nullif(tn + fp, 0), 0.0)"
+METRICS_SQL = (f"{r(PREC)} AS precision, {r(REC)} AS recall, {r(F1)} AS f1, {r(ACC)} AS accuracy, "
+               f"{r(f'({REC} + {TNR}) / 2')} AS auc_roc")
+SCORES = f"""{GRID},
+cm AS ({cm_sql('p', 'model, ordinal, threshold')}),
+sc AS (SELECT model, ordinal, threshold, {PREC} AS precision, {REC} AS recall, {F1} AS f1, {ACC} AS accuracy,
+              ({REC} + {TNR}) / 2 AS auc_roc, tn, fp, fn, tp FROM cm)"""
+
+SQL["confusion_matrix"] = f"""WITH {S_SCORED}, p AS (SELECT label, CAST(s_qty > 0.5 AS INTEGER) AS pred FROM s)
+{cm_sql('p', '')}"""
+
+SQL["classification_metrics"] = f"""WITH {S_SCORED}, p AS (SELECT label, CAST(s_qty > 0.5 AS INTEGER) AS pred FROM s),
+cm AS ({cm_sql('p', '')})
+SELECT {METRICS_SQL}, tn, fp, fn, tp FROM cm"""
+
+
+def cum_sql(score):
+    return f"""c AS (SELECT {score} AS threshold, count(*) FILTER (WHERE label = 1) AS pos,
+                     count(*) FILTER (WHERE label = 0) AS neg FROM s WHERE {score} IS NOT NULL GROUP BY 1),
+cum AS (SELECT threshold, pos, neg, CAST(sum(pos) OVER (ORDER BY threshold DESC) AS BIGINT) AS tp,
+               CAST(sum(neg) OVER (ORDER BY threshold DESC) AS BIGINT) AS fp,
+               CAST(sum(pos) OVER () AS BIGINT) AS P, CAST(sum(neg) OVER () AS BIGINT) AS N FROM c)"""
+
+
+SQL["pr_curve"] = f"""WITH {S_SCORED}, {cum_sql('s_qty')}
+SELECT {r('threshold')} AS threshold, tp, fp, {r('coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 0.0)')} AS precision,
+       {r('coalesce(CAST(tp AS DOUBLE) / nullif(P, 0), 0.0)')} AS recall FROM cum"""
+
+_TPR = "coalesce(CAST(tp AS DOUBLE) / nullif(P, 0), 0.0)"
+_FPR = "coalesce(CAST(fp AS DOUBLE) / nullif(N, 0), 0.0)"
+_PTPR = "coalesce(CAST(tp - pos AS DOUBLE) / nullif(P, 0), 0.0)"
+_PFPR = "coalesce(CAST(fp - neg AS DOUBLE) / nullif(N, 0), 0.0)"
+SQL["roc_curve"] = f"""WITH {S_SCORED}, {cum_sql('l_extendedprice')},
+pts AS (SELECT threshold, {_TPR} AS tpr, {_FPR} AS fpr, ({_FPR} - {_PFPR}) * ({_TPR} + {_PTPR}) / 2 AS area FROM cum)
+SELECT {r('threshold')} AS threshold, {r('tpr')} AS tpr, {r('fpr')} AS fpr, {r('(SELECT sum(area) FROM pts)')} AS auc
+FROM pts"""
+
+SQL["evaluate_models"] = f"""WITH {SCORES}
+SELECT model, ordinal, {r('threshold')} AS threshold, {r('precision')} AS precision, {r('recall')} AS recall,
+       {r('f1')} AS f1, {r('accuracy')} AS accuracy, {r('auc_roc')} AS auc_roc, tn, fp, fn, tp FROM sc"""
+
+SQL["best_per_group"] = f"""WITH {SCORES}
+SELECT model, ordinal, {r('threshold')} AS threshold, {r('f1')} AS f1 FROM (
+  SELECT *, row_number() OVER (PARTITION BY model ORDER BY f1 DESC, ordinal) AS rn FROM sc) WHERE rn = 1"""
+
+SQL["argmax_first"] = f"""WITH {SCORES}
+SELECT model, ordinal, {r('f1')} AS f1 FROM sc ORDER BY f1 DESC, ordinal LIMIT 1"""
+
+SQL["closest_to_center"] = f"""WITH {SCORES}
+(SELECT ordinal, {r('f1')} AS f1, 'median' AS center FROM sc
+ ORDER BY abs(f1 - (SELECT quantile_cont(f1, 0.5) FROM sc)), ordinal LIMIT 1)
+UNION ALL
+(SELECT ordinal, {r('f1')} AS f1, 'mean' AS center FROM sc
+ ORDER BY abs(f1 - (SELECT avg(f1) FROM sc)), ordinal LIMIT 1)"""
+
+SQL["top_k_per_group"] = f"""WITH {SCORES}
+SELECT model, ordinal, {r('f1')} AS f1, CAST(rn AS INTEGER) AS rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY model ORDER BY f1 DESC NULLS LAST, ordinal) AS rn FROM sc) WHERE rn <= 3"""
+
+SQL["cv_summary"] = f"""WITH {S_SCORED},
+f AS (SELECT *, CAST((row_number() OVER (PARTITION BY label ORDER BY {md5_order(42, 'fold', T1_KEY)}) - 1) % 10
+                     AS INTEGER) AS fold FROM s),
+cfg(model, ordinal, threshold) AS (VALUES {_CFG}),
+p AS (SELECT f.*, cfg.model, cfg.ordinal,
+             CAST(CASE cfg.model WHEN 'qty' THEN s_qty WHEN 'disc' THEN s_disc ELSE s_tax END > cfg.threshold
+                  AS INTEGER) AS pred FROM f CROSS JOIN cfg),
+cm AS ({cm_sql('p', 'model, ordinal, fold')}),
+pf AS (SELECT model, ordinal, fold, {F1} AS f1, {PREC} AS precision FROM cm),
+g AS (SELECT model, ordinal, avg(f1) AS mean_f1, stddev_pop(f1) AS std_f1, avg(precision) AS mean_precision,
+             stddev_pop(precision) AS std_precision FROM pf GROUP BY model, ordinal)
+SELECT model, ordinal, {r('mean_f1')} AS mean_f1, {r('std_f1')} AS std_f1, {r('mean_precision')} AS mean_precision,
+       {r('std_precision')} AS std_precision, CAST(rank() OVER (ORDER BY round(mean_f1, 10) DESC) AS INTEGER) AS rank_f1 FROM g"""
+
+T2_VOTES_SQL = ("CAST(coalesce(o_totalprice > 150000.0, false) AS INTEGER) + "
+                "CAST(coalesce(c_acctbal > 5000.0, false) AS INTEGER) + CAST(coalesce(n_regionkey >= 2, false) AS INTEGER)")
+
+SQL["risk_score"] = f"WITH {T2} SELECT o_orderkey, {T2_VOTES_SQL} AS score FROM t2"
+
+SQL["risk_table"] = f"""WITH {T2}
+SELECT {T2_VOTES_SQL} AS score, CAST(sum(CAST(o_orderpriority IN ('1-URGENT', '2-HIGH') AS INTEGER)) AS BIGINT) AS risk,
+       count(*) AS total FROM t2 GROUP BY 1"""
+
+
+def best_threshold(name, src, cands):
+    vals = ", ".join(f"({i}, CAST({t} AS DOUBLE))" for i, t in enumerate(cands))
+    return f"""{name}c(ordinal, threshold) AS (VALUES {vals}),
+{name} AS (SELECT threshold FROM (
+  SELECT c.ordinal, c.threshold,
+         count(*) FILTER (WHERE y = 1 AND coalesce(s > c.threshold, false)) AS tp,
+         count(*) FILTER (WHERE y = 0 AND coalesce(s > c.threshold, false)) AS fp,
+         count(*) FILTER (WHERE y = 1 AND NOT coalesce(s > c.threshold, false)) AS fn
+  FROM {src} CROSS JOIN {name}c c GROUP BY c.ordinal, c.threshold)
+  ORDER BY {F1} DESC, ordinal LIMIT 1)"""
+
+
+SQL["risk_ensemble"] = f"""WITH {T2}, {split_cte('h', 't2', 'o_orderkey', None, 0.1, tag='holdout', flag='is_holdout')},
+core AS (SELECT * FROM h WHERE is_holdout = 0),
+hold AS (SELECT * FROM h WHERE is_holdout = 1),
+l1 AS (SELECT o_totalprice AS s, label AS y FROM core),
+l2 AS (SELECT c_acctbal AS s, CAST({CODE_SQL} IN (1, 5) AS INTEGER) AS y FROM core WHERE ELIGSTAT = 1 AND MORTSTAT = 1),
+l3 AS (SELECT CAST(n_regionkey AS DOUBLE) AS s, CAST(coalesce(HYPERTEN, 0.0) AS INTEGER) AS y
+       FROM core WHERE ELIGSTAT = 1 AND MORTSTAT = 1),
+{best_threshold('b1', 'l1', [100000.0, 150000.0, 200000.0, 250000.0, 300000.0])},
+{best_threshold('b2', 'l2', [0.0, 2500.0, 5000.0, 7500.0])},
+{best_threshold('b3', 'l3', [0.5, 1.5, 2.5, 3.5])},
+v AS (SELECT CAST(coalesce(o_totalprice > (SELECT threshold FROM b1), false) AS INTEGER)
+             + CAST(coalesce(c_acctbal > (SELECT threshold FROM b2), false) AS INTEGER)
+             + CAST(coalesce(CAST(n_regionkey AS DOUBLE) > (SELECT threshold FROM b3), false) AS INTEGER) AS score,
+             CAST(o_orderpriority IN ('1-URGENT', '2-HIGH') AS INTEGER) AS r1,
+             CAST({CODE_SQL} IN (1, 5) AS INTEGER) AS r2 FROM hold)
+SELECT 'condition' AS risk_name, score, CAST(sum(r1) AS BIGINT) AS risk, count(*) AS total FROM v GROUP BY score
+UNION ALL
+SELECT 'cvr_death' AS risk_name, score, CAST(sum(r2) AS BIGINT) AS risk, count(*) AS total FROM v GROUP BY score"""
+
+_STUDY_FEATS = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "ship_year"]
+
+
+def _study_part(name, y):
+    return f"""SELECT '{name}' AS labeller, feature, {r('value')} AS value,
+       coalesce(CAST(value >= (SELECT quantile_cont(value, 0.9) FROM c_{y} WHERE value IS NOT NULL) AS INTEGER), 0)
+       AS top FROM c_{y}"""
+
+
+SQL["study_correlation"] = f"""WITH {T1},
+m AS (SELECT avg(l_quantity) AS a, avg(l_extendedprice) AS b, avg(l_discount) AS c, avg(l_tax) AS d,
+             avg(ship_year) AS e FROM t1),
+x AS (SELECT coalesce(l_quantity, a) AS l_quantity, coalesce(l_extendedprice, b) AS l_extendedprice,
+             coalesce(l_discount, c) AS l_discount, coalesce(l_tax, d) AS l_tax,
+             coalesce(CAST(ship_year AS DOUBLE), e) AS ship_year,
+             CAST(coalesce(l_returnflag = 'R', false) AND coalesce(l_linestatus = 'O', false) AS INTEGER) AS y1,
+             CAST({T1_FLAGS_SQL} > 1 AS INTEGER) AS y2 FROM t1, m),
+c_y1 AS ({corr_table('x', _STUDY_FEATS, 'y1')}),
+c_y2 AS ({corr_table('x', _STUDY_FEATS, 'y2')})
+{_study_part('returned_open', 'y1')}
+UNION ALL
+{_study_part('flags_gt1', 'y2')}"""

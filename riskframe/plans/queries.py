@@ -449,3 +449,165 @@ def q_union_tagged(spark, d):
     b = profile.value_counts(labels.label_flag_threshold(t.drop("label"), T1_FLAGS, 1), "label") \
         .withColumn("pipeline", F.lit("flags_gt1"))
     return a.unionByName(b)
+
+
+# ------------------------------------------------------------ evaluation A9-A19
+
+from riskframe.operators import evaluate  # noqa: E402
+from riskframe.plans import ensemble  # noqa: E402
+
+SCORERS = [("qty", "s_qty"), ("disc", "s_disc"), ("tax", "s_tax")]
+GRID_THRESHOLDS = [0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9]
+
+
+def t1_scored(spark, d):
+    """T1 with three bounded rule scores."""
+    return C.t1(spark, d).select(
+        *C.T1_KEY, "label", "l_extendedprice",
+        F.least(F.col("l_quantity") / 50, F.lit(1.0)).alias("s_qty"),
+        (F.coalesce(F.col("l_discount"), F.lit(0.0)) * 10).alias("s_disc"),
+        (F.coalesce(F.col("l_tax"), F.lit(0.0)) * 12.5).alias("s_tax"))
+
+
+def rule_grid(t: DataFrame, extra=()) -> DataFrame:
+    """Long predictions (model, ordinal, threshold, key, label, pred) of 27 rule configs."""
+    cfg = []
+    for m, (name, col) in enumerate(SCORERS):
+        for i, th in enumerate(GRID_THRESHOLDS):
+            cfg.append(F.struct(F.lit(name).alias("model"), F.lit(m * 100 + i).alias("ordinal"),
+                                F.lit(th).alias("threshold"), F.col(col).alias("score")))
+    return t.select(*C.T1_KEY, "label", *extra, F.explode(F.array(*cfg)).alias("c")).select(
+        *C.T1_KEY, "label", *extra, "c.model", "c.ordinal", "c.threshold",
+        (F.col("c.score") > F.col("c.threshold")).cast("int").alias("pred"))
+
+
+def grid_scores(spark, d):
+    return evaluate.evaluate_models(rule_grid(t1_scored(spark, d)), ["model", "ordinal", "threshold"])
+
+
+@query("confusion_matrix")
+def q_confusion_matrix(spark, d):
+    """Tn, fp, fn, tp of 'quantity score > 0.5' against the T1 label."""
+    t = t1_scored(spark, d).withColumn("pred", (F.col("s_qty") > 0.5).cast("int"))
+    return evaluate.confusion(t)
+
+
+@query("classification_metrics")
+def q_classification_metrics(spark, d):
+    """A10: precision, recall, f1, accuracy, auc_roc (hard predictions)."""
+    t = t1_scored(spark, d).withColumn("pred", (F.col("s_qty") > 0.5).cast("int"))
+    return evaluate.classification_metrics(t)
+
+
+@query("pr_curve")
+def q_pr_curve(spark, d):
+    """Precision-recall points per distinct quantity score."""
+    return evaluate.pr_curve(t1_scored(spark, d), "label", "s_qty")
+
+
+@query("roc_curve")
+def q_roc_curve(spark, d):
+    """ROC points and trapezoid area, score = extended price (many distinct values)."""
+    return evaluate.roc_curve(t1_scored(spark, d), "label", "l_extendedprice")
+
+
+@query("evaluate_models")
+def q_evaluate_models(spark, d):
+    """27 rule models scored from one long prediction table."""
+    return grid_scores(spark, d)
+
+
+@query("best_per_group")
+def q_best_per_group(spark, d):
+    """Best threshold per scorer by f1 (first ordinal on ties)."""
+    return evaluate.best_per_group(grid_scores(spark, d), ["model"], "f1", "ordinal") \
+        .select("model", "ordinal", "threshold", "f1")
+
+
+@query("argmax_first")
+def q_argmax_first(spark, d):
+    """Best config overall by f1 (first on ties)."""
+    return evaluate.argmax_first(grid_scores(spark, d), "f1", "ordinal").select("model", "ordinal", "f1")
+
+
+@query("closest_to_center")
+def q_closest_to_center(spark, d):
+    """Configs whose f1 is closest to the median and to the mean."""
+    s = grid_scores(spark, d).select("ordinal", "f1")
+    med = evaluate.closest_to_center(s, "f1", "ordinal", "median").withColumn("center", F.lit("median"))
+    avg = evaluate.closest_to_center(s, "f1", "ordinal", "mean").withColumn("center", F.lit("mean"))
+    return med.unionByName(avg)
+
+
+@query("top_k_per_group")
+def q_top_k_per_group(spark, d):
+    """Top 3 configs per scorer by f1."""
+    return evaluate.top_k_per_group(grid_scores(spark, d), ["model"], "f1", "ordinal", 3) \
+        .select("model", "ordinal", "f1", "rank")
+
+
+@query("cv_summary")
+def q_cv_summary(spark, d):
+    """Mean / std / rank of fold f1 per config (10 stratified folds)."""
+    t = splits.folds_stratified(t1_scored(spark, d), C.T1_KEY, "label", 10)
+    per_fold = evaluate.evaluate_models(rule_grid(t, extra=["fold"]), ["model", "ordinal", "fold"])
+    return evaluate.cv_summary(per_fold, ["model", "ordinal"], ["f1", "precision"], "f1")
+
+
+T2_VOTES = [("o_totalprice", ">", 150000.0), ("c_acctbal", ">", 5000.0), ("n_regionkey", ">=", 2)]
+
+
+@query("risk_score")
+def q_risk_score(spark, d):
+    """Votes of three rule models per order."""
+    t = C.t2(spark, d).select("o_orderkey", *[Rule(c, op, v).to_column().alias(f"p{i}")
+                                               for i, (c, op, v) in enumerate(T2_VOTES)])
+    return evaluate.risk_score(t, ["o_orderkey"], ["p0", "p1", "p2"])
+
+
+@query("risk_table")
+def q_risk_table(spark, d):
+    """(score, risk, total) with risk = urgent or high priority."""
+    t = C.t2(spark, d)
+    votes = R.flag_count([Rule(c, op, v) for c, op, v in T2_VOTES])
+    risk = R.any_of([Rule("o_orderpriority", "==", "1-URGENT"), Rule("o_orderpriority", "==", "2-HIGH")])
+    return evaluate.risk_table(t.select(votes.alias("score"), risk.cast("int").alias("risk")))
+
+
+def t2_labellers():
+    cause = labels.cause_in("UCOD_LEADING", presets.CVR_CAUSES, presets.CAUSE_OF_DEATH, presets.NOT_DEAD)
+    return [
+        ensemble.Labeller("urgent", lambda df: df,
+                          ensemble.ThresholdRule(F.col("o_totalprice"),
+                                                 [100000.0, 150000.0, 200000.0, 250000.0, 300000.0])),
+        ensemble.Labeller("cvr_death",
+                          lambda df: df.where(R.all_of(presets.LINKED_DEAD)).withColumn("label", cause.cast("int")),
+                          ensemble.ThresholdRule(F.col("c_acctbal"), [0.0, 2500.0, 5000.0, 7500.0])),
+        ensemble.Labeller("contributing",
+                          lambda df: labels.label_contributing(df, presets.LINKED_DEAD, "HYPERTEN", ["o_orderkey"],
+                                                               ["n_regionkey"]),
+                          ensemble.ThresholdRule(F.col("n_regionkey").cast("double"), [0.5, 1.5, 2.5, 3.5])),
+    ]
+
+
+@query("risk_ensemble")
+def q_risk_ensemble(spark, d):
+    """Three labellers fitted on the core 90 %, votes summed on the 10 % hold-out."""
+    risks = {"condition": R.any_of([Rule("o_orderpriority", "==", "1-URGENT"),
+                                    Rule("o_orderpriority", "==", "2-HIGH")]),
+             "cvr_death": labels.cause_in("UCOD_LEADING", presets.CVR_CAUSES, presets.CAUSE_OF_DEATH,
+                                          presets.NOT_DEAD)}
+    return ensemble.risk_ensemble(C.t2(spark, d), C.T2_KEY, t2_labellers(), risks, 0.1)
+
+
+@query("study_correlation")
+def q_study_correlation(spark, d):
+    """Two labellers on T1 -> mean impute -> |corr| -> top-decile flag."""
+    t = C.t1(spark, d, extra=True).drop("label")
+    labellers = {
+        "returned_open": lambda df: df.withColumn(
+            "label", R.all_of([Rule("l_returnflag", "==", "R"), Rule("l_linestatus", "==", "O")]).cast("int")),
+        "flags_gt1": lambda df: labels.label_flag_threshold(df, T1_FLAGS, 1),
+    }
+    feats = [*C.T1_FEATURES, "ship_year"]
+    return ensemble.study_correlation(t, labellers, feats)
