@@ -125,8 +125,11 @@ def roc_curve(df: DataFrame, label: str = "label", score: str = "score",
     pts = c.select(*gc, "threshold", tpr.alias("tpr"), fpr.alias("fpr"),
                    ((fpr - prev_fpr) * (tpr + prev_tpr) / 2).alias("__area"))
     area = pts.groupBy(*gc).agg(F.sum("__area").alias("auc"))
-    joined = pts.join(F.broadcast(area), on=gc, how="inner") if gc else pts.crossJoin(F.broadcast(area))
-    return joined.drop("__area")
+    if not gc:
+        auc = area.collect()[0]["auc"]
+        return pts.withColumn("auc", F.lit(auc).cast("double")).drop("__area")
+    # one row per group
+    return pts.join(F.broadcast(area), on=gc, how="inner").drop("__area")
 
 
 # ---------------------------------------------------------------- pickers
@@ -149,9 +152,9 @@ def argmax_first(df: DataFrame, metric: str, ordinal: str, highest: bool = True)
 def closest_to_center(df: DataFrame, metric: str, ordinal: str, center: str = "median") -> DataFrame:
     """Row whose metric is closest to the median (or mean), first on ties."""
     c = F.percentile(metric, F.lit(0.5)) if center == "median" else F.avg(metric)
-    ref = df.agg(c.alias("__c"))
-    d = df.crossJoin(F.broadcast(ref)).withColumn("__d", F.abs(F.col(metric) - F.col("__c")))
-    return argmax_first(d, "__d", ordinal, highest=False).drop("__d", "__c")
+    ref = df.agg(c.alias("c")).collect()[0]["c"]
+    d = df.withColumn("__d", F.abs(F.col(metric) - F.lit(ref).cast("double")))
+    return argmax_first(d, "__d", ordinal, highest=False).drop("__d")
 
 
 def top_k_per_group(df: DataFrame, group_cols: Sequence[str], metric: str, ordinal: str, k: int,

@@ -21,34 +21,43 @@ def iqr_bounds(df: DataFrame, features: Sequence[str], group_cols: Sequence[str]
                     (F.col("q3") + F.lit(factor) * iqr).alias("upper"))
 
 
-def _wide_fences(bounds: DataFrame, features: Sequence[str], group_cols: Sequence[str]) -> DataFrame:
-    """One row per group with ``<feature>__lo`` / ``<feature>__hi`` columns."""
-    g = bounds.groupBy(*group_cols) if group_cols else bounds.groupBy()
-    return g.pivot("feature", list(features)).agg(
-        F.first("lower").alias("lo"), F.first("upper").alias("hi")) \
-        .select(*group_cols, *[F.col(f"{f}_{s}").alias(f"{f}__{s}") for f in features for s in ("lo", "hi")])
-
-
-def _outlier(features: Sequence[str]):
-    # A missing cell (or an undefined fence) is never an outlier.
-    tests = [F.coalesce((F.col(f) > F.col(f"{f}__hi")) | (F.col(f) < F.col(f"{f}__lo")), F.lit(False))
-             for f in features]
+def _fence_values(bounds: DataFrame, group_col: str | None) -> dict:
+    """{(group, feature): (lower, upper)}: one row per group and feature, bounded."""
+    out = {}
+    for r in bounds.collect():
+        out[(r[group_col] if group_col else None, r["feature"])] = (r["lower"], r["upper"])
+    return out
+
+
+def _outlier(features: Sequence[str], fences: dict, group_col: str | None):
+    """OR over features of 'outside the fences'; a missing cell or fence is never an outlier."""
+    groups = sorted({g for g, _ in fences}, key=lambda g: (g is None, g))
+    tests = []
+    for f in features:
+        def fence(i):
+            if group_col is None:
+                v = fences.get((None, f), (None, None))[i]
+                return F.lit(v).cast("double")
+            e = None
+            for g in groups:
+                v = fences.get((g, f), (None, None))[i]
+                cond = F.col(group_col) == F.lit(g)
+                e = F.when(cond, F.lit(v).cast("double")) if e is None else e.when(cond, F.lit(v).cast("double"))
+            return e
+        x = F.col(f)
+        tests.append(F.coalesce((x > fence(1)) | (x < fence(0)), F.lit(False)))
     return reduce(lambda a, b: a | b, tests)
 
 
 def iqr_removal(df: DataFrame, features: Sequence[str], factor: float = 1.5,
                 exact: bool = True) -> DataFrame:
-    """O1: drop rows with any feature outside its fences."""
-    fences = _wide_fences(iqr_bounds(df, features, (), factor, exact), features, ())
-    # a single row, size bounded by the column count
-    j = df.crossJoin(F.broadcast(fences))
-    return j.where(~_outlier(features)).select(*df.columns)
+    """O1: drop rows with any feature outside its fences (fences folded in as literals)."""
+    fences = _fence_values(iqr_bounds(df, features, (), factor, exact), None)
+    return df.where(~_outlier(features, fences, None))
 
 
 def iqr_removal_by_class(df: DataFrame, features: Sequence[str], label: str = "label",
                          factor: float = 1.5, exact: bool = True) -> DataFrame:
-    """O2: fences computed within each class, applied in one pass (no split/union)."""
-    fences = _wide_fences(iqr_bounds(df, features, [label], factor, exact), features, [label])
-    # one row per class: bounded, safe to broadcast
-    j = df.join(F.broadcast(fences), on=label, how="left")
-    return j.where(~_outlier(features)).select(*df.columns)
+    """O2: fences computed within each class, applied in one pass (no split, no union, no join)."""
+    fences = _fence_values(iqr_bounds(df, features, [label], factor, exact), label)
+    return df.where(~_outlier(features, fences, label))

@@ -198,13 +198,14 @@ def correlation(df: DataFrame, features: Sequence[str], label: str, route: str =
 def top_fraction(scores: DataFrame, q: float = 0.9, value_col: str = "value") -> DataFrame:
     """A4: rows whose score is at or above the q-quantile of the non-null scores.
 
-    ``scores`` is a per-feature table (bounded by the column count), so the
-    marker is one small aggregate joined back as a single row.
+    ``scores`` is a per-feature table (bounded by the column count); the marker
+    is one number, computed first and folded in as a literal.
     """
     marker = scores.where(F.col(value_col).isNotNull()).agg(
-        F.percentile(value_col, F.lit(q)).alias("__marker"))
-    return scores.crossJoin(F.broadcast(marker)).where(F.col(value_col) >= F.col("__marker")) \
-        .drop("__marker")
+        F.percentile(value_col, F.lit(q)).alias("m")).collect()[0]["m"]
+    if marker is None:
+        return scores.limit(0)
+    return scores.where(F.col(value_col) >= F.lit(float(marker)))
 
 
 def cohort_sizes(df: DataFrame, cohorts: dict[str, Column]) -> DataFrame:

@@ -486,3 +486,192 @@ c_y2 AS ({corr_table('x', _STUDY_FEATS, 'y2')})
 {_study_part('returned_open', 'y1')}
 UNION ALL
 {_study_part('flags_gt1', 'y2')}"""
+
+# ---------------------------------------------------------------- scaling / selection
+_SUMSQ = " + ".join(f"coalesce(CAST({f} AS DOUBLE), 0.0) * coalesce(CAST({f} AS DOUBLE), 0.0)" for f in T1_FEATS)
+
+SQL["scale_minmax"] = f"""WITH {T1},
+m AS (SELECT {', '.join(f'min({f}) AS lo_{f}, max({f}) AS hi_{f}' for f in T1_FEATS)} FROM t1)
+SELECT {T1_KEY}, {', '.join(
+    r(f"({f} - lo_{f}) / CASE WHEN hi_{f} - lo_{f} = 0 THEN 1.0 ELSE hi_{f} - lo_{f} END") + f' AS {f}'
+    for f in T1_FEATS)} FROM t1, m"""
+
+SQL["scale_standard"] = f"""WITH {T1},
+m AS (SELECT {', '.join(f'avg({f}) AS mu_{f}, stddev_pop({f}) AS sd_{f}' for f in T1_FEATS)} FROM t1)
+SELECT {T1_KEY}, {', '.join(
+    r(f"({f} - mu_{f}) / CASE WHEN sd_{f} = 0 OR sd_{f} IS NULL THEN 1.0 ELSE sd_{f} END") + f' AS {f}'
+    for f in T1_FEATS)} FROM t1, m"""
+
+SQL["scale_robust"] = f"""WITH {T1},
+m AS (SELECT {', '.join(f'quantile_cont({f}, 0.25) AS a_{f}, quantile_cont({f}, 0.5) AS b_{f}, quantile_cont({f}, 0.75) AS c_{f}' for f in T1_FEATS)} FROM t1)
+SELECT {T1_KEY}, {', '.join(
+    r(f"({f} - b_{f}) / CASE WHEN c_{f} - a_{f} = 0 THEN 1.0 ELSE c_{f} - a_{f} END") + f' AS {f}'
+    for f in T1_FEATS)} FROM t1, m"""
+
+SQL["scale_normalizer"] = f"""WITH {T1}, n AS (SELECT *, sqrt({_SUMSQ}) AS nrm FROM t1)
+SELECT {T1_KEY}, {', '.join(
+    r(f"CAST({f} AS DOUBLE) / CASE WHEN nrm = 0 THEN 1.0 ELSE nrm END") + f' AS {f}' for f in T1_FEATS)} FROM n"""
+
+_E = [f"e{i:02d}" for i in range(64)]
+T4X = f"t4x AS (SELECT vec_id, label, {', '.join(f'vec[{i + 1}] AS {e}' for i, e in enumerate(_E))} FROM t4)"
+
+SQL["select_percentile"] = f"""WITH {T4}, {T4X}, c AS ({corr_table('t4x', _E)}),
+cut AS (SELECT quantile_cont(value, 0.9) AS q FROM c WHERE value IS NOT NULL)
+SELECT feature, {r('value')} AS value, CAST(coalesce(value > q, false) AS INTEGER) AS selected FROM c, cut"""
+
+# ---------------------------------------------------------------- neighbours
+
+
+def _nn(name, a, b, key="vec_id", extra_b=""):
+    return f"""{name} AS (
+  SELECT x.{key} AS {key}, y.{key} AS nn_{key}, list_distance(x.vec, y.vec) AS dist{extra_b},
+         row_number() OVER (PARTITION BY x.{key} ORDER BY list_distance(x.vec, y.vec), y.{key}) AS rk
+  FROM {a} x JOIN {b} y ON x.{key} <> y.{key})"""
+
+
+SQL["knn_join"] = f"""WITH {T4}, {_nn('d', 't4', 't4')}
+SELECT vec_id, nn_vec_id, {r('dist')} AS dist, CAST(rk AS INTEGER) AS rank FROM d WHERE rk <= 5"""
+
+SQL["clf_knn"] = f"""WITH {T4}, {split_cte('s', 't4', 'vec_id', 'label', 0.2)},
+tr AS (SELECT * FROM s WHERE is_test = 0), te AS (SELECT * FROM s WHERE is_test = 1),
+d AS (SELECT te.vec_id, tr.label AS nl,
+             row_number() OVER (PARTITION BY te.vec_id ORDER BY list_distance(te.vec, tr.vec), tr.vec_id) AS rk
+      FROM te CROSS JOIN tr),
+v AS (SELECT vec_id, nl, count(*) AS c FROM d WHERE rk <= 5 GROUP BY vec_id, nl),
+b AS (SELECT vec_id, nl AS pred FROM (
+        SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, nl) AS r FROM v) WHERE r = 1)
+SELECT te.vec_id, te.label, b.pred FROM te LEFT JOIN b USING (vec_id)"""
+
+
+def _roles(src):
+    return f"""cnt AS (SELECT label, count(*) AS c FROM {src} GROUP BY label),
+roles AS (SELECT (SELECT label FROM cnt ORDER BY c DESC, label LIMIT 1) AS maj,
+                 (SELECT max(c) FROM cnt) AS nmaj, (SELECT min(c) FROM cnt) AS nmin)"""
+
+
+SQL["under_random"] = f"""WITH {T3}, {_roles('t3')},
+mj AS (SELECT doc_id, label, row_number() OVER (ORDER BY {md5_order(42, 'under', 'doc_id')}) AS rk
+       FROM t3 WHERE label = (SELECT maj FROM roles))
+SELECT doc_id, label FROM mj WHERE rk <= (SELECT nmin FROM roles)
+UNION ALL SELECT doc_id, label FROM t3 WHERE label <> (SELECT maj FROM roles)"""
+
+SQL["over_random"] = f"""WITH {T3}, {_roles('t3')},
+mn AS (SELECT doc_id, label, row_number() OVER (ORDER BY {md5_order(42, 'over', 'doc_id')}) AS rk
+       FROM t3 WHERE label <> (SELECT maj FROM roles)),
+cp AS (SELECT mn.*, CAST(nmaj // nmin + CAST(rk <= nmaj % nmin AS INTEGER) AS INTEGER) AS n FROM mn, roles)
+SELECT doc_id, label, CAST(unnest(generate_series(1, n)) AS INTEGER) AS copy FROM cp WHERE n > 0
+UNION ALL SELECT doc_id, label, 1 AS copy FROM t3 WHERE label = (SELECT maj FROM roles)"""
+
+
+def hu(tag, key="vec_id", extra="copy"):
+    return (f"CAST(('0x' || substr(md5(concat_ws(':', '42', '{tag}', {key}, {extra})), 1, 8)) AS BIGINT)"
+            f" / 4294967296.0")
+
+
+SMOTE = f"""{_roles('t4')},
+mino AS (SELECT vec_id, label, vec FROM t4 WHERE label <> (SELECT maj FROM roles)),
+{_nn('nn', 'mino', 'mino')},
+rk AS (SELECT vec_id, label, vec, row_number() OVER (ORDER BY {md5_order(42, 'smote_rank', 'vec_id')}) AS r FROM mino),
+cp AS (SELECT rk.*, (nmaj - nmin) // nmin + CAST(r <= (nmaj - nmin) % nmin AS INTEGER) AS n FROM rk, roles),
+rws AS (SELECT vec_id, label, vec, unnest(generate_series(1, n)) AS copy FROM cp WHERE n > 0),
+h AS (SELECT *, CAST(floor({hu('smote_nn')} * least(5, (SELECT nmin FROM roles) - 1)) + 1 AS INTEGER) AS pick,
+             {hu('smote_gap')} AS gap FROM rws),
+syn AS (SELECT h.vec_id, CAST(h.copy AS INTEGER) AS copy, h.label, n.nn_vec_id, h.gap, h.vec AS x, y.vec AS nv
+        FROM h JOIN nn n ON n.vec_id = h.vec_id AND n.rk = h.pick JOIN mino y ON y.vec_id = n.nn_vec_id)"""
+
+SQL["over_smote"] = f"""WITH {T4}, {SMOTE}
+SELECT vec_id, copy, nn_vec_id, {r('gap')} AS gap, CAST(i AS INTEGER) AS dim,
+       {r('x[i + 1] + gap * (nv[i + 1] - x[i + 1])')} AS value
+FROM syn, range(0, 64) t(i)"""
+
+SMOTE_UNION = f"""{SMOTE},
+u AS (SELECT vec_id, 0 AS copy, label, vec FROM t4
+      UNION ALL
+      SELECT vec_id, copy, label, list_transform(range(1, 65), lambda i: x[i] + gap * (nv[i] - x[i])) AS vec FROM syn),
+uk AS (SELECT *, CAST(vec_id AS VARCHAR) || '/' || CAST(copy AS VARCHAR) AS k FROM u)"""
+
+
+def _nn_u(name, k):
+    return f"""{name} AS (
+  SELECT x.vec_id, x.copy, x.label, y.label AS nl,
+         row_number() OVER (PARTITION BY x.vec_id, x.copy ORDER BY list_distance(x.vec, y.vec), y.vec_id, y.copy) AS rk
+  FROM uk x JOIN uk y ON x.k <> y.k)"""
+
+
+SQL["clean_enn"] = f"""WITH {T4}, {_roles('t4')},
+d AS (SELECT x.vec_id, x.label, y.label AS nl,
+             row_number() OVER (PARTITION BY x.vec_id ORDER BY list_distance(x.vec, y.vec), y.vec_id) AS rk
+      FROM t4 x JOIN t4 y ON x.vec_id <> y.vec_id),
+bad AS (SELECT vec_id FROM d WHERE rk <= 3 AND label = (SELECT maj FROM roles)
+        GROUP BY vec_id HAVING max(CAST(nl <> label AS INTEGER)) = 1)
+SELECT vec_id, label FROM t4 WHERE vec_id NOT IN (SELECT vec_id FROM bad)"""
+
+SQL["smote_enn"] = f"""WITH {T4}, {SMOTE_UNION}, {_nn_u('d', 3)},
+bad AS (SELECT vec_id, copy FROM d WHERE rk <= 3 GROUP BY vec_id, copy HAVING max(CAST(nl <> label AS INTEGER)) = 1)
+SELECT vec_id, CAST(copy AS INTEGER) AS copy, label FROM uk
+WHERE NOT EXISTS (SELECT 1 FROM bad WHERE bad.vec_id = uk.vec_id AND bad.copy = uk.copy)"""
+
+SQL["clean_tomek"] = f"""WITH {T4}, {_roles('t4')}, {_nn('d', 't4', 't4')},
+one AS (SELECT vec_id, nn_vec_id FROM d WHERE rk = 1),
+links AS (SELECT a.vec_id FROM one a JOIN one b ON a.nn_vec_id = b.vec_id AND b.nn_vec_id = a.vec_id
+          JOIN t4 la ON la.vec_id = a.vec_id JOIN t4 lb ON lb.vec_id = b.vec_id
+          WHERE la.label <> lb.label AND la.label = (SELECT maj FROM roles))
+SELECT vec_id, label FROM t4 WHERE vec_id NOT IN (SELECT vec_id FROM links)"""
+
+SQL["smote_tomek"] = f"""WITH {T4}, {SMOTE_UNION},
+d AS (SELECT x.vec_id, x.copy, x.label, y.vec_id AS nv_id, y.copy AS nv_copy, y.label AS nl,
+             row_number() OVER (PARTITION BY x.vec_id, x.copy ORDER BY list_distance(x.vec, y.vec), y.vec_id, y.copy) AS rk
+      FROM uk x JOIN uk y ON x.k <> y.k),
+one AS (SELECT * FROM d WHERE rk = 1),
+links AS (SELECT a.vec_id, a.copy FROM one a JOIN one b
+          ON a.nv_id = b.vec_id AND a.nv_copy = b.copy AND b.nv_id = a.vec_id AND b.nv_copy = a.copy
+          WHERE a.label <> a.nl)
+SELECT vec_id, CAST(copy AS INTEGER) AS copy, label FROM uk
+WHERE NOT EXISTS (SELECT 1 FROM links WHERE links.vec_id = uk.vec_id AND links.copy = uk.copy)"""
+
+SQL["silhouette"] = f"""WITH {T4},
+sz AS (SELECT class, count(*) AS n FROM t4 GROUP BY class),
+pd AS (SELECT a.vec_id, a.class AS lc, b.class AS rc, sum(list_distance(a.vec, b.vec)) AS sd
+       FROM t4 a JOIN t4 b ON a.vec_id <> b.vec_id GROUP BY a.vec_id, a.class, b.class),
+j AS (SELECT pd.*, sz.n FROM pd JOIN sz ON pd.rc = sz.class),
+per AS (SELECT vec_id, max(CASE WHEN lc = rc THEN n END) AS own_n,
+               max(CASE WHEN lc = rc AND n > 1 THEN sd / (n - 1) END) AS a,
+               min(CASE WHEN lc <> rc THEN sd / n END) AS b FROM j GROUP BY vec_id)
+SELECT {r("avg(CASE WHEN own_n <= 1 OR b IS NULL THEN 0.0 ELSE coalesce((b - a) / nullif(greatest(a, b), 0), 0.0) END)")}
+       AS silhouette FROM per"""
+
+# ---------------------------------------------------------------- invariants of fitted models
+
+
+def checks(pairs):
+    return "\nUNION ALL ".join(f"SELECT '{k}' AS check, CAST({v} AS BIGINT) AS value" for k, v in pairs)
+
+
+SQL["under_centroids"] = f"""WITH {T3}
+{checks([('minority_rows', '(SELECT count(*) FROM t3 WHERE label = 1)'),
+         ('majority_rows', '(SELECT count(*) FROM t3 WHERE label = 1)')])}"""
+
+SQL["cluster_sizes"] = f"""WITH {T4}
+{checks([('rows', '(SELECT count(*) FROM t4)'), ('clusters', 3), ('largest_first', 1)])}"""
+
+SQL["under_cluster_guided"] = f"""WITH {T3}
+{checks([('minority_rows', '(SELECT count(*) FROM t3 WHERE label = 1)'), ('majority_kept_le_all', 1),
+         ('majority_kept_gt0', 1)])}"""
+
+SQL["cluster_medoids"] = f"""WITH {T3}
+{checks([('rows', '(SELECT count(*) FROM t3)'), ('clusters', 3), ('medoids_are_rows', 1)])}"""
+
+_MODEL_CHECKS = f"""WITH {T3}, {split_cte('s', 't3', 'doc_id', 'label', 0.2)}
+{checks([('test_rows', '(SELECT count(*) FROM s WHERE is_test = 1)'),
+         ('test_pos', '(SELECT count(*) FROM s WHERE is_test = 1 AND label = 1)'),
+         ('metrics_in_range', 1), ('auc_is_balanced_accuracy', 1)])}"""
+
+for _k in ("clf_logistic", "clf_forest", "clf_svc", "clf_mlp"):
+    SQL[_k] = _MODEL_CHECKS
+
+SQL["fit_predict_chain"] = f"""WITH {T3}, {split_cte('s', 't3', 'doc_id', 'label', 0.2)}
+{checks([('test_rows', '(SELECT count(*) FROM s WHERE is_test = 1)'),
+         ('test_pos', '(SELECT count(*) FROM s WHERE is_test = 1 AND label = 1)'), ('pred_binary', 1)])}"""
+
+SQL["grid_search"] = f"""WITH {T3}
+{checks([('configs', 8), ('fold_rows', 24), ('scored_rows', '(SELECT 8 * count(*) FROM t3)')])}"""
