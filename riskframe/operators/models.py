@@ -49,6 +49,8 @@ class ClassifierModel(Model):
         self.kind, self.features, self.fitted, self.train, self.key, self.k = kind, list(features), fitted, train, key, k
 
     def _transform(self, df: DataFrame) -> DataFrame:
+        if self.kind == "constant":
+            return df.withColumn("pred", F.lit(int(self.fitted))).withColumn("score", F.lit(float(self.fitted)))
         if self.kind == "knn":
             test = df.withColumn("__vec", F.array(*[F.col(f).cast("double") for f in self.features]))
             out = knn_classify(self.train, test, self.key, self.k, "__vec", "__y", "pred")
@@ -77,6 +79,10 @@ class Classifier(Estimator):
 
     def _fit(self, df: DataFrame) -> ClassifierModel:
         data = df.withColumn("__y", F.col(self.label).cast("double"))
+        if not self.features:
+            # every feature was dropped or deselected: predict the training majority class
+            top = data.groupBy("__y").count().orderBy(F.col("count").desc(), "__y").first()
+            return ClassifierModel("constant", [], fitted=int(top["__y"]) if top else 0)
         if self.kind == "knn":
             train = data.select(*self.key, "__y",
                                 F.array(*[F.col(f).cast("double") for f in self.features]).alias("__vec"))

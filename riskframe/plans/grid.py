@@ -128,22 +128,27 @@ def grid_configs(options: dict[str, Sequence]) -> list[Chain]:
 
 
 def grid_search(df: DataFrame, configs: Sequence[Chain], features: Sequence[str], key: Sequence[str],
-                label: str = "label", folds: int = 3, seed: int = 42) -> DataFrame:
+                label: str = "label", folds: int = 3, seed: int = 42, parallelism: int = 8) -> DataFrame:
     """K-fold scores of every config: (config, fold, metrics..., tn, fp, fn, tp).
 
-    Prefixes are shared: a fold fits each distinct prefix once; the prefix
-    output is persisted while configs below it are fitted and released after.
+    Prefixes are shared: a fold fits each distinct prefix once and persists
+    its output; the model fits below the prefixes are independent jobs run
+    ``parallelism`` at a time from a driver thread pool (each fit is itself
+    distributed).  A fold's scores go to the shared checkpoint folder before
+    its prefixes are released.
     """
+    from concurrent.futures import ThreadPoolExecutor
+
     key = list(key)
     f = splits.folds_stratified(df, key, label, folds, seed).persist(StorageLevel.MEMORY_AND_DISK)
-    preds = []
+    results = []
     cfgs = list(enumerate(configs))
     for fold in range(folds):
         train = f.where(F.col("fold") != fold).drop("fold")
         val = f.where(F.col("fold") == fold).drop("fold")
         cache: dict[tuple, tuple] = {(): ([], train, list(features))}
         held = []
-        for ordinal, cfg in cfgs:
+        for _, cfg in cfgs:
             for depth in range(1, 6):
                 pre = cfg.prefix(depth)
                 if pre in cache:
@@ -153,19 +158,23 @@ def grid_search(df: DataFrame, configs: Sequence[Chain], features: Sequence[str]
                 d2 = d2.persist(StorageLevel.MEMORY_AND_DISK)
                 held.append(d2)
                 cache[pre] = (steps + ([m] if m is not None else []), d2, feats2)
+
+        def fit_one(item, fold=fold, val=val, cache=cache):
+            ordinal, cfg = item
             steps, d, feats = cache[cfg.prefix(5)]
             model = Classifier(cfg.model, feats, label, key, seed, **cfg.model_params).fit(d)
             scored = FittedChain(steps, feats, model).transform(val)
-            preds.append(scored.select(F.lit(ordinal).alias("config"), F.lit(fold).alias("fold"),
-                                       F.col(label).alias("label"), "pred"))
-        # write this fold's scores to the shared checkpoint folder before its prefixes are released
-        fold_scores = evaluate.evaluate_models(reduce(lambda a, b: a.unionByName(b), preds[-len(cfgs):]),
-                                               ["config", "fold"])
-        preds[-len(cfgs):] = [cut_lineage(fold_scores)]
+            return scored.select(F.lit(ordinal).alias("config"), F.lit(fold).alias("fold"),
+                                 F.col(label).alias("label"), "pred")
+
+        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+            preds = list(pool.map(fit_one, cfgs))
+        fold_scores = evaluate.evaluate_models(reduce(lambda a, b: a.unionByName(b), preds), ["config", "fold"])
+        results.append(cut_lineage(fold_scores))
         for d in held:
             d.unpersist()
     f.unpersist()
-    return reduce(lambda a, b: a.unionByName(b), preds)
+    return reduce(lambda a, b: a.unionByName(b), results)
 
 
 def refit_top(df_train: DataFrame, df_test: DataFrame, configs: Sequence[Chain], cv: DataFrame, features,

@@ -675,3 +675,10 @@ SQL["fit_predict_chain"] = f"""WITH {T3}, {split_cte('s', 't3', 'doc_id', 'label
 
 SQL["grid_search"] = f"""WITH {T3}
 {checks([('configs', 8), ('fold_rows', 24), ('scored_rows', '(SELECT 8 * count(*) FROM t3)')])}"""
+
+SQL["select_l1"] = f"""WITH {T3}
+{checks([('rows_seen', '(SELECT count(*) FROM t3)'), ('features', 5), ('selected_le_features', 1)])}"""
+
+SQL["refit_top"] = f"""WITH {T3}, {split_cte('s', 't3', 'doc_id', 'label', 0.2)}
+{checks([('refits', 2), ('train_rows', '(SELECT 2 * count(*) FROM s WHERE is_test = 0)'),
+         ('test_rows', '(SELECT 2 * count(*) FROM s WHERE is_test = 1)')])}"""
