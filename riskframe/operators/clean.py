@@ -80,7 +80,7 @@ class DropSparse(Estimator):
         self.features, self.threshold = list(features), threshold
 
     def report(self, df: DataFrame) -> DataFrame:
-        st = feature_stats(df, self.features)
+        st = feature_stats(df, self.features, stats=("count",))
         return st.select("feature", F.col("count").alias("non_null"), "rows",
                          (F.col("count") >= F.col("rows") * F.lit(self.threshold)).cast("int").alias("keep"))
 
@@ -124,7 +124,7 @@ class MeanImputer(Estimator):
         self.features, self.keep_empty = list(features), keep_empty
 
     def _fit(self, df: DataFrame) -> ImputerModel:
-        rows = feature_stats(df, self.features).select("feature", "count", "mean").collect()
+        rows = feature_stats(df, self.features, stats=("count", "mean")).select("feature", "count", "mean").collect()
         fills, dropped = {}, []
         for r in rows:
             if r["count"] == 0:
@@ -146,7 +146,7 @@ def fill_value(df: DataFrame, cols: Sequence[str], value: float = 0.0) -> DataFr
 
 def quality_report(df: DataFrame, features: Sequence[str]) -> DataFrame:
     """(feature, rows, nulls) in one pass; ``assert_clean`` fails on any NULL."""
-    st = feature_stats(df, features)
+    st = feature_stats(df, features, stats=("count",))
     return st.select("feature", "rows", (F.col("rows") - F.col("count")).alias("nulls"))
 
 

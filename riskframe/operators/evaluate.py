@@ -78,13 +78,18 @@ def cumulative_by_threshold(df: DataFrame, label: str = "label", score: str = "s
     """
     gc = list(group_cols)
     counts = _score_counts(df, label, score, gc)
+    # one pass: number of distinct scores and fine approximate quantile edges;
+    # about 200k distinct scores per bucket, 64 to 4096 buckets
+    fine = 4096 if buckets <= 0 else buckets
+    probs = [i / fine for i in range(1, fine)]
+    stats = counts.agg(F.count(F.lit(1)).alias("n"),
+                       F.percentile_approx("threshold", probs, 10 * fine).alias("e")).collect()[0]
+    all_edges = list(stats["e"] or [])
     if buckets <= 0:
-        # about 200k distinct scores per bucket, between 64 and 65536 buckets
-        n = counts.count()
-        buckets = int(min(65536, max(64, n // 200_000)))
-    probs = [i / buckets for i in range(1, buckets)]
-    edges_row = counts.agg(F.percentile_approx("threshold", probs, 10 * buckets).alias("e")).collect()[0]
-    edges = sorted(set(float(x) for x in (edges_row["e"] or [])))
+        want = int(min(4096, max(64, (stats["n"] or 0) // 200_000)))
+        step = max(1, len(all_edges) // want)
+        all_edges = all_edges[step - 1::step]
+    edges = sorted(set(float(x) for x in all_edges))
     splits = [float("-inf"), *edges, float("inf")]
     bz = Bucketizer(splits=splits, inputCol="threshold", outputCol="__b", handleInvalid="keep")
     b = bz.transform(counts).withColumn("__b", F.col("__b").cast("int"))

@@ -16,7 +16,7 @@ from typing import Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 WIDE_THRESHOLD = 50
@@ -44,21 +44,30 @@ def _guarded_corr(x: Column, y: Column) -> Column:
     return F.covar_samp(xm, ym) / den
 
 
-def _narrow_stats(df: DataFrame, features: Sequence[str], label: str | None) -> DataFrame:
+ALL_STATS = ("count", "mean", "std", "std_pop", "min", "max", "corr")
+_AGG = {"count": lambda x: F.count(x), "mean": lambda x: F.avg(x), "std": lambda x: F.stddev_samp(x),
+        "std_pop": lambda x: F.stddev_pop(x), "min": lambda x: F.min(x), "max": lambda x: F.max(x)}
+
+
+def _narrow_stats(df: DataFrame, features: Sequence[str], label: str | None,
+                  stats: Sequence[str] = ALL_STATS) -> DataFrame:
+    """One ``agg`` computing only the requested statistics; NULL for the others."""
     aggs = [F.count(F.lit(1)).alias("__rows")]
     for i, f in enumerate(features):
         x = F.col(f).cast("double")
-        aggs += [F.count(x).alias(f"c{i}"), F.avg(x).alias(f"m{i}"),
-                 F.stddev_samp(x).alias(f"s{i}"), F.stddev_pop(x).alias(f"p{i}"),
-                 F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}")]
-        if label is not None:
-            aggs.append(_guarded_corr(x, F.col(label).cast("double")).alias(f"r{i}"))
+        aggs += [_AGG[st](x).alias(f"{st}{i}") for st in stats if st in _AGG]
+        if label is not None and "corr" in stats:
+            aggs.append(_guarded_corr(x, F.col(label).cast("double")).alias(f"corr{i}"))
     one = df.agg(*aggs)
+
+    def pick(st, i):
+        if st == "corr" and label is None:
+            return F.lit(None).cast("double")
+        if st not in stats:
+            return F.lit(None).cast("bigint" if st == "count" else "double")
+        return F.col(f"{st}{i}")
     structs = [F.struct(F.lit(f).alias("feature"), F.col("__rows").alias("rows"),
-                        F.col(f"c{i}").alias("count"), F.col(f"m{i}").alias("mean"),
-                        F.col(f"s{i}").alias("std"), F.col(f"p{i}").alias("std_pop"),
-                        F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"),
-                        (F.col(f"r{i}") if label is not None else F.lit(None).cast("double")).alias("corr"))
+                        *[pick(st, i).alias(st) for st in ALL_STATS])
                for i, f in enumerate(features)]
     return one.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
 
@@ -138,23 +147,25 @@ def _wide_stats(df: DataFrame, features: Sequence[str], label: str | None) -> Da
 
 
 def feature_stats(df: DataFrame, features: Sequence[str], label: str | None = None,
-                  route: str = "auto") -> DataFrame:
+                  route: str = "auto", stats: Sequence[str] = ALL_STATS) -> DataFrame:
     """(feature, rows, count, mean, std, std_pop, min, max, corr) per feature.
 
     ``std`` is the sample deviation (NULL for one value), ``corr`` the guarded
-    Pearson correlation with ``label`` over pairwise-complete rows.
+    Pearson correlation with ``label`` over pairwise-complete rows.  ``stats``
+    limits the narrow route to the aggregates a caller needs (the moment route
+    gets all of them from the same batch sums).
     """
     features = list(features)
     if route == "auto":
         route = "narrow" if len(features) <= WIDE_THRESHOLD else "wide"
     if route == "narrow":
-        return _narrow_stats(df, features, label)
+        return _narrow_stats(df, features, label, stats)
     return _wide_stats(df, features, label)
 
 
 def non_null_counts(df: DataFrame, features: Sequence[str], route: str = "auto") -> DataFrame:
     """(feature, non_null, rows)."""
-    return feature_stats(df, features, None, route).select(
+    return feature_stats(df, features, None, route, ("count",)).select(
         "feature", F.col("count").alias("non_null"), "rows")
 
 
@@ -181,31 +192,38 @@ def quantiles(df: DataFrame, features: Sequence[str], probs: Sequence[float],
     return q.select(*group_cols, "feature", *[F.col("__q")[i].alias(n) for i, n in enumerate(names)])
 
 
-def describe(df: DataFrame, features: Sequence[str], exact: bool = True) -> DataFrame:
-    """A1: count, mean, std, min, 25 %, 50 %, 75 %, max per feature (long form)."""
-    st = feature_stats(df, features).select("feature", "count", "mean", "std", "min", "max")
-    q = quantiles(df, features, [0.25, 0.5, 0.75], names=["p25", "p50", "p75"], exact=exact)
-    out = st.join(q, "feature", "left")  # both sides bounded by the column count
-    return out.select("feature", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
+def describe(df: DataFrame, features: Sequence[str], exact: bool = True, accuracy: int = 10000) -> DataFrame:
+    """A1: count, mean, std, min, 25 %, 50 %, 75 %, max per feature (long form).
+
+    One pass: unpivot and a single aggregation keyed by feature, so moments and
+    order statistics share the scan and the shuffle.
+    """
+    long = to_long(df, [], features)
+    arr = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    q = F.percentile("value", arr) if exact else F.percentile_approx("value", arr, accuracy)
+    out = long.groupBy("feature").agg(
+        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+        F.min("value").alias("min"), q.alias("__q"), F.max("value").alias("max"))
+    return out.select("feature", "count", "mean", "std", "min", F.col("__q")[0].alias("p25"),
+                      F.col("__q")[1].alias("p50"), F.col("__q")[2].alias("p75"), "max")
 
 
 def correlation(df: DataFrame, features: Sequence[str], label: str, route: str = "auto") -> DataFrame:
     """A3: (feature, value) = |corr(feature, label)|, NULL when undefined."""
-    st = feature_stats(df, features, label, route)
+    st = feature_stats(df, features, label, route, ("corr",))
     return st.select("feature", F.abs("corr").alias("value"))
 
 
 def top_fraction(scores: DataFrame, q: float = 0.9, value_col: str = "value") -> DataFrame:
     """A4: rows whose score is at or above the q-quantile of the non-null scores.
 
-    ``scores`` is a per-feature table (bounded by the column count); the marker
-    is one number, computed first and folded in as a literal.
+    ``scores`` is a per-feature table (bounded by the column count), so the
+    marker is a window aggregate over that whole small table: one job, no
+    collect, no join.
     """
-    marker = scores.where(F.col(value_col).isNotNull()).agg(
-        F.percentile(value_col, F.lit(q)).alias("m")).collect()[0]["m"]
-    if marker is None:
-        return scores.limit(0)
-    return scores.where(F.col(value_col) >= F.lit(float(marker)))
+    w = Window.partitionBy(F.lit(1))
+    marked = scores.withColumn("__m", F.percentile(value_col, F.lit(q)).over(w))
+    return marked.where(F.col(value_col) >= F.col("__m")).drop("__m")
 
 
 def cohort_sizes(df: DataFrame, cohorts: dict[str, Column]) -> DataFrame:

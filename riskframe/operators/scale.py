@@ -45,7 +45,7 @@ class MinMaxScaler(_Scaler):
     """(x - min) / (max - min); a constant feature maps to 0."""
 
     def _fit(self, df: DataFrame) -> AffineModel:
-        rows = feature_stats(df, self.features).select("feature", "min", "max").collect()
+        rows = feature_stats(df, self.features, stats=("min", "max")).select("feature", "min", "max").collect()
         params = {}
         for r in rows:
             lo, hi = r["min"], r["max"]
@@ -61,7 +61,7 @@ class StandardScaler(_Scaler):
     """(x - mean) / population std; a zero std scales by 1."""
 
     def _fit(self, df: DataFrame) -> AffineModel:
-        rows = feature_stats(df, self.features).select("feature", "mean", "std_pop").collect()
+        rows = feature_stats(df, self.features, stats=("mean", "std_pop")).select("feature", "mean", "std_pop").collect()
         params = {}
         for r in rows:
             mean, sd = r["mean"], r["std_pop"]

@@ -48,7 +48,8 @@ def exact_rank(df: DataFrame, key: Sequence[str], strata: Sequence[str] = (), se
     strata, key = list(strata), list(key)
     hashed = _with_hash(df, key, seed, tag, bits)
     offs = _bucket_offsets(hashed, strata)
-    j = hashed.join(offs, on=[*strata, _B], how="inner")
+    # strata x 2^bits rows at most, whatever the data size
+    j = hashed.join(F.broadcast(offs), on=[*strata, _B], how="inner")
     w = Window.partitionBy(*strata, _B).orderBy(_H, *key)
     out = j.withColumn(rank_col, F.col("__off") + F.row_number().over(w))
     if total_col:
@@ -71,7 +72,8 @@ def flag_first(df: DataFrame, key: Sequence[str], n_first, strata: Sequence[str]
     strata, key = list(strata), list(key)
     hashed = _with_hash(df, key, seed, tag, bits)
     offs = _bucket_offsets(hashed, strata).withColumn("__n", n_first(F.col("__tot")))
-    j = hashed.join(offs, on=[*strata, _B], how="inner")
+    # strata x 2^bits rows at most, whatever the data size
+    j = hashed.join(F.broadcast(offs), on=[*strata, _B], how="inner")
     inside = F.col("__off") + F.col("__cnt") <= F.col("__n")
     outside = F.col("__off") >= F.col("__n")
     settled = j.where(inside | outside).withColumn(flag_col, inside.cast("int"))

@@ -21,48 +21,70 @@ from riskframe.operators import clean, evaluate, profile, splits
 class ThresholdRule:
     """A one-feature model: predict positive when ``score > threshold``.
 
-    ``fit`` picks the threshold with the best f1 on the labelled training rows
-    (first candidate on ties) in one grouped aggregation over all candidates.
+    The threshold is the candidate with the best f1 on the labelled training
+    rows (first candidate on ties).
     """
 
     score: Column
     candidates: Sequence[float]
     threshold: float | None = None
 
-    def fit(self, labelled: DataFrame, label: str = "label") -> "ThresholdRule":
-        cands = F.array(*[F.struct(F.lit(i).alias("ordinal"), F.lit(float(t)).alias("threshold"))
-                          for i, t in enumerate(self.candidates)])
-        long = labelled.select(F.col(label).alias("label"), self.score.alias("__s"), F.explode(cands).alias("c")) \
-            .select("label", "c.ordinal", "c.threshold",
-                    F.coalesce(F.col("__s") > F.col("c.threshold"), F.lit(False)).cast("int").alias("pred"))
-        scores = evaluate.evaluate_models(long, ["ordinal", "threshold"])
-        best = evaluate.argmax_first(scores, "f1", "ordinal").collect()[0]  # one row: the fitted parameter
-        self.threshold = float(best["threshold"])
-        return self
-
     def predict(self) -> Column:
         return F.coalesce(self.score > F.lit(self.threshold), F.lit(False)).cast("int")
 
 
 @dataclass
 class Labeller:
+    """A label set as expressions: rows where ``cohort`` holds get ``label``."""
+
     name: str
-    label: Callable[[DataFrame], DataFrame]   # DataFrame -> DataFrame(..., label)
+    label: Column
     model: ThresholdRule
+    cohort: Column | None = None
+
+
+def fit_labellers(core: DataFrame, labellers: Sequence[Labeller]) -> None:
+    """Fit every labeller's threshold in one pass over ``core``.
+
+    Each row emits one (labeller, label, score) entry per labeller whose cohort
+    it belongs to, then one entry per candidate threshold; a single grouped
+    aggregation scores all candidates and ``max_by`` picks each labeller's best.
+    Only the chosen thresholds (one number per labeller) reach the driver.
+    """
+    entries = F.array(*[F.struct(F.lit(i).alias("lab"),
+                                 (lab.cohort if lab.cohort is not None else F.lit(True)).alias("inc"),
+                                 lab.label.cast("int").alias("label"),
+                                 lab.model.score.cast("double").alias("s"))
+                        for i, lab in enumerate(labellers)])
+    per = core.select(F.explode(entries).alias("e")).where(F.coalesce(F.col("e.inc"), F.lit(False))) \
+        .select("e.lab", "e.label", "e.s")
+    cand = None
+    for i, lab in enumerate(labellers):
+        arr = F.array(*[F.struct(F.lit(j).alias("ordinal"), F.lit(float(t)).alias("threshold"))
+                        for j, t in enumerate(lab.model.candidates)])
+        cand = F.when(F.col("lab") == i, arr) if cand is None else cand.when(F.col("lab") == i, arr)
+    long = per.select("lab", "label", "s", F.explode(cand).alias("c")).select(
+        "lab", "label", "c.ordinal", "c.threshold",
+        F.coalesce(F.col("s") > F.col("c.threshold"), F.lit(False)).cast("int").alias("pred"))
+    scores = evaluate.evaluate_models(long, ["lab", "ordinal", "threshold"])
+    best = evaluate.best_per_group(scores, ["lab"], "f1", "ordinal").select("lab", "threshold").collect()
+    chosen = {r.lab: float(r.threshold) for r in best}
+    for i, lab in enumerate(labellers):
+        lab.model.threshold = chosen[i]
 
 
 def risk_ensemble(df: DataFrame, key: Sequence[str], labellers: Sequence[Labeller],
                   risks: dict[str, Column], holdout: float = 0.1, seed: int = 42) -> DataFrame:
     """(risk_name, score, risk, total) over the hold-out rows.
 
-    The fitted models are a handful of numbers, folded in as literals: the
-    hold-out is scored, summed and cross-tabulated in a single pass.
+    Two passes over the data after the split: one fits every labeller, one
+    scores, sums and cross-tabulates the hold-out (the fitted models are a
+    handful of numbers, folded in as literals).
     """
     flagged = splits.split_holdout(df, key, holdout, seed)
     core = flagged.where(F.col("is_holdout") == 0).drop("is_holdout")
     hold = flagged.where(F.col("is_holdout") == 1).drop("is_holdout")
-    for lab in labellers:
-        lab.model.fit(lab.label(core))
+    fit_labellers(core, labellers)
     votes = reduce(lambda a, b: a + b, [lab.model.predict() for lab in labellers])
     outcomes = F.array(*[F.struct(F.lit(n).alias("risk_name"), c.cast("int").alias("risk"))
                          for n, c in risks.items()])

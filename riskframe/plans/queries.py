@@ -576,17 +576,15 @@ def q_risk_table(spark, d):
 
 def t2_labellers():
     cause = labels.cause_in("UCOD_LEADING", presets.CVR_CAUSES, presets.CAUSE_OF_DEATH, presets.NOT_DEAD)
+    dead = R.all_of(presets.LINKED_DEAD)
     return [
-        ensemble.Labeller("urgent", lambda df: df,
+        ensemble.Labeller("urgent", F.col("label"),
                           ensemble.ThresholdRule(F.col("o_totalprice"),
                                                  [100000.0, 150000.0, 200000.0, 250000.0, 300000.0])),
-        ensemble.Labeller("cvr_death",
-                          lambda df: df.where(R.all_of(presets.LINKED_DEAD)).withColumn("label", cause.cast("int")),
-                          ensemble.ThresholdRule(F.col("c_acctbal"), [0.0, 2500.0, 5000.0, 7500.0])),
-        ensemble.Labeller("contributing",
-                          lambda df: labels.label_contributing(df, presets.LINKED_DEAD, "HYPERTEN", ["o_orderkey"],
-                                                               ["n_regionkey"]),
-                          ensemble.ThresholdRule(F.col("n_regionkey").cast("double"), [0.5, 1.5, 2.5, 3.5])),
+        ensemble.Labeller("cvr_death", cause,
+                          ensemble.ThresholdRule(F.col("c_acctbal"), [0.0, 2500.0, 5000.0, 7500.0]), dead),
+        ensemble.Labeller("contributing", F.coalesce(F.col("HYPERTEN"), F.lit(0.0)).cast("int"),
+                          ensemble.ThresholdRule(F.col("n_regionkey").cast("double"), [0.5, 1.5, 2.5, 3.5]), dead),
     ]
 
 
