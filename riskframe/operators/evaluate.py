@@ -71,25 +71,25 @@ def cumulative_by_threshold(df: DataFrame, label: str = "label", score: str = "s
                             group_cols: Sequence[str] = (), buckets: int = 0) -> DataFrame:
     """Per distinct score (descending): tp / fp = positives / negatives scoring >= it.
 
-    Distinct scores are range-bucketed (approximate quantile edges + Bucketizer);
+    Distinct scores are range-bucketed (approximate quantile edges of the raw
+    scores, one sketch pass, + Bucketizer);
     per-bucket totals form a table of at most groups x buckets rows whose
     suffix sums give each bucket's offset; rows are ordered only inside a bucket.
     Adds ``P`` / ``N`` (class totals of the group).
     """
     gc = list(group_cols)
     counts = _score_counts(df, label, score, gc)
-    # one pass: number of distinct scores and fine approximate quantile edges;
-    # about 200k distinct scores per bucket, 64 to 4096 buckets
-    fine = 4096 if buckets <= 0 else buckets
+    # one sketch pass over the raw scores: row count and fine quantile edges
+    # (edges only balance the buckets; correctness does not depend on them)
+    fine = max(buckets, 4096)
     probs = [i / fine for i in range(1, fine)]
-    stats = counts.agg(F.count(F.lit(1)).alias("n"),
-                       F.percentile_approx("threshold", probs, 10 * fine).alias("e")).collect()[0]
-    all_edges = list(stats["e"] or [])
+    row = df.agg(F.count(score).alias("n"), F.percentile_approx(score, probs, 4 * fine).alias("e")).collect()[0]
+    edges = list(row["e"] or [])
     if buckets <= 0:
-        want = int(min(4096, max(64, (stats["n"] or 0) // 200_000)))
-        step = max(1, len(all_edges) // want)
-        all_edges = all_edges[step - 1::step]
-    edges = sorted(set(float(x) for x in all_edges))
+        # about 200k rows per bucket, 16 to 4096 buckets
+        buckets = int(min(fine, max(16, (row["n"] or 0) // 200_000)))
+    step = max(1, len(edges) // buckets)
+    edges = sorted(set(float(x) for x in edges[step - 1::step]))
     splits = [float("-inf"), *edges, float("inf")]
     bz = Bucketizer(splits=splits, inputCol="threshold", outputCol="__b", handleInvalid="keep")
     b = bz.transform(counts).withColumn("__b", F.col("__b").cast("int"))
@@ -129,12 +129,12 @@ def roc_curve(df: DataFrame, label: str = "label", score: str = "score",
     prev_fpr = _safe_div((F.col("fp") - F.col("neg")).cast("double"), F.col("N"))
     pts = c.select(*gc, "threshold", tpr.alias("tpr"), fpr.alias("fpr"),
                    ((fpr - prev_fpr) * (tpr + prev_tpr) / 2).alias("__area"))
-    area = pts.groupBy(*gc).agg(F.sum("__area").alias("auc"))
+    keys = gc or ["__all"]
     if not gc:
-        auc = area.collect()[0]["auc"]
-        return pts.withColumn("auc", F.lit(auc).cast("double")).drop("__area")
-    # one row per group
-    return pts.join(F.broadcast(area), on=gc, how="inner").drop("__area")
+        pts = pts.withColumn("__all", F.lit(0))
+    area = pts.groupBy(*keys).agg(F.sum("__area").alias("auc"))
+    # one row per group: a bounded broadcast equi-join attaches the area
+    return pts.join(F.broadcast(area), on=keys, how="inner").drop("__area", "__all")
 
 
 # ---------------------------------------------------------------- pickers

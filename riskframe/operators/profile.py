@@ -176,36 +176,85 @@ def value_counts(df: DataFrame, label: str) -> DataFrame:
 
 def quantiles(df: DataFrame, features: Sequence[str], probs: Sequence[float],
               group_cols: Sequence[str] = (), names: Sequence[str] | None = None,
-              exact: bool = True, accuracy: int = 10000) -> DataFrame:
+              exact: bool = True, accuracy: int = 100_000, method: str = "bounded") -> DataFrame:
     """(group..., feature, q...) with linear interpolation between order statistics.
 
-    Long form: unpivot, then one aggregation keyed by (group, feature), so a
-    very wide table spreads over many reducers.  ``exact`` uses ``percentile``
-    (partial aggregation of value counts); ``exact=False`` uses the bounded
-    ``percentile_approx`` sketch for groups too large to count values exactly.
+    Long form: unpivot, then aggregations keyed by (group, feature), so a very
+    wide table spreads over many reducers.
+
+    ``method='bounded'`` (default, exact): a GK sketch brackets every target
+    rank between the approximate quantiles at p -/+ 2/accuracy; a second pass
+    counts the values below each bracket and keeps only the values inside it
+    (about 4 n / accuracy per group), whose sorted order gives the exact order
+    statistics.  No task ever holds a whole group, however skewed the groups.
+    ``method='map'`` uses Spark's ``percentile`` (one pass; its value-count map
+    for a group is merged in one task, so use it for bounded groups only).
+    ``exact=False`` returns the sketch estimate itself.
+    With the default accuracy a group keeps at most max(1e5, 6n/1e5) values in
+    one task; raise ``accuracy`` for groups beyond ~1e10 values.
     """
     names = list(names or [f"q{int(round(p * 100)):02d}" for p in probs])
-    long = to_long(df, list(group_cols), features).where(F.col("value").isNotNull())
+    gc = list(group_cols)
+    long = to_long(df, gc, features).where(F.col("value").isNotNull())
     arr = F.array(*[F.lit(float(p)) for p in probs])
-    agg = F.percentile("value", arr) if exact else F.percentile_approx("value", arr, accuracy)
-    q = long.groupBy(*group_cols, "feature").agg(agg.alias("__q"))
-    return q.select(*group_cols, "feature", *[F.col("__q")[i].alias(n) for i, n in enumerate(names)])
-
-
-def describe(df: DataFrame, features: Sequence[str], exact: bool = True, accuracy: int = 10000) -> DataFrame:
+    if not exact:
+        q = long.groupBy(*gc, "feature").agg(F.percentile_approx("value", arr, accuracy).alias("__q"))
+        return q.select(*gc, "feature", *[F.col("__q")[i].alias(n) for i, n in enumerate(names)])
+    if method == "map":
+        q = long.groupBy(*gc, "feature").agg(F.percentile("value", arr).alias("__q"))
+        return q.select(*gc, "feature", *[F.col("__q")[i].alias(n) for i, n in enumerate(names)])
+    return _bounded_quantiles(long, gc, probs, names, accuracy)
+
+
+def _bounded_quantiles(long: DataFrame, gc: list[str], probs: Sequence[float], names: Sequence[str],
+                       accuracy: int) -> DataFrame:
+    keys = [*gc, "feature"]
+    # rank error of the sketch is n/accuracy; the interpolation needs the ranks
+    # floor((n-1)p)+1 and ceil((n-1)p)+1, within 2 of p*n.  Groups of at most
+    # ``accuracy`` values keep all of them; larger ones a +-3/accuracy bracket.
+    d = 3.0 / accuracy
+    brackets = []
+    for p in probs:
+        brackets += [max(0.0, p - d), min(1.0, p + d)]
+    sk = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"),
+                                 F.percentile_approx("value", brackets, accuracy).alias("__b"))
+    # one row per (group, feature): bounded by the number of groups x columns
+    j = long.join(F.broadcast(sk), on=keys, how="inner")
+    aggs = [F.first("__n").alias("__n")]
+    for i, p in enumerate(probs):
+        small = F.col("__n") <= F.lit(accuracy)
+        lo = F.when(small | (F.lit(p - d) <= 0), F.lit(float("-inf"))).otherwise(F.col("__b")[2 * i])
+        hi = F.when(small | (F.lit(p + d) >= 1), F.lit(float("inf"))).otherwise(F.col("__b")[2 * i + 1])
+        v = F.col("value")
+        aggs += [F.count(F.when(v < lo, F.lit(1))).alias(f"__c{i}"),
+                 F.array_sort(F.collect_list(F.when((v >= lo) & (v <= hi), v))).alias(f"__w{i}")]
+    g = j.groupBy(*keys).agg(*aggs)
+    outs = []
+    for i, p in enumerate(probs):
+        pos = (F.col("__n") - 1).cast("double") * F.lit(float(p))
+        lower, higher = F.floor(pos), F.ceil(pos)
+        w, c = F.col(f"__w{i}"), F.col(f"__c{i}")
+        v_lo = F.element_at(w, (lower - c + 1).cast("int"))
+        v_hi = F.element_at(w, (higher - c + 1).cast("int"))
+        val = F.when(lower == higher, v_lo).otherwise((higher - pos) * v_lo + (pos - lower) * v_hi)
+        outs.append(val.alias(names[i]))
+    return g.select(*gc, "feature", *outs)
+
+
+def describe(df: DataFrame, features: Sequence[str], exact: bool = True, accuracy: int = 100_000) -> DataFrame:
     """A1: count, mean, std, min, 25 %, 50 %, 75 %, max per feature (long form).
 
-    One pass: unpivot and a single aggregation keyed by feature, so moments and
-    order statistics share the scan and the shuffle.
+    Moments come from one aggregation over the unpivoted rows; quartiles from
+    :func:`quantiles` (exact, bounded memory per group).
     """
     long = to_long(df, [], features)
-    arr = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    q = F.percentile("value", arr) if exact else F.percentile_approx("value", arr, accuracy)
-    out = long.groupBy("feature").agg(
+    st = long.groupBy("feature").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), q.alias("__q"), F.max("value").alias("max"))
-    return out.select("feature", "count", "mean", "std", "min", F.col("__q")[0].alias("p25"),
-                      F.col("__q")[1].alias("p50"), F.col("__q")[2].alias("p75"), "max")
+        F.min("value").alias("min"), F.max("value").alias("max"))
+    q = quantiles(df, features, [0.25, 0.5, 0.75], names=["p25", "p50", "p75"], exact=exact, accuracy=accuracy)
+    # both sides have one row per feature
+    out = st.join(F.broadcast(q), "feature", "left")
+    return out.select("feature", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def correlation(df: DataFrame, features: Sequence[str], label: str, route: str = "auto") -> DataFrame:

@@ -47,3 +47,18 @@ def test_top_fraction(spark):
     df = spark.createDataFrame([(f"f{i}", float(i)) for i in range(10)] + [("n", None)], "feature string, value double")
     got = sorted(r.feature for r in profile.top_fraction(df, 0.9).collect())
     assert got == ["f9"]
+
+
+def test_bounded_quantiles_large_groups_exact(spark):
+    # groups larger than the accuracy exercise the sketch bracket
+    rng = np.random.default_rng(11)
+    vals = rng.exponential(3.0, 5000)
+    lab = (rng.random(5000) < 0.3).astype(int)
+    df = spark.createDataFrame([(float(v), int(l)) for v, l in zip(vals, lab)], "x double, label int").repartition(6)
+    got = {r.label: r for r in profile.quantiles(df, ["x"], [0.0, 0.1, 0.5, 0.77, 1.0], ["label"], accuracy=200).collect()}
+    for l in (0, 1):
+        ref = np.percentile(vals[lab == l], [0, 10, 50, 77, 100])
+        r = got[l]
+        assert [r.q00, r.q10, r.q50, r.q77, r.q100] == pytest.approx(list(ref), rel=1e-12)
+    m = {r.label: r for r in profile.quantiles(df, ["x"], [0.1, 0.5], ["label"], method="map").collect()}
+    assert m[0].q50 == pytest.approx(got[0].q50, rel=1e-12)
