@@ -120,7 +120,12 @@ def pr_curve(df: DataFrame, label: str = "label", score: str = "score",
 
 def roc_curve(df: DataFrame, label: str = "label", score: str = "score",
               group_cols: Sequence[str] = ()) -> DataFrame:
-    """(threshold, tpr, fpr, auc); auc by the trapezoid rule from (0, 0)."""
+    """ROC points (threshold, tpr, fpr) plus one area row per group.
+
+    Point rows have ``auc`` NULL; the area row (trapezoid rule from (0, 0))
+    has ``threshold``/``tpr``/``fpr`` NULL.  The area is a plain aggregate
+    unioned to the points: no join, no global window.
+    """
     gc = list(group_cols)
     c = cumulative_by_threshold(df, label, score, gc)
     tpr = _safe_div(F.col("tp").cast("double"), F.col("P"))
@@ -129,12 +134,11 @@ def roc_curve(df: DataFrame, label: str = "label", score: str = "score",
     prev_fpr = _safe_div((F.col("fp") - F.col("neg")).cast("double"), F.col("N"))
     pts = c.select(*gc, "threshold", tpr.alias("tpr"), fpr.alias("fpr"),
                    ((fpr - prev_fpr) * (tpr + prev_tpr) / 2).alias("__area"))
-    keys = gc or ["__all"]
-    if not gc:
-        pts = pts.withColumn("__all", F.lit(0))
-    area = pts.groupBy(*keys).agg(F.sum("__area").alias("auc"))
-    # one row per group: a bounded broadcast equi-join attaches the area
-    return pts.join(F.broadcast(area), on=keys, how="inner").drop("__area", "__all")
+    area = pts.groupBy(*gc).agg(F.sum("__area").alias("auc")).select(
+        *gc, F.lit(None).cast("double").alias("threshold"), F.lit(None).cast("double").alias("tpr"),
+        F.lit(None).cast("double").alias("fpr"), "auc")
+    points = pts.select(*gc, "threshold", "tpr", "fpr", F.lit(None).cast("double").alias("auc"))
+    return points.unionByName(area)
 
 
 # ---------------------------------------------------------------- pickers

@@ -23,12 +23,14 @@ KINDS = ("logistic", "forest", "svc", "knn", "mlp")
 
 
 def _spark_estimator(kind: str, n_rows: int, n_features: int, seed: int, params: dict):
+    """Spark ML estimator with the study's settings (tolerances as in the usual
+    single-machine defaults: 1e-4)."""
     common = dict(featuresCol="__fv", labelCol="__y")
     if kind == "logistic":
         c = params.get("C", 1.0)
         # sklearn's C penalises 1/(2C)|w|^2 against the summed loss; Spark averages the loss.
         return LogisticRegression(regParam=1.0 / (c * max(n_rows, 1)), elasticNetParam=0.0, standardization=False,
-                                  maxIter=params.get("max_iter", 100), **common)
+                                  maxIter=params.get("max_iter", 100), tol=params.get("tol", 1e-4), **common)
     if kind == "forest":
         return RandomForestClassifier(numTrees=params.get("n_trees", 100), maxDepth=params.get("max_depth", 30),
                                       featureSubsetStrategy=params.get("features", "sqrt"), seed=seed,
@@ -36,10 +38,11 @@ def _spark_estimator(kind: str, n_rows: int, n_features: int, seed: int, params:
     if kind == "svc":
         c = params.get("C", 1.0)
         return LinearSVC(regParam=1.0 / (c * max(n_rows, 1)), maxIter=params.get("max_iter", 1000),
-                         standardization=False, **common)
+                         tol=params.get("tol", 1e-4), standardization=False, **common)
     if kind == "mlp":
         return MultilayerPerceptronClassifier(layers=[n_features, params.get("hidden", 100), 2],
-                                              maxIter=params.get("max_iter", 200), seed=seed, **common)
+                                              maxIter=params.get("max_iter", 200), tol=params.get("tol", 1e-4),
+                                              seed=seed, **common)
     raise ValueError(kind)
 
 

@@ -384,8 +384,9 @@ _PTPR = "coalesce(CAST(tp - pos AS DOUBLE) / nullif(P, 0), 0.0)"
 _PFPR = "coalesce(CAST(fp - neg AS DOUBLE) / nullif(N, 0), 0.0)"
 SQL["roc_curve"] = f"""WITH {S_SCORED}, {cum_sql('l_extendedprice')},
 pts AS (SELECT threshold, {_TPR} AS tpr, {_FPR} AS fpr, ({_FPR} - {_PFPR}) * ({_TPR} + {_PTPR}) / 2 AS area FROM cum)
-SELECT {r('threshold')} AS threshold, {r('tpr')} AS tpr, {r('fpr')} AS fpr, {r('(SELECT sum(area) FROM pts)')} AS auc
-FROM pts"""
+SELECT {r('threshold')} AS threshold, {r('tpr')} AS tpr, {r('fpr')} AS fpr, CAST(NULL AS DOUBLE) AS auc FROM pts
+UNION ALL
+SELECT NULL, NULL, NULL, {r('sum(area)')} FROM pts"""
 
 SQL["evaluate_models"] = f"""WITH {SCORES}
 SELECT model, ordinal, {r('threshold')} AS threshold, {r('precision')} AS precision, {r('recall')} AS recall,
