@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
+from pyspark import StorageLevel
 from pyspark.ml import Estimator, Model
 from pyspark.ml.classification import (LinearSVC, LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
@@ -90,7 +91,13 @@ class Classifier(Estimator):
             train = data.select(*self.key, "__y",
                                 F.array(*[F.col(f).cast("double") for f in self.features]).alias("__vec"))
             return ClassifierModel("knn", self.features, train=train, key=self.key, k=self.opts.get("k", 5))
-        n = data.count() if self.kind in ("logistic", "svc") else 0
         va = VectorAssembler(inputCols=self.features, outputCol="__fv", handleInvalid="keep")
-        est = _spark_estimator(self.kind, n, len(self.features), self.seed, self.opts)
-        return ClassifierModel(self.kind, self.features, fitted=est.fit(va.transform(data)))
+        # only (vector, label) is kept for the iterations; released after the fit
+        train = va.transform(data).select("__fv", "__y").persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            n = train.count()
+            est = _spark_estimator(self.kind, n, len(self.features), self.seed, self.opts)
+            fitted = est.fit(train)
+        finally:
+            train.unpersist()
+        return ClassifierModel(self.kind, self.features, fitted=fitted)

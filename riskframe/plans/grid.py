@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 
 from riskframe.operators import clean, evaluate, resample, scale, select, splits
 from riskframe.operators.models import Classifier
+from riskframe.operators.profile import feature_stats
 from riskframe.session import cut_lineage
 
 # ---- step factories: (features) -> Estimator; resamplers: (df, key, label, features) -> df
@@ -109,6 +110,37 @@ def _fit_prefix_step(depth: int, cfg: Chain, df: DataFrame, feats: list[str], ke
     return m, m.transform(df), _features_after(m, feats)
 
 
+def fused_front(cfg: Chain, stats: dict, feats: list[str]):
+    """Drop -> mean impute -> min-max/standard scale fitted from one statistics pass
+    on the raw rows (imputing with the mean keeps min, max and mean, and scales the
+    population std by sqrt(count / rows)).  Returns fitted models and features, or
+    None when the chain's front cannot be fused."""
+    if not cfg.impute or cfg.scaler not in (None, "minmax", "standard"):
+        return None
+    models_, cur = [], list(feats)
+    if cfg.drop is not None:
+        kept = [f for f in cur if stats[f]["count"] >= stats[f]["rows"] * cfg.drop]
+        models_.append(clean.ColumnDropModel(kept=kept, dropped=[f for f in cur if f not in kept]))
+        cur = kept
+    fills = {f: float(stats[f]["mean"]) for f in cur if stats[f]["count"] > 0}
+    dropped = [f for f in cur if stats[f]["count"] == 0]
+    models_.append(clean.ImputerModel(fills=fills, dropped=dropped))
+    cur = [f for f in cur if f not in dropped]
+    if cfg.scaler == "minmax":
+        aff = {}
+        for f in cur:
+            lo, hi = stats[f]["min"], stats[f]["max"]
+            aff[f] = (lo, (hi - lo) if hi != lo else 1.0)
+        models_.append(scale.AffineModel(aff))
+    elif cfg.scaler == "standard":
+        aff = {}
+        for f in cur:
+            sd = (stats[f]["std_pop"] or 0.0) * (stats[f]["count"] / stats[f]["rows"]) ** 0.5
+            aff[f] = (stats[f]["mean"], sd if sd != 0 else 1.0)
+        models_.append(scale.AffineModel(aff))
+    return models_, cur
+
+
 def fit_chain(cfg: Chain, train: DataFrame, features: Sequence[str], key: Sequence[str],
               label: str = "label", seed: int = 42) -> FittedChain:
     """Fit every step on ``train`` (resampling only here)."""
@@ -148,10 +180,27 @@ def grid_search(df: DataFrame, configs: Sequence[Chain], features: Sequence[str]
         val = f.where(F.col("fold") == fold).drop("fold")
         cache: dict[tuple, tuple] = {(): ([], train, list(features))}
         held = []
+        # one statistics pass fits drop -> impute -> scale for every fusable chain
+        stats = None
+        for _, cfg in cfgs:
+            if cfg.prefix(3) in cache:
+                continue
+            if stats is None:
+                stats = {r.feature: r.asDict() for r in feature_stats(train, list(features)).collect()}
+            fused = fused_front(cfg, stats, list(features))
+            if fused is None:
+                continue
+            models_, feats3 = fused
+            d3 = train
+            for m in models_:
+                d3 = m.transform(d3)
+            d3 = d3.persist(StorageLevel.MEMORY_AND_DISK)
+            held.append(d3)
+            cache[cfg.prefix(3)] = (models_, d3, feats3)
         for _, cfg in cfgs:
             for depth in range(1, 6):
                 pre = cfg.prefix(depth)
-                if pre in cache:
+                if pre in cache or (depth < 3 and cfg.prefix(3) in cache):
                     continue
                 steps, d, feats = cache[cfg.prefix(depth - 1)]
                 m, d2, feats2 = _fit_prefix_step(depth - 1, cfg, d, feats, key, label)

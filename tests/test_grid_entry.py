@@ -33,3 +33,26 @@ def test_chain_resamples_only_at_fit(spark):
 def test_grid_configs():
     cfgs = grid.grid_configs({"scaler": ["minmax", "standard"], "model": ["logistic", "forest", "svc"]})
     assert len(cfgs) == 6 and cfgs[0].prefix(3) == (0.5, True, "minmax")
+
+
+def test_fused_front_equals_stepwise(spark):
+    import pytest
+    from riskframe.operators import profile
+    t = C.t1(spark, SF001)
+    feats = C.T1_FEATURES
+    stats = {r.feature: r.asDict() for r in profile.feature_stats(t, feats).collect()}
+    for scaler in ("minmax", "standard"):
+        cfg = grid.Chain(0.5, True, scaler, "all", "none", "logistic")
+        models_, fe = grid.fused_front(cfg, stats, list(feats))
+        a = t
+        for m in models_:
+            a = m.transform(a)
+        d, fs = t, list(feats)
+        for depth in range(3):
+            m, d, fs = grid._fit_prefix_step(depth, cfg, d, fs, C.T1_KEY, "label")
+        assert fe == fs
+        ra = {tuple(r[k] for k in C.T1_KEY): r for r in a.select(*C.T1_KEY, *fe).collect()}
+        rb = {tuple(r[k] for k in C.T1_KEY): r for r in d.select(*C.T1_KEY, *fs).collect()}
+        for k, r in ra.items():
+            for f in fe:
+                assert r[f] == pytest.approx(rb[k][f], rel=1e-9, abs=1e-12)
