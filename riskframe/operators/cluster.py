@@ -47,7 +47,7 @@ def _cluster_sum_kernel(lkey, cl, rcl, vec):
 
 
 def cluster_distance_sums(df: DataFrame, key: Sequence[str], cluster: str, vec: str = "vec",
-                          block_rows: int = 512) -> DataFrame:
+                          block_rows: int = 0) -> DataFrame:
     """(key..., own cluster, other cluster, sum of distances from the row to that cluster)."""
     key = list(key)
     types = dict((f.name, f.dataType.simpleString()) for f in df.schema.fields)

@@ -21,11 +21,18 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-DEFAULT_BLOCK_ROWS = 512
+DEFAULT_BLOCK_ROWS = 0   # 0: sized from the data
+MIN_BLOCK_ROWS, MAX_BLOCK_ROWS, TARGET_BLOCKS = 512, 100_000, 256
 
 
 def _n_blocks(df: DataFrame, block_rows: int) -> int:
-    return max(1, math.ceil(df.count() / block_rows))
+    """Blocks per side.  Replication (and shuffle) grows with the number of
+    blocks on the other side, memory with the block size: aim for at most
+    ~256 blocks of 512 to 100k rows."""
+    n = df.count()
+    if block_rows <= 0:
+        block_rows = min(MAX_BLOCK_ROWS, max(MIN_BLOCK_ROWS, math.ceil(n / TARGET_BLOCKS)))
+    return max(1, math.ceil(n / block_rows))
 
 
 def pairwise_blocks(left: DataFrame, right: DataFrame, left_key: Sequence[str], right_key: Sequence[str],

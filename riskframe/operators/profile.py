@@ -263,16 +263,23 @@ def correlation(df: DataFrame, features: Sequence[str], label: str, route: str =
     return st.select("feature", F.abs("corr").alias("value"))
 
 
-def top_fraction(scores: DataFrame, q: float = 0.9, value_col: str = "value") -> DataFrame:
-    """A4: rows whose score is at or above the q-quantile of the non-null scores.
+def flag_top_fraction(scores: DataFrame, q: float = 0.9, value_col: str = "value",
+                      flag_col: str = "top") -> DataFrame:
+    """Adds ``flag_col`` = 1 when the score is at or above the q-quantile of the
+    non-null scores (0 otherwise, NULL scores included).
 
     ``scores`` is a per-feature table (bounded by the column count), so the
     marker is a window aggregate over that whole small table: one job, no
     collect, no join.
     """
     w = Window.partitionBy(F.lit(1))
-    marked = scores.withColumn("__m", F.percentile(value_col, F.lit(q)).over(w))
-    return marked.where(F.col(value_col) >= F.col("__m")).drop("__m")
+    m = F.percentile(value_col, F.lit(q)).over(w)
+    return scores.withColumn(flag_col, F.coalesce((F.col(value_col) >= m).cast("int"), F.lit(0)))
+
+
+def top_fraction(scores: DataFrame, q: float = 0.9, value_col: str = "value") -> DataFrame:
+    """A4: rows whose score is at or above the q-quantile of the non-null scores."""
+    return flag_top_fraction(scores, q, value_col, "__top").where("__top = 1").drop("__top")
 
 
 def cohort_sizes(df: DataFrame, cohorts: dict[str, Column]) -> DataFrame:

@@ -104,9 +104,7 @@ def study_correlation(df: DataFrame, labellers: dict[str, Callable[[DataFrame],
         labelled = fn(df)
         feats = [f for f in features if f in labelled.columns]
         imputed = clean.MeanImputer(feats, keep_empty=True).fit(labelled).transform(labelled)
-        corr = profile.correlation(imputed, feats, "label")
-        top = profile.top_fraction(corr, q).select("feature", F.lit(1).alias("top"))
-        tagged = corr.join(top, "feature", "left").select(
-            F.lit(name).alias("labeller"), "feature", "value", F.coalesce("top", F.lit(0)).alias("top"))
+        corr = profile.flag_top_fraction(profile.correlation(imputed, feats, "label"), q)
+        tagged = corr.select(F.lit(name).alias("labeller"), "feature", "value", "top")
         parts.append(tagged)
     return reduce(lambda a, b: a.unionByName(b), parts)
