@@ -243,14 +243,12 @@ def medoids(df: DataFrame, key: Sequence[str], features: Sequence[str], k: int,
     size = sample_size or 40 + 2 * k
     n = df.count()
     frac = min(1.0, size / max(n, 1))
-    draws = []
-    for s in range(samples):
-        u = hash_unit(hash_key(seed, f"clara{s}", key))
-        draws.append(df.where(u < F.lit(frac * 1.5)).withColumn("__s", F.lit(s))
-                     .withColumn("__u", u))
-    pool = draws[0]
-    for d in draws[1:]:
-        pool = pool.unionByName(d)
+    # one scan: each row joins the samples whose hash draw it passes
+    draws = F.array(*[F.struct(F.lit(s).alias("s"), hash_unit(hash_key(seed, f"clara{s}", key)).alias("u"))
+                      for s in range(samples)])
+    pool = df.select("*", F.explode(F.filter(draws, lambda e: e["u"] < F.lit(frac * 1.5))).alias("__d")) \
+        .select("*", F.col("__d.s").alias("__s"), F.col("__d.u").alias("__u")).drop("__d")
+    # each sample keeps its first ``size`` rows in hash order (about 1.5 x size candidates per sample)
     w = Window.partitionBy("__s").orderBy("__u", *key)
     pool = pool.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= size)
     types = dict((f.name, f.dataType.simpleString()) for f in df.schema.fields)

@@ -207,7 +207,8 @@ def quantiles(df: DataFrame, features: Sequence[str], probs: Sequence[float],
 
 
 def _bounded_quantiles(long: DataFrame, gc: list[str], probs: Sequence[float], names: Sequence[str],
-                       accuracy: int) -> DataFrame:
+                       accuracy: int, extra: Sequence[Column] = ()) -> DataFrame:
+    """``extra`` aggregates (aliased) ride along in the sketch pass and are returned too."""
     keys = [*gc, "feature"]
     # rank error of the sketch is n/accuracy; the interpolation needs the ranks
     # floor((n-1)p)+1 and ceil((n-1)p)+1, within 2 of p*n.  Groups of at most
@@ -217,10 +218,11 @@ def _bounded_quantiles(long: DataFrame, gc: list[str], probs: Sequence[float], n
     for p in probs:
         brackets += [max(0.0, p - d), min(1.0, p + d)]
     sk = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"),
-                                 F.percentile_approx("value", brackets, accuracy).alias("__b"))
+                                 F.percentile_approx("value", brackets, accuracy).alias("__b"), *extra)
+    extra_names = [c for c in sk.columns if c not in (*keys, "__n", "__b")]
     # one row per (group, feature): bounded by the number of groups x columns
     j = long.join(F.broadcast(sk), on=keys, how="inner")
-    aggs = [F.first("__n").alias("__n")]
+    aggs = [F.first("__n").alias("__n"), *[F.first(c).alias(c) for c in extra_names]]
     for i, p in enumerate(probs):
         small = F.col("__n") <= F.lit(accuracy)
         lo = F.when(small | (F.lit(p - d) <= 0), F.lit(float("-inf"))).otherwise(F.col("__b")[2 * i])
@@ -238,23 +240,31 @@ def _bounded_quantiles(long: DataFrame, gc: list[str], probs: Sequence[float], n
         v_hi = F.element_at(w, (higher - c + 1).cast("int"))
         val = F.when(lower == higher, v_lo).otherwise((higher - pos) * v_lo + (pos - lower) * v_hi)
         outs.append(val.alias(names[i]))
-    return g.select(*gc, "feature", *outs)
+    return g.select(*gc, "feature", *extra_names, *outs)
 
 
 def describe(df: DataFrame, features: Sequence[str], exact: bool = True, accuracy: int = 100_000) -> DataFrame:
     """A1: count, mean, std, min, 25 %, 50 %, 75 %, max per feature (long form).
 
-    Moments come from one aggregation over the unpivoted rows; quartiles from
-    :func:`quantiles` (exact, bounded memory per group).
+    Unpivoted once; the moments ride along in the quantile sketch pass, so the
+    whole profile is two aggregations keyed by feature (exact, bounded memory).
     """
-    long = to_long(df, [], features)
-    st = long.groupBy("feature").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-        F.min("value").alias("min"), F.max("value").alias("max"))
-    q = quantiles(df, features, [0.25, 0.5, 0.75], names=["p25", "p50", "p75"], exact=exact, accuracy=accuracy)
-    # both sides have one row per feature
-    out = st.join(F.broadcast(q), "feature", "left")
-    return out.select("feature", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
+    long = to_long(df, [], features).where(F.col("value").isNotNull())
+    moments = [F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+               F.min("value").alias("min"), F.max("value").alias("max")]
+    probs, names = [0.25, 0.5, 0.75], ["p25", "p50", "p75"]
+    if exact:
+        out = _bounded_quantiles(long, [], probs, names, accuracy, moments)
+    else:
+        arr = F.array(*[F.lit(p) for p in probs])
+        out = long.groupBy("feature").agg(*moments, F.percentile_approx("value", arr, accuracy).alias("__q")) \
+            .select("feature", "count", "mean", "std", "min", "max",
+                    *[F.col("__q")[i].alias(n) for i, n in enumerate(names)])
+    # features whose every value is missing still get a row (count 0)
+    allf = df.sparkSession.createDataFrame([(f,) for f in features], "feature string")
+    out = allf.join(out, "feature", "left")
+    return out.select("feature", F.coalesce("count", F.lit(0)).cast("bigint").alias("count"), "mean", "std", "min",
+                      "p25", "p50", "p75", "max")
 
 
 def correlation(df: DataFrame, features: Sequence[str], label: str, route: str = "auto") -> DataFrame:
