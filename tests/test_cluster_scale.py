@@ -60,3 +60,15 @@ def test_scalers(spark):
     assert rb == pytest.approx([(1 - 2) / 1.5, 0.0, 2 / 1.5])
     nz = scale.normalize_rows(spark.createDataFrame([(3.0, 4.0), (0.0, 0.0)], "a double, b double"), ["a", "b"]).collect()
     assert (nz[0].a, nz[0].b, nz[1].a) == (0.6, 0.8, 0.0)
+
+
+@pytest.mark.parametrize("max_k", [1000, 7])
+def test_under_centroids_counts(spark, max_k):
+    rng = np.random.default_rng(9)
+    X = rng.normal(size=(120, 3))
+    y = [1 if i % 4 == 0 else 0 for i in range(120)]
+    df = spark.createDataFrame([(float(a), float(b), float(c), l) for (a, b, c), l in zip(X, y)],
+                               "a double, b double, c double, label int")
+    out = cluster.under_centroids(df, ["a", "b", "c"], "label", max_k=max_k)
+    counts = {r.label: r["count"] for r in out.groupBy("label").count().collect()}
+    assert counts == {1: 30, 0: 30}
