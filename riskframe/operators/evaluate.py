@@ -18,11 +18,14 @@ METRICS = ["precision", "recall", "f1", "accuracy", "auc_roc"]
 
 
 def confusion(df: DataFrame, label: str = "label", pred: str = "pred",
-              group_cols: Sequence[str] = ()) -> DataFrame:
-    """(group..., tn, fp, fn, tp) by conditional sums."""
+              group_cols: Sequence[str] = (), weight: str | None = None) -> DataFrame:
+    """(group..., tn, fp, fn, tp) by conditional sums (``weight``: rows per input row)."""
     y = F.col(label) == 1
     p = F.col(pred) == 1
-    cnt = lambda c: F.count(F.when(c, F.lit(1)))
+    if weight is None:
+        cnt = lambda c: F.count(F.when(c, F.lit(1)))
+    else:
+        cnt = lambda c: F.coalesce(F.sum(F.when(c, F.col(weight))), F.lit(0)).cast("bigint")
     return df.groupBy(*group_cols).agg(cnt(~y & ~p).alias("tn"), cnt(~y & p).alias("fp"),
                                        cnt(y & ~p).alias("fn"), cnt(y & p).alias("tp"))
 
@@ -54,9 +57,32 @@ def classification_metrics(df: DataFrame, label: str = "label", pred: str = "pre
 
 
 def evaluate_models(long_preds: DataFrame, model_cols: Sequence[str], label: str = "label",
-                    pred: str = "pred") -> DataFrame:
+                    pred: str = "pred", weight: str | None = None) -> DataFrame:
     """Every model's score row from one long prediction table."""
-    return classification_metrics(long_preds, label, pred, model_cols)
+    cm = confusion(long_preds, label, pred, model_cols, weight)
+    return cm.select(*model_cols, *metric_columns(), "tn", "fp", "fn", "tp")
+
+
+def threshold_grid(df: DataFrame, scorers: Sequence[tuple[str, Column]], thresholds: Sequence[float],
+                   label: str = "label", group_cols: Sequence[str] = ()) -> DataFrame:
+    """X5 for rule models ``score > threshold``: scores of every (scorer, threshold).
+
+    Rows are first reduced to a histogram (group..., model, score, label, n) in
+    one partially-aggregated pass; thresholds are expanded on that histogram,
+    so the input is never multiplied by the number of configs.  Ordinal of a
+    config = scorer index * 100 + threshold index.
+    """
+    gc = list(group_cols)
+    arr = F.array(*[F.struct(F.lit(n).alias("model"), F.lit(i).alias("__m"), c.cast("double").alias("score"))
+                    for i, (n, c) in enumerate(scorers)])
+    hist = df.select(*gc, F.col(label).alias("label"), F.explode(arr).alias("__s")) \
+        .groupBy(*gc, "__s.model", "__s.__m", "__s.score", "label").agg(F.count(F.lit(1)).alias("__w"))
+    cfg = F.array(*[F.struct(F.lit(j).alias("__t"), F.lit(float(t)).alias("threshold"))
+                    for j, t in enumerate(thresholds)])
+    h = hist.select("*", F.explode(cfg).alias("__c")).select(
+        *gc, "model", (F.col("__m") * 100 + F.col("__c.__t")).alias("ordinal"), "__c.threshold", "label", "__w",
+        F.coalesce(F.col("score") > F.col("__c.threshold"), F.lit(False)).cast("int").alias("pred"))
+    return evaluate_models(h, [*gc, "model", "ordinal", "threshold"], "label", "pred", "__w")
 
 
 # ---------------------------------------------------------------- curves

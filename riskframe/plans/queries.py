@@ -469,20 +469,9 @@ def t1_scored(spark, d):
         (F.coalesce(F.col("l_tax"), F.lit(0.0)) * 12.5).alias("s_tax"))
 
 
-def rule_grid(t: DataFrame, extra=()) -> DataFrame:
-    """Long predictions (model, ordinal, threshold, key, label, pred) of 27 rule configs."""
-    cfg = []
-    for m, (name, col) in enumerate(SCORERS):
-        for i, th in enumerate(GRID_THRESHOLDS):
-            cfg.append(F.struct(F.lit(name).alias("model"), F.lit(m * 100 + i).alias("ordinal"),
-                                F.lit(th).alias("threshold"), F.col(col).alias("score")))
-    return t.select(*C.T1_KEY, "label", *extra, F.explode(F.array(*cfg)).alias("c")).select(
-        *C.T1_KEY, "label", *extra, "c.model", "c.ordinal", "c.threshold",
-        (F.col("c.score") > F.col("c.threshold")).cast("int").alias("pred"))
-
-
 def grid_scores(spark, d):
-    return evaluate.evaluate_models(rule_grid(t1_scored(spark, d)), ["model", "ordinal", "threshold"])
+    t = t1_scored(spark, d)
+    return evaluate.threshold_grid(t, [(n, F.col(c)) for n, c in SCORERS], GRID_THRESHOLDS)
 
 
 @query("confusion_matrix")
@@ -550,7 +539,7 @@ def q_top_k_per_group(spark, d):
 def q_cv_summary(spark, d):
     """Mean / std / rank of fold f1 per config (10 stratified folds)."""
     t = splits.folds_stratified(t1_scored(spark, d), C.T1_KEY, "label", 10)
-    per_fold = evaluate.evaluate_models(rule_grid(t, extra=["fold"]), ["model", "ordinal", "fold"])
+    per_fold = evaluate.threshold_grid(t, [(n, F.col(c)) for n, c in SCORERS], GRID_THRESHOLDS, "label", ["fold"])
     return evaluate.cv_summary(per_fold, ["model", "ordinal"], ["f1", "precision"], "f1")
 
 
