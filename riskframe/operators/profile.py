@@ -254,25 +254,18 @@ def _bounded_quantiles(long: DataFrame, gc: list[str], probs: Sequence[float], n
 def describe(df: DataFrame, features: Sequence[str], exact: bool = True, accuracy: int = 100_000) -> DataFrame:
     """A1: count, mean, std, min, 25 %, 50 %, 75 %, max per feature (long form).
 
-    Unpivoted once; the moments ride along in the quantile sketch pass, so the
-    whole profile is two aggregations keyed by feature (exact, bounded memory).
+    Moments come from one codegen aggregation over the unpivoted rows (kept out
+    of the sketch pass on purpose: the sketch aggregate is not code-generated);
+    quartiles from :func:`quantiles` (exact, bounded memory per group).
     """
-    long = to_long(df, [], features).where(F.col("value").isNotNull())
-    moments = [F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
-               F.min("value").alias("min"), F.max("value").alias("max")]
-    probs, names = [0.25, 0.5, 0.75], ["p25", "p50", "p75"]
-    if exact:
-        out = _bounded_quantiles(long, [], probs, names, accuracy, moments)
-    else:
-        arr = F.array(*[F.lit(p) for p in probs])
-        out = long.groupBy("feature").agg(*moments, F.percentile_approx("value", arr, accuracy).alias("__q")) \
-            .select("feature", "count", "mean", "std", "min", "max",
-                    *[F.col("__q")[i].alias(n) for i, n in enumerate(names)])
-    # features whose every value is missing still get a row (count 0)
-    allf = df.sparkSession.createDataFrame([(f,) for f in features], "feature string")
-    out = allf.join(out, "feature", "left")
-    return out.select("feature", F.coalesce("count", F.lit(0)).cast("bigint").alias("count"), "mean", "std", "min",
-                      "p25", "p50", "p75", "max")
+    long = to_long(df, [], features)
+    st = long.groupBy("feature").agg(
+        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+        F.min("value").alias("min"), F.max("value").alias("max"))
+    q = quantiles(df, features, [0.25, 0.5, 0.75], names=["p25", "p50", "p75"], exact=exact, accuracy=accuracy)
+    # both sides have one row per feature
+    out = st.join(F.broadcast(q), "feature", "left")
+    return out.select("feature", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
 def correlation(df: DataFrame, features: Sequence[str], label: str, route: str = "auto") -> DataFrame:
