@@ -19,7 +19,6 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 DEFAULT_BLOCK_ROWS = 0   # 0: sized from the data
 MIN_BLOCK_ROWS, MAX_BLOCK_ROWS, TARGET_BLOCKS = 512, 100_000, 256
@@ -142,4 +141,4 @@ def vec_from_columns(df: DataFrame, features: Sequence[str], vec: str = "vec") -
     return df.withColumn(vec, F.array(*[F.col(f).cast("double") for f in features]))
 
 
-__all__ = ["pairwise_blocks", "knn_join", "knn_classify", "distances", "vec_from_columns", "T"]
+__all__ = ["pairwise_blocks", "knn_join", "knn_classify", "distances", "vec_from_columns"]

@@ -284,8 +284,8 @@ def q_label_cause_of_death(spark, d):
 
 @query("label_mean_threshold")
 def q_label_mean_threshold(spark, d):
-    """Ship years 1995-1996, complete rows, label = mean(qty, 10*disc*100/10...) >= 25,
-    then IQR outlier removal within each class."""
+    """Ship years 1995-1996, complete rows, label = mean(quantity, discount %, tax %) >= 12,
+    two features kept, then IQR outlier removal within each class."""
     t = C.t1(spark, d, extra=True).drop("label").withColumn("disc_pct", F.col("l_discount") * 100) \
         .withColumn("tax_pct", F.col("l_tax") * 100)
     return labels.label_mean_threshold(t, C.T1_KEY, [1995, 1996], "ship_year",
