@@ -274,8 +274,33 @@ def correlation(df: DataFrame, features: Sequence[str], label: str, route: str =
     return st.select("feature", F.abs("corr").alias("value"))
 
 
+def correlation_mean_imputed(df: DataFrame, features: Sequence[str], label: str,
+                             group_cols: Sequence[str] = ()) -> DataFrame:
+    """|corr(x', label)| where x' is x with NULLs filled by the mean of x (per group),
+    computed without imputing: filled rows add nothing to the centred sums, so
+
+        corr = cov_present(x, y) sqrt(n_p - 1) / (sd_present(x) sd_all(y) sqrt(N - 1))
+
+    from stable aggregates in one pass.  NULL when undefined (as for imputed
+    constant columns).  Output (group..., feature, value).
+    """
+    gc = list(group_cols)
+    y = F.col(label).cast("double")
+    aggs = [F.count(F.lit(1)).alias("__N"), F.stddev_samp(y).alias("__sdy")]
+    for i, f in enumerate(features):
+        x = F.col(f).cast("double")
+        aggs += [F.count(x).alias(f"__n{i}"), F.covar_samp(x, y).alias(f"__c{i}"), F.stddev_samp(x).alias(f"__s{i}")]
+    g = df.groupBy(*gc).agg(*aggs)
+    structs = []
+    for i, f in enumerate(features):
+        den = F.nullif(F.col(f"__s{i}") * F.col("__sdy") * F.sqrt(F.col("__N") - 1), F.lit(0.0))
+        v = F.col(f"__c{i}") * F.sqrt(F.col(f"__n{i}") - 1) / den
+        structs.append(F.struct(F.lit(f).alias("feature"), F.abs(v).alias("value")))
+    return g.select(*gc, F.explode(F.array(*structs)).alias("__e")).select(*gc, "__e.feature", "__e.value")
+
+
 def flag_top_fraction(scores: DataFrame, q: float = 0.9, value_col: str = "value",
-                      flag_col: str = "top") -> DataFrame:
+                      flag_col: str = "top", group_cols: Sequence[str] = ()) -> DataFrame:
     """Adds ``flag_col`` = 1 when the score is at or above the q-quantile of the
     non-null scores (0 otherwise, NULL scores included).
 
@@ -283,7 +308,7 @@ def flag_top_fraction(scores: DataFrame, q: float = 0.9, value_col: str = "value
     marker is a window aggregate over that whole small table: one job, no
     collect, no join.
     """
-    w = Window.partitionBy(F.lit(1))
+    w = Window.partitionBy(*group_cols) if group_cols else Window.partitionBy(F.lit(1))
     m = F.percentile(value_col, F.lit(q)).over(w)
     return scores.withColumn(flag_col, F.coalesce((F.col(value_col) >= m).cast("int"), F.lit(0)))
 

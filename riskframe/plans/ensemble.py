@@ -93,18 +93,25 @@ def risk_ensemble(df: DataFrame, key: Sequence[str], labellers: Sequence[Labelle
     return evaluate.risk_table(scored, "score", "risk", ["risk_name"])
 
 
-def study_correlation(df: DataFrame, labellers: dict[str, Callable[[DataFrame], DataFrame]],
+def study_correlation(df: DataFrame, labellers: dict[str, Column | tuple[Column, Column]],
                       features: Sequence[str], q: float = 0.9) -> DataFrame:
     """Per labeller: label -> mean impute (empty kept as 0) -> |corr| -> top-decile flag.
 
+    ``labellers`` maps a name to a label expression, or to (label, cohort).
+    All labellers are scored in one pass: each row is emitted once per labeller
+    whose cohort it belongs to, and the correlation after mean imputation is
+    derived from one grouped aggregation (no imputation pass).  The top-decile
+    window runs per labeller over its per-feature table (bounded).
     Output (labeller, feature, value, top).
     """
-    parts = []
-    for name, fn in labellers.items():
-        labelled = fn(df)
-        feats = [f for f in features if f in labelled.columns]
-        imputed = clean.MeanImputer(feats, keep_empty=True).fit(labelled).transform(labelled)
-        corr = profile.flag_top_fraction(profile.correlation(imputed, feats, "label"), q)
-        tagged = corr.select(F.lit(name).alias("labeller"), "feature", "value", "top")
-        parts.append(tagged)
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    entries = []
+    for name, spec in labellers.items():
+        lab, cohort = spec if isinstance(spec, tuple) else (spec, None)
+        entries.append(F.struct(F.lit(name).alias("labeller"),
+                                (cohort if cohort is not None else F.lit(True)).alias("inc"),
+                                lab.cast("int").alias("y")))
+    rows = df.select(*features, F.explode(F.array(*entries)).alias("__e")) \
+        .where(F.coalesce(F.col("__e.inc"), F.lit(False))) \
+        .select(F.col("__e.labeller").alias("labeller"), F.col("__e.y").alias("label"), *features)
+    corr = profile.correlation_mean_imputed(rows, list(features), "label", ["labeller"])
+    return profile.flag_top_fraction(corr, q, group_cols=["labeller"]).select("labeller", "feature", "value", "top")

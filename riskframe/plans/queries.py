@@ -592,9 +592,8 @@ def q_study_correlation(spark, d):
     """Two labellers on T1 -> mean impute -> |corr| -> top-decile flag."""
     t = C.t1(spark, d, extra=True).drop("label")
     labellers = {
-        "returned_open": lambda df: df.withColumn(
-            "label", R.all_of([Rule("l_returnflag", "==", "R"), Rule("l_linestatus", "==", "O")]).cast("int")),
-        "flags_gt1": lambda df: labels.label_flag_threshold(df, T1_FLAGS, 1),
+        "returned_open": R.all_of([Rule("l_returnflag", "==", "R"), Rule("l_linestatus", "==", "O")]),
+        "flags_gt1": R.flag_count(T1_FLAGS) > 1,
     }
     feats = [*C.T1_FEATURES, "ship_year"]
     return ensemble.study_correlation(t, labellers, feats)

@@ -62,3 +62,22 @@ def test_bounded_quantiles_large_groups_exact(spark):
         assert [r.q00, r.q10, r.q50, r.q77, r.q100] == pytest.approx(list(ref), rel=1e-12)
     m = {r.label: r for r in profile.quantiles(df, ["x"], [0.1, 0.5], ["label"], method="map").collect()}
     assert m[0].q50 == pytest.approx(got[0].q50, rel=1e-12)
+
+
+def test_correlation_mean_imputed_equals_impute_then_corr(spark):
+    from riskframe.operators import clean
+    rng = np.random.default_rng(21)
+    n = 300
+    rows = []
+    for i in range(n):
+        a = None if rng.random() < 0.3 else float(rng.normal(1000, 50))
+        b = None if rng.random() < 0.5 else float(rng.normal(0, 1))
+        rows.append((a, b, 5.0 if i % 2 else None, None, int(rng.random() < 0.4)))
+    df = spark.createDataFrame(rows, "a double, b double, c double, e double, label int")
+    feats = ["a", "b", "c", "e"]
+    fast = {r.feature: r.value for r in profile.correlation_mean_imputed(df, feats, "label").collect()}
+    imp = clean.MeanImputer(feats, keep_empty=True).fit(df).transform(df)
+    slow = {r.feature: r.value for r in profile.correlation(imp, feats, "label", route="narrow").collect()}
+    for f in ("a", "b"):
+        assert fast[f] == pytest.approx(slow[f], rel=1e-10)
+    assert fast["c"] is None and slow["c"] is None and fast["e"] is None and slow["e"] is None
