@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import prepare, read
+from .exact_dedup import exact_dedup
+from .mixing import mix_sources
 from .substring_dedup import remove_repeats
 
 
@@ -16,8 +18,67 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as one batch of a new digest index."""
+    out = exact_dedup(read(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept",
+                      F.lower(F.hex("digest")).alias("text_sha256"))
+
+
+def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """150 % of all words, weights 5, 2, 1 over the sources, at most twice a source's words."""
+    out = mix_sources(read(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op5_exact_dedup": op5_exact_dedup,
+    "op8_mixing": op8_mixing,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op5_exact_dedup": r"""
+WITH d AS (
+  SELECT doc_id, length(coalesce(text, '')) AS chars,
+         sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
+  FROM documents),
+k AS (
+  SELECT *, count(*) OVER (PARTITION BY text_sha256) AS group_size,
+         first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id NULLS LAST) AS keep_id
+  FROM d)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k""",
+    "op8_mixing": r"""
+WITH d AS (
+  SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS source_key,
+         len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         md5(coalesce(CAST(doc_id AS VARCHAR), text, '')) AS hash
+  FROM documents),
+s AS (
+  SELECT source_key, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source_key),
+w AS (
+  SELECT *, CASE (row_number() OVER (ORDER BY source_key) - 1) % 3 WHEN 0 THEN 5 WHEN 1 THEN 2 ELSE 1 END AS weight
+  FROM s),
+f AS (
+  SELECT *, row_number() OVER o AS place,
+         sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS above,
+         coalesce(sum(source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS size_below,
+         sum(source_size) OVER () AS total
+  FROM w WINDOW o AS (ORDER BY CAST(source_size AS DOUBLE) / weight, source_key)),
+l AS (
+  SELECT *, (1.5::DOUBLE * total::DOUBLE - 2.0::DOUBLE * size_below::DOUBLE) / above::DOUBLE AS at_place FROM f),
+v AS (
+  SELECT arg_min(at_place, place) AS level FROM l WHERE at_place * weight <= 2.0::DOUBLE * source_size),
+t AS (
+  SELECT source_key, source_size, least(2.0::DOUBLE * source_size, v.level * weight) AS target,
+         CAST('0x' || substr(md5('mix' || source_key), 1, 8) AS BIGINT)::DOUBLE / 4294967296.0::DOUBLE AS start
+  FROM l, v),
+r AS (
+  SELECT d.*, t.source_size, t.target, t.start,
+         CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0.0::DOUBLE END AS rate,
+         row_number() OVER (PARTITION BY d.source_key ORDER BY size, hash, doc_id) AS place
+  FROM d JOIN t USING (source_key))
+SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
+       CAST(least(floor(place * rate + start) - floor((place - 1) * rate + start), ceil(rate)) * size AS BIGINT) AS taken
+FROM r""",
+}
