@@ -187,3 +187,15 @@ def group_starts(*keys: np.ndarray) -> np.ndarray:
 def group_sizes(starts: np.ndarray, n: int) -> np.ndarray:
     """Sizes of the groups that begin at ``starts`` in an array of length ``n``."""
     return np.diff(np.append(starts, n)) if len(starts) else np.zeros(0, np.int64)
+
+
+def row_slices(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cut a batch into runs of rows of about ``limit`` text bytes (one row at least)."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    total = np.cumsum(sizes)
+    at = 0
+    while at < batch.num_rows:
+        upto = int(np.searchsorted(total, (total[at - 1] if at else 0) + limit, side="right"))
+        upto = max(at + 1, upto)
+        yield batch.slice(at, upto - at)
+        at = upto

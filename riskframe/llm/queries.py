@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from .common import prepare, read
 from .exact_dedup import exact_dedup
+from .jaccard_join import jaccard_join
 from .mixing import mix_sources
 from .substring_dedup import remove_repeats
 
@@ -18,6 +19,12 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """3-word shingle sets of all documents, Jaccard 0.9 or more; components of the links."""
+    out = jaccard_join(read(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id")
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as one batch of a new digest index."""
     out = exact_dedup(read(spark, sf_dir, "documents"))
@@ -33,6 +40,7 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
+    "op3_jaccard_join": op3_jaccard_join,
     "op5_exact_dedup": op5_exact_dedup,
     "op8_mixing": op8_mixing,
 }
