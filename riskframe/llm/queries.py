@@ -12,6 +12,7 @@ from .mixing import mix_sources
 from .packing import pack
 from .substring_dedup import remove_repeats
 from .topk_search import top_k
+from .warc import round_trip
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +55,13 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written to archives, normalised, and read back record by record."""
+    prepare(spark)
+    out = round_trip(read(spark, sf_dir, "pages"))
+    return out.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """150 % of all words, weights 5, 2, 1 over the sources, at most twice a source's words."""
     out = mix_sources(read(spark, sf_dir, "documents"))
@@ -66,6 +74,7 @@ QUERIES = {
     "op3_jaccard_join": op3_jaccard_join,
     "op4_topk_search": op4_topk_search,
     "op5_exact_dedup": op5_exact_dedup,
+    "op7_warc": op7_warc,
     "op8_mixing": op8_mixing,
 }
 
