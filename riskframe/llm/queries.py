@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .common import prepare, read
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_join
+from .language_id import fit, held_out, predict
 from .mixing import mix_sources
 from .packing import pack
 from .substring_dedup import remove_repeats
@@ -68,6 +69,15 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from three quarters of the documents, predicted for all."""
+    prepare(spark)
+    docs = read(spark, sf_dir, "documents")
+    model = fit(docs, F.col("doc_id").isNotNull() & ~held_out())
+    return predict(docs.select("doc_id", "text", held_out().alias("held_out")), model).select(
+        "doc_id", "held_out", "lang_pred", "score")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_packing": op2_packing,
@@ -76,6 +86,7 @@ QUERIES = {
     "op5_exact_dedup": op5_exact_dedup,
     "op7_warc": op7_warc,
     "op8_mixing": op8_mixing,
+    "op9_language_id": op9_language_id,
 }
 
 SQL: dict[str, str] = {
