@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import quality
 from .common import prepare, read
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_join
@@ -78,6 +79,15 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "held_out", "lang_pred", "score")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learned from two thirds of the labels, scored for all documents."""
+    prepare(spark)
+    docs, kept = read(spark, sf_dir, "documents"), held_out(parts=3, part=1)
+    model = quality.fit(docs, read(spark, sf_dir, "labels"), F.col("doc_id").isNotNull() & ~kept)
+    return quality.score(docs.select("doc_id", "text", kept.alias("held_out")), model).select(
+        "doc_id", "held_out", "score", "predicted")
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_packing": op2_packing,
@@ -87,6 +97,7 @@ QUERIES = {
     "op7_warc": op7_warc,
     "op8_mixing": op8_mixing,
     "op9_language_id": op9_language_id,
+    "op10_quality": op10_quality,
 }
 
 SQL: dict[str, str] = {
