@@ -106,8 +106,8 @@ def _dropped(notes: pa.Table) -> np.ndarray:
 
 
 def _shift(buckets: int) -> int:
-    """Low bits of a shingle hash that frequency counting leaves out: 40 bits remain within a bucket."""
-    return max(0, 64 - 40 - (buckets - 1).bit_length())
+    """Low bits of a shingle hash that frequency counting leaves out: offsets in a bucket then fit 40 bits."""
+    return max(0, 64 - 39 - (buckets.bit_length() - 1))
 
 
 def _planes(keys: np.ndarray, counts: np.ndarray, base: int, shift: int) -> bytes:
