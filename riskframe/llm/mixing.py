@@ -63,7 +63,8 @@ def targets(sources: DataFrame, share: float, most: float, weights: tuple[int, .
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
                 weights: tuple[int, ...] = WEIGHTS, share: float = 1.5, most: float = 2.0, seed: str = "mix",
                 keep: tuple[str, ...] = (), cell_rows: int = CELL_ROWS) -> DataFrame:
-    """id, size, source_size, target, copies and taken words for every row; ``keep`` names columns to carry."""
+    """id, size, source_size, target, copies and taken words for every row; ``keep`` names columns to carry in a
+    struct ``kept``, so their names cannot clash."""
     text, source = F.col(f"`{text_col}`"), F.col(f"`{source_col}`")
     name = F.coalesce(F.col(f"`{id_col}`").cast("string"), text, F.lit(""))
     rows = written(docs.select(
@@ -94,6 +95,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     crossed = (F.floor(F.col("rank") * F.col("rate") + F.col("offset"))
                - F.floor((F.col("rank") - 1) * F.col("rate") + F.col("offset")))
     copies = F.least(crossed, F.ceil("rate"))
-    return placed.select("id", "size", "source_size", "target", copies.alias("copies"),
-                         (copies * F.col("size")).alias("taken"),
-                         *[F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)])
+    own = ["id", "size", "source_size", "target"]
+    return placed.select(*own, copies.alias("copies"), (copies * F.col("size")).alias("taken"),
+                         *([F.struct(*[F.col(f"kept_{i}").alias(c) for i, c in enumerate(keep)]).alias("kept")]
+                           if keep else []))
