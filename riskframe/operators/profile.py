@@ -21,11 +21,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Aggregation-buffer fields per feature and statistic (count: 1, avg: sum+count,
-# central moments: n+avg+m2, correlation: covariance + two deviations).  One
+# central moments: n+avg+m2 and the extremes, correlation: covariance, two
+# deviations, four extremes).  One
 # ``agg`` stays inside whole-stage codegen up to spark.sql.codegen.maxFields
 # (100); beyond that the moment route is faster (measured: 8 features, all
 # statistics, 600k rows: 6.5 s vs 1.7 s; 100 features x 2k rows: 30 s vs 4.5 s).
-BUFFER_FIELDS = {"count": 1, "mean": 2, "std": 3, "std_pop": 3, "min": 1, "max": 1, "corr": 10}
+BUFFER_FIELDS = {"count": 1, "mean": 2, "std": 5, "std_pop": 5, "min": 1, "max": 1, "corr": 14}
 MAX_CODEGEN_FIELDS = 90
 
 STATS_SCHEMA = ("feature string, rows bigint, count bigint, mean double, std double, "
@@ -42,18 +43,25 @@ def to_long(df: DataFrame, key: Sequence[str], features: Sequence[str],
 def _guarded_corr(x: Column, y: Column) -> Column:
     """Pearson over pairwise-complete rows; NULL for constant/empty input.
 
-    ``corr`` raises DIVIDE_BY_ZERO for a constant column under ANSI mode, so
-    the ratio is built from covariance and guarded standard deviations.
+    A column is constant when its minimum is its maximum: rounding can leave a
+    tiny deviation on a constant column, so a zero test of the deviation is
+    not enough.
     """
     xm = F.when(y.isNotNull(), x)
     ym = F.when(x.isNotNull(), y)
+    varies = (F.min(xm) < F.max(xm)) & (F.min(ym) < F.max(ym))
     den = F.nullif(F.stddev_samp(xm) * F.stddev_samp(ym), F.lit(0.0))
-    return F.covar_samp(xm, ym) / den
+    return F.when(varies, F.covar_samp(xm, ym) / den)
+
+
+def _exact_zero(deviation, x: Column) -> Column:
+    """The deviation, exactly 0 for a constant column (NULL stays NULL)."""
+    return F.when(F.min(x) < F.max(x), deviation(x)).when(deviation(x).isNotNull(), F.lit(0.0))
 
 
 ALL_STATS = ("count", "mean", "std", "std_pop", "min", "max", "corr")
-_AGG = {"count": lambda x: F.count(x), "mean": lambda x: F.avg(x), "std": lambda x: F.stddev_samp(x),
-        "std_pop": lambda x: F.stddev_pop(x), "min": lambda x: F.min(x), "max": lambda x: F.max(x)}
+_AGG = {"count": lambda x: F.count(x), "mean": lambda x: F.avg(x), "std": lambda x: _exact_zero(F.stddev_samp, x),
+        "std_pop": lambda x: _exact_zero(F.stddev_pop, x), "min": lambda x: F.min(x), "max": lambda x: F.max(x)}
 
 
 def _narrow_stats(df: DataFrame, features: Sequence[str], label: str | None,
@@ -79,78 +87,105 @@ def _narrow_stats(df: DataFrame, features: Sequence[str], label: str | None,
     return one.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
 
 
-_MOMENTS_SCHEMA = ("feature string, rows bigint, n bigint, s double, m2 double, mn double, mx double, "
-                   "np bigint, sx double, sy double, mxx double, myy double, mxy double")
+_MOMENTS = ("feature string, rows bigint, n bigint, s double, m2 double, mn double, mx double, "
+            "np bigint, sx double, sy double, mxx double, myy double, mxy double, pmn double, pmx double, "
+            "ymn double, ymx double, ny bigint, say double, mayy double, aymn double, aymx double")
+
 
+def _sums(X: np.ndarray, mask: np.ndarray):
+    """Count, sum, centred sum of squares, minimum and maximum of each column's masked cells."""
+    n, s = mask.sum(axis=0), np.where(mask, X, 0.0).sum(axis=0)
+    d = np.where(mask, X - s / np.maximum(n, 1), 0.0)
+    lo = np.where(n > 0, np.where(mask, X, np.inf).min(axis=0), np.nan)
+    hi = np.where(n > 0, np.where(mask, X, -np.inf).max(axis=0), np.nan)
+    return n.astype("int64"), s, d, lo, hi
 
-def _batch_moments(features: Sequence[str], label: str | None):
+
+def _batch_moments(features: Sequence[str], label: str | None, group_cols: Sequence[str] = ()):
     feats = list(features)
 
+    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+        X = pdf[feats].to_numpy(dtype="float64", na_value=np.nan)
+        mask = ~np.isnan(X)
+        n, s, d, mn, mx = _sums(X, mask)
+        out = {"feature": feats, "rows": np.full(len(feats), len(pdf), dtype="int64"),
+               "n": n, "s": s, "m2": (d * d).sum(axis=0), "mn": mn, "mx": mx}
+        y = (pdf[label] if label is not None else pd.Series(np.nan, pdf.index)).to_numpy(dtype="float64", na_value=np.nan)
+        Y = np.broadcast_to(y[:, None], X.shape)
+        pair = mask & ~np.isnan(Y)
+        npair, sx, dx, pmn, pmx = _sums(X, pair)
+        _, sy, dy, ymn, ymx = _sums(Y, pair)
+        ny, say, day, aymn, aymx = (np.broadcast_to(v, v.shape[:-1] + (len(feats),))
+                                    for v in _sums(y[:, None], ~np.isnan(y)[:, None]))
+        out |= {"np": npair, "sx": sx, "sy": sy, "mxx": (dx * dx).sum(axis=0), "myy": (dy * dy).sum(axis=0),
+                "mxy": (dx * dy).sum(axis=0), "pmn": pmn, "pmx": pmx, "ymn": ymn, "ymx": ymx,
+                "ny": ny, "say": say, "mayy": (day * day).sum(axis=0), "aymn": aymn, "aymx": aymx}
+        return pd.DataFrame(out)
+
     def fn(batches):
         for pdf in batches:
-            if len(pdf) == 0:
+            if not len(pdf):
                 continue
-            X = pdf[feats].to_numpy(dtype="float64", na_value=np.nan)
-            mask = ~np.isnan(X)
-            n = mask.sum(axis=0)
-            s = np.where(mask, X, 0.0).sum(axis=0)
-            with np.errstate(invalid="ignore", divide="ignore"):
-                mean = np.where(n > 0, s / np.maximum(n, 1), 0.0)
-                m2 = np.where(mask, (X - mean) ** 2, 0.0).sum(axis=0)
-                mn = np.where(n > 0, np.where(mask, X, np.inf).min(axis=0), np.nan)
-                mx = np.where(n > 0, np.where(mask, X, -np.inf).max(axis=0), np.nan)
-            if label is not None:
-                y = pdf[label].to_numpy(dtype="float64", na_value=np.nan)
-                pm = mask & ~np.isnan(y)[:, None]
-                npair = pm.sum(axis=0)
-                Y = np.broadcast_to(y[:, None], X.shape)
-                sx = np.where(pm, X, 0.0).sum(axis=0)
-                sy = np.where(pm, Y, 0.0).sum(axis=0)
-                d = np.maximum(npair, 1)
-                mxp, myp = sx / d, sy / d
-                dx = np.where(pm, X - mxp, 0.0)
-                dy = np.where(pm, Y - myp, 0.0)
-                mxx, myy, mxy = (dx * dx).sum(axis=0), (dy * dy).sum(axis=0), (dx * dy).sum(axis=0)
-            else:
-                npair = np.zeros(len(feats), dtype="int64")
-                sx = sy = mxx = myy = mxy = np.zeros(len(feats))
-            yield pd.DataFrame({
-                "feature": feats, "rows": np.full(len(feats), len(pdf), dtype="int64"),
-                "n": n.astype("int64"), "s": s, "m2": m2, "mn": mn, "mx": mx,
-                "np": npair.astype("int64"), "sx": sx, "sy": sy, "mxx": mxx, "myy": myy, "mxy": mxy})
+            if not group_cols:
+                yield one(pdf)
+                continue
+            for key, part in pdf.groupby(list(group_cols), dropna=False, sort=False):
+                table = one(part)
+                for c, v in zip(group_cols, key):
+                    table[c] = v
+                yield table
     return fn
 
 
-def _wide_stats(df: DataFrame, features: Sequence[str], label: str | None) -> DataFrame:
-    """Merge per-batch centred moments: M2 = sum(m2_b) + sum(n_b*mean_b^2) - N*mean^2."""
+def _merged_moments(df: DataFrame, features: Sequence[str], label: str | None,
+                    group_cols: Sequence[str] = ()) -> DataFrame:
+    """Moments per (group, feature) from per-batch centred moments.
+
+    Every batch is re-centred on the merged mean,
+    M2 = sum(m2_b + n_b (mean_b - mean)^2), which stays exact for a large
+    common offset (merging raw sums of squares would cancel).  The merged mean
+    and the sums use the same shuffle by (group, feature).
+    """
+    gc = list(group_cols)
     cols = [F.col(f).cast("double").alias(f) for f in features]
     if label is not None:
         cols.append(F.col(label).cast("double").alias(label))
-    parts = df.select(*cols).mapInPandas(_batch_moments(features, label), _MOMENTS_SCHEMA)
-    mean_b = F.col("s") / F.col("n")
-    g = parts.groupBy("feature").agg(
-        F.sum("rows").alias("rows"), F.sum("n").alias("N"), F.sum("s").alias("S"),
-        F.sum(F.col("m2") + F.when(F.col("n") > 0, F.col("n") * mean_b * mean_b).otherwise(0.0)).alias("Q"),
-        F.min(F.when(F.col("n") > 0, F.col("mn"))).alias("min"),
-        F.max(F.when(F.col("n") > 0, F.col("mx"))).alias("max"),
-        F.sum("np").alias("NP"), F.sum("sx").alias("SX"), F.sum("sy").alias("SY"),
-        F.sum(F.col("mxx") + F.when(F.col("np") > 0, F.col("sx") * F.col("sx") / F.col("np")).otherwise(0.0)).alias("QX"),
-        F.sum(F.col("myy") + F.when(F.col("np") > 0, F.col("sy") * F.col("sy") / F.col("np")).otherwise(0.0)).alias("QY"),
-        F.sum(F.col("mxy") + F.when(F.col("np") > 0, F.col("sx") * F.col("sy") / F.col("np")).otherwise(0.0)).alias("QXY"),
-    )
-    N, NP = F.col("N"), F.col("NP")
-    m2 = F.greatest(F.col("Q") - F.col("S") * F.col("S") / N, F.lit(0.0))
-    mxx = F.greatest(F.col("QX") - F.col("SX") * F.col("SX") / NP, F.lit(0.0))
-    myy = F.greatest(F.col("QY") - F.col("SY") * F.col("SY") / NP, F.lit(0.0))
-    mxy = F.col("QXY") - F.col("SX") * F.col("SY") / NP
-    den = F.nullif(F.sqrt(mxx) * F.sqrt(myy), F.lit(0.0))
-    corr = F.when(NP > 1, mxy / den) if label is not None else F.lit(None).cast("double")
+    source = df.select(*gc, *cols)
+    kinds = "".join(f", {c} {source.schema[c].dataType.simpleString()}" for c in gc)
+    parts = source.mapInPandas(_batch_moments(features, label, gc), _MOMENTS + kinds)
+    w = Window.partitionBy(*gc, "feature")
+
+    def centre(total, count):
+        return F.sum(total).over(w) / F.nullif(F.sum(count).over(w), F.lit(0))
+    parts = (parts.withColumn("__m", centre("s", "n")).withColumn("__px", centre("sx", "np"))
+             .withColumn("__py", centre("sy", "np")).withColumn("__ay", centre("say", "ny")))
+
+    def moved(m2, n, a, ma, b, mb):
+        off = lambda t, m: F.col(t) / F.col(n) - F.col(m)
+        return F.sum(F.when(F.col(n) > 0, F.col(m2) + F.col(n) * off(a, ma) * off(b, mb)).otherwise(0.0))
+    extreme = lambda f, c: f(F.when(~F.isnan(c), F.col(c)))
+    return parts.groupBy(*gc, "feature").agg(
+        F.sum("rows").alias("rows"), F.sum("n").alias("N"), F.first("__m").alias("mean"),
+        moved("m2", "n", "s", "__m", "s", "__m").alias("M2"),
+        extreme(F.min, "mn").alias("min"), extreme(F.max, "mx").alias("max"), F.sum("np").alias("NP"),
+        moved("mxx", "np", "sx", "__px", "sx", "__px").alias("MXX"),
+        moved("myy", "np", "sy", "__py", "sy", "__py").alias("MYY"),
+        moved("mxy", "np", "sx", "__px", "sy", "__py").alias("MXY"),
+        (extreme(F.min, "pmn") < extreme(F.max, "pmx")).alias("x_varies"),
+        (extreme(F.min, "ymn") < extreme(F.max, "ymx")).alias("y_varies"),
+        F.sum("ny").alias("NY"), moved("mayy", "ny", "say", "__ay", "say", "__ay").alias("MAYY"),
+        (extreme(F.min, "aymn") < extreme(F.max, "aymx")).alias("all_y_varies"))
+
+
+def _wide_stats(df: DataFrame, features: Sequence[str], label: str | None) -> DataFrame:
+    g = _merged_moments(df, features, label)
+    N, m2 = F.col("N"), F.when(F.col("min") < F.col("max"), F.col("M2")).otherwise(0.0)
+    corr = F.when((F.col("NP") > 1) & F.col("x_varies") & F.col("y_varies"),
+                  F.col("MXY") / F.nullif(F.sqrt("MXX") * F.sqrt("MYY"), F.lit(0.0)))
     return g.select(
-        "feature", "rows", N.alias("count"),
-        F.when(N > 0, F.col("S") / N).alias("mean"),
-        F.when(N > 1, F.sqrt(m2 / (N - 1))).alias("std"),
-        F.when(N > 0, F.sqrt(m2 / N)).alias("std_pop"),
-        "min", "max", corr.cast("double").alias("corr"))
+        "feature", "rows", N.alias("count"), "mean",
+        F.when(N > 1, F.sqrt(m2 / (N - 1))).alias("std"), F.when(N > 0, F.sqrt(m2 / N)).alias("std_pop"),
+        "min", "max", (corr if label is not None else F.lit(None)).cast("double").alias("corr"))
 
 
 def feature_stats(df: DataFrame, features: Sequence[str], label: str | None = None,
@@ -192,14 +227,15 @@ def quantiles(df: DataFrame, features: Sequence[str], probs: Sequence[float],
 
     ``method='bounded'`` (default, exact): a GK sketch brackets every target
     rank between the approximate quantiles at p -/+ 2/accuracy; a second pass
-    counts the values below each bracket and keeps only the values inside it
-    (about 4 n / accuracy per group), whose sorted order gives the exact order
-    statistics.  No task ever holds a whole group, however skewed the groups.
+    counts the rows below each bracket and keeps the distinct values inside it
+    with their counts, which give the exact order statistics.  Rows are counted
+    per (group, feature, value) first, so a value that half the rows share is
+    one entry, and partial aggregation splits its rows over all tasks.
     ``method='map'`` uses Spark's ``percentile`` (one pass; its value-count map
     for a group is merged in one task, so use it for bounded groups only).
     ``exact=False`` returns the sketch estimate itself.
-    With the default accuracy a group keeps at most max(1e5, 6n/1e5) values in
-    one task; raise ``accuracy`` for groups beyond ~1e10 values.
+    A group keeps at most max(accuracy, 6n/accuracy) distinct values in one
+    task; raise ``accuracy`` for groups beyond ~1e10 values.
     """
     names = list(names or [f"q{int(round(p * 100)):02d}" for p in probs])
     gc = list(group_cols)
@@ -228,29 +264,41 @@ def _bounded_quantiles(long: DataFrame, gc: list[str], probs: Sequence[float], n
     sk = long.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"),
                                  F.percentile_approx("value", brackets, accuracy).alias("__b"), *extra)
     extra_names = [c for c in sk.columns if c not in (*keys, "__n", "__b")]
-    # one row per (group, feature): bounded by the number of groups x columns
-    j = long.join(F.broadcast(sk), on=keys, how="inner")
+    counts = long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("__c"))
+    j = _null_safe_join(counts, sk, keys)
     aggs = [F.first("__n").alias("__n"), *[F.first(c).alias(c) for c in extra_names]]
     for i, p in enumerate(probs):
         small = F.col("__n") <= F.lit(accuracy)
         lo = F.when(small | (F.lit(p - d) <= 0), F.lit(float("-inf"))).otherwise(F.col("__b")[2 * i])
         hi = F.when(small | (F.lit(p + d) >= 1), F.lit(float("inf"))).otherwise(F.col("__b")[2 * i + 1])
         v = F.col("value")
-        aggs += [F.count(F.when(v < lo, F.lit(1))).alias(f"__c{i}"),
-                 F.array_sort(F.collect_list(F.when((v >= lo) & (v <= hi), v))).alias(f"__w{i}")]
+        aggs += [F.coalesce(F.sum(F.when(v < lo, F.col("__c"))), F.lit(0)).alias(f"__c{i}"),
+                 F.array_sort(F.collect_list(F.when((v >= lo) & (v <= hi), F.struct("value", "__c")))).alias(f"__w{i}")]
     g = j.groupBy(*keys).agg(*aggs)
     outs = []
     for i, p in enumerate(probs):
         pos = (F.col("__n") - 1).cast("double") * F.lit(float(p))
         lower, higher = F.floor(pos), F.ceil(pos)
-        w, c = F.col(f"__w{i}"), F.col(f"__c{i}")
-        v_lo = F.element_at(w, (lower - c + 1).cast("int"))
-        v_hi = F.element_at(w, (higher - c + 1).cast("int"))
+
+        def at(rank):
+            """The value of the 0-based ``rank``: the first whose cumulative count exceeds it."""
+            start = F.struct(F.col(f"__c{i}").alias("seen"), F.lit(None).cast("double").alias("v"))
+            return F.aggregate(f"__w{i}", start, lambda acc, x: F.struct(
+                (acc["seen"] + x["__c"]).alias("seen"),
+                F.coalesce(acc["v"], F.when(acc["seen"] + x["__c"] > rank, x["value"])).alias("v")))["v"]
+        v_lo, v_hi = at(lower), at(higher)
         val = F.when(lower == higher, v_lo).otherwise((higher - pos) * v_lo + (pos - lower) * v_hi)
         outs.append(val.alias(names[i]))
     return g.select(*gc, "feature", *extra_names, *outs)
 
 
+def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Inner join on ``keys`` where NULL equals NULL."""
+    r = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
+    on = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
+    return left.join(r, on, "inner").drop(*[f"__r_{k}" for k in keys])
+
+
 def describe(df: DataFrame, features: Sequence[str], exact: bool = True, accuracy: int = 100_000) -> DataFrame:
     """A1: count, mean, std, min, 25 %, 50 %, 75 %, max per feature (long form).
 
@@ -260,11 +308,11 @@ def describe(df: DataFrame, features: Sequence[str], exact: bool = True, accurac
     """
     long = to_long(df, [], features)
     st = long.groupBy("feature").agg(
-        F.count("value").alias("count"), F.avg("value").alias("mean"), F.stddev_samp("value").alias("std"),
+        F.count("value").alias("count"), F.avg("value").alias("mean"),
+        _exact_zero(F.stddev_samp, F.col("value")).alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"))
     q = quantiles(df, features, [0.25, 0.5, 0.75], names=["p25", "p50", "p75"], exact=exact, accuracy=accuracy)
-    # both sides have one row per feature
-    out = st.join(F.broadcast(q), "feature", "left")
+    out = st.join(q, "feature", "left")
     return out.select("feature", "count", "mean", "std", "min", "p25", "p50", "p75", "max")
 
 
@@ -282,23 +330,35 @@ def correlation_mean_imputed(df: DataFrame, features: Sequence[str], label: str,
         corr = cov_present(x, y) sqrt(n_p - 1) / (sd_present(x) sd_all(y) sqrt(N - 1))
 
     from stable aggregates in one pass.  NULL when undefined (as for imputed
-    constant columns).  Output (group..., feature, value).
+    constant columns).  Up to the width rule one codegen aggregation, beyond it
+    the moment route, grouped.  Output (group..., feature, value).
     """
-    gc = list(group_cols)
+    gc, features = list(group_cols), list(features)
+    if 12 * len(features) > MAX_CODEGEN_FIELDS:
+        g = _merged_moments(df, features, label, gc)
+        den = F.nullif(F.sqrt("MXX") * F.sqrt("MAYY"), F.lit(0.0))
+        value = F.when(F.col("x_varies") & F.col("all_y_varies"), F.abs(F.col("MXY") / den))
+        return g.select(*gc, "feature", value.alias("value"))
     y = F.col(label).cast("double")
-    aggs = [F.count(F.lit(1)).alias("__N"), F.stddev_samp(y).alias("__sdy")]
+    aggs = [F.count(F.lit(1)).alias("__N"), F.stddev_samp(y).alias("__sdy"), (F.min(y) < F.max(y)).alias("__vy")]
     for i, f in enumerate(features):
         x = F.col(f).cast("double")
-        aggs += [F.count(x).alias(f"__n{i}"), F.covar_samp(x, y).alias(f"__c{i}"), F.stddev_samp(x).alias(f"__s{i}")]
+        aggs += [F.count(x).alias(f"__n{i}"), F.covar_samp(x, y).alias(f"__c{i}"), F.stddev_samp(x).alias(f"__s{i}"),
+                 (F.min(x) < F.max(x)).alias(f"__v{i}")]
     g = df.groupBy(*gc).agg(*aggs)
     structs = []
     for i, f in enumerate(features):
         den = F.nullif(F.col(f"__s{i}") * F.col("__sdy") * F.sqrt(F.col("__N") - 1), F.lit(0.0))
-        v = F.col(f"__c{i}") * F.sqrt(F.col(f"__n{i}") - 1) / den
+        v = F.when(F.col(f"__v{i}") & F.col("__vy"), F.col(f"__c{i}") * F.sqrt(F.col(f"__n{i}") - 1) / den)
         structs.append(F.struct(F.lit(f).alias("feature"), F.abs(v).alias("value")))
     return g.select(*gc, F.explode(F.array(*structs)).alias("__e")).select(*gc, "__e.feature", "__e.value")
 
 
+def sort_by_value(scores: DataFrame, value_col: str = "value") -> DataFrame:
+    """A score table from high to low (NULL last, ties by feature); one row per feature."""
+    return scores.orderBy(F.col(value_col).desc_nulls_last(), "feature")
+
+
 def flag_top_fraction(scores: DataFrame, q: float = 0.9, value_col: str = "value",
                       flag_col: str = "top", group_cols: Sequence[str] = ()) -> DataFrame:
     """Adds ``flag_col`` = 1 when the score is at or above the q-quantile of the

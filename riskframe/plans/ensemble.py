@@ -93,25 +93,41 @@ def risk_ensemble(df: DataFrame, key: Sequence[str], labellers: Sequence[Labelle
     return evaluate.risk_table(scored, "score", "risk", ["risk_name"])
 
 
-def study_correlation(df: DataFrame, labellers: dict[str, Column | tuple[Column, Column]],
+@dataclass
+class Study:
+    """One study run: label, the rows that take part, and the columns that would leak its label.
+
+    ``cohort`` may be any row condition, e.g. "inside the class's IQR fences".
+    """
+
+    label: Column
+    cohort: Column | None = None
+    leaks: Sequence[str] = ()
+
+
+def study_correlation(df: DataFrame, labellers: dict[str, Column | tuple[Column, Column] | Study],
                       features: Sequence[str], q: float = 0.9) -> DataFrame:
     """Per labeller: label -> mean impute (empty kept as 0) -> |corr| -> top-decile flag.
 
-    ``labellers`` maps a name to a label expression, or to (label, cohort).
-    All labellers are scored in one pass: each row is emitted once per labeller
-    whose cohort it belongs to, and the correlation after mean imputation is
-    derived from one grouped aggregation (no imputation pass).  The top-decile
-    window runs per labeller over its per-feature table (bounded).
-    Output (labeller, feature, value, top).
+    ``labellers`` maps a name to a label expression, to (label, cohort), or to
+    a :class:`Study` with its own leak columns, which get no row and no part in
+    its decile.  All labellers are scored in one pass: each row is emitted once
+    per labeller whose cohort it belongs to, and the correlation after mean
+    imputation is derived from one grouped aggregation (no imputation pass).
+    The top-decile window runs per labeller over its per-feature table
+    (bounded).  Output (labeller, feature, value, top).
     """
-    entries = []
+    entries, leaks = [], F.lit(False)
     for name, spec in labellers.items():
-        lab, cohort = spec if isinstance(spec, tuple) else (spec, None)
+        if not isinstance(spec, Study):
+            spec = Study(*spec) if isinstance(spec, tuple) else Study(spec)
         entries.append(F.struct(F.lit(name).alias("labeller"),
-                                (cohort if cohort is not None else F.lit(True)).alias("inc"),
-                                lab.cast("int").alias("y")))
+                                (spec.cohort if spec.cohort is not None else F.lit(True)).alias("inc"),
+                                spec.label.cast("int").alias("y")))
+        if spec.leaks:
+            leaks = leaks | ((F.col("labeller") == name) & F.col("feature").isin(list(spec.leaks)))
     rows = df.select(*features, F.explode(F.array(*entries)).alias("__e")) \
         .where(F.coalesce(F.col("__e.inc"), F.lit(False))) \
         .select(F.col("__e.labeller").alias("labeller"), F.col("__e.y").alias("label"), *features)
-    corr = profile.correlation_mean_imputed(rows, list(features), "label", ["labeller"])
+    corr = profile.correlation_mean_imputed(rows, list(features), "label", ["labeller"]).where(~leaks)
     return profile.flag_top_fraction(corr, q, group_cols=["labeller"]).select("labeller", "feature", "value", "top")

@@ -250,6 +250,8 @@ SQL["value_counts"] = f"WITH {T1} SELECT label, count(*) AS count FROM t1 GROUP
 SQL["correlation"] = f"""WITH {T1}, c AS ({corr_table('t1', T1_FEATS)})
 SELECT feature, {r('value')} AS value FROM c"""
 
+SQL["correlation_sorted"] = SQL["correlation"]
+
 TOP_DECILE_SRC = """t1x AS (SELECT *, l_extendedprice * (1 + coalesce(l_tax, 0.0)) AS gross,
                        l_extendedprice * (1 - coalesce(l_discount, 0.0)) AS net,
                        l_extendedprice / l_quantity AS unit_price, CAST(l_linenumber AS DOUBLE) AS line FROM t1)"""

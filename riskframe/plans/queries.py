@@ -587,6 +587,13 @@ def q_risk_ensemble(spark, d):
     return ensemble.risk_ensemble(C.t2(spark, d), C.T2_KEY, t2_labellers(), risks, 0.1)
 
 
+@query("correlation_sorted")
+def q_correlation_sorted(spark, d):
+    """The correlation table of T1 from high to low."""
+    t = C.t1(spark, d)
+    return profile.sort_by_value(profile.correlation(t, C.T1_FEATURES, "label"))
+
+
 @query("study_correlation")
 def q_study_correlation(spark, d):
     """Two labellers on T1 -> mean impute -> |corr| -> top-decile flag."""

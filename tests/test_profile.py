@@ -81,3 +81,50 @@ def test_correlation_mean_imputed_equals_impute_then_corr(spark):
     for f in ("a", "b"):
         assert fast[f] == pytest.approx(slow[f], rel=1e-10)
     assert fast["c"] is None and slow["c"] is None and fast["e"] is None and slow["e"] is None
+
+
+def test_moments_agree_for_a_large_offset_and_constants(spark):
+    from pyspark.sql import functions as F
+    df = spark.range(5000).select((F.lit(1e9) + F.col("id") % 7).alias("x"), F.lit(0.1).alias("c"),
+                                  F.when(F.col("id") % 3 > 0, F.col("id") * 0.5).alias("h"),
+                                  (F.col("id") % 7 > 3).cast("int").alias("label")).repartition(5)
+    got = {r: {x.feature: x for x in profile.feature_stats(df, ["x", "c", "h"], "label", route=r).collect()}
+           for r in ("narrow", "wide")}
+    for f in ("x", "h"):
+        for st in ("count", "mean", "std", "std_pop", "min", "max", "corr"):
+            assert got["narrow"][f][st] == pytest.approx(got["wide"][f][st], rel=1e-8)
+    assert got["wide"]["x"].std == pytest.approx(np.std(np.arange(5000) % 7, ddof=1), rel=1e-9)
+    for r in got.values():
+        assert r["c"].corr is None and r["c"].std == 0.0 and r["c"].std_pop == 0.0
+
+
+def test_quantiles_with_heavy_ties_keep_short_arrays(spark):
+    from pyspark.sql import functions as F
+    df = spark.range(40000).select(F.when(F.col("id") % 2 == 0, 3.0).otherwise((F.col("id") % 9).cast("double")).alias("x"))
+    values = np.array([3.0 if i % 2 == 0 else float(i % 9) for i in range(40000)])
+    got = profile.quantiles(df, ["x"], [0.25, 0.5, 0.75, 0.9], accuracy=100).first()
+    assert [got.q25, got.q50, got.q75, got.q90] == np.quantile(values, [0.25, 0.5, 0.75, 0.9]).tolist()
+    spread = spark.range(30000).select((F.col("id") * 37 % 30011).cast("double").alias("x"))
+    want = np.quantile(np.arange(30000) * 37 % 30011, [0.25, 0.5])
+    got = profile.quantiles(spread, ["x"], [0.25, 0.5], accuracy=200).first()
+    assert [got.q25, got.q50] == pytest.approx(want.tolist())
+
+
+def test_wide_study_correlation_with_leaks_and_cohorts(spark):
+    from pyspark.sql import functions as F
+    from riskframe.plans.ensemble import Study, study_correlation
+    n = 2000
+    cols = [(F.when(F.pmod(F.hash("id", F.lit(i)), F.lit(10)) > 0, F.pmod(F.hash(F.lit(i), "id"), F.lit(1000)) * 1.0))
+            .alias(f"f{i}") for i in range(n)]
+    df = spark.range(300).select("id", *cols)
+    label, part = F.pmod(F.hash("id"), F.lit(2)) == 0, F.col("id") < 200
+    feats = [f"f{i}" for i in range(n)]
+    out = study_correlation(df, {"a": Study(label, leaks=["f0", "f7"]), "b": (label, part)}, feats).toPandas()
+    assert len(out) == 2 * n - 2 and not ((out.labeller == "a") & out.feature.isin(["f0", "f7"])).any()
+    few = ["f1", "f2", "f3"]
+    near = profile.correlation_mean_imputed(df.where(part).withColumn("y", label.cast("int")), few, "y").toPandas()
+    wide = out[out.labeller == "b"].set_index("feature").value
+    for r in near.itertuples():
+        assert wide[r.feature] == pytest.approx(r.value, rel=1e-9)
+    assert profile.sort_by_value(profile.correlation_mean_imputed(df.withColumn("y", label.cast("int")), few, "y")
+                                 ).toPandas().value.is_monotonic_decreasing
