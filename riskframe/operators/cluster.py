@@ -8,11 +8,13 @@ cosine, so it is kept as the approximate ``mode='squared'``.
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 from typing import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
@@ -24,24 +26,23 @@ from riskframe.operators.knn import _matrix, distances, pairwise_blocks
 from riskframe.operators.resample import roles
 
 
-def _cluster_sum_kernel(lkey, cl, rcl, vec):
+def _cluster_sum_kernel(lkey, cl, rcl, vec, chunk: int = 256):
+    """Distance sums of two blocks, ``chunk`` left rows at a time (bounds the distance matrix)."""
     def fn(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         if lp.empty or rp.empty:
             return pd.DataFrame({**{k: [] for k in lkey}, "__lc": [], "__rc": [], "__sd": []})
-        D = distances(_matrix(lp, vec), _matrix(rp, vec))
-        same = np.ones(D.shape, dtype=bool)
-        for k in lkey:
-            same &= lp[k].to_numpy()[:, None] == rp[k].to_numpy()[None, :]
-        D[same] = 0.0
-        rc = rp[rcl].to_numpy()
+        R, rc = _matrix(rp, vec), rp[rcl].to_numpy()
         out = []
-        for c in pd.unique(rc):
-            m = rc == c
-            part = {k: lp[k].to_numpy() for k in lkey}
-            part["__lc"] = lp[cl].to_numpy()
-            part["__rc"] = np.full(len(lp), c)
-            part["__sd"] = D[:, m].sum(axis=1)
-            out.append(pd.DataFrame(part))
+        for s in range(0, len(lp), chunk):
+            part = lp.iloc[s:s + chunk]
+            D = distances(_matrix(part, vec), R)
+            same = np.ones(D.shape, dtype=bool)
+            for k in lkey:
+                same &= part[k].to_numpy()[:, None] == rp[k].to_numpy()[None, :]
+            D[same] = 0.0
+            for c in pd.unique(rc):
+                out.append(pd.DataFrame({**{k: part[k].to_numpy() for k in lkey}, "__lc": part[cl].to_numpy(),
+                                         "__rc": np.full(len(part), c), "__sd": D[:, rc == c].sum(axis=1)}))
         return pd.concat(out, ignore_index=True)
     return fn
 
@@ -153,11 +154,14 @@ def under_cluster_guided(df: DataFrame, key: Sequence[str], features: Sequence[s
 
 
 def under_centroids(df: DataFrame, features: Sequence[str], label: str = "label", seed: int = 42,
-                    max_k: int = 2000) -> DataFrame:
-    """Majority replaced by n_minority KMeans centroids; minority kept.
-
-    Returns (label, features...).  A minority larger than ``max_k`` splits the
-    majority into hash buckets, each clustered for its share of centroids.
+                    max_iter: int = 50) -> DataFrame:
+    """Majority replaced by exactly n_minority KMeans centroids; minority kept.
+
+    Returns (label, features...).  One algorithm at any size: Spark's KMeans
+    with k = n_minority, whose centres (k x features numbers) are in the
+    driver's and each task's memory.  Where the majority has fewer distinct
+    points than k, KMeans finds one centre per point and the centres repeat in
+    order.  A NULL or NaN feature is an error: impute before clustering.
     """
     maj, n_maj, mino, n_min = roles(df, label)
     feats = list(features)
@@ -165,41 +169,16 @@ def under_centroids(df: DataFrame, features: Sequence[str], label: str = "label"
     majority = df.where(F.col(label) == maj)
     if n_min >= n_maj or n_min == 0:
         return minority.unionByName(majority.select(label, *feats))
-    va = VectorAssembler(inputCols=feats, outputCol="__fv", handleInvalid="skip")
-    if n_min <= max_k:
-        model = KMeans(k=n_min, seed=seed, featuresCol="__fv", maxIter=50).fit(va.transform(majority))
-        rows = [(maj, *[float(x) for x in c]) for c in model.clusterCenters()]  # n_min <= max_k rows
-        cent = df.sparkSession.createDataFrame(rows, minority.schema)
-        return minority.unionByName(cent)
-    buckets = -(-n_min // max_k)
-    share = [n_min // buckets + (1 if i < n_min % buckets else 0) for i in range(buckets)]
-    b = majority.withColumn("__bk", F.pmod(F.xxhash64(*feats), F.lit(buckets)))
-
-    def local(pdf: pd.DataFrame) -> pd.DataFrame:
-        kb = share[int(pdf["__bk"].iloc[0])]
-        X = pdf[feats].to_numpy(dtype="float64")
-        C = _lloyd(X, min(kb, len(X)), seed)
-        return pd.DataFrame({label: maj, **{f: C[:, i] for i, f in enumerate(feats)}})
-    cent = b.groupBy("__bk").applyInPandas(local, minority.schema)
-    return minority.unionByName(cent)
-
-
-def _lloyd(X: np.ndarray, k: int, seed: int, iters: int = 50) -> np.ndarray:
-    """k-means++ seeding + Lloyd iterations on one bucket."""
-    rng = np.random.default_rng(seed)
-    C = [X[rng.integers(len(X))]]
-    for _ in range(1, k):
-        d = distances(X, np.array(C)).min(axis=1) ** 2
-        p = d / d.sum() if d.sum() > 0 else None
-        C.append(X[rng.choice(len(X), p=p)])
-    C = np.array(C)
-    for _ in range(iters):
-        a = distances(X, C).argmin(axis=1)
-        new = np.array([X[a == j].mean(axis=0) if np.any(a == j) else C[j] for j in range(k)])
-        if np.allclose(new, C):
-            break
-        C = new
-    return C
+    va = VectorAssembler(inputCols=feats, outputCol="__fv", handleInvalid="error")
+    points = va.transform(majority).select("__fv").persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        centres = KMeans(k=n_min, seed=seed, featuresCol="__fv", maxIter=max_iter).fit(points).clusterCenters()
+    finally:
+        points.unpersist()
+    rows = [(maj, *[float(x) for x in centres[i % len(centres)]]) for i in range(n_min)]
+    schema = ", ".join([f"`{label}` {df.schema[label].dataType.simpleString()}", *[f"`{f}` double" for f in feats]])
+    cent = df.sparkSession.createDataFrame(rows, schema)
+    return minority.select(label, *[F.col(f).cast("double").alias(f) for f in feats]).unionByName(cent)
 
 
 # ---------------------------------------------------------------- medoids
@@ -234,21 +213,24 @@ def medoids(df: DataFrame, key: Sequence[str], features: Sequence[str], k: int,
             sample_size: int | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
     """CLARA k-medoids.
 
-    ``samples`` hash-drawn samples of ``40 + 2k`` rows run PAM in parallel
-    (one group each); every candidate medoid set is then costed on all rows
+    ``samples`` hash-drawn samples of ``sample_size`` rows (default
+    ``40 + 2k + n^(1/3)``, or all rows if fewer) run PAM in parallel (one group
+    each); a sample that comes out short is an error.  Every candidate medoid set is then costed on all rows
     with a broadcast of k x samples medoids, and the cheapest set assigns
     clusters.  Returns (rows with ``cluster``, medoids (cluster, key..., features...)).
     """
     key, feats = list(key), list(features)
-    size = sample_size or 40 + 2 * k
     n = df.count()
-    frac = min(1.0, size / max(n, 1))
+    size = min(n, sample_size or 40 + 2 * k + math.ceil(n ** (1 / 3)))
+    if n < k:
+        raise ValueError(f"{k} medoids need at least {k} rows; there are {n}")
+    frac = min(1.0, (1.5 * size + 50) / n)  # short with a probability under 1e-9
     # one scan: each row joins the samples whose hash draw it passes
     draws = F.array(*[F.struct(F.lit(s).alias("s"), hash_unit(hash_key(seed, f"clara{s}", key)).alias("u"))
                       for s in range(samples)])
-    pool = df.select("*", F.explode(F.filter(draws, lambda e: e["u"] < F.lit(frac * 1.5))).alias("__d")) \
+    pool = df.select("*", F.explode(F.filter(draws, lambda e: e["u"] < F.lit(frac))).alias("__d")) \
         .select("*", F.col("__d.s").alias("__s"), F.col("__d.u").alias("__u")).drop("__d")
-    # each sample keeps its first ``size`` rows in hash order (about 1.5 x size candidates per sample)
+    # each sample keeps its first ``size`` rows in hash order (about 1.5 x size + 50 candidates per sample)
     w = Window.partitionBy("__s").orderBy("__u", *key)
     pool = pool.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= size)
     types = dict((f.name, f.dataType.simpleString()) for f in df.schema.fields)
@@ -256,6 +238,8 @@ def medoids(df: DataFrame, key: Sequence[str], features: Sequence[str], k: int,
                                                   [f"{f} double" for f in feats])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        if len(pdf) < size:
+            raise ValueError(f"a sample has {len(pdf)} of {size} rows; use another seed")
         pdf = pdf.sort_values(key).reset_index(drop=True)
         X = pdf[feats].to_numpy(dtype="float64")
         m = _pam(X, min(k, len(X)))

@@ -19,9 +19,14 @@ METRICS = ["precision", "recall", "f1", "accuracy", "auc_roc"]
 
 def confusion(df: DataFrame, label: str = "label", pred: str = "pred",
               group_cols: Sequence[str] = (), weight: str | None = None) -> DataFrame:
-    """(group..., tn, fp, fn, tp) by conditional sums (``weight``: rows per input row)."""
-    y = F.col(label) == 1
-    p = F.col(pred) == 1
+    """(group..., tn, fp, fn, tp) by conditional sums (``weight``: rows per input row).
+
+    Every row is counted once: a NULL prediction is a negative one.  A NULL
+    label has no cell to go to, and is an error.
+    """
+    y = F.when(F.col(label).isNull(), F.raise_error(F.lit("confusion: NULL label")).cast("boolean")) \
+        .otherwise(F.col(label) == 1)
+    p = F.coalesce(F.col(pred) == 1, F.lit(False))
     if weight is None:
         cnt = lambda c: F.count(F.when(c, F.lit(1)))
     else:
@@ -63,26 +68,50 @@ def evaluate_models(long_preds: DataFrame, model_cols: Sequence[str], label: str
     return cm.select(*model_cols, *metric_columns(), "tn", "fp", "fn", "tp")
 
 
+def threshold_counts(df: DataFrame, model: str, score: str, label: str, thresholds: Column,
+                     group_cols: Sequence[str] = ()) -> DataFrame:
+    """(group..., model, place, tn, fp, fn, tp) of the rules ``score > threshold``.
+
+    ``thresholds`` is an array column, the same for all rows of a model.  Each
+    row is bucketed once, by how many of the sorted thresholds lie below its
+    score, and counted: at most 2 (thresholds + 1) counts per model, whatever
+    the scores.  The cells of a threshold are sums over the buckets beyond it,
+    so neither rows nor scores are multiplied by thresholds.  A NULL score is
+    below every threshold; a NULL label is an error.
+    """
+    keys = [*group_cols, model]
+    y = F.when(F.col(label).isNull(), F.raise_error(F.lit("threshold_counts: NULL label")).cast("int")) \
+        .otherwise((F.col(label) == 1).cast("int"))
+    cuts = F.array_sort(thresholds)
+    below = F.coalesce(F.size(F.filter(cuts, lambda t: F.col(score) > t)), F.lit(0))
+    hist = df.select(*keys, y.alias("__y"), F.when(F.col(score).isNull(), 0).otherwise(below).alias("__b"),
+                     thresholds.alias("__ts")).groupBy(*keys, "__y", "__b", "__ts").agg(F.count(F.lit(1)).alias("__n"))
+    per = hist.groupBy(*keys, "__ts").agg(F.collect_list(F.struct("__y", "__b", "__n")).alias("__h"))
+    cells = per.select(*keys, "__h", F.array_sort("__ts").alias("__cuts"), F.posexplode("__ts").alias("place", "threshold"))
+    rank = F.size(F.filter("__cuts", lambda t: t < F.col("threshold")))  # buckets 0..rank are not above it
+
+    def total(label_value: int, above: bool) -> Column:
+        return F.aggregate("__h", F.lit(0).cast("bigint"), lambda acc, x: acc + F.when(
+            (x["__y"] == label_value) & ((x["__b"] > rank) if above else (x["__b"] <= rank)), x["__n"]).otherwise(0))
+    return cells.select(*keys, "place", "threshold", total(0, False).alias("tn"), total(0, True).alias("fp"),
+                        total(1, False).alias("fn"), total(1, True).alias("tp"))
+
+
 def threshold_grid(df: DataFrame, scorers: Sequence[tuple[str, Column]], thresholds: Sequence[float],
                    label: str = "label", group_cols: Sequence[str] = ()) -> DataFrame:
     """X5 for rule models ``score > threshold``: scores of every (scorer, threshold).
 
-    Rows are first reduced to a histogram (group..., model, score, label, n) in
-    one partially-aggregated pass; thresholds are expanded on that histogram,
-    so the input is never multiplied by the number of configs.  Ordinal of a
-    config = scorer index * 100 + threshold index.
+    See :func:`threshold_counts`.  Ordinal of a config = scorer index x stride +
+    threshold index, where the stride is 100 or, if larger, the number of thresholds.
     """
-    gc = list(group_cols)
+    gc, stride = list(group_cols), max(100, len(thresholds))
     arr = F.array(*[F.struct(F.lit(n).alias("model"), F.lit(i).alias("__m"), c.cast("double").alias("score"))
                     for i, (n, c) in enumerate(scorers)])
-    hist = df.select(*gc, F.col(label).alias("label"), F.explode(arr).alias("__s")) \
-        .groupBy(*gc, "__s.model", "__s.__m", "__s.score", "label").agg(F.count(F.lit(1)).alias("__w"))
-    cfg = F.array(*[F.struct(F.lit(j).alias("__t"), F.lit(float(t)).alias("threshold"))
-                    for j, t in enumerate(thresholds)])
-    h = hist.select("*", F.explode(cfg).alias("__c")).select(
-        *gc, "model", (F.col("__m") * 100 + F.col("__c.__t")).alias("ordinal"), "__c.threshold", "label", "__w",
-        F.coalesce(F.col("score") > F.col("__c.threshold"), F.lit(False)).cast("int").alias("pred"))
-    return evaluate_models(h, [*gc, "model", "ordinal", "threshold"], "label", "pred", "__w")
+    long = df.select(*gc, F.col(label).alias("__label"), F.explode(arr).alias("__s")).select(*gc, "__label", "__s.*")
+    cm = threshold_counts(long, "model", "score", "__label", F.array(*[F.lit(float(t)) for t in thresholds]),
+                          [*gc, "__m"])
+    return cm.select(*gc, "model", (F.col("__m") * stride + F.col("place")).alias("ordinal"), "threshold",
+                     *metric_columns(), "tn", "fp", "fn", "tp")
 
 
 # ---------------------------------------------------------------- curves

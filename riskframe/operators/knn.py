@@ -50,7 +50,12 @@ def pairwise_blocks(left: DataFrame, right: DataFrame, left_key: Sequence[str],
 
 
 def _matrix(pdf: pd.DataFrame, vec: str) -> np.ndarray:
-    return np.stack([np.asarray(v, dtype="float64") for v in pdf[vec].to_numpy()])
+    if pdf[vec].isna().any():
+        raise ValueError("a vector is NULL: drop or impute such rows before a neighbour search")
+    x = np.stack([np.asarray(v, dtype="float64") for v in pdf[vec].to_numpy()])
+    if not np.isfinite(x).all():
+        raise ValueError("a vector holds NULL, NaN or infinity: drop or impute such rows before a neighbour search")
+    return x
 
 
 def distances(Q: np.ndarray, R: np.ndarray) -> np.ndarray:
@@ -70,9 +75,9 @@ def _key_rank(pdf: pd.DataFrame, key: Sequence[str]) -> np.ndarray:
     return rank
 
 
-def _topk_kernel(k: int, lkey, rkey, out_rkey, vec: str, exclude_self: bool, chunk: int = 256):
+def _topk_kernel(k: int, lkey, rkey, out_rkey, vec: str, exclude_self: bool, chunk: int = 256, payload=()):
     def fn(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        cols = [*lkey, *out_rkey, "dist"]
+        cols = [*lkey, *out_rkey, *(f"__p_{c}" for c in payload), "dist"]
         if lp.empty or rp.empty:
             return pd.DataFrame({c: [] for c in cols})
         Q, R = _matrix(lp, vec), _matrix(rp, vec)
@@ -94,6 +99,8 @@ def _topk_kernel(k: int, lkey, rkey, out_rkey, vec: str, exclude_self: bool, chu
             part = {a: lp[a].to_numpy()[s:s + chunk][rows][ok] for a in lkey}
             for b, ob in zip(rkey, out_rkey):
                 part[ob] = rp[b].to_numpy()[picked][ok]
+            for c in payload:
+                part[f"__p_{c}"] = rp[c].to_numpy()[picked][ok]
             part["dist"] = dist[ok]
             out.append(pd.DataFrame(part))
         return pd.concat(out, ignore_index=True)
@@ -108,19 +115,23 @@ def _ddl(df: DataFrame, cols: Sequence[str], rename: Sequence[str] | None = None
 
 def knn_join(left: DataFrame, right: DataFrame, k: int, left_key: Sequence[str],
              right_key: Sequence[str] | None = None, vec: str = "vec", exclude_self: bool = False,
-             prefix: str = "nn_", block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
+             prefix: str = "nn_", block_rows: int = DEFAULT_BLOCK_ROWS, payload: Sequence[str] = ()) -> DataFrame:
     """For each left row its k nearest right rows: (left key..., nn_<right key>..., rank, dist).
 
+    ``payload`` columns of the right rows come along as ``__p_<name>``, so
+    repeated right keys need no join back.
+
     Candidates are the local top-k of every block pair (k x right blocks per
     left row); a final window over each left key keeps the global top k.
     """
     lkey = list(left_key)
     rkey = list(right_key or left_key)
     out_rkey = [f"{prefix}{c}" for c in rkey]
-    schema = f"{_ddl(left, lkey)}, {_ddl(right, rkey, out_rkey)}, dist double"
+    carried = f", {_ddl(right, payload, [f'__p_{c}' for c in payload])}" if payload else ""
+    schema = f"{_ddl(left, lkey)}, {_ddl(right, rkey, out_rkey)}{carried}, dist double"
     lsel = left.select(*lkey, vec)
-    rsel = right.select(*rkey, vec)
-    kernel = _topk_kernel(k, lkey, rkey, out_rkey, vec, exclude_self)
+    rsel = right.select(*rkey, vec, *payload)
+    kernel = _topk_kernel(k, lkey, rkey, out_rkey, vec, exclude_self, payload=tuple(payload))
     cand = pairwise_blocks(lsel, rsel, lkey, rkey, kernel, schema, block_rows)
     w = Window.partitionBy(*lkey).orderBy("dist", *out_rkey)
     return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -128,10 +139,13 @@ def knn_join(left: DataFrame, right: DataFrame, k: int, left_key: Sequence[str],
 
 def knn_classify(train: DataFrame, test: DataFrame, key: Sequence[str], k: int = 5, vec: str = "vec",
                  label: str = "label", pred: str = "pred") -> DataFrame:
-    """Majority vote of the k nearest training rows (ties -> smallest label)."""
-    nn = knn_join(test, train, k, key, key, vec)
-    lab = train.select(*[F.col(c).alias(f"nn_{c}") for c in key], F.col(label).alias("__nl"))
-    votes = nn.join(lab, [f"nn_{c}" for c in key]).groupBy(*key, "__nl").agg(F.count(F.lit(1)).alias("__v"))
+    """Majority vote of the k nearest training rows (ties -> smallest label).
+
+    The label rides with its training row through the search: resampled rows
+    that share a key each cast one vote.
+    """
+    nn = knn_join(test, train.select(*key, vec, F.col(label).alias("__nl")), k, key, key, vec, payload=["__nl"])
+    votes = nn.groupBy(*key, F.col("__p___nl").alias("__nl")).agg(F.count(F.lit(1)).alias("__v"))
     best = votes.groupBy(*key).agg(
         F.max_by(F.col("__nl"), F.struct(F.col("__v"), -F.col("__nl"))).alias(pred))
     return test.join(best, list(key), "left")

@@ -60,7 +60,7 @@ class ClassifierModel(Model):
             out = knn_classify(self.train, test, self.key, self.k, "__vec", "__y", "pred")
             return out.withColumn("pred", F.col("pred").cast("int")) \
                 .withColumn("score", F.col("pred").cast("double")).drop("__vec")
-        va = VectorAssembler(inputCols=self.features, outputCol="__fv", handleInvalid="keep")
+        va = VectorAssembler(inputCols=self.features, outputCol="__fv", handleInvalid="error")
         out = self.fitted.transform(va.transform(df))
         if "probability" in out.columns:
             score = vector_to_array("probability")[1]
@@ -82,6 +82,7 @@ class Classifier(Estimator):
         self.seed, self.opts = seed, params
 
     def _fit(self, df: DataFrame) -> ClassifierModel:
+        """A NULL or NaN feature is an error here and in ``transform``: impute first."""
         data = df.withColumn("__y", F.col(self.label).cast("double"))
         if not self.features:
             # every feature was dropped or deselected: predict the training majority class
@@ -91,7 +92,7 @@ class Classifier(Estimator):
             train = data.select(*self.key, "__y",
                                 F.array(*[F.col(f).cast("double") for f in self.features]).alias("__vec"))
             return ClassifierModel("knn", self.features, train=train, key=self.key, k=self.opts.get("k", 5))
-        va = VectorAssembler(inputCols=self.features, outputCol="__fv", handleInvalid="keep")
+        va = VectorAssembler(inputCols=self.features, outputCol="__fv", handleInvalid="error")
         # only (vector, label) is kept for the iterations; released after the fit
         train = va.transform(data).select("__fv", "__y").persist(StorageLevel.MEMORY_AND_DISK)
         try:

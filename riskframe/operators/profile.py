@@ -265,7 +265,7 @@ def _bounded_quantiles(long: DataFrame, gc: list[str], probs: Sequence[float], n
                                  F.percentile_approx("value", brackets, accuracy).alias("__b"), *extra)
     extra_names = [c for c in sk.columns if c not in (*keys, "__n", "__b")]
     counts = long.groupBy(*keys, "value").agg(F.count(F.lit(1)).alias("__c"))
-    j = _null_safe_join(counts, sk, keys)
+    j = null_safe_join(counts, sk, keys)
     aggs = [F.first("__n").alias("__n"), *[F.first(c).alias(c) for c in extra_names]]
     for i, p in enumerate(probs):
         small = F.col("__n") <= F.lit(accuracy)
@@ -292,7 +292,7 @@ def _bounded_quantiles(long: DataFrame, gc: list[str], probs: Sequence[float], n
     return g.select(*gc, "feature", *extra_names, *outs)
 
 
-def _null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
+def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Inner join on ``keys`` where NULL equals NULL."""
     r = right.select(*[F.col(k).alias(f"__r_{k}") for k in keys], *[c for c in right.columns if c not in keys])
     on = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from riskframe.functions.rules import hash_key, hash_unit
 from riskframe.operators.knn import knn_join
 from riskframe.operators.splits import class_roles, exact_rank, flag_first
+from riskframe.session import cut_lineage
 
 
 def roles(df: DataFrame, label: str = "label") -> tuple[int, int, int, int]:
@@ -65,10 +66,12 @@ def smote(df: DataFrame, key: Sequence[str], label: str = "label", vec: str = "v
     key = list(key)
     maj, n_maj, mino, n_min = roles(df, label)
     n_syn = n_maj - n_min
-    if n_syn <= 0 or n_min < 2:
+    if n_syn > 0 and n_min <= k:
+        raise ValueError(f"SMOTE needs more than {k} minority rows to have {k} neighbours each; there are {n_min}")
+    if n_syn <= 0:
         return df.limit(0).select(*key, F.lit(1).alias("copy"), label, vec,
                                   *[F.col(c).alias(f"nn_{c}") for c in key], F.lit(0.0).alias("gap"))
-    kk = min(k, n_min - 1)
+    kk = k
     minority = df.where(F.col(label) == mino).select(*key, label, vec)
     nn = knn_join(minority, minority, kk, key, key, vec, exclude_self=True)
     base, rem = _copies(n_syn, n_min)
@@ -97,6 +100,11 @@ def smote_union(df: DataFrame, key: Sequence[str], label: str = "label", vec: st
     return with_copy(df.select(*key, label, vec)).unionByName(syn)
 
 
+def _settled(df: DataFrame) -> DataFrame:
+    """Checkpointed in the shared folder: the cleaners read a resampled set several times."""
+    return cut_lineage(df)
+
+
 def enn_remove(df: DataFrame, key: Sequence[str], label: str = "label", vec: str = "vec", k: int = 3,
                classes: str = "majority") -> DataFrame:
     """Edited nearest neighbours, rows to remove: (key...).
@@ -147,11 +155,11 @@ def clean_tomek(df: DataFrame, key: Sequence[str], label: str = "label", vec: st
 
 def smote_enn(df: DataFrame, key: Sequence[str], label: str = "label", vec: str = "vec", seed: int = 42) -> DataFrame:
     """SMOTE, then ENN (k=3) over both classes."""
-    u = smote_union(df, key, label, vec, 5, seed)
+    u = _settled(smote_union(df, key, label, vec, 5, seed))
     return clean_enn(u, [*key, "copy"], label, vec, 3, "all")
 
 
 def smote_tomek(df: DataFrame, key: Sequence[str], label: str = "label", vec: str = "vec", seed: int = 42) -> DataFrame:
     """SMOTE, then removal of both members of every Tomek link."""
-    u = smote_union(df, key, label, vec, 5, seed)
+    u = _settled(smote_union(df, key, label, vec, 5, seed))
     return clean_tomek(u, [*key, "copy"], label, vec, "all")

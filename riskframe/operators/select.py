@@ -67,22 +67,31 @@ class SelectFromL1(Estimator):
     """Keep features with a non-zero coefficient in an L1-penalised linear model.
 
     Spark's LinearSVC has no L1 penalty, so the L1 model is logistic regression
-    with ``elasticNetParam=1``.  ``reg`` is the penalty strength (sklearn's 1/C
-    scaled by the row count).
+    with ``elasticNetParam=1``.  ``c`` weighs the summed loss against the
+    penalty; Spark averages the loss, so its penalty is 1 / (c n).  A NULL or
+    NaN feature is an error.
     """
 
-    def __init__(self, features: Sequence[str], label: str = "label", reg: float = 0.01, max_iter: int = 100):
+    def __init__(self, features: Sequence[str], label: str = "label", c: float = 0.01, max_iter: int = 100):
         super().__init__()
-        self.features, self.label, self.reg, self.max_iter = list(features), label, reg, max_iter
+        self.features, self.label, self.c, self.max_iter = list(features), label, c, max_iter
+
+    def penalty(self, n: int) -> float:
+        return 1.0 / (self.c * max(n, 1))
 
     def coefficients(self, df: DataFrame) -> dict[str, float]:
+        from pyspark import StorageLevel
         from pyspark.ml.classification import LogisticRegression
         from pyspark.ml.feature import VectorAssembler
-        va = VectorAssembler(inputCols=self.features, outputCol="__x", handleInvalid="keep")
+        va = VectorAssembler(inputCols=self.features, outputCol="__x", handleInvalid="error")
         data = va.transform(df.select(*self.features, F.col(self.label).cast("double").alias("__y")))
-        lr = LogisticRegression(featuresCol="__x", labelCol="__y", elasticNetParam=1.0, regParam=self.reg,
-                                maxIter=self.max_iter, standardization=True)
-        m = lr.fit(data)
+        data = data.select("__x", "__y").persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            lr = LogisticRegression(featuresCol="__x", labelCol="__y", elasticNetParam=1.0,
+                                    regParam=self.penalty(data.count()), maxIter=self.max_iter, standardization=False)
+            m = lr.fit(data)
+        finally:
+            data.unpersist()
         return dict(zip(self.features, m.coefficients.toArray().tolist()))
 
     def _fit(self, df: DataFrame) -> SelectedModel:

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.functions.rules import hash_bucket, hash_key
+from riskframe.operators.profile import null_safe_join
 
 DEFAULT_BITS = 16
 _H, _B = "__h", "__bucket"
@@ -48,8 +49,7 @@ def exact_rank(df: DataFrame, key: Sequence[str], strata: Sequence[str] = (), se
     strata, key = list(strata), list(key)
     hashed = _with_hash(df, key, seed, tag, bits)
     offs = _bucket_offsets(hashed, strata)
-    # strata x 2^bits rows at most, whatever the data size
-    j = hashed.join(F.broadcast(offs), on=[*strata, _B], how="inner")
+    j = null_safe_join(hashed, offs, [*strata, _B])  # a NULL stratum is a stratum of its own
     w = Window.partitionBy(*strata, _B).orderBy(_H, *key)
     out = j.withColumn(rank_col, F.col("__off") + F.row_number().over(w))
     if total_col:
@@ -72,8 +72,7 @@ def flag_first(df: DataFrame, key: Sequence[str], n_first, strata: Sequence[str]
     strata, key = list(strata), list(key)
     hashed = _with_hash(df, key, seed, tag, bits)
     offs = _bucket_offsets(hashed, strata).withColumn("__n", n_first(F.col("__tot")))
-    # strata x 2^bits rows at most, whatever the data size
-    j = hashed.join(F.broadcast(offs), on=[*strata, _B], how="inner")
+    j = null_safe_join(hashed, offs, [*strata, _B])  # a NULL stratum is a stratum of its own
     inside = F.col("__off") + F.col("__cnt") <= F.col("__n")
     outside = F.col("__off") >= F.col("__n")
     settled = j.where(inside | outside).withColumn(flag_col, inside.cast("int"))
@@ -117,10 +116,7 @@ def split_by_class(df: DataFrame, label: str = "label", positive=1) -> tuple[Dat
 
 
 def class_roles(df: DataFrame, label: str = "label") -> DataFrame:
-    """(label, count, is_majority) for a binary label; equal sizes -> class 0 is the majority.
-
-    Two rows at most, so callers can broadcast it.
-    """
+    """(label, count, is_majority) for a binary label; equal sizes -> class 0 is the majority."""
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("count"))
     pos = F.coalesce(F.col(label) == 1, F.lit(False))
     w = Window.orderBy(F.col("count").desc(), pos.cast("int"))
@@ -128,6 +124,5 @@ def class_roles(df: DataFrame, label: str = "label") -> DataFrame:
 
 
 def split_majority(df: DataFrame, label: str = "label") -> DataFrame:
-    """P5: tag rows with ``is_majority`` from the (at most two-row) class table."""
-    roles = class_roles(df, label).select(label, "is_majority")
-    return df.join(F.broadcast(roles), on=label, how="left")
+    """P5: tag rows with ``is_majority`` from the class table."""
+    return null_safe_join(df, class_roles(df, label).select(label, "is_majority"), [label])

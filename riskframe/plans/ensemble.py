@@ -47,8 +47,8 @@ def fit_labellers(core: DataFrame, labellers: Sequence[Labeller]) -> None:
     """Fit every labeller's threshold in one pass over ``core``.
 
     Each row emits one (labeller, label, score) entry per labeller whose cohort
-    it belongs to, then one entry per candidate threshold; a single grouped
-    aggregation scores all candidates and ``max_by`` picks each labeller's best.
+    it belongs to; scores are bucketed against the sorted candidates and counted,
+    and ``max_by`` picks each labeller's best.
     Only the chosen thresholds (one number per labeller) reach the driver.
     """
     entries = F.array(*[F.struct(F.lit(i).alias("lab"),
@@ -60,13 +60,10 @@ def fit_labellers(core: DataFrame, labellers: Sequence[Labeller]) -> None:
         .select("e.lab", "e.label", "e.s")
     cand = None
     for i, lab in enumerate(labellers):
-        arr = F.array(*[F.struct(F.lit(j).alias("ordinal"), F.lit(float(t)).alias("threshold"))
-                        for j, t in enumerate(lab.model.candidates)])
+        arr = F.array(*[F.lit(float(t)) for t in lab.model.candidates])
         cand = F.when(F.col("lab") == i, arr) if cand is None else cand.when(F.col("lab") == i, arr)
-    long = per.select("lab", "label", "s", F.explode(cand).alias("c")).select(
-        "lab", "label", "c.ordinal", "c.threshold",
-        F.coalesce(F.col("s") > F.col("c.threshold"), F.lit(False)).cast("int").alias("pred"))
-    scores = evaluate.evaluate_models(long, ["lab", "ordinal", "threshold"])
+    cm = evaluate.threshold_counts(per, "lab", "s", "label", cand)
+    scores = cm.select("lab", F.col("place").alias("ordinal"), "threshold", *evaluate.metric_columns())
     best = evaluate.best_per_group(scores, ["lab"], "f1", "ordinal").select("lab", "threshold").collect()
     chosen = {r.lab: float(r.threshold) for r in best}
     for i, lab in enumerate(labellers):

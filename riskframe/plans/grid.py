@@ -4,8 +4,8 @@ A chain is drop -> impute -> scale -> select -> [resample] -> model.  Every
 step is fitted on the training rows only; resamplers run in ``fit`` and
 never at prediction time.  The grid is fitted as a tree: every distinct
 prefix (per fold) is fitted once, its output persisted and shared by all
-configs below it, and released when its subtree is done.  All fold
-predictions land in one long table scored by one aggregation.
+configs below it, and released when the fold is done.  Folds run side by
+side; a fold's predictions are scored by one aggregation.
 """
 
 from __future__ import annotations
@@ -59,8 +59,8 @@ SAMPLERS: dict[str, Callable] = {
 }
 
 SCALERS = {"minmax": scale.MinMaxScaler, "standard": scale.StandardScaler, "robust": scale.RobustScaler}
-SELECTORS = {"percentile": lambda f: select.SelectPercentile(f, "label", 10.0),
-             "l1": lambda f: select.SelectFromL1(f, "label", 0.01),
+SELECTORS = {"percentile": lambda f, label: select.SelectPercentile(f, label, 10.0),
+             "l1": lambda f, label: select.SelectFromL1(f, label, 0.01),
              "all": None}
 
 
@@ -101,7 +101,7 @@ def _fit_prefix_step(depth: int, cfg: Chain, df: DataFrame, feats: list[str], ke
     elif depth == 2 and cfg.scaler:
         m = SCALERS[cfg.scaler](feats).fit(df)
     elif depth == 3 and SELECTORS.get(cfg.selector):
-        m = SELECTORS[cfg.selector](feats).fit(df)
+        m = SELECTORS[cfg.selector](feats, label).fit(df)
     elif depth == 4:
         out = SAMPLERS[cfg.sampler](df, key, label, feats)
         return None, out, feats
@@ -164,66 +164,72 @@ def grid_search(df: DataFrame, configs: Sequence[Chain], features: Sequence[str]
     """K-fold scores of every config: (config, fold, metrics..., tn, fp, fn, tp).
 
     Prefixes are shared: a fold fits each distinct prefix once and persists
-    its output; the model fits below the prefixes are independent jobs run
-    ``parallelism`` at a time from a driver thread pool (each fit is itself
-    distributed).  A fold's scores go to the shared checkpoint folder before
-    its prefixes are released.
+    its output.  Folds, and the model fits below the prefixes, are independent
+    jobs submitted from driver threads, ``parallelism`` fits at a time (each fit
+    is itself distributed).  A fold's scores go to the shared checkpoint folder
+    before its prefixes are released.
     """
     from concurrent.futures import ThreadPoolExecutor
 
-    key = list(key)
+    key, features = list(key), list(features)
     f = splits.folds_stratified(df, key, label, folds, seed).persist(StorageLevel.MEMORY_AND_DISK)
-    results = []
+    f.count()  # once, before the folds read it side by side
     cfgs = list(enumerate(configs))
-    for fold in range(folds):
-        train = f.where(F.col("fold") != fold).drop("fold")
-        val = f.where(F.col("fold") == fold).drop("fold")
-        cache: dict[tuple, tuple] = {(): ([], train, list(features))}
-        held = []
-        # one statistics pass fits drop -> impute -> scale for every fusable chain
-        stats = None
-        for _, cfg in cfgs:
-            if cfg.prefix(3) in cache:
-                continue
-            if stats is None:
-                stats = {r.feature: r.asDict() for r in feature_stats(train, list(features)).collect()}
-            fused = fused_front(cfg, stats, list(features))
-            if fused is None:
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as fits, ThreadPoolExecutor(max_workers=folds) as pool:
+        results = list(pool.map(lambda fold: _score_fold(f, fold, cfgs, features, key, label, seed, fits),
+                                range(folds)))
+    f.unpersist()
+    return reduce(lambda a, b: a.unionByName(b), results)
+
+
+def _score_fold(f: DataFrame, fold: int, cfgs, features: list[str], key: list[str], label: str, seed: int, pool):
+    """Scores of all configs on one fold; its persisted prefixes are released at the end."""
+    train = f.where(F.col("fold") != fold).drop("fold")
+    val = f.where(F.col("fold") == fold).drop("fold")
+    cache: dict[tuple, tuple] = {(): ([], train, features)}
+    held = []
+    # one statistics pass fits drop -> impute -> scale for every fusable chain
+    stats = None
+    for _, cfg in cfgs:
+        if cfg.prefix(3) in cache:
+            continue
+        if stats is None:
+            stats = {r.feature: r.asDict() for r in feature_stats(train, features).collect()}
+        fused = fused_front(cfg, stats, features)
+        if fused is None:
+            continue
+        models_, feats3 = fused
+        d3 = train
+        for m in models_:
+            d3 = m.transform(d3)
+        d3 = d3.persist(StorageLevel.MEMORY_AND_DISK)
+        held.append(d3)
+        cache[cfg.prefix(3)] = (models_, d3, feats3)
+    for _, cfg in cfgs:
+        for depth in range(1, 6):
+            pre = cfg.prefix(depth)
+            if pre in cache or (depth < 3 and cfg.prefix(3) in cache):
                 continue
-            models_, feats3 = fused
-            d3 = train
-            for m in models_:
-                d3 = m.transform(d3)
-            d3 = d3.persist(StorageLevel.MEMORY_AND_DISK)
-            held.append(d3)
-            cache[cfg.prefix(3)] = (models_, d3, feats3)
-        for _, cfg in cfgs:
-            for depth in range(1, 6):
-                pre = cfg.prefix(depth)
-                if pre in cache or (depth < 3 and cfg.prefix(3) in cache):
-                    continue
-                steps, d, feats = cache[cfg.prefix(depth - 1)]
-                m, d2, feats2 = _fit_prefix_step(depth - 1, cfg, d, feats, key, label)
+            steps, d, feats = cache[cfg.prefix(depth - 1)]
+            m, d2, feats2 = _fit_prefix_step(depth - 1, cfg, d, feats, key, label)
+            if d2 is not d:
                 d2 = d2.persist(StorageLevel.MEMORY_AND_DISK)
                 held.append(d2)
-                cache[pre] = (steps + ([m] if m is not None else []), d2, feats2)
-
-        def fit_one(item, fold=fold, val=val, cache=cache):
-            ordinal, cfg = item
-            steps, d, feats = cache[cfg.prefix(5)]
-            model = Classifier(cfg.model, feats, label, key, seed, **cfg.model_params).fit(d)
-            scored = FittedChain(steps, feats, model).transform(val)
-            return scored.select(F.lit(ordinal).alias("config"), F.lit(fold).alias("fold"),
-                                 F.col(label).alias("label"), "pred")
-
-        with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
-            preds = list(pool.map(fit_one, cfgs))
-        fold_scores = evaluate.evaluate_models(reduce(lambda a, b: a.unionByName(b), preds), ["config", "fold"])
-        results.append(cut_lineage(fold_scores))
-        for d in held:
-            d.unpersist()
-    f.unpersist()
-    return reduce(lambda a, b: a.unionByName(b), results)
+            cache[pre] = (steps + ([m] if m is not None else []), d2, feats2)
+
+    def fit_one(item):
+        ordinal, cfg = item
+        steps, d, feats = cache[cfg.prefix(5)]
+        model = Classifier(cfg.model, feats, label, key, seed, **cfg.model_params).fit(d)
+        scored = FittedChain(steps, feats, model).transform(val)
+        return scored.select(F.lit(ordinal).alias("config"), F.lit(fold).alias("fold"),
+                             F.col(label).alias("label"), "pred")
+
+    preds = list(pool.map(fit_one, cfgs))
+    scores = cut_lineage(evaluate.evaluate_models(reduce(lambda a, b: a.unionByName(b), preds), ["config", "fold"]))
+    for d in held:
+        d.unpersist()
+    return scores
 
 
 def refit_top(df_train: DataFrame, df_test: DataFrame, configs: Sequence[Chain], cv: DataFrame, features,

@@ -114,10 +114,15 @@ def read_fixed_width(spark: SparkSession, path: str, layout: Sequence[Field]) ->
 
 
 def to_fixed_width(df: DataFrame, layout: Sequence[Field]) -> DataFrame:
-    """Inverse of :func:`parse_fixed_width` (numbers right-, text left-aligned)."""
+    """Inverse of :func:`parse_fixed_width` (numbers right-, text left-aligned).
+
+    A value that is longer than its field is an error: cut, it would read back as another value.
+    """
     parts = []
     for f in layout:
         s = F.coalesce(F.col(f.name).cast("string"), F.lit(""))
+        s = F.when(F.char_length(s) > f.length, F.raise_error(F.concat(
+            F.lit(f"field {f.name} has {f.length} places; too long: "), s)).cast("string")).otherwise(s)
         parts.append(F.rpad(s, f.length, " ") if f.dtype == "string" else F.lpad(s, f.length, " "))
     return df.select(F.concat(*parts).alias("value"))
 

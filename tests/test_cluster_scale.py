@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from riskframe.operators import cluster, scale
 
@@ -62,13 +63,26 @@ def test_scalers(spark):
     assert (nz[0].a, nz[0].b, nz[1].a) == (0.6, 0.8, 0.0)
 
 
-@pytest.mark.parametrize("max_k", [1000, 7])
-def test_under_centroids_counts(spark, max_k):
+def test_under_centroids_counts(spark):
     rng = np.random.default_rng(9)
     X = rng.normal(size=(120, 3))
     y = [1 if i % 4 == 0 else 0 for i in range(120)]
     df = spark.createDataFrame([(float(a), float(b), float(c), l) for (a, b, c), l in zip(X, y)],
                                "a double, b double, c double, label int")
-    out = cluster.under_centroids(df, ["a", "b", "c"], "label", max_k=max_k)
+    out = cluster.under_centroids(df, ["a", "b", "c"], "label")
     counts = {r.label: r["count"] for r in out.groupBy("label").count().collect()}
     assert counts == {1: 30, 0: 30}
+    # fewer distinct majority points than centroids: still exactly n_minority, at those points
+    few = spark.createDataFrame([(float(i % 3), int(i >= 40)) for i in range(50)], "a double, label int")
+    got = cluster.under_centroids(few, ["a"], "label").where("label = 0").toPandas()
+    assert len(got) == 10 and set(got.a) == {0.0, 1.0, 2.0}
+    with pytest.raises(Exception):
+        cluster.under_centroids(few.withColumn("a", F.when(F.col("a") > 0, F.col("a"))), ["a"], "label")
+
+
+def test_medoid_samples_grow_and_are_checked(spark):
+    df = spark.range(500).select("id", (F.col("id") % 10 * 1.0).alias("a"))
+    assigned, med = cluster.medoids(df, ["id"], ["a"], 2)
+    assert assigned.count() == 500 and med.count() == 2
+    with pytest.raises(ValueError):
+        cluster.medoids(df.limit(1), ["id"], ["a"], 2)
