@@ -22,6 +22,8 @@ packed separately; a null id is kept; an empty table gives no rows.
 from __future__ import annotations
 
 import heapq
+import json
+import re
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 
@@ -36,30 +38,77 @@ TIERS = (2048, 1024, 512, 256)
 #: Tokens of one step group.
 STEP_TOKENS = 64 * 2048
 #: Distinct words that a worker's cache holds before it starts anew; changes no result.
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
 SCHEMA = ("id {id}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, "
           "sequence_length long, step_group long")
 
 
+#: The parts of a tokenizer file whose effect on plain words :class:`WordEncoder` can
+#: produce itself.  Words of other tokenizers, and all other words, go through the whole tokenizer.
+_NORMAL = {"type": "Sequence", "normalizers": [
+    {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+#: Plain: printable ASCII and the precomposed Latin-1 letters (stable under NFC, one-letter lower case).
+_PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u00ff0-9]+")
+
+
+def _byte_letters() -> dict[int, int]:
+    """Byte-level BPE's letter for each byte: itself if printable in Latin-1, else the next one from 256 on."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
+
+
 class WordEncoder:
-    """Token ids of texts through a cache of their white-space separated words."""
+    """Token ids of texts through a cache of their white-space separated words.
+
+    Most fresh words differ only in case and punctuation from known ones, so
+    plain words are cut into the tokenizer's own pieces first, and each distinct
+    piece goes to the tokenizer's model once.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_file(path)
+        spec = json.loads(self.tokenizer.to_str())
+        before = (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}]
+        self.cuts = (spec.get("normalizer") == _NORMAL and len(before) == 2
+                     and before[0].get("pattern") == {"Regex": _SPLIT} and before[0].get("behavior") == "Removed"
+                     and before[0].get("invert") is True and before[1].get("type") == "ByteLevel"
+                     and not before[1].get("add_prefix_space") and not before[1].get("use_regex"))
+        self.added = [x["content"] for x in spec.get("added_tokens", [])]
+        self.letters = _byte_letters()
         self._clear()
 
     def _clear(self) -> None:
         self.slot: dict[bytes, int] = {}
+        self.pieces: dict[str, list[int]] = {}
         self.start, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
+    def _piece(self, piece: str) -> list[int]:
+        ids = self.pieces.get(piece)
+        if ids is None:
+            shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
+            ids = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(shown)]
+        return ids
+
     def _learn(self, words: list[bytes]) -> None:
-        got = [e.ids for e in self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)]
+        texts = [w.decode() for w in words]
+        got = [None] * len(texts)
+        if self.cuts:
+            joined = " ".join(texts)
+            added = [a for a in self.added if a in joined]
+            got = [[i for p in _PIECE.findall(w.lower()) for i in self._piece(p)]
+                   if _PLAIN.fullmatch(w) and not any(a in w for a in added) else None for w in texts]
+        other = [i for i, x in enumerate(got) if x is None]
+        for i, e in zip(other, self.tokenizer.encode_batch_fast([texts[i] for i in other], add_special_tokens=False),
+                        strict=True):
+            got[i] = e.ids
         size = np.array([len(x) for x in got], np.int64)
         self.slot.update(zip(words, range(len(self.slot), len(self.slot) + len(words)), strict=True))
         self.start = np.append(self.start, len(self.ids) + np.cumsum(size) - size)
         self.size = np.append(self.size, size)
-        self.ids = np.append(self.ids, np.array([i for x in got for i in x], np.uint32))
+        self.ids = np.append(self.ids, np.fromiter((i for x in got for i in x), np.uint32, int(size.sum())))
 
     def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids, each text's followed by ``end_id``, and the texts' n + 1 offsets."""
