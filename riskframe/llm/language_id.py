@@ -28,12 +28,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import CHUNK_BYTES, group_sizes, group_starts, mix, row_slices, utf8, written
+from .common import group_sizes, group_starts, mix, row_slices, utf8, written
 
 BITS = 16
 BUCKETS = 1 << BITS
 #: Bound of the training sample: expected documents of each language.
 PER_LANGUAGE = 1200
+#: Bytes of text in one kernel call: n-gram arrays take up to a hundred bytes per byte of text.
+RUN_BYTES = 1 << 20
 _PARTS = 16  # ranges of features whose counts are summed together
 _FOLD: list[np.ndarray] = []
 
@@ -112,7 +114,7 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many of the task's documents hold each feature, as ranges of the feature space."""
     df, seen, docs = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, bool), 0
     for whole in batches:
-        for batch in row_slices(whole, "text"):
+        for batch in row_slices(whole, "text", RUN_BYTES):
             grams, doc, letters = ngrams(batch.column("text"))
             docs += len(letters)
             starts = group_starts(doc)
@@ -146,7 +148,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sparse counts of the sampled documents."""
     for whole in batches:
-        for batch in row_slices(whole, "text"):
+        for batch in row_slices(whole, "text", RUN_BYTES):
             grams, doc, _ = ngrams(batch.column("text"))
             at, count = [], []
             edges = np.searchsorted(doc, np.arange(batch.num_rows + 1))
@@ -241,7 +243,7 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str =
     return Model(languages, weights, np.frombuffer(row.bias), row.temperature)
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", run_bytes: int = CHUNK_BYTES) -> DataFrame:
+def predict(docs: DataFrame, model: Model, text_col: str = "text", run_bytes: int = RUN_BYTES) -> DataFrame:
     """``docs`` with lang_pred and score after its own columns (columns of these names are replaced)."""
     docs = docs.drop("lang_pred", "score")
     spark = docs.sparkSession
