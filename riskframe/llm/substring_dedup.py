@@ -14,7 +14,7 @@ Two equal windows therefore share an aligned anchor of
    third of the corpus holds costs one entry per chunk).
 2. A bucket answers each chunk with the anchors that other rows hold too.
 3. The chunk extends those anchors to all windows around them, and sends the
-   windows' 128-bit hashes with the smallest id it has for each.
+   windows' 96-bit hashes with the smallest id it has for each.
 4. A bucket answers with the windows that a smaller id of another chunk holds.
 5. The chunk covers words from these answers and from its own rows.
 
@@ -42,8 +42,7 @@ COVER = (0, 1, 3)
 #: Bytes of anchor hashes that one bucket should hold.
 BUCKET_BYTES = 8 << 20
 _F1, _F2, _F3 = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xFF51AFD7ED558CCD
-_WINDOW = np.dtype([("a", "<u8"), ("b", "<u8"), ("id", "<i8")])
-_REPLY = np.dtype([("a", "<u8"), ("b", "<u8")])
+_REPLY = np.dtype([("a", "<u8"), ("b", "<u4")])
 
 
 def _parsed(table: pa.Table):
@@ -60,11 +59,23 @@ def _anchors(words: Words, hashes: np.ndarray, window: int) -> tuple[np.ndarray,
 
 
 def _windows(words: Words, hashes: np.ndarray, at: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
-    return run_hashes(hashes, at, window, _F2), run_hashes(hashes, at, window, _F3)
+    return run_hashes(hashes, at, window, _F2), run_hashes(hashes, at, window, _F3).astype(np.uint32)
 
 
-def _send(sorted_keys: np.ndarray, payload: np.ndarray, chunk: int, buckets: int) -> pa.Table:
-    rows = [(b, payload[s].tobytes()) for b, s in by_bucket(sorted_keys, buckets)]
+def _planes(a: np.ndarray, b: np.ndarray, ids: np.ndarray) -> bytes:
+    """Column by column, ids byte by byte: the ids' equal high bytes then compress to nothing."""
+    return a.tobytes() + b.tobytes() + ids.astype("<i8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def _unplaned(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    n = len(blob) // 20
+    ids = np.frombuffer(blob, np.uint8, 8 * n, 12 * n).reshape(8, n).T.copy().view("<i8").ravel()
+    return np.frombuffer(blob, np.uint64, n), np.frombuffer(blob, np.uint32, n, 8 * n), ids
+
+
+def _send(sorted_keys: np.ndarray, payload, chunk: int, buckets: int) -> pa.Table:
+    """``payload`` gives the bytes of a slice of the sorted keys' entries."""
+    rows = [(b, payload(s)) for b, s in by_bucket(sorted_keys, buckets)]
     return pa.table({"bucket": pa.array([r[0] for r in rows], pa.int32()),
                      "chunk": pa.array([chunk] * len(rows), pa.int32()),
                      "blob": pa.array([r[1] for r in rows], pa.binary())})
@@ -89,7 +100,7 @@ def _anchor_sender(window: int, buckets: int):
         ends = starts + group_sizes(starts, len(keys)) - 1
         several = (doc[starts] != doc[ends]).astype(np.uint64) if len(keys) else np.zeros(0, np.uint64)
         keys = keys[starts]
-        return _send(keys, keys | several, table["chunk"][0].as_py(), buckets)
+        return _send(keys, lambda s: (keys[s] | several[s]).tobytes(), table["chunk"][0].as_py(), buckets)
     return send
 
 
@@ -109,7 +120,7 @@ def _shared_anchors(table: pa.Table) -> pa.Table:
 def _window_sender(window: int, buckets: int):
     def send(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(table) or not len(replies):
-            return _send(np.zeros(0, np.uint64), np.zeros(0, _WINDOW), 0, buckets)
+            return _send(np.zeros(0, np.uint64), None, 0, buckets)
         words, hashes, ids = _parsed(table)
         at, keys = _anchors(words, hashes, window)
         at = at[member(keys, np.sort(blobs(replies["blob"], np.uint64)[0]))]
@@ -124,22 +135,21 @@ def _window_sender(window: int, buckets: int):
         order = np.lexsort((owner, b, a))
         a, b, owner = a[order], b[order], owner[order]
         starts = group_starts(a, b)
-        out = np.empty(len(starts), _WINDOW)
-        out["a"], out["b"], out["id"] = a[starts], b[starts], owner[starts]
-        return _send(out["a"].copy(), out, table["chunk"][0].as_py(), buckets)
+        a, b, owner = a[starts], b[starts], owner[starts]
+        return _send(a, lambda s: _planes(a[s], b[s], owner[s]), table["chunk"][0].as_py(), buckets)
     return send
 
 
 def _held_before(table: pa.Table) -> pa.Table:
-    items, row = blobs(table["blob"], _WINDOW)
-    chunk = table["chunk"].to_numpy()[row]
-    order = np.lexsort((items["id"], items["b"], items["a"]))
-    items, chunk = items[order], chunk[order]
-    starts = group_starts(items["a"], items["b"])
-    smallest = np.repeat(items["id"][starts], group_sizes(starts, len(items)))
-    late = smallest < items["id"]
+    parts = [_unplaned(x) for x in table["blob"].to_pylist()]
+    chunk = np.repeat(table["chunk"].to_numpy(), [len(p[0]) for p in parts])
+    a, b, ids = (np.concatenate([p[i] for p in parts]) for i in range(3))
+    order = np.lexsort((ids, b, a))
+    a, b, ids, chunk = a[order], b[order], ids[order], chunk[order]
+    starts = group_starts(a, b)
+    late = np.repeat(ids[starts], group_sizes(starts, len(a))) < ids
     out = np.empty(int(late.sum()), _REPLY)
-    out["a"], out["b"] = items["a"][late], items["b"][late]
+    out["a"], out["b"] = a[late], b[late]
     return _answers(chunk[late], out)
 
 
@@ -158,7 +168,7 @@ def _remover(window: int):
         if len(maybe):
             pairs = np.empty(len(maybe), _REPLY)
             pairs["a"], pairs["b"] = a[maybe], b[maybe]
-            hit[maybe] = np.isin(pairs.view("V16"), known.view("V16"))
+            hit[maybe] = np.isin(pairs.view("V12"), known.view("V12"))
         order = np.argsort(a, kind="stable")
         sizes = group_sizes(group_starts(a[order]), len(at))
         twice = order[np.repeat(sizes > 1, sizes)]
