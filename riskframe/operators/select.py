@@ -88,8 +88,9 @@ class SelectFromL1(Estimator):
         data = data.select("__x", "__y").persist(StorageLevel.MEMORY_AND_DISK)
         try:
             lr = LogisticRegression(featuresCol="__x", labelCol="__y", elasticNetParam=1.0,
-                                    regParam=self.penalty(data.count()), maxIter=self.max_iter, standardization=False)
+                                    regParam=self.penalty(data.count()), maxIter=self.max_iter, tol=1e-8, standardization=False)
             m = lr.fit(data)
+            self.intercept = float(m.intercept)
         finally:
             data.unpersist()
         return dict(zip(self.features, m.coefficients.toArray().tolist()))

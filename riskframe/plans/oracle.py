@@ -558,6 +558,21 @@ mj AS (SELECT doc_id, label, row_number() OVER (ORDER BY {md5_order(42, 'under',
 SELECT doc_id, label FROM mj WHERE rk <= (SELECT nmin FROM roles)
 UNION ALL SELECT doc_id, label FROM t3 WHERE label <> (SELECT maj FROM roles)"""
 
+SQL["clf_knn_resampled"] = f"""WITH {T4}, {split_cte('s', 't4', 'vec_id', 'label', 0.2)},
+tr0 AS (SELECT * FROM s WHERE is_test = 0), te AS (SELECT * FROM s WHERE is_test = 1), {_roles('tr0')},
+mn AS (SELECT tr0.*, row_number() OVER (ORDER BY {md5_order(42, 'over', 'vec_id')}) AS place
+       FROM tr0 WHERE label <> (SELECT maj FROM roles)),
+cp AS (SELECT vec_id, label, vec, CAST(nmaj // nmin + CAST(place <= nmaj % nmin AS INTEGER) AS INTEGER) AS n FROM mn, roles),
+tr AS (SELECT vec_id, label, vec, unnest(generate_series(1, n)) AS copy FROM cp WHERE n > 0
+       UNION ALL SELECT vec_id, label, vec, 1 AS copy FROM tr0 WHERE label = (SELECT maj FROM roles)),
+d AS (SELECT te.vec_id, tr.label AS nl,
+             row_number() OVER (PARTITION BY te.vec_id ORDER BY list_distance(te.vec, tr.vec), tr.vec_id) AS rk
+      FROM te CROSS JOIN tr),
+v AS (SELECT vec_id, nl, count(*) AS c FROM d WHERE rk <= 5 GROUP BY vec_id, nl),
+b AS (SELECT vec_id, nl AS pred FROM (
+        SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, nl) AS r FROM v) WHERE r = 1)
+SELECT te.vec_id, te.label, b.pred FROM te LEFT JOIN b USING (vec_id)"""
+
 SQL["over_random"] = f"""WITH {T3}, {_roles('t3')},
 mn AS (SELECT doc_id, label, row_number() OVER (ORDER BY {md5_order(42, 'over', 'doc_id')}) AS rk
        FROM t3 WHERE label <> (SELECT maj FROM roles)),
@@ -652,7 +667,7 @@ def checks(pairs):
 
 SQL["under_centroids"] = f"""WITH {T3}
 {checks([('minority_rows', '(SELECT count(*) FROM t3 WHERE label = 1)'),
-         ('majority_rows', '(SELECT count(*) FROM t3 WHERE label = 1)')])}"""
+         ('majority_rows', '(SELECT count(*) FROM t3 WHERE label = 1)'), ('cheaper_than_rows', 1)])}"""
 
 SQL["cluster_sizes"] = f"""WITH {T4}
 {checks([('rows', '(SELECT count(*) FROM t4)'), ('clusters', 3), ('largest_first', 1)])}"""
@@ -667,21 +682,34 @@ SQL["cluster_medoids"] = f"""WITH {T3}
 _MODEL_CHECKS = f"""WITH {T3}, {split_cte('s', 't3', 'doc_id', 'label', 0.2)}
 {checks([('test_rows', '(SELECT count(*) FROM s WHERE is_test = 1)'),
          ('test_pos', '(SELECT count(*) FROM s WHERE is_test = 1 AND label = 1)'),
-         ('metrics_in_range', 1), ('auc_is_balanced_accuracy', 1)])}"""
+         ('beats_majority', 1)])}"""
 
 for _k in ("clf_logistic", "clf_forest", "clf_svc", "clf_mlp"):
     SQL[_k] = _MODEL_CHECKS
 
 SQL["fit_predict_chain"] = f"""WITH {T3}, {split_cte('s', 't3', 'doc_id', 'label', 0.2)}
 {checks([('test_rows', '(SELECT count(*) FROM s WHERE is_test = 1)'),
-         ('test_pos', '(SELECT count(*) FROM s WHERE is_test = 1 AND label = 1)'), ('pred_binary', 1)])}"""
+         ('test_pos', '(SELECT count(*) FROM s WHERE is_test = 1 AND label = 1)'), ('beats_majority', 1)])}"""
 
 SQL["grid_search"] = f"""WITH {T3}
-{checks([('configs', 8), ('fold_rows', 24), ('scored_rows', '(SELECT 8 * count(*) FROM t3)')])}"""
+{checks([('configs', 8), ('fold_rows', 24), ('separating_fits', 24), ('scored_rows', '(SELECT 8 * count(*) FROM t3)')])}"""
 
 SQL["select_l1"] = f"""WITH {T3}
-{checks([('rows_seen', '(SELECT count(*) FROM t3)'), ('features', 5), ('selected_le_features', 1)])}"""
+{checks([('rows_seen', '(SELECT count(*) FROM t3)'), ('optimal', 1), ('keeps_separating', 1)])}"""
 
 SQL["refit_top"] = f"""WITH {T3}, {split_cte('s', 't3', 'doc_id', 'label', 0.2)}
-{checks([('refits', 2), ('train_rows', '(SELECT 2 * count(*) FROM s WHERE is_test = 0)'),
+{checks([('refits', 2), ('separating_fits', 4), ('train_rows', '(SELECT 2 * count(*) FROM s WHERE is_test = 0)'),
          ('test_rows', '(SELECT 2 * count(*) FROM s WHERE is_test = 1)')])}"""
+
+SQL["train_best"] = f"""WITH {T3}, {split_cte('s', 't3', 'doc_id', 'label', 0.2)}
+{checks([('test_rows', '(SELECT count(*) FROM s WHERE is_test = 1)'), ('best_by_test', 1), ('model_is_the_best', 1),
+         ('separates', 1)])}"""
+
+_LABELLER_FEATS = ["n_chars", "text_len", "n_words", "n_lines", "toxic"]
+SQL["run_labeller"] = f"""WITH {T3}, {split_cte('s', 't3', 'doc_id', 'label', 0.2)}
+SELECT 'label ' || CAST(label AS VARCHAR) AS name, CAST(count(*) AS DOUBLE) AS value FROM t3 GROUP BY label
+UNION ALL SELECT 'rows train', CAST(count(*) AS DOUBLE) FROM s WHERE is_test = 0
+UNION ALL SELECT 'rows test', CAST(count(*) AS DOUBLE) FROM s WHERE is_test = 1
+""" + "\n".join(f"""UNION ALL SELECT '{f} {n}', round(CAST({e} AS DOUBLE), 6) FROM t3""" for f in _LABELLER_FEATS
+                for n, e in (("count", f"count({f})"), ("min", f"min({f})"), ("p50", f"quantile_cont({f}, 0.5)"),
+                             ("max", f"max({f})")))
