@@ -12,6 +12,7 @@ from .jaccard_join import jaccard_join
 from .language_id import fit, held_out, predict
 from .mixing import mix_sources
 from .packing import pack
+from .quotation import link_quotations, with_quotations
 from .substring_dedup import remove_repeats
 from .topk_search import top_k
 from .warc import round_trip
@@ -57,6 +58,18 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.lower(F.hex("digest")).alias("text_sha256"))
 
 
+def op6_chat_quotations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations written as mail with nested quotations, and rebuilt from the quotations."""
+    prepare(spark)
+    mail = with_quotations(read(spark, sf_dir, "conversations"))
+    key = F.concat_ws(":", F.col("conv_id").cast("string"), F.col("turn").cast("string"))
+    out = link_quotations(mail.withColumn("message", key), "message", "conv_id", "turn", "mail")
+    turn = lambda c: F.substring_index(c, ":", -1).cast("long")
+    return out.select(F.col("scope").cast("long").alias("conv_id"), F.col("place").alias("turn"),
+                      turn("root").alias("root_turn"), "depth", turn("parent").alias("parent_turn"),
+                      F.sha2("own_text", 256).alias("text_sha256"))
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages written to archives, normalised, and read back record by record."""
     prepare(spark)
@@ -94,6 +107,7 @@ QUERIES = {
     "op3_jaccard_join": op3_jaccard_join,
     "op4_topk_search": op4_topk_search,
     "op5_exact_dedup": op5_exact_dedup,
+    "op6_chat_quotations": op6_chat_quotations,
     "op7_warc": op7_warc,
     "op8_mixing": op8_mixing,
     "op9_language_id": op9_language_id,
@@ -123,6 +137,10 @@ k AS (
          first_value(doc_id) OVER (PARTITION BY text_sha256 ORDER BY chars DESC, doc_id NULLS LAST) AS keep_id
   FROM d)
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM k""",
+    "op6_chat_quotations": r"""
+SELECT conv_id, turn, first_value(turn) OVER w AS root_turn, row_number() OVER w - 1 AS depth,
+       lag(turn) OVER w AS parent_turn, sha256(trim(text, E' \t\r\n')) AS text_sha256
+FROM conversations WINDOW w AS (PARTITION BY conv_id ORDER BY turn)""",
     "op8_mixing": r"""
 WITH d AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN '1' ELSE '0' || source END AS source_key,
