@@ -75,20 +75,20 @@ def _parser(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _parents(rows: DataFrame) -> DataFrame:
-    """id, parent, linked (quoted paragraphs with an original) of every message that links."""
+    """id, parent, linked (distinct quoted paragraphs that have an original) of every message that links."""
     said = rows.where("id is not null").select("scope", F.explode(F.array_distinct("own")).alias("hash"), "place", "id",
                                                F.lit(0).alias("level"))
     cited = rows.where("id is not null").select("scope", F.explode("quoted").alias("q"), "place", "id").select(
         "scope", F.col("q.hash").alias("hash"), "place", "id", F.col("q.level").alias("level"))
     both = said.union(cited.select("scope", "hash", "place", "id", "level"))
-    key = F.coalesce("place", F.lit(-(1 << 63)))
+    key = F.coalesce("place", F.lit(-(1 << 62)))
     both = both.withColumn("key", key)
     # the latest message that says the paragraph and comes strictly before the quoting one
     before = Window.partitionBy("scope", "hash").orderBy("key").rangeBetween(Window.unboundedPreceding, -1)
     said_at = F.when(F.col("level") == 0, F.struct("key", "id"))
     found = both.withColumn("source", F.max(said_at).over(before)).where("level > 0 and source is not null")
     best = F.max(F.struct(-F.col("level"), F.col("source.key"), F.col("source.id").alias("parent")))
-    return found.groupBy("id").agg(best.alias("b"), F.count(F.lit(1)).alias("linked")).select(
+    return found.groupBy("id").agg(best.alias("b"), F.count_distinct("level", "hash").alias("linked")).select(
         "id", F.col("b.parent").alias("parent"), "linked")
 
 
