@@ -14,7 +14,8 @@ from typing import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.operators import clean, evaluate, profile, splits
+from riskframe.operators import evaluate, profile, splits
+from riskframe.session import cut_lineage
 
 
 @dataclass
@@ -90,6 +91,30 @@ def risk_ensemble(df: DataFrame, key: Sequence[str], labellers: Sequence[Labelle
     return evaluate.risk_table(scored, "score", "risk", ["risk_name"])
 
 
+def model_ensemble(df: DataFrame, key: Sequence[str], fits: dict[str, Callable[[DataFrame], object]],
+                   risks: dict[str, Column], holdout: float = 0.1, seed: int = 42) -> DataFrame:
+    """X8 with fitted models: (risk_name, score, risk, total) over the hold-out rows.
+
+    ``fits`` maps a labeller to a function that labels and fits the core rows
+    and returns anything with ``transform`` that adds ``pred`` (a fitted chain,
+    the model of a train/test process).  Every model sees the hold-out rows as
+    they are; votes are summed per key (a NULL vote counts as none).
+    """
+    key = list(key)
+    flagged = cut_lineage(splits.split_holdout(df, key, holdout, seed))
+    core, hold = splits.train_test(flagged, "is_holdout")
+    votes = None
+    for fit in fits.values():
+        one = fit(core).transform(hold).select(*key, F.coalesce(F.col("pred").cast("int"), F.lit(0)).alias("vote"))
+        votes = one if votes is None else votes.unionByName(one)
+    score = votes.groupBy(*key).agg(F.sum("vote").cast("int").alias("score"))
+    outcomes = F.array(*[F.struct(F.lit(n).alias("risk_name"), c.cast("int").alias("risk"))
+                         for n, c in risks.items()])
+    scored = hold.withColumn("__o", outcomes).select(*key, "__o").join(score, key)
+    scored = scored.select("score", F.explode("__o").alias("o")).select("o.risk_name", "score", "o.risk")
+    return evaluate.risk_table(scored, "score", "risk", ["risk_name"])
+
+
 @dataclass
 class Study:
     """One study run: label, the rows that take part, and the columns that would leak its label.

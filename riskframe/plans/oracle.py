@@ -713,3 +713,10 @@ UNION ALL SELECT 'rows test', CAST(count(*) AS DOUBLE) FROM s WHERE is_test = 1
 """ + "\n".join(f"""UNION ALL SELECT '{f} {n}', round(CAST({e} AS DOUBLE), 6) FROM t3""" for f in _LABELLER_FEATS
                 for n, e in (("count", f"count({f})"), ("min", f"min({f})"), ("p50", f"quantile_cont({f}, 0.5)"),
                              ("max", f"max({f})")))
+
+SQL["risk_ensemble_fitted"] = f"""WITH {T3},
+{split_cte('h', 't3', 'doc_id', None, 0.2, tag='holdout', flag='is_holdout')},
+hold AS (SELECT * FROM h WHERE is_holdout = 1)
+{checks([('quality_total', '(SELECT count(*) FROM hold)'), ('quality_risk', '(SELECT sum(label) FROM hold)'),
+         ('toxic_total', '(SELECT count(*) FROM hold)'),
+         ('toxic_risk', '(SELECT count(*) FROM hold WHERE toxic > 0)'), ('votes_tell', 1)])}"""

@@ -926,3 +926,22 @@ def q_run_labeller(spark, d):
     sizes = tables["scores"].select(F.concat(F.lit("rows "), "split").alias("name"), (
         F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).cast("double").alias("value"))
     return counts.union(described).union(sizes)
+
+
+@query("risk_ensemble_fitted")
+def q_risk_ensemble_fitted(spark, d):
+    """X8 with fitted chains: two labellers on T3, votes of their chains against two outcomes (checks)."""
+    t = _separable(spark, d)
+    chains = {"low_quality": grid.Chain(None, False, None, "all", "none", "logistic"),
+              "long": grid.Chain(None, False, None, "all", "under_random", "svc")}
+    label = {"low_quality": F.col("label"), "long": (F.col("n_words") > 0.05).cast("int")}
+    fits = {n: lambda core, n=n: grid.fit_chain(chains[n], core.withColumn("label", label[n]), SEPARABLE, C.T3_KEY)
+            for n in chains}
+    table = ensemble.model_ensemble(t, C.T3_KEY, fits, {"quality": F.col("label") == 1, "toxic": F.col("toxic") > 0}, 0.2)
+    on = lambda name, c: F.sum(F.when(F.col("risk_name") == name, F.col(c)))
+    rate = lambda voted: (F.sum(F.when((F.col("risk_name") == "quality") & voted, F.col("risk")))
+                          / F.sum(F.when((F.col("risk_name") == "quality") & voted, F.col("total"))))
+    return _checks_df(table, {
+        "quality_total": on("quality", "total"), "quality_risk": on("quality", "risk"),
+        "toxic_total": on("toxic", "total"), "toxic_risk": on("toxic", "risk"),
+        "votes_tell": (rate(F.col("score") > 0) > rate(F.col("score") == 0)).cast("int")})
