@@ -14,11 +14,11 @@ at least ``percent`` / 100.  Result: one row per document with its component.
    Group pairs come from shared prefix shingles under the size filter and the
    positional filter; then members are expanded and verified on whole sets.
 
-Pairs inside a hot group are not all emitted.  First each class meets the
-smallest group of each of its shingles, and each group's members meet its
-first member; that joins large families by a star.  Then only pairs of
-*different* components that share a prefix shingle are expanded, all of them,
-so no link between components can be lost.
+Pairs inside a hot group are not all emitted.  First each group's members meet
+its first member, and each group meets one hub that shares a prefix shingle
+with it; that joins large families by stars.  Then only pairs of *different*
+components that share a prefix shingle are expanded, all of them, so no link
+between components can be lost.
 
 Defined cases: null and empty texts have no shingles and link with nothing;
 texts under ``size`` words are one shingle (the whole sequence); ties do not
@@ -196,6 +196,7 @@ def _prefixer(size: int, percent: int, buckets: int):
             shared = member(cut, known)
             rows = sets.firsts(_dropped(notes))
             length = sets.n - -(-percent * sets.n // 100) + 1
+            rows = rows[100 * sets.n[rows] >= percent * (sets.n[rows] + 1)]  # smaller sets link with equal ones only
             lone = np.bincount(sets.doc[~shared], minlength=len(sets.n))
             for r in rows[lone[rows] < length[rows]].tolist():
                 s = slice(sets.edges[r], sets.edges[r + 1])
@@ -245,6 +246,12 @@ def _may_link(x: str, y: str, percent: int):
             & ((100 + percent) * common >= percent * (F.col(n) + F.col(m))))
 
 
+def _labels(heads: DataFrame, found: DataFrame) -> DataFrame:
+    """node, grp, label of every class under the links found so far."""
+    return written(heads.select("node", "grp").join(components(found), "node", "left")
+                   .withColumn("label", F.coalesce("label", "node")), "labels")
+
+
 def links(sets: DataFrame, percent: int) -> DataFrame:
     """Verified links (a, b) of class numbers that connect all linked classes.
 
@@ -255,28 +262,36 @@ def links(sets: DataFrame, percent: int) -> DataFrame:
                     "prefix-groups")
     tokens = written(heads.where("node = grp").select("grp", "n", F.explode(F.arrays_zip("tokens", "places")).alias("t"))
                      .select("grp", "n", F.col("t.tokens").alias("token"), F.col("t.places").alias("place")), "tokens")
-    # stars: members to their group's first, groups to the smallest group of each shingle
-    hub = tokens.groupBy("token").agg(F.min(F.struct("grp", "n", "place")).alias("h"), F.count(F.lit(1)).alias("c"))
-    hub = hub.where("c > 1").select("token", "h.grp", "h.n", "h.place")
-    near = tokens.alias("t").join(hub.alias("h"), "token").where(_may_link("t", "h", percent))
-    stars = heads.select(F.col("grp").alias("a"), F.col("node").alias("b")).union(
-        near.select(F.col("t.grp").alias("a"), F.col("h.grp").alias("b")))
-    found = written(_verified(stars, sets, percent), "stars")
+    # stars: members meet their group's first; each group meets one hub of another component that
+    # shares a prefix shingle with it.  The hub of a shingle is the group that has the fewest rarer
+    # shingles before it: the text that the others of a family are edits of.
+    stars, label = heads.select(F.col("grp").alias("a"), F.col("node").alias("b")), None
+    found = None
+    for best in (F.min, F.max):
+        own = (tokens.withColumn("label", F.col("grp")) if label is None else
+               tokens.join(label.where("node = grp").select("grp", "label"), "grp"))
+        hub = (own.groupBy("token").agg(F.min(F.struct("place", "grp", "n", "label")).alias("h"),
+                                        (F.min("label") < F.max("label")).alias("several"))
+               .where("several").select("token", "h.*"))
+        near = (own.alias("t").join(hub.alias("h"), "token")
+                .where((F.col("t.label") != F.col("h.label")) & _may_link("t", "h", percent))
+                .groupBy(F.col("t.grp").alias("b")).agg(best(F.struct("h.place", "h.grp")).alias("h"))
+                .select(F.col("h.grp").alias("a"), "b"))
+        new = _verified(near if found is not None else stars.union(near), sets, percent)
+        found = written(new if found is None else found.union(new), "stars")
+        label = _labels(heads, found)
     # the rest: all pairs of different components that share a prefix shingle
-    label = components(found)
-    item = (heads.select("node", "grp").join(label, "node", "left")
-            .withColumn("label", F.coalesce("label", "node")))
-    item = written(item, "labels")
-    held = item.join(tokens, "grp")
-    sides = (held.groupBy("token", "label").agg(F.min("n").alias("lo"), F.max("n").alias("hi"),
-                                                F.min("place").alias("place")))
+    held = label.join(tokens, "grp")
+    sides = held.groupBy("token", "label").agg(F.min("n").alias("lo"), F.max("n").alias("hi"),
+                                               F.max(F.col("n") - F.col("place")).alias("rest"))
     several = sides.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("token")
     sides = written(sides.join(several, "token", "left_semi"), "sides")
     p, q = sides.alias("p"), sides.alias("q")
-    met = (p.join(q, "token").where((F.col("p.label") < F.col("q.label"))
-                                    & (100 * F.col("p.hi") >= percent * F.col("q.lo"))
-                                    & (100 * F.col("q.hi") >= percent * F.col("p.lo")))
-           .select("token", F.col("p.label").alias("la"), F.col("q.label").alias("lb")))
+    met = (p.join(q, "token").where(
+        (F.col("p.label") < F.col("q.label")) & (100 * F.col("p.hi") >= percent * F.col("q.lo"))
+        & (100 * F.col("q.hi") >= percent * F.col("p.lo"))
+        & ((100 + percent) * F.least("p.rest", "q.rest") >= percent * (F.col("p.lo") + F.col("q.lo"))))
+        .select("token", F.col("p.label").alias("la"), F.col("q.label").alias("lb")))
     left = held.select("token", F.col("label").alias("la"), "node", "n", "place").alias("x")
     right = held.select("token", F.col("label").alias("lb"), "node", "n", "place").alias("y")
     cross = (met.join(left, ["token", "la"]).join(right, ["token", "lb"]).where(_may_link("x", "y", percent))
