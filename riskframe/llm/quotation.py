@@ -93,19 +93,23 @@ def _parents(rows: DataFrame) -> DataFrame:
 
 
 def _ancestry(nodes: DataFrame) -> DataFrame:
-    """id, root, depth from (id, parent); each round doubles the distance that is known."""
-    state = written(nodes.select("id", F.coalesce("parent", "id").alias("root"),
-                                 F.col("parent").isNotNull().cast("long").alias("depth")), "ancestry")
-    total = None
-    while True:
-        now = state.agg(F.sum("depth")).first()[0]
-        if now == total:
-            return state
-        total = now
-        up = state.select(F.col("id").alias("root"), F.col("root").alias("next"), F.col("depth").alias("more"))
-        state = written(state.join(up, "root", "left").select(
-            "id", F.coalesce("next", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth")),
-            "ancestry")
+    """id, root, depth from (id, parent).
+
+    Each round doubles the distance that is known, for the nodes that have not
+    reached their root yet; the others only answer.
+    """
+    first = written(nodes.select("id", F.coalesce("parent", "id").alias("root"),
+                                 F.col("parent").isNotNull().cast("long").alias("depth"),
+                                 F.col("parent").isNull().alias("done")), "ancestry")
+    done, active = first.where("done"), first.where("not done")
+    while active.take(1):
+        known = done.union(active).select(F.col("id").alias("root"), F.col("root").alias("next"),
+                                          F.col("depth").alias("more"), F.col("done").alias("over"))
+        step = written(active.select("id", "root", "depth").join(known, "root").select(
+            "id", F.col("next").alias("root"), (F.col("depth") + F.col("more")).alias("depth"),
+            F.col("over").alias("done")), "ancestry")
+        done, active = done.union(step.where("done")), step.where("not done")
+    return done.select("id", "root", "depth")
 
 
 def link_quotations(messages: DataFrame, id_col: str = "id", scope_col: str = "scope", order_col: str = "place",
