@@ -25,6 +25,8 @@ from riskframe.llm.queries import tokenizer_path
 
 #: A document is rejected when no language is at least this likely.
 LEAST_SCORE = 0.4
+#: Words of a shingle, and Jaccard similarity in percent from which documents are near copies.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 
 
 def _surrogate() -> Column:
@@ -60,9 +62,13 @@ def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of each component of near copies."""
+    """Keep the document with the smallest id of each component of near copies.
+
+    Near copies have a Jaccard similarity of 0.8 or more over five-word shingles.
+    """
     prepare(spark)
-    found = jaccard_join(docs.select(_surrogate().alias("sid"), "text"), id_col="sid")
+    found = jaccard_join(docs.select(_surrogate().alias("sid"), "text"), id_col="sid", size=NEAR_WORDS,
+                         percent=NEAR_PERCENT)
     return _only(docs, written(found.where("id = component_id").select(F.col("id").alias("sid")), "kept"))
 
 

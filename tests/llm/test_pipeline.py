@@ -2,7 +2,7 @@ import corpus_pipeline as pipeline
 
 from . import cases
 from .test_exact_dedup import normal
-from .test_jaccard_join import brute
+from .test_jaccard_join import LOWER, brute
 
 
 def run(spark, name, rows):
@@ -42,3 +42,29 @@ def test_run_small(spark):
 def test_empty(spark):
     for name, stage in pipeline.STAGES:
         assert stage(spark, cases.empty(spark), "").count() == 0, name
+
+
+def near_heads(rows, size, percent):
+    """Rows that stay: of each component of near copies the one with the smallest id."""
+    sets = []
+    for r in rows:
+        w = cases.words((r[1] or "").translate(LOWER))
+        sets.append({tuple(w[i:i + size]) for i in range(max(1, len(w) - size + 1))} if w else set())
+    comp = list(range(len(rows)))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and 100 * len(a & b) >= percent * len(a | b) and comp[i] != comp[j]:
+                comp = [comp[j] if c == comp[i] else c for c in comp]
+    return {min(r[0] for r, c in zip(rows, comp, strict=True) if c == k) for k in comp}
+
+
+def test_near_copies_are_of_five_words_and_four_fifths(spark):
+    rows = [r for r in cases.documents() if r[0] is not None and cases.words(r[1])]
+    rows = [r for i, r in enumerate(rows) if r[0] not in {x[0] for x in rows[:i]}]
+    base = [f"w{i}" for i in range(200)]
+    edited = ["x" if i in (20, 70, 120, 170) else w for i, w in enumerate(base)]
+    texts = [base, edited, base + [f"y{i}" for i in range(28)], ["z" if i % 35 == 20 else w for i, w in enumerate(base)]]
+    rows += [(1000 + i, " ".join(t), "en", "s1", 1, "c", 7, "z") for i, t in enumerate(texts)]
+    got = {r[0] for r in run(spark, "jaccard_join", rows)}
+    assert got == near_heads(rows, 5, 80) != near_heads(rows, 3, 90)
+    assert {1000, 1003} == {i for i in got if i >= 1000}
