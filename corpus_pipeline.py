@@ -6,7 +6,8 @@ DataFrame; its result is written to the shared folder and read as the next
 stage's ``docs``.  All but the last return the columns they got.
 
 Defined cases: a document with a null id is told apart by its text; of rows
-equal in id and text one survives the dedup stages; null texts are rejected by
+equal in id and text one survives the dedup stages, and of copies that share an
+id too; null texts are rejected by
 language ID; where a stage gets them they count as empty.
 """
 
@@ -35,14 +36,14 @@ def _surrogate() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), own)
 
 
+def _numbered(docs: DataFrame) -> DataFrame:
+    """``docs``, written with a number for every row (column __row)."""
+    return written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+
+
 def _only(docs: DataFrame, keepers: DataFrame) -> DataFrame:
-    """The rows whose surrogate id is in ``keepers`` (column sid), rows equal in id and text once."""
-    columns = docs.columns
-    once = Window.partitionBy("__sid", "__text").orderBy(F.lit(0))
-    marked = docs.withColumn("__sid", _surrogate()).join(
-        keepers.select(F.col("sid").alias("__sid")).distinct(), "__sid", "left_semi")
-    return (marked.withColumn("__text", F.xxhash64("text")).withColumn("__n", F.row_number().over(once))
-            .where("__n = 1").select(*[F.col(f"`{c}`") for c in columns]))
+    """The rows of numbered ``docs`` whose numbers are in ``keepers`` (column row)."""
+    return docs.join(keepers.select(F.col("row").alias("__row")), "__row", "left_semi").drop("__row")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,8 +58,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of equal texts."""
     prepare(spark)
-    verdict = exact_dedup(docs.select(_surrogate().alias("sid"), "text"), id_col="sid")
-    return _only(docs, written(verdict.where("kept").select(F.col("id").alias("sid")), "kept"))
+    rows = _numbered(docs)
+    verdict = exact_dedup(rows.select(_surrogate().alias("sid"), "text", "__row"), id_col="sid", row_col="__row")
+    return _only(rows, written(verdict.where("kept").select("row"), "kept"))
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -67,9 +69,15 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Near copies have a Jaccard similarity of 0.8 or more over five-word shingles.
     """
     prepare(spark)
-    found = jaccard_join(docs.select(_surrogate().alias("sid"), "text"), id_col="sid", size=NEAR_WORDS,
-                         percent=NEAR_PERCENT)
-    return _only(docs, written(found.where("id = component_id").select(F.col("id").alias("sid")), "kept"))
+    rows = _numbered(docs)
+    keys = rows.select(F.col("__row").alias("row"), _surrogate().alias("sid"), F.xxhash64("text").alias("text"))
+    found = jaccard_join(rows.select("__row", "text"), id_col="__row", size=NEAR_WORDS, percent=NEAR_PERCENT)
+    found = found.select(F.col("id").alias("row"), "n_shingles", "component_id").join(keys, "row")
+    # texts without words are no near copies: of those only rows equal in id and text are one
+    blank = F.col("n_shingles") == 0
+    best = found.groupBy(F.when(~blank, F.col("component_id")), F.when(blank, F.col("sid")),
+                         F.when(blank, F.col("text"))).agg(F.min(F.struct("sid", "row")).alias("best"))
+    return _only(rows, written(best.select("best.row"), "kept"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

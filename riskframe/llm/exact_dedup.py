@@ -26,12 +26,13 @@ from pyspark.sql import functions as F
 from .common import SPACES, prepare, shared_path, written
 
 
-def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, digest, chars and a row number for every row; the text is read once and not shuffled."""
+def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
+    """id, digest, chars and a row number (``row_col``, or a new one) for every row; the text is read once and not shuffled."""
+    row = F.col(f"`{row_col}`") if row_col else F.monotonically_increasing_id()
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     return docs.select(F.col(f"`{id_col}`").alias("id"),
                        F.unhex(F.sha2(F.translate(text, SPACES, ""), 256)).alias("digest"),
-                       F.char_length(text).alias("chars"), F.monotonically_increasing_id().alias("row"))
+                       F.char_length(text).alias("chars"), row.alias("row"))
 
 
 class DigestIndex:
@@ -57,15 +58,16 @@ class DigestIndex:
             out = out.option("path", shared_path(self.spark, self.name))
         out.saveAsTable(self.name)
 
-    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+            row_col: str | None = None) -> DataFrame:
         """Append the batch's new texts; one row per input row says what became of it.
 
         Columns: id, keep_id (id of the row that stays, of this batch or an
         earlier one), group_size (rows of this batch with that text), kept,
-        digest, row (number of the input row).
+        digest, row (number of the input row; ``row_col`` where given).
         """
         batch = uuid.uuid4().hex
-        rows = written(digests(docs, id_col, text_col), "digests")
+        rows = written(digests(docs, id_col, text_col, row_col), "digests")
         first = F.min(F.struct(-F.col("chars"), F.col("id").isNull(), F.col("id"), F.col("row"))).alias("first")
         groups = rows.groupBy("digest").agg(first, F.count(F.lit(1)).alias("group_size"))
         best = groups.select("digest", F.col("first.id").alias("keep_id"), F.lit(batch).alias("batch"),
@@ -81,6 +83,7 @@ class DigestIndex:
             ((F.col("batch") == batch) & (F.col("keep_row") == F.col("row"))).alias("kept"), "digest", "row")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                row_col: str | None = None) -> DataFrame:
     """:meth:`DigestIndex.add` of one batch to a new index."""
-    return DigestIndex(docs.sparkSession).add(docs, id_col, text_col)
+    return DigestIndex(docs.sparkSession).add(docs, id_col, text_col, row_col)

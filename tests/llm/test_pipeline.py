@@ -68,3 +68,16 @@ def test_near_copies_are_of_five_words_and_four_fifths(spark):
     got = {r[0] for r in run(spark, "jaccard_join", rows)}
     assert got == near_heads(rows, 5, 80) != near_heads(rows, 3, 90)
     assert {1000, 1003} == {i for i in got if i >= 1000}
+
+
+def test_copies_go_where_an_id_repeats(spark):
+    rest = ("en", "s1", 1, "c", 7, "z")
+    base = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, "a b", *rest), (1, "ab", *rest), (2, "c", *rest), (3, "c ", *rest), (3, "d", *rest), (2, "e", *rest),
+            (None, "f", *rest), (None, "f", *rest)]
+    assert sorted((r[1] for r in run(spark, "exact_dedup", rows))) == ["a b", "c ", "d", "e", "f"]
+    rows = [(1, base, *rest), (1, base + " x", *rest), (5, "other", *rest), (7, "other", *rest), (7, "third", *rest),
+            (None, None, *rest), (None, None, *rest), (8, "", *rest), (9, "", *rest)]
+    near = run(spark, "jaccard_join", rows)
+    assert len(near) == 6 and sum(r[0] == 1 for r in near) == 1
+    assert {(r[0], r[1]) for r in near if r[0] != 1} == {(5, "other"), (7, "third"), (None, None), (8, ""), (9, "")}
