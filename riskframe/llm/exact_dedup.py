@@ -19,6 +19,7 @@ empty batch adds nothing; other columns are not read.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,8 +67,11 @@ class DigestIndex:
         earlier one), group_size (rows of this batch with that text), kept,
         digest, row (number of the input row; ``row_col`` where given).
         """
+        return self.add_digests(written(digests(docs, id_col, text_col, row_col), "digests"))
+
+    def add_digests(self, rows: DataFrame) -> DataFrame:
+        """:meth:`add` for a written result of :func:`digests`."""
         batch = uuid.uuid4().hex
-        rows = written(digests(docs, id_col, text_col, row_col), "digests")
         first = F.min(F.struct(-F.col("chars"), F.col("id").isNull(), F.col("id"), F.col("row"))).alias("first")
         groups = rows.groupBy("digest").agg(first, F.count(F.lit(1)).alias("group_size"))
         best = groups.select("digest", F.col("first.id").alias("keep_id"), F.lit(batch).alias("batch"),
@@ -83,7 +87,15 @@ class DigestIndex:
             ((F.col("batch") == batch) & (F.col("keep_row") == F.col("row"))).alias("kept"), "digest", "row")
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                row_col: str | None = None) -> DataFrame:
-    """:meth:`DigestIndex.add` of one batch to a new index."""
-    return DigestIndex(docs.sparkSession).add(docs, id_col, text_col, row_col)
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None,
+                index: DigestIndex | None = None, batches: int = 2) -> DataFrame:
+    """:meth:`DigestIndex.add` of ``batches`` batches to ``index`` (a new one by default).
+
+    A batch takes the digests of one hash range, so equal texts share a batch and
+    the result does not depend on their number; all but the first are
+    anti-joined with what the index holds.
+    """
+    index = index or DigestIndex(docs.sparkSession)
+    rows = written(digests(docs, id_col, text_col, row_col), "digests")
+    part = F.pmod(F.xxhash64("digest"), F.lit(batches))
+    return reduce(DataFrame.union, [index.add_digests(rows.where(part == i)) for i in range(batches)])

@@ -52,7 +52,7 @@ def op4_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents as one batch of a new digest index."""
+    """All documents in two batches of a new digest index."""
     out = exact_dedup(read(spark, sf_dir, "documents"))
     return out.select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept",
                       F.lower(F.hex("digest")).alias("text_sha256"))

@@ -42,3 +42,14 @@ def test_later_batches_meet_the_index(spark):
 
 def test_empty_table(spark):
     assert exact_dedup(cases.empty(spark)).count() == 0
+
+
+def test_batches_of_one_call_meet_the_index(spark):
+    rows = cases.documents()
+    index = DigestIndex(spark, buckets=3)
+    out = exact_dedup(cases.frame(spark, rows), index=index).collect()
+    entries = index.read().collect()
+    assert len({e.batch for e in entries}) == 2
+    assert len(entries) == len({normal(r[1]) for r in rows}) == sum(r.kept for r in out) and len(out) == len(rows)
+    again = exact_dedup(cases.frame(spark, rows), index=index, batches=1).collect()
+    assert not any(r.kept for r in again) and index.read().count() == len(entries)
