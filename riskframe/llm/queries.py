@@ -14,6 +14,7 @@ from .mixing import mix_sources
 from .packing import pack
 from .quotation import link_quotations, with_quotations
 from .substring_dedup import remove_repeats
+from .token_counts import count_tokens
 from .topk_search import top_k
 from .warc import round_trip
 
@@ -25,9 +26,9 @@ def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     import public_tokenizers
-    return public_tokenizers.path("word_bpe_49k.json")
+    return public_tokenizers.path(name)
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -101,6 +102,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "held_out", "score", "predicted")
 
 
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every whole text; over_limit above 512."""
+    prepare(spark)
+    return count_tokens(read(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 QUERIES = {
     "op1_substring_dedup": op1_substring_dedup,
     "op2_packing": op2_packing,
@@ -112,6 +119,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_language_id": op9_language_id,
     "op10_quality": op10_quality,
+    "op13_token_counts": op13_token_counts,
 }
 
 SQL: dict[str, str] = {
