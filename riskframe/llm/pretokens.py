@@ -92,3 +92,24 @@ def spans(data: np.ndarray, cuts: np.ndarray) -> pa.DictionaryArray:
     out = pa.Array.from_buffers(pa.large_binary(), len(cuts) - 1, [
         None, pa.py_buffer(np.ascontiguousarray(cuts, np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
     return pc.dictionary_encode(out)
+
+
+def cut_rows(offsets: np.ndarray, limit: int, places) -> np.ndarray:
+    """``offsets`` with cuts inside rows longer than ``limit``, at positions that ``places(start, end)`` allows.
+
+    ``places`` gives ascending positions relative to the row's start; the last
+    one within the limit is taken, or else the first one after it.
+    """
+    more = []
+    for r in np.flatnonzero(np.diff(offsets) > limit).tolist():
+        a, b = int(offsets[r]), int(offsets[r + 1])
+        good, last = places(a, b), 0
+        while b - a - last > limit:
+            i = int(np.searchsorted(good, last + limit, side="right")) - 1
+            if i < 0 or good[i] <= last:
+                i += 1
+            if i >= len(good):
+                break
+            last = int(good[i])
+            more.append(a + last)
+    return np.sort(np.concatenate([offsets, np.array(more, np.int64)])) if more else offsets

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import quality
+from .collocations import collocations
 from .common import prepare, read
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_join
@@ -102,6 +103,12 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "held_out", "score", "predicted")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Phrases of 2 to 5 words with 100 occurrences in a language, the best 2000 of each."""
+    prepare(spark)
+    return collocations(read(spark, sf_dir, "documents"))
+
+
 def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every whole text; over_limit above 512."""
     prepare(spark)
@@ -119,6 +126,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_language_id": op9_language_id,
     "op10_quality": op10_quality,
+    "op12_collocations": op12_collocations,
     "op13_token_counts": op13_token_counts,
 }
 
@@ -218,4 +226,38 @@ r AS (
 SELECT doc_id, CAST(size AS BIGINT) AS size, source_size, target,
        CAST(least(floor(place * rate + start) - floor((place - 1) * rate + start), ceil(rate)) * size AS BIGINT) AS taken
 FROM r""",
+    "op12_collocations": r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p),
+n AS (
+  SELECT lang, sum(len(w)) AS n FROM w GROUP BY lang),
+f AS (
+  SELECT lang, m, array_to_string(w[i:i + m - 1], ' ') AS phrase, count(*) AS a
+  FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i
+        FROM w, (SELECT unnest([1, 2, 3, 4, 5]) AS m) WHERE len(w) >= m)
+  GROUP BY ALL HAVING count(*) >= 100),
+c AS (
+  SELECT lang, m, phrase, a, string_split(phrase, ' ') AS v FROM f WHERE m > 1),
+k AS (
+  SELECT c.lang, c.phrase, c.a, x.a AS l, y.a AS r, n.n, k,
+         (1000 * c.a::HUGEINT * n.n::HUGEINT) // (x.a::HUGEINT * y.a::HUGEINT) AS score
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM c) c
+  JOIN f x ON x.lang = c.lang AND x.phrase = array_to_string(v[1:k], ' ')
+  JOIN f y ON y.lang = c.lang AND y.phrase = array_to_string(v[k + 1:], ' ')
+  JOIN n ON n.lang = c.lang),
+s AS (
+  SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inside AS (
+  SELECT lang, array_to_string(v[i:i + z - 1], ' ') AS phrase, max(a) AS within
+  FROM (SELECT *, unnest(range(1, m - z + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS z FROM c WHERE m > 2))
+  GROUP BY ALL),
+r AS (
+  SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.phrase) AS rank
+  FROM s LEFT JOIN inside USING (lang, phrase) WHERE within IS NULL OR 100 * within < 100 * a)
+SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
+       CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM r WHERE rank <= 2000""",
 }
