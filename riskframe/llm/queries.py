@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import quality
 from .collocations import collocations
 from .common import prepare, read
+from .conversation_repair import damage, digests, repair
 from .exact_dedup import exact_dedup
 from .jaccard_join import jaccard_join
 from .language_id import fit, held_out, predict
@@ -103,6 +104,20 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", "held_out", "score", "predicted")
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations damaged by a hash and repaired at least cost; faults, audit and digest of each."""
+    prepare(spark)
+    conversations = read(spark, sf_dir, "conversations")
+    faults, edits = repair(damage(conversations))
+    found = faults.join(digests(edits).withColumnRenamed("conv", "same"), F.col("conv").eqNullSafe(F.col("same")))
+    every = conversations.select("conv_id").distinct()
+    numbers = [F.coalesce(c, F.lit(0)).cast("long").alias(c)
+               for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.join(found, F.col("conv_id").eqNullSafe(F.col("conv")), "left").select(
+        "conv_id", *numbers, F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Phrases of 2 to 5 words with 100 occurrences in a language, the best 2000 of each."""
     prepare(spark)
@@ -126,6 +141,7 @@ QUERIES = {
     "op8_mixing": op8_mixing,
     "op9_language_id": op9_language_id,
     "op10_quality": op10_quality,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_collocations": op12_collocations,
     "op13_token_counts": op13_token_counts,
 }
@@ -260,4 +276,68 @@ r AS (
 SELECT lang, rank, phrase, CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r,
        CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
 FROM r WHERE rank <= 2000""",
+    "op11_conversation_repair": r"""
+WITH RECURSIVE h AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+         coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key
+  FROM conversations),
+d AS (
+  SELECT *, xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(key, ''), lambda x: ord(x)::BIGINT)),
+    lambda c, b: list_reduce(list_prepend(xor(c, b), [0, 0, 0, 0, 0, 0, 0, 0]::BIGINT[]),
+                             lambda x, y: xor(x >> 1, 3988292384::BIGINT * (x & 1)))), 4294967295::BIGINT) % 20 AS kind
+  FROM h),
+m AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+         CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+         unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM d WHERE kind <> 0),
+o AS (
+  SELECT *, dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS conv,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role,
+                            sha256(length(role) || ':' || role || text)) AS i,
+         rtrim(text, E' \t\n\x0B\x0C\r') AS said, left(role, 1) AS r
+  FROM m),
+e AS (
+  SELECT *, said = '' AS blank, row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 AS again,
+         right(said, 1) NOT IN ('.', '!', '?') AS unended,
+         coalesce(lag(r) OVER (PARTITION BY conv ORDER BY i) || r NOT IN ('su', 'ua', 'au'), false) AS wrong FROM o),
+g AS (
+  SELECT *, blank OR again AS gone, CASE WHEN unended THEN 1 ELSE 0 END AS extra FROM e),
+s AS (
+  SELECT conv, any_value(conv_id) AS conv_id, count(*) AS n,
+         coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+         count(*) FILTER (blank) AS blank, count(*) FILTER (again AND NOT blank) AS duplicate,
+         count(*) FILTER (unended AND NOT gone) AS truncated, count(*) FILTER (wrong) AS illegal FROM g GROUP BY conv),
+-- the best repair of the first i messages for each state: cost, audit, lines
+p(conv, i, x0, xs, xu, xa) AS (
+  SELECT conv, 0::BIGINT, {'c': 0::BIGINT, 'a': '', 't': ''}, NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR),
+         NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR), NULL::STRUCT(c BIGINT, a VARCHAR, t VARCHAR) FROM s
+  UNION ALL
+  SELECT conv, i, {'c': x0.c + 3, 'a': x0.a || 'D', 't': x0.t},
+    list_min([CASE WHEN xs IS NOT NULL THEN {'c': xs.c + 3, 'a': xs.a || 'D', 't': xs.t} END,
+              CASE WHEN r = 's' AND NOT gone THEN {'c': x0.c + extra, 'a': x0.a || 'K', 't': x0.t || E'\n' || line} END]),
+    list_min([CASE WHEN yu IS NOT NULL THEN {'c': yu.c + 3, 'a': yu.a || 'D', 't': yu.t} END,
+              CASE WHEN NOT gone THEN list_min(list_transform(list_filter([x0, xs, ya], lambda y: y IS NOT NULL),
+                lambda y: {'c': y.c + extra + CASE WHEN r = 'u' THEN 0 ELSE 2 END, 'a': y.a || CASE WHEN r = 'u' THEN 'K' ELSE 'R' END,
+                           't': y.t || E'\n' || CASE WHEN r = 'u' THEN line ELSE 'user:' || text END})) END]),
+    list_min([CASE WHEN ya IS NOT NULL THEN {'c': ya.c + 3, 'a': ya.a || 'D', 't': ya.t} END,
+              CASE WHEN NOT gone AND yu IS NOT NULL THEN
+                {'c': yu.c + extra + CASE WHEN r = 'a' THEN 0 ELSE 2 END, 'a': yu.a || CASE WHEN r = 'a' THEN 'K' ELSE 'R' END,
+                 't': yu.t || E'\n' || CASE WHEN r = 'a' THEN line ELSE 'assistant:' || text END} END])
+  FROM (
+    SELECT *, list_min([xa, CASE WHEN yu IS NOT NULL THEN {'c': yu.c + 2, 'a': yu.a || 'I', 't': yu.t || E'\nassistant:'} END]) AS ya
+    FROM (
+      SELECT p.conv, g.i, x0, xs, xa, r, gone, extra, g.text, g.role || ':' || g.text AS line,
+             list_min([xu] || list_transform(list_filter([x0, xs, xa], lambda y: y IS NOT NULL),
+               lambda y: {'c': y.c + 2, 'a': y.a || 'I', 't': y.t || E'\nuser:'})) AS yu
+      FROM p JOIN g ON g.conv = p.conv AND g.i = p.i + 1))),
+z AS (
+  SELECT s.conv, list_min([x0, xa, CASE WHEN xu IS NOT NULL THEN {'c': xu.c + 2, 'a': xu.a || 'I', 't': xu.t || E'\nassistant:'} END,
+    CASE WHEN xs IS NOT NULL THEN {'c': xs.c + 4, 'a': xs.a || 'II', 't': xs.t || E'\nuser:\nassistant:'} END]) AS best
+  FROM p JOIN s ON s.conv = p.conv AND s.n = p.i),
+every AS (SELECT DISTINCT conv_id FROM conversations)
+SELECT every.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+       coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(best.c, 0) AS cost,
+       coalesce(best.a, '') AS audit, sha256(substr(coalesce(best.t, ''), 2)) AS repaired_sha256
+FROM every LEFT JOIN (s JOIN z USING (conv)) ON s.conv_id IS NOT DISTINCT FROM every.conv_id""",
 }
