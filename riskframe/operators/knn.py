@@ -1,10 +1,17 @@
 """Exact nearest neighbours and other all-pairs kernels (J5, B4, R9 building block).
 
-Both sides are hashed into blocks; each (left block, right block) pair meets in
-one cogroup and a numpy kernel runs on it, so no task ever holds more than two
-blocks and no unblocked cartesian product is planned.  Total work is
-inherently quadratic for exact neighbours; block size bounds per-task memory
-and the number of block pairs sets the parallelism.
+Neighbours are found in metric cells.  Pivots are a hash sample of the right
+rows; every row lies in the cell of its nearest pivot.  A left row first meets
+its own cell, which gives it a k-th distance; it then visits only the cells that
+the triangle inequality does not rule out at that distance: cells whose ball or
+whose side of the bisecting plane is farther away, or that lie outside the ring
+around their pivot, are skipped.  Cells are cut into blocks, so no task holds
+more than two blocks however many rows share a cell; nothing is approximated.
+Work and copies follow the visited cells: few on clustered data, all of them
+where distances say nothing (many dimensions, no clusters).
+
+:func:`pairwise_blocks` is the plain all-pairs form for kernels that need every
+pair (exact silhouettes).
 
 Distances are Euclidean, summed over dimensions in order (same arithmetic as a
 sequential SQL ``list_distance``); ties are broken by the right-hand key.
@@ -20,7 +27,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskframe.session import cut_lineage
+
 DEFAULT_BLOCK_ROWS = 0   # 0: sized from the data
+#: Right rows of a cell on average, most pivots (their coordinates are in every task), most rows of a cell's block.
+ROWS_PER_CELL, MAX_PIVOTS, CELL_BLOCK_ROWS = 256, 2048, 16_384
 MIN_BLOCK_ROWS, MAX_BLOCK_ROWS, TARGET_BLOCKS = 512, 100_000, 256
 
 
@@ -75,66 +86,208 @@ def _key_rank(pdf: pd.DataFrame, key: Sequence[str]) -> np.ndarray:
     return rank
 
 
-def _topk_kernel(k: int, lkey, rkey, out_rkey, vec: str, exclude_self: bool, chunk: int = 256, payload=()):
+def _nearest(lp: pd.DataFrame, rp: pd.DataFrame, k: int, lkey, rkey, vec: str, exclude_self: bool,
+             chunk: int = 256) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Left positions, right positions and distances of the local top k, by left row and rank."""
+    Q, R = _matrix(lp, vec), _matrix(rp, vec)
+    rrank, kk = _key_rank(rp, rkey), min(k, len(rp))
+    out = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    for s in range(0, len(lp), chunk):
+        D = distances(Q[s:s + chunk], R)
+        if exclude_self:
+            same = np.ones(D.shape, dtype=bool)
+            for a, b in zip(lkey, rkey):
+                same &= lp[a].to_numpy()[s:s + chunk][:, None] == rp[b].to_numpy()[None, :]
+            D[same] = np.inf
+        picked = np.lexsort((np.broadcast_to(rrank, D.shape), D), axis=1)[:, :kk].reshape(-1)
+        rows = np.repeat(np.arange(D.shape[0]), kk)
+        dist = D[rows, picked]
+        ok = np.isfinite(dist)
+        out.append((rows[ok] + s, picked[ok], dist[ok]))
+    rows, picked, dist = (np.concatenate(x) for x in zip(*out))
+    return rows, picked, dist
+
+
+def _candidates(lp, rp, rows, picked, dist, lkey, rkey, out_rkey, payload) -> pd.DataFrame:
+    return pd.DataFrame({**{a: lp[a].to_numpy()[rows] for a in lkey},
+                         **{ob: rp[b].to_numpy()[picked] for b, ob in zip(rkey, out_rkey)},
+                         **{f"__p_{c}": rp[c].to_numpy()[picked] for c in payload}, "dist": dist})
+
+
+class Cells:
+    """Pivots and, per cell of right rows, their number and least and greatest distance to the pivot."""
+
+    def __init__(self, pivots: np.ndarray):
+        self.pivots = pivots
+        self.between = distances(pivots, pivots)
+        self.n = np.zeros(len(pivots), np.int64)
+        self.low, self.high = np.full(len(pivots), np.inf), np.zeros(len(pivots))
+
+    def describe(self, rows) -> None:
+        for cell, n, low, high in rows:
+            self.n[cell], self.low[cell], self.high[cell] = n, low, high
+
+    def visits(self, Q: np.ndarray, own: np.ndarray, limit: np.ndarray, k: int) -> tuple[list[list[int]], np.ndarray]:
+        """Cells besides its own that can hold one of a row's ``k`` nearest, and the distance that bounds those.
+
+        ``limit``: a distance within which the row has ``k`` rows; infinite if none is known.
+        """
+        to, bound = [], limit.copy()
+        for s in range(0, len(Q), 1024):
+            D = distances(Q[s:s + 1024], self.pivots)
+            mine, th = own[s:s + 1024], bound[s:s + 1024]
+            if k and np.isinf(th).any():  # the nearest cells that hold k rows together, counted whole
+                far = D + self.high
+                order = np.argsort(far, axis=1)
+                held = np.cumsum(self.n[order], axis=1) >= k
+                at = np.where(held.any(axis=1), held.argmax(axis=1), 0)
+                known = np.where(held.any(axis=1), np.take_along_axis(far, order, 1)[np.arange(len(D)), at], np.inf)
+                th = np.where(np.isinf(th), known * (1 + 1e-9), th)
+            rows = np.arange(len(D))
+            gap = 2 * self.between[mine]
+            plane = np.divide(D * D - (D[rows, mine] ** 2)[:, None], gap, out=np.zeros_like(D), where=gap > 0)
+            least = np.maximum(np.maximum(D - self.high, self.low - D), plane)
+            slack = 1e-9 * (1 + D + np.where(np.isinf(th), 0, th)[:, None])  # rounding of the bounds
+            go = (least <= th[:, None] + slack) & (self.n > 0)
+            go[rows, mine] = False
+            bound[s:s + 1024] = th
+            to += [np.flatnonzero(g).tolist() for g in go]
+        return to, bound
+
+
+def _assigner(cells, key, vec, carried):
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                Q = _matrix(pdf, vec)
+                cell, dist = np.empty(len(Q), np.int32), np.empty(len(Q))
+                for s in range(0, len(Q), 1024):
+                    D = distances(Q[s:s + 1024], cells.value.pivots)
+                    cell[s:s + 1024] = D.argmin(axis=1)
+                    dist[s:s + 1024] = D.min(axis=1)
+                yield pdf[[*key, vec, *carried]].assign(__cell=cell, __pd=dist)
+    return run
+
+
+def _own_cell_kernel(cells, k, lkey, rkey, out_rkey, vec, exclude_self, payload):
+    """Top k of the own cell; besides, a row with distance -1 (its right columns say nothing) that holds
+    the left vector, the cells to visit next and the distance that bounds what counts there."""
+    def fn(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
+        rows, picked, dist = _nearest(lp, rp, k, lkey, rkey, vec, exclude_self) if len(lp) and len(rp) else (
+            np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))
+        found = _candidates(lp, rp, rows, picked, dist, lkey, rkey, out_rkey, payload)
+        found[vec], found["__to"], found["__th"] = None, None, 0.0
+        if not len(lp) or not len(rp) or rp["__rb"].iloc[0]:  # a cell's first right block answers for it
+            return found
+        limit = np.full(len(lp), np.inf)
+        full = np.bincount(rows, minlength=len(lp)) >= k
+        limit[full] = np.maximum.reduceat(dist, np.flatnonzero(np.append(True, np.diff(rows) > 0)))[
+            full[np.unique(rows)]] if len(rows) else np.inf
+        to, bound = cells.value.visits(_matrix(lp, vec), lp["__cell"].to_numpy(), limit, 0 if exclude_self else k)
+        nothing = np.zeros(len(lp), np.int64)
+        more = _candidates(lp, rp, np.arange(len(lp)), nothing, np.full(len(lp), -1.0), lkey, rkey, out_rkey, payload)
+        more[vec], more["__to"], more["__th"] = lp[vec].to_numpy(), pd.Series(to, dtype=object), bound
+        return pd.concat([found, more], ignore_index=True) if len(found) else more
+    return fn
+
+
+def _visit_kernel(k, lkey, rkey, out_rkey, vec, exclude_self, payload):
     def fn(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        cols = [*lkey, *out_rkey, *(f"__p_{c}" for c in payload), "dist"]
         if lp.empty or rp.empty:
-            return pd.DataFrame({c: [] for c in cols})
-        Q, R = _matrix(lp, vec), _matrix(rp, vec)
-        rrank = _key_rank(rp, rkey)
-        kk = min(k, len(rp))
-        out = []
-        for s in range(0, len(lp), chunk):
-            D = distances(Q[s:s + chunk], R)
-            if exclude_self:
-                same = np.ones(D.shape, dtype=bool)
-                for a, b in zip(lkey, rkey):
-                    same &= lp[a].to_numpy()[s:s + chunk][:, None] == rp[b].to_numpy()[None, :]
-                D[same] = np.inf
-            order = np.lexsort((np.broadcast_to(rrank, D.shape), D), axis=1)[:, :kk]
-            rows = np.repeat(np.arange(D.shape[0]), kk)
-            picked = order.reshape(-1)
-            dist = D[rows, picked]
-            ok = np.isfinite(dist)
-            part = {a: lp[a].to_numpy()[s:s + chunk][rows][ok] for a in lkey}
-            for b, ob in zip(rkey, out_rkey):
-                part[ob] = rp[b].to_numpy()[picked][ok]
-            for c in payload:
-                part[f"__p_{c}"] = rp[c].to_numpy()[picked][ok]
-            part["dist"] = dist[ok]
-            out.append(pd.DataFrame(part))
-        return pd.concat(out, ignore_index=True)
+            return _candidates(lp, rp, [], [], [], lkey, rkey, out_rkey, payload)
+        rows, picked, dist = _nearest(lp, rp, k, lkey, rkey, vec, exclude_self)
+        ok = dist <= lp["__th"].to_numpy()[rows]
+        return _candidates(lp, rp, rows[ok], picked[ok], dist[ok], lkey, rkey, out_rkey, payload)
     return fn
 
 
+def _meet(left: DataFrame, right: DataFrame, kernel, schema: str, lkey, rkey, block_rows: int) -> DataFrame:
+    """``kernel`` on the rows of each cell (column __cell of both sides), in blocks of about ``block_rows``."""
+    size = lambda df, n: df.groupBy("__cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(n))
+    # one row per cell: bounded by the number of pivots
+    blocks = F.broadcast(cut_lineage(size(left, "__lblocks").join(size(right, "__rblocks"), "__cell")))
+    pick = lambda key, n: F.pmod(F.xxhash64(*key), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    lb = left.join(blocks, "__cell").withColumn("__lb", pick(lkey, "__lblocks")).withColumn("__rb", every("__rblocks"))
+    rb = right.join(blocks, "__cell").withColumn("__rb", pick(rkey, "__rblocks")).withColumn("__lb", every("__lblocks"))
+    at = ["__cell", "__lb", "__rb"]
+    return lb.groupBy(*at).cogroup(rb.groupBy(*at)).applyInPandas(kernel, schema)
+
+
 def _ddl(df: DataFrame, cols: Sequence[str], rename: Sequence[str] | None = None) -> str:
     types = dict((f.name, f.dataType) for f in df.schema.fields)
     names = rename or cols
     return ", ".join(f"{n} {types[c].simpleString()}" for c, n in zip(cols, names))
 
 
+def _in_cells(right: DataFrame, rkey: Sequence[str], vec: str, payload: Sequence[str],
+              rows_per_cell: int) -> tuple[Cells | None, DataFrame]:
+    """The cells of the right rows (None without rows), and the rows with their cells (written)."""
+    n = right.count()
+    if not n:
+        return None, right
+    m = max(1, min(MAX_PIVOTS, n // rows_per_cell))
+    picked = right.where(F.col(vec).isNotNull()).orderBy(F.xxhash64(*rkey), *rkey).limit(m).select(vec).collect()
+    pivots = np.unique(np.array([[np.nan if x is None else x for x in r[0]] for r in picked], dtype="float64")
+                       .reshape(len(picked), -1), axis=0)
+    pivots = pivots[np.isfinite(pivots).all(axis=1)]  # a hole is an error where the rows are read
+    cells = Cells(pivots if len(pivots) else np.zeros((1, pivots.shape[1])))
+    placed = cut_lineage(_to_cells(right, cells, rkey, vec, payload))
+    cells.describe(placed.groupBy("__cell").agg(F.count(F.lit(1)), F.min("__pd"), F.max("__pd")).collect())
+    return cells, placed
+
+
+def _to_cells(df: DataFrame, cells: Cells, key: Sequence[str], vec: str, payload: Sequence[str]) -> DataFrame:
+    schema = f"{_ddl(df, [*key, vec, *payload])}, __cell int, __pd double"
+    shared = df.sparkSession.sparkContext.broadcast(cells)
+    return df.select(*key, vec, *payload).mapInPandas(_assigner(shared, key, vec, payload), schema)
+
+
+def cell_join(left: DataFrame, right: DataFrame, k: int, left_key: Sequence[str], right_key: Sequence[str],
+              vec: str = "vec", exclude_self: bool = False, prefix: str = "nn_", block_rows: int = 0,
+              payload: Sequence[str] = (), rows_per_cell: int = ROWS_PER_CELL) -> tuple[DataFrame, DataFrame]:
+    """Candidates (those of the own cell and of the visited cells), and the visits.
+
+    Visits, one row per left row: left key..., vec, __to (cells visited besides the own one), __th.
+    """
+    lkey, rkey = list(left_key), list(right_key)
+    out_rkey = [f"{prefix}{c}" for c in rkey]
+    carried = f", {_ddl(right, payload, [f'__p_{c}' for c in payload])}" if payload else ""
+    schema = f"{_ddl(left, lkey)}, {_ddl(right, rkey, out_rkey)}{carried}, dist double"
+    rows = block_rows or CELL_BLOCK_ROWS
+    # fresh attribute ids: both sides may derive from one Dataset (self joins)
+    fresh = lambda df, cols: df.select(*[F.col(f"`{c}`").alias(c) for c in cols])
+    cells, placed = _in_cells(fresh(right, [*rkey, vec, *payload]), rkey, vec, payload, rows_per_cell)
+    if cells is None:
+        nowhere = left.select(*lkey, vec, F.expr("CAST(array() AS array<int>)").alias("__to"), F.lit(0.0).alias("__th"))
+        return left.sparkSession.createDataFrame([], schema), nowhere
+    asked = cut_lineage(_to_cells(fresh(left, [*lkey, vec]), cells, lkey, vec, ()))
+    shared = left.sparkSession.sparkContext.broadcast(cells)
+    args = (k, lkey, rkey, out_rkey, vec, exclude_self, tuple(payload))
+    first = cut_lineage(_meet(asked, placed, _own_cell_kernel(shared, *args),
+                              f"{schema}, {_ddl(left, [vec])}, __to array<int>, __th double", lkey, rkey, rows))
+    own = first.where("dist >= 0").drop(vec, "__to", "__th")
+    visits = first.where("dist < 0").select(*lkey, vec, "__to", "__th")
+    others = visits.select(*lkey, vec, "__th", F.explode("__to").alias("__cell"))
+    return own.unionByName(_meet(others, placed, _visit_kernel(*args), schema, lkey, rkey, rows)), visits
+
+
 def knn_join(left: DataFrame, right: DataFrame, k: int, left_key: Sequence[str],
              right_key: Sequence[str] | None = None, vec: str = "vec", exclude_self: bool = False,
-             prefix: str = "nn_", block_rows: int = DEFAULT_BLOCK_ROWS, payload: Sequence[str] = ()) -> DataFrame:
+             prefix: str = "nn_", block_rows: int = DEFAULT_BLOCK_ROWS, payload: Sequence[str] = (),
+             rows_per_cell: int = ROWS_PER_CELL) -> DataFrame:
     """For each left row its k nearest right rows: (left key..., nn_<right key>..., rank, dist).
 
     ``payload`` columns of the right rows come along as ``__p_<name>``, so
     repeated right keys need no join back.
 
-    Candidates are the local top-k of every block pair (k x right blocks per
-    left row); a final window over each left key keeps the global top k.
+    Each visited cell gives at most k candidates (per block); a final window over
+    each left key keeps the global top k.
     """
-    lkey = list(left_key)
-    rkey = list(right_key or left_key)
-    out_rkey = [f"{prefix}{c}" for c in rkey]
-    carried = f", {_ddl(right, payload, [f'__p_{c}' for c in payload])}" if payload else ""
-    schema = f"{_ddl(left, lkey)}, {_ddl(right, rkey, out_rkey)}{carried}, dist double"
-    lsel = left.select(*lkey, vec)
-    rsel = right.select(*rkey, vec, *payload)
-    kernel = _topk_kernel(k, lkey, rkey, out_rkey, vec, exclude_self, payload=tuple(payload))
-    cand = pairwise_blocks(lsel, rsel, lkey, rkey, kernel, schema, block_rows)
-    w = Window.partitionBy(*lkey).orderBy("dist", *out_rkey)
-    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    lkey, rkey = list(left_key), list(right_key or left_key)
+    found, _ = cell_join(left, right, k, lkey, rkey, vec, exclude_self, prefix, block_rows, payload, rows_per_cell)
+    w = Window.partitionBy(*lkey).orderBy("dist", *[f"{prefix}{c}" for c in rkey])
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def knn_classify(train: DataFrame, test: DataFrame, key: Sequence[str], k: int = 5, vec: str = "vec",
@@ -155,4 +308,4 @@ def vec_from_columns(df: DataFrame, features: Sequence[str], vec: str = "vec") -
     return df.withColumn(vec, F.array(*[F.col(f).cast("double") for f in features]))
 
 
-__all__ = ["pairwise_blocks", "knn_join", "knn_classify", "distances", "vec_from_columns"]
+__all__ = ["pairwise_blocks", "knn_join", "cell_join", "knn_classify", "distances", "vec_from_columns"]

@@ -40,3 +40,62 @@ def test_knn_classify(spark):
         nn = np.lexsort((np.arange(30, len(X)), D[i]))[:5]
         votes = y[30:][nn]
         assert got[i] == int(votes.sum() >= 3)
+
+
+def _clustered(spark, n=3000, d=3, seed=5):
+    rng = np.random.default_rng(seed)
+    centre = rng.uniform(-100, 100, size=(24, d))
+    X = centre[rng.integers(0, 24, n)] + rng.normal(scale=0.5, size=(n, d))
+    X[10] = X[11] = X[12]  # ties
+    X[13] = 1000.0  # far from every cell
+    df = spark.createDataFrame([(i, [float(v) for v in X[i]]) for i in range(n)], "id bigint, vec array<double>")
+    return df, X
+
+
+@pytest.mark.parametrize("exclude_self", [True, False])
+@pytest.mark.parametrize("block_rows", [0, 40])
+def test_cells_skip_pairs_and_lose_nothing(spark, exclude_self, block_rows):
+    df, X = _clustered(spark)
+    found, visits = knn.cell_join(df, df, 5, ["id"], ["id"], exclude_self=exclude_self, block_rows=block_rows,
+                                  rows_per_cell=32)
+    n_cells = 3000 // 32
+    copies = [len(r["__to"]) for r in visits.select("id", "__to").collect()]
+    assert len(copies) == 3000  # every row asks once
+    # of 93 cells a row visits a few: nearly all pairs are ruled out by the triangle inequality
+    assert sum(copies) / len(copies) < 0.1 * n_cells
+    got = {}
+    for r in knn.knn_join(df, df, 5, ["id"], exclude_self=exclude_self, block_rows=block_rows, rows_per_cell=32).collect():
+        got.setdefault(r.id, []).append((r["rank"], r.nn_id))
+    want = _brute(X, 5, exclude_self)
+    assert {i: [j for _, j in sorted(v)] for i, v in got.items()} == {i: [int(j) for j in v] for i, v in want.items()}
+
+
+@pytest.mark.parametrize("k, n", [(7, 5), (40, 60)])
+def test_fewer_rows_than_neighbours_in_a_cell(spark, k, n):
+    df, X, _ = _vecs(spark, n=n, d=2)
+    for exclude_self in (True, False):
+        got = {}
+        for r in knn.knn_join(df, df, k, ["id"], exclude_self=exclude_self, rows_per_cell=4).collect():
+            got.setdefault(r.id, []).append((r["rank"], r.nn_id))
+        D = np.sqrt(((X[:, None, :] - X[None, :, :]) ** 2).sum(-1))
+        for i in range(n):
+            order = [int(j) for j in np.lexsort((np.arange(n), D[i])) if j != i or not exclude_self]
+            assert [j for _, j in sorted(got[i])] == order[:k]
+
+
+def test_one_crowded_cell_is_cut_into_blocks(spark):
+    # a third of the rows share one point, so one cell holds them whatever the pivots
+    rows = [(i, [0.0, 0.0] if i % 3 == 0 else [float(i), 1.0]) for i in range(600)]
+    df = spark.createDataFrame(rows, "id bigint, vec array<double>")
+    X = np.array([v for _, v in rows])
+    got = {}
+    for r in knn.knn_join(df, df, 3, ["id"], exclude_self=True, block_rows=25, rows_per_cell=20).collect():
+        got.setdefault(r.id, []).append((r["rank"], r.nn_id))
+    assert {i: [j for _, j in sorted(v)] for i, v in got.items()} == {
+        i: [int(j) for j in v] for i, v in _brute(X, 3).items()}
+
+
+def test_no_right_rows(spark):
+    df, _, _ = _vecs(spark, n=4)
+    assert knn.knn_join(df, df.limit(0), 3, ["id"]).count() == 0
+    assert knn.knn_join(df.limit(0), df, 3, ["id"]).count() == 0
