@@ -13,7 +13,8 @@ Documents are packed in runs of a few MB of text, where they lie: no shuffle,
 and memory is bounded by the run (or one document).
 
 Tokens come from a given tokenizer file whose pre-tokenizer never joins words
-over ASCII white space; each distinct word is encoded once per worker.
+over ASCII white space; each distinct piece of a word is encoded once per worker
+as long as the cache has room.
 
 Defined cases: null text counts as empty (only the end id); repeated rows are
 packed separately; a null id is kept; an empty table gives no rows.
@@ -32,39 +33,53 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CHUNK_BYTES, group_sizes, group_starts, row_slices, utf8
+from .common import Words, group_sizes, group_starts, row_slices, utf8
+from .pretokens import NUMBER, byte_classes, contractions, runs, spans
+from .token_counts import byte_letters
 
 TIERS = (2048, 1024, 512, 256)
+#: Bytes of text that are tokenised and packed at a time.
+RUN_BYTES = 2 << 20
 #: Tokens of one step group.
 STEP_TOKENS = 64 * 2048
-#: Distinct words that a worker's cache holds before it starts anew; changes no result.
-CACHED_WORDS = 600_000
+#: Bytes of pieces that a worker's cache holds before it starts anew; changes no result.
+CACHE_BYTES = 96 << 20
 SCHEMA = ("id {id}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, "
           "sequence_length long, step_group long")
 
 
-#: The parts of a tokenizer file whose effect on plain words :class:`WordEncoder` can
+#: The parts of a tokenizer file whose effect on plain words :class:`PieceEncoder` can
 #: produce itself.  Words of other tokenizers, and all other words, go through the whole tokenizer.
 _NORMAL = {"type": "Sequence", "normalizers": [
     {"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
 _SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 #: Plain: printable ASCII and the precomposed Latin-1 letters (stable under NFC, one-letter lower case).
-_PLAIN = re.compile(r"[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z\u00df-\u00f6\u00f8-\u00ff0-9]+")
-
-
-def _byte_letters() -> dict[int, int]:
-    """Byte-level BPE's letter for each byte: itself if printable in Latin-1, else the next one from 256 on."""
-    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
-    return {b: b for b in shown} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(shown)))}
-
-
-class WordEncoder:
-    """Token ids of texts through a cache of their white-space separated words.
-
-    Most fresh words differ only in case and punctuation from known ones, so
-    plain words are cut into the tokenizer's own pieces first, and each distinct
-    piece goes to the tokenizer's model once.
+_PLAIN = re.compile(rb"(?:[!-~]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[0x41:0x5B] += 32
+
+
+def _lowered(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bytes of plain characters in lower case, and which bytes belong to characters that are not plain."""
+    low = _LOWER[data]
+    second = np.zeros(len(data), bool)
+    second[1:] = data[:-1] == 0xC3
+    latin = second & (data >= 0x80) & (data <= 0xBF) & (data != 0x97) & (data != 0xB7)
+    low[latin & (data <= 0x9E)] += 32
+    odd = (data >= 0x7F) | (data < 0x09) | ((data > 0x0D) & (data < 0x20))
+    odd[latin] = False
+    lead = np.flatnonzero(latin) - 1
+    odd[lead] = False
+    return low, odd
+
+
+class PieceEncoder:
+    """Token ids of texts through a cache of the pieces that the tokenizer cuts words into.
+
+    A run of texts is cut at character classes all at once and dictionary-encoded;
+    each distinct piece goes to the tokenizer's model once.  Words with other than
+    plain characters, or with a special string, are pieces as a whole and go
+    through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -76,60 +91,94 @@ class WordEncoder:
                      and before[0].get("pattern") == {"Regex": _SPLIT} and before[0].get("behavior") == "Removed"
                      and before[0].get("invert") is True and before[1].get("type") == "ByteLevel"
                      and not before[1].get("add_prefix_space") and not before[1].get("use_regex"))
-        self.added = [x["content"] for x in spec.get("added_tokens", [])]
-        self.letters = _byte_letters()
+        self.added = [x["content"].lower().encode() for x in spec.get("added_tokens", [])]
+        self.letters = byte_letters()
         self._clear()
 
     def _clear(self) -> None:
         self.slot: dict[bytes, int] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.held = 0
         self.start, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
-    def _piece(self, piece: str) -> list[int]:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            shown = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-            ids = self.pieces[piece] = [t.id for t in self.tokenizer.model.tokenize(shown)]
-        return ids
-
-    def _learn(self, words: list[bytes]) -> None:
-        texts = [w.decode() for w in words]
-        got = [None] * len(texts)
-        if self.cuts:
-            joined = " ".join(texts)
-            added = [a for a in self.added if a in joined]
-            got = [[i for p in _PIECE.findall(w.lower()) for i in self._piece(p)]
-                   if _PLAIN.fullmatch(w) and not any(a in w for a in added) else None for w in texts]
-        other = [i for i, x in enumerate(got) if x is None]
-        for i, e in zip(other, self.tokenizer.encode_batch_fast([texts[i] for i in other], add_special_tokens=False),
-                        strict=True):
+    def _learn(self, pieces: list[bytes]) -> None:
+        got: list = [None] * len(pieces)
+        other = []
+        for i, piece in enumerate(pieces):
+            if piece[0] <= 0x20 and not piece.strip():
+                got[i] = ()
+            elif self.cuts and _PLAIN.fullmatch(piece) and not any(a in piece.lower() for a in self.added):
+                shown = piece.decode("latin-1")
+                got[i] = [t.id for t in self.tokenizer.model.tokenize(
+                    shown if piece.isascii() else shown.translate(self.letters))]
+            else:
+                other.append(i)
+        encoded = self.tokenizer.encode_batch_fast([pieces[i].decode() for i in other], add_special_tokens=False)
+        for i, e in zip(other, encoded, strict=True):
             got[i] = e.ids
         size = np.array([len(x) for x in got], np.int64)
-        self.slot.update(zip(words, range(len(self.slot), len(self.slot) + len(words)), strict=True))
+        self.slot.update(zip(pieces, range(len(self.slot), len(self.slot) + len(pieces)), strict=True))
+        self.held += sum(map(len, pieces)) + 200 * len(pieces)
         self.start = np.append(self.start, len(self.ids) + np.cumsum(size) - size)
         self.size = np.append(self.size, size)
         self.ids = np.append(self.ids, np.fromiter((i for x in got for i in x), np.uint32, int(size.sum())))
 
-    def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """All ids, each text's followed by ``end_id``, and the texts' n + 1 offsets."""
-        words = [t.split() for t in texts]  # bytes split at ASCII white space only
-        flat = [w for ws in words for w in ws]
-        fresh = set(flat) - self.slot.keys()
-        if len(self.slot) + len(fresh) > CACHED_WORDS:
+    def pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Bytes with plain words in lower case, and the edges of all pieces and of the white space between them."""
+        words = Words(data, offsets)
+        edge = np.zeros(len(data) + 1, bool)
+        edge[words.start] = edge[words.end] = edge[offsets] = edge[len(data)] = edge[0] = True
+        if not self.cuts:
+            return data, np.flatnonzero(edge)
+        low, odd = _lowered(data)
+        raw = low.tobytes()
+        for mark in self.added:
+            at = raw.find(mark)
+            while at >= 0:
+                odd[at] = True
+                at = raw.find(mark, at + 1)
+        count = np.append(0, np.cumsum(odd, dtype=np.int64))
+        whole = count[words.end] > count[words.start]
+        kinds = byte_classes(low)
+        row = np.zeros(len(data) + 1, bool)
+        row[offsets] = True
+        starts = runs(kinds, np.concatenate([offsets, words.start, words.end]))
+        kind, ends = kinds[starts], np.append(starts, len(data))
+        row[words.start] = True  # an ending never lies in another word
+        at, length = contractions(low, ends, kind, row)
+        inner = np.zeros(len(data) + 1, bool)
+        inner[starts] = True
+        inner[:-1] |= kinds == NUMBER
+        inner[ends[at + 1]] = False
+        inner[ends[at + 1] + length] = True
+        step = np.zeros(len(data) + 1, np.int8)
+        step[words.start[whole]] += 1
+        step[words.end[whole]] -= 1
+        kept = np.cumsum(step, dtype=np.int8)[:-1].astype(bool)  # bytes of words that stay whole
+        inner[:-1] &= ~kept
+        return np.where(kept, data, low), np.flatnonzero(edge | inner)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of some texts, each text's followed by ``end_id``, and the texts' n + 1 offsets."""
+        n = len(offsets) - 1
+        if not len(data):
+            return np.full(n, end_id, np.uint32), np.arange(n + 1)
+        shown, cuts = self.pieces(data, offsets)
+        found = spans(shown, cuts)
+        distinct = found.dictionary.to_pylist()
+        if self.held > CACHE_BYTES:
             self._clear()
-            fresh = set(flat)
+        fresh = [p for p in distinct if p not in self.slot]
         if fresh:
-            self._learn(list(fresh))
-        slots = np.fromiter(map(self.slot.__getitem__, flat), np.int64, len(flat))
+            self._learn(fresh)
+        slots = np.fromiter(map(self.slot.__getitem__, distinct), np.int64, len(distinct))[found.indices.to_numpy()]
         size = self.size[slots]
-        n_words = np.array([len(w) for w in words], np.int64)
-        before = np.append(0, np.cumsum(size))  # tokens before each word
-        edges = before[np.append(0, np.cumsum(n_words))] + np.arange(len(texts) + 1)
+        before = np.append(0, np.cumsum(size))  # tokens before each piece
+        at_row = np.searchsorted(cuts, offsets)
+        edges = before[at_row] + np.arange(n + 1)
         out = np.full(edges[-1], end_id, np.uint32)
-        doc = np.repeat(np.arange(len(texts)), n_words)
-        shift = self.start[slots] - before[:-1]
+        doc = np.repeat(np.arange(n), np.diff(before[at_row]))
         at = np.arange(before[-1])
-        out[at + np.repeat(doc, size)] = self.ids[at + np.repeat(shift, size)]
+        out[at + doc] = self.ids[at + np.repeat(self.start[slots] - before[:-1], size)]
         return out, edges
 
 
@@ -207,7 +256,7 @@ class Packer:
         return group
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[str, PieceEncoder] = {}
 
 
 def _packed(path: str, end_id: int, tiers: tuple[int, ...], step_tokens: int, run_bytes: int):
@@ -216,16 +265,13 @@ def _packed(path: str, end_id: int, tiers: tuple[int, ...], step_tokens: int, ru
 
         from pyspark import TaskContext
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives each task one core
-        encoder = _ENCODERS.setdefault(path, None) or WordEncoder(path)
-        _ENCODERS[path] = encoder
+        encoder = _ENCODERS.get(path) or _ENCODERS.setdefault(path, PieceEncoder(path))
         task = TaskContext.get().partitionId() << 40
         sequences = groups = 0
         for whole in batches:
             for batch in row_slices(whole, "text", run_bytes):
                 data, offsets = utf8(batch.column("text"))
-                raw = data.tobytes()
-                ids, edges = encoder.encode(
-                    [raw[s:e] for s, e in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)], end_id)
+                ids, edges = encoder.encode(data, offsets, end_id)
                 packer = Packer(tiers)
                 packer.pack(np.diff(edges).tolist())
                 step = np.array(packer.step_groups(step_tokens), np.int64)
@@ -248,7 +294,7 @@ def _packed(path: str, end_id: int, tiers: tuple[int, ...], step_tokens: int, ru
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1,
-         tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS, run_bytes: int = CHUNK_BYTES) -> DataFrame:
+         tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS, run_bytes: int = RUN_BYTES) -> DataFrame:
     """One row per piece: id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id,
     offset, sequence_length, step_group.
 
