@@ -1,26 +1,30 @@
 """Exact dedup against a persistent digest index (DataFrame functions only).
 
 Two texts are equal when they are identical after deleting every white-space
-character ``[\\x20\\x09-\\x0D]``.  Of equal rows of one batch, the one with the
-most code points in the original text stays, then the smallest id (null last),
-then the row written first.
-
-:class:`DigestIndex` is a table bucketed and sorted by digest.  A new batch is
-reduced to one row per digest with partial aggregation, sort-merge anti-joined
-with the index (the index side needs no shuffle: it is bucketed) and appended.
-Rows meet their digest's entry in a join that adaptive execution can split, so
-a text that a third of the rows hold is not one task.
+character ``[\\x20\\x09-\\x0D]``.  Of equal rows, the one with the most code
+points in the original text stays, then the smallest id (null last), then the
+earliest batch, then the smallest row number.
+
+:class:`DigestIndex` is a table bucketed and sorted by digest, kept under a path
+that any later session can open.  A new batch is reduced to one row per digest
+with partial aggregation and sort-merge anti-joined with the index (the index
+side needs no shuffle: it is bucketed); what is new is appended.  A digest that
+the index has is appended again only where the batch holds a better row for it;
+readers take the best entry of a digest.  Rows meet their digest's entry in a
+join that adaptive execution can split, so a text that a third of the rows hold
+is not one task.
 
 Defined cases: null text counts as empty, and all empty texts are equal; a null
 id can stay (its ``keep_id`` is null); of repeated rows exactly one is kept; an
-empty batch adds nothing; other columns are not read.
+empty batch adds nothing; a batch that is added again adds nothing and keeps
+nothing; other columns are not read.
 """
 
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,28 +40,51 @@ def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row
                        F.char_length(text).alias("chars"), row.alias("row"))
 
 
+def _rank():
+    """Orders the rows of a digest, the one that stays first."""
+    return F.struct((-F.col("chars")).alias("less"), F.col("id").isNull().alias("no_id"), F.col("id").alias("id"),
+                    F.col("batch").alias("batch"), F.col("row").alias("row"))
+
+
 class DigestIndex:
-    """A catalog table (digest, keep_id, batch, row, chars), bucketed and sorted by digest."""
+    """Entries (digest, chars, id, row, batch), bucketed and sorted by digest, in files under ``path``."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, buckets: int | None = None, id_type: str = "long"):
+        """Open the index at ``path``, or make an empty one (by default in the shared folder).
 
-    def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None):
-        """Open table ``name``; it is created by the first batch, in the shared folder."""
+        ``buckets`` and ``id_type`` are those of the index where it exists.
+        """
         prepare(spark)
         self.spark = spark
-        self.name = name or f"digest_index_{uuid.uuid4().hex}"
-        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-    def exists(self) -> bool:
-        return self.spark.catalog.tableExists(self.name)
+        self.path = path or shared_path(spark, "digest-index")
+        about = f"{self.path}-about"
+        try:
+            known = spark.read.json(about, schema="buckets int, id_type string").first()
+        except AnalysisException:  # no such path
+            known = None
+        if known is None:
+            known = (buckets or int(spark.conf.get("spark.sql.shuffle.partitions")), id_type)
+            spark.createDataFrame([known], "buckets int, id_type string").coalesce(1).write.json(about)
+        self.buckets, self.id_type = known
+        self.name = f"digest_index_{uuid.uuid4().hex}"  # of this session; the files are the index
+        spark.sql(f"CREATE TABLE {self.name} (digest BINARY, chars INT, id {self.id_type}, row LONG, batch LONG) "
+                  f"USING parquet CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS "
+                  f"LOCATION '{self.path}'")
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def best(self) -> DataFrame:
+        """digest and ``best`` (less, no_id, id, batch, row) of every digest; no shuffle."""
+        return self.read().groupBy("digest").agg(F.min(_rank()).alias("best"))
+
+    def next_batch(self) -> int:
+        return (self.read().agg(F.max("batch").alias("b")).first().b or 0) + 1
+
     def _append(self, rows: DataFrame) -> None:
-        out = (rows.repartition(self.buckets, "digest").write.bucketBy(self.buckets, "digest").sortBy("digest")
-               .format("parquet").mode("append"))
-        if not self.exists():
-            out = out.option("path", shared_path(self.spark, self.name))
-        out.saveAsTable(self.name)
+        (rows.select("digest", "chars", F.col("id").cast(self.id_type).alias("id"), "row", "batch")
+         .repartition(self.buckets, "digest").write.bucketBy(self.buckets, "digest").sortBy("digest")
+         .format("parquet").mode("append").saveAsTable(self.name))
 
     def add(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             row_col: str | None = None) -> DataFrame:
@@ -67,35 +94,41 @@ class DigestIndex:
         earlier one), group_size (rows of this batch with that text), kept,
         digest, row (number of the input row; ``row_col`` where given).
         """
-        return self.add_digests(written(digests(docs, id_col, text_col, row_col), "digests"))
-
-    def add_digests(self, rows: DataFrame) -> DataFrame:
-        """:meth:`add` for a written result of :func:`digests`."""
-        batch = uuid.uuid4().hex
-        first = F.min(F.struct(-F.col("chars"), F.col("id").isNull(), F.col("id"), F.col("row"))).alias("first")
-        groups = rows.groupBy("digest").agg(first, F.count(F.lit(1)).alias("group_size"))
-        best = groups.select("digest", F.col("first.id").alias("keep_id"), F.lit(batch).alias("batch"),
-                             F.col("first.row").alias("keep_row"), "group_size")
-        entry = best.drop("group_size")
-        if self.exists():
-            entry = entry.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
-        self._append(entry)
-        # one row per digest of the batch, with the entry that the index holds for it
-        verdict = written(groups.select("digest", "group_size").join(self.read().hint("merge"), "digest"), "verdicts")
-        return rows.join(verdict, "digest").select(
-            "id", "keep_id", "group_size",
-            ((F.col("batch") == batch) & (F.col("keep_row") == F.col("row"))).alias("kept"), "digest", "row")
+        rows = written(digests(docs, id_col, text_col, row_col).withColumn("batch", F.lit(self.next_batch())), "digests")
+        self.add_digests(rows)
+        return self.verdicts(rows)
+
+    def add_digests(self, rows: DataFrame) -> None:
+        """Append what is new, or better than the index has, of a written batch (:func:`digests` with ``batch``)."""
+        groups = rows.groupBy("digest").agg(F.min(_rank()).alias("mine"))
+        new = groups.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
+        better = groups.join(self.best().hint("merge"), "digest").where("mine < best").drop("best")
+        self._append(new.unionByName(better).select("digest", (-F.col("mine.less")).alias("chars"), "mine.id",
+                                                    "mine.row", "mine.batch"))
+
+    def verdicts(self, rows: DataFrame) -> DataFrame:
+        """What the index says of written rows (:func:`digests` with ``batch``)."""
+        sizes = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("group_size"))
+        found = written(sizes.join(self.best().hint("merge"), "digest"), "verdicts")
+        return rows.join(found, "digest").select(
+            "id", F.col("best.id").alias("keep_id"), "group_size",
+            ((F.col("best.batch") == F.col("batch")) & (F.col("best.row") == F.col("row"))).alias("kept"),
+            "digest", "row")
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None,
                 index: DigestIndex | None = None, batches: int = 2) -> DataFrame:
-    """:meth:`DigestIndex.add` of ``batches`` batches to ``index`` (a new one by default).
+    """Verdicts (see :meth:`DigestIndex.add`) after ``batches`` batches were added to ``index`` (a new one by default).
 
-    A batch takes the digests of one hash range, so equal texts share a batch and
-    the result does not depend on their number; all but the first are
-    anti-joined with what the index holds.
+    Rows are dealt to batches by hash of their number, so equal texts meet
+    across batches: a later batch is anti-joined with what the index holds, and
+    moves ``keep_id`` where it has the better row.
     """
-    index = index or DigestIndex(docs.sparkSession)
-    rows = written(digests(docs, id_col, text_col, row_col), "digests")
-    part = F.pmod(F.xxhash64("digest"), F.lit(batches))
-    return reduce(DataFrame.union, [index.add_digests(rows.where(part == i)) for i in range(batches)])
+    kind = docs.schema[id_col].dataType.simpleString()
+    index = index or DigestIndex(docs.sparkSession, id_type=kind)
+    first = index.next_batch()
+    part = F.pmod(F.xxhash64("row"), F.lit(batches))
+    rows = written(digests(docs, id_col, text_col, row_col).withColumn("batch", part + first), "digests")
+    for i in range(batches):
+        index.add_digests(rows.where(F.col("batch") == first + i))
+    return index.verdicts(rows)
