@@ -189,6 +189,18 @@ def group_sizes(starts: np.ndarray, n: int) -> np.ndarray:
     return np.diff(np.append(starts, n)) if len(starts) else np.zeros(0, np.int64)
 
 
+def give_back() -> None:
+    """Return a worker's freed memory to the system: an idle worker would hold it beside the next stage's."""
+    import ctypes
+    import gc
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def row_slices(batch: pa.RecordBatch, text: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows of about ``limit`` text bytes (one row at least)."""
     sizes = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)

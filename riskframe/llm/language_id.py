@@ -11,6 +11,8 @@ hash; a fifth of them is held out to fit one temperature for the softmax.
 Prediction needs no shuffle: every document is scored where it lies, by a model
 of fixed size (features x languages).
 
+Texts longer than a run are counted piece by piece, so memory follows the run.
+
 Defined cases: null texts and texts without a letter are ``und`` with score 0;
 a document with a null id or language is predicted but not learned from; ties
 go to the language first by code point; repeated rows are separate documents;
@@ -24,11 +26,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
 
-from .common import group_sizes, group_starts, mix, row_slices, utf8, written
+from .common import give_back, group_sizes, group_starts, mix, row_slices, utf8, written
 
 BITS = 16
 BUCKETS = 1 << BITS
@@ -82,6 +84,41 @@ def ngrams(column) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return grams[order], doc[order], letters
 
 
+def long_counts(column) -> tuple[np.ndarray, bool]:
+    """N-gram counts of one text, piece by piece, and whether it has letters; as :func:`ngrams` would give them."""
+    data, _ = utf8(column)
+    counts, letters = np.zeros(BUCKETS, np.int64), False
+    tail, after_letter, at = np.zeros(0, np.uint64), False, 0
+    while at < len(data):
+        end = min(at + RUN_BYTES, len(data))
+        while end < len(data) and data[end] & 0xC0 == 0x80:
+            end -= 1
+        points = np.frombuffer(data[at:end].tobytes().decode("utf-8", "replace").encode("utf-32-le"), np.uint32)
+        folded = _folded()[points]
+        is_letter = folded > 0
+        keep = is_letter.copy()
+        keep[1:] |= is_letter[:-1]
+        keep[0] |= after_letter
+        letters, after_letter = letters or bool(is_letter.any()), bool(is_letter[-1])
+        c = np.concatenate([tail, folded[keep].astype(np.uint64)])
+        for n in (2, 3):  # those that end in this piece
+            first = max(0, len(tail) - n + 1)
+            size = len(c) - n + 1 - first
+            if size > 0:
+                key = np.zeros(size, np.uint64)
+                for t in range(n):
+                    key = (key << np.uint64(21)) | c[first + t:first + t + size]
+                counts += np.bincount((mix(key + np.uint64(n)) >> np.uint64(64 - BITS)).astype(np.int64),
+                                      minlength=BUCKETS)
+        tail, at = c[-2:], end
+    return counts, letters
+
+
+def _is_long(batch: pa.RecordBatch, text: str = "text") -> bool:
+    """Whether a slice is one text that is read piece by piece."""
+    return batch.num_rows == 1 and (pc.binary_length(batch.column(text))[0].as_py() or 0) > RUN_BYTES
+
+
 @dataclass
 class Model:
     languages: list[str]
@@ -99,6 +136,16 @@ class Model:
             n = group_sizes(starts, len(doc))
             for i in range(len(self.languages)):
                 logits[doc[starts], i] += np.add.reduceat(self.weights[grams, i], starts) / n
+        return self._calibrated(logits, letters)
+
+    def long_score(self, column) -> tuple[np.ndarray, np.ndarray]:
+        """:meth:`scores` of one long text."""
+        counts, letters = long_counts(column)
+        logits = self.bias + (counts @ self.weights) / max(1, counts.sum())
+        return self._calibrated(logits[None], np.array([letters]))
+
+    def _calibrated(self, logits: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rows = len(letters)
         p = softmax(logits / self.temperature)
         best = p.argmax(axis=1) if p.shape[1] else np.zeros(rows, int)
         known = letters & (len(self.languages) > 0)
@@ -115,8 +162,11 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     df, seen, docs = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, bool), 0
     for whole in batches:
         for batch in row_slices(whole, "text", RUN_BYTES):
+            docs += batch.num_rows
+            if _is_long(batch):
+                df += long_counts(batch.column("text"))[0] > 0
+                continue
             grams, doc, letters = ngrams(batch.column("text"))
-            docs += len(letters)
             starts = group_starts(doc)
             for s, n in zip(starts.tolist(), group_sizes(starts, len(doc)).tolist(), strict=True):
                 seen[:] = False
@@ -149,11 +199,15 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sparse counts of the sampled documents."""
     for whole in batches:
         for batch in row_slices(whole, "text", RUN_BYTES):
-            grams, doc, _ = ngrams(batch.column("text"))
-            at, count = [], []
-            edges = np.searchsorted(doc, np.arange(batch.num_rows + 1))
-            for r in range(batch.num_rows):
-                f, c = np.unique(grams[edges[r]:edges[r + 1]], return_counts=True)
+            at, count, found = [], [], []
+            if _is_long(batch):
+                counts = long_counts(batch.column("text"))[0]
+                found.append((np.flatnonzero(counts), counts[counts > 0]))
+            else:
+                grams, doc, _ = ngrams(batch.column("text"))
+                edges = np.searchsorted(doc, np.arange(batch.num_rows + 1))
+                found += [np.unique(grams[edges[r]:edges[r + 1]], return_counts=True) for r in range(batch.num_rows)]
+            for f, c in found:
                 at.append(f.astype(np.int32).tobytes())
                 count.append(c.astype(np.int32).tobytes())
             yield pa.RecordBatch.from_pydict({"key": batch.column("key"), "lang": batch.column("lang"),
@@ -244,21 +298,31 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str =
 
 
 def predict(docs: DataFrame, model: Model, text_col: str = "text", run_bytes: int = RUN_BYTES) -> DataFrame:
-    """``docs`` with lang_pred and score after its own columns (columns of these names are replaced)."""
+    """``docs`` with lang_pred and score after its own columns (columns of these names are replaced).
+
+    Only the text goes to the Python workers; other columns stay where they are.
+    """
     docs = docs.drop("lang_pred", "score")
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    def found(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         names = np.array([*shared.value.languages, "und"], object)
-        for whole in batches:
-            for batch in row_slices(whole, text_col, run_bytes):
-                best, score = shared.value.scores(batch.column(text_col))
-                yield pa.RecordBatch.from_arrays(
-                    [*batch.columns, pa.array(names[best], pa.string()), pa.array(score, pa.float64())],
-                    names=[*batch.schema.names, "lang_pred", "score"])
-    schema = StructType(list(docs.schema)).add("lang_pred", "string").add("score", "double")
-    return docs.mapInArrow(run, schema)
+        for text in texts:
+            best, score = [np.zeros(0, np.int64)], [np.zeros(0)]
+            for batch in row_slices(pa.RecordBatch.from_arrays([text], names=["text"]), "text", run_bytes):
+                read = shared.value.long_score if _is_long(batch) else shared.value.scores
+                for column, value in zip((best, score), read(batch.column("text")), strict=True):
+                    column.append(value)
+            yield pa.StructArray.from_arrays(
+                [pa.array(names[np.concatenate(best)], pa.string()), pa.array(np.concatenate(score), pa.float64())],
+                names=["lang_pred", "score"])
+        give_back()
+    name = "found"
+    while name in docs.columns:
+        name += "_"
+    out = docs.withColumn(name, found(F.col(f"`{text_col}`")))
+    return out.select(*[f"`{c}`" for c in docs.columns], f"{name}.lang_pred", f"{name}.score")
 
 
 def held_out(id_col: str = "doc_id", parts: int = 4, part: int = 2) -> Column:

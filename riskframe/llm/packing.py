@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, group_sizes, group_starts, row_slices, utf8
+from .common import Words, give_back, group_sizes, group_starts, row_slices, utf8
 from .pretokens import NUMBER, byte_classes, contractions, runs, spans
 from .token_counts import byte_letters
 
@@ -290,6 +290,7 @@ def _packed(path: str, end_id: int, tiers: tuple[int, ...], step_tokens: int, ru
                     "step_group": pa.array(step[seq] + task + groups)})
                 sequences += len(packer.lengths)
                 groups += int(step.max()) + 1
+        give_back()
     return run
 
 

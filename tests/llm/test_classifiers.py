@@ -97,3 +97,89 @@ def test_quality_votes_match_brute_force(spark):
     assert quality.score(cases.empty(spark), model).count() == 0
     none = quality.fit(df, labels.limit(0), lid.held_out(parts=1, part=0))
     assert {r.score for r in quality.score(df, none).collect()} == {0.5}
+
+
+def test_long_texts_are_counted_piece_by_piece(spark, monkeypatch):
+    import pyarrow as pa
+    rng = np.random.default_rng(5)
+    text = "".join(rng.choice(list("ab é.  ÜЖ日—1"), 4000))
+    grams, _, letters = lid.ngrams(pa.array([text]))
+    want = np.bincount(grams, minlength=lid.BUCKETS)
+    for size in (7, 64, 1000):
+        monkeypatch.setattr(lid, "RUN_BYTES", size)
+        got, lettered = lid.long_counts(pa.array([text]))
+        assert (got == want).all() and lettered == letters[0]
+        assert lid.long_counts(pa.array(["--- 12" * 30]))[1] is False
+    model = lid.Model(["a", "b"], rng.normal(size=(lid.BUCKETS, 2)), np.array([0.1, 0.2]), 0.7)
+    for a, b in zip(model.scores(pa.array([text])), model.long_score(pa.array([text]))):
+        assert np.allclose(a, b)
+
+
+def plain_grams(text):
+    """Counts of hashed 2- and 3-grams, symbol by symbol."""
+    import pyarrow as pa
+    seq = []
+    for ch in text or "":
+        if ch.isalpha():
+            seq.append(ch.lower() if len(ch.lower()) == 1 else ch)
+        elif seq and seq[-1] != " ":
+            seq.append(" ")
+    out = {}
+    for n in (2, 3):
+        for i in range(len(seq) - n + 1):
+            key = 0
+            for ch in seq[i:i + n]:
+                key = key << 21 | (0 if ch == " " else ord(ch))
+            h = int(lid.mix(np.array([key + n], np.uint64))[0]) >> (64 - lid.BITS)
+            out[h] = out.get(h, 0) + 1
+    return out
+
+
+def test_frequencies_and_scores_equal_plain_formulas(spark):
+    texts = ["Das ist ein Haus", "the house", "la casa es", None, "--", "Haus haus HAUS", "é è"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    idf = lid.inverse_frequencies(docs.where("text is not null"))
+    counts = [plain_grams(t) for t in texts if t is not None]
+    for h in {h for c in counts for h in c}:
+        assert idf[h] == pytest.approx(np.log((1 + len(counts)) / (1 + sum(h in c for c in counts))))
+    rng = np.random.default_rng(0)
+    model = lid.Model(["x", "y", "z"], rng.normal(size=(lid.BUCKETS, 3)), rng.normal(size=3), 0.5)
+    for r in lid.predict(docs, model).collect():
+        c = plain_grams(r.text)
+        if not any(ch.isalpha() for ch in r.text or ""):
+            assert (r.lang_pred, r.score) == ("und", 0.0)
+            continue
+        n = sum(c.values())
+        z = [(model.bias[k] + sum(m * model.weights[h, k] for h, m in c.items()) / max(n, 1)) / 0.5 for k in range(3)]
+        p = np.exp(z) / np.exp(z).sum()
+        assert r.lang_pred == "xyz"[int(p.argmax())] and r.score == pytest.approx(p.max())
+
+
+def test_one_epoch_of_ftrl_equals_plain_steps():
+    rng = np.random.default_rng(1)
+    samples = [(np.append(rng.choice(50, 6, replace=False), lid.BUCKETS), np.append(rng.random(6), 1.0), int(y))
+               for y in rng.integers(0, 3, 40)]
+    alpha, beta, l1, l2 = 0.5, 1.0, 0.02, 0.05
+    z, n = {}, {}
+
+    def weight(f, k):
+        zz = z.get((f, k), 0.0)
+        if abs(zz) <= l1:
+            return 0.0
+        return -(zz - np.sign(zz) * l1) / ((beta + np.sqrt(n.get((f, k), 0.0))) / alpha + l2)
+    for i in np.random.default_rng(0).permutation(40):
+        at, x, y = samples[i]
+        w = {(f, k): weight(f, k) for f in at.tolist() for k in range(3)}
+        score = np.array([sum(v * w[f, k] for f, v in zip(at.tolist(), x)) for k in range(3)])
+        p = np.exp(score - score.max())
+        p /= p.sum()
+        for f, v in zip(at.tolist(), x):
+            for k in range(3):
+                g = v * (p[k] - (k == y))
+                old = n.get((f, k), 0.0)
+                z[f, k] = z.get((f, k), 0.0) + g - (np.sqrt(old + g * g) - np.sqrt(old)) / alpha * w[f, k]
+                n[f, k] = old + g * g
+    w, bias = lid.train_ftrl(samples, 3, epochs=1)
+    for f in range(50):
+        assert w[f] == pytest.approx([weight(f, k) for k in range(3)])
+    assert bias == pytest.approx([weight(lid.BUCKETS, k) for k in range(3)])
