@@ -36,14 +36,32 @@ def _surrogate() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), own)
 
 
-def _numbered(docs: DataFrame) -> DataFrame:
-    """``docs``, written with a number for every row (column __row)."""
-    return written(docs.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs``, written with a number for every row, and the name of that column (one that ``docs`` has not)."""
+    name = "__row"
+    while name in docs.columns:
+        name += "_"
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
 
 
-def _only(docs: DataFrame, keepers: DataFrame) -> DataFrame:
-    """The rows of numbered ``docs`` whose numbers are in ``keepers`` (column row)."""
-    return docs.join(keepers.select(F.col("row").alias("__row")), "__row", "left_semi").drop("__row")
+#: Most bytes of row bitmaps that are broadcast (a quarter of a billion rows and more); beyond, rows are joined to them.
+BITMAP_BYTES = 32 << 20
+
+
+def _only(docs: DataFrame, row: str, keepers: DataFrame) -> DataFrame:
+    """The rows of numbered ``docs`` whose numbers are in ``keepers`` (column row), without their numbers.
+
+    The decisions are a bit a row, so texts are not shuffled to meet them.
+    """
+    columns = [F.col(f"`{c}`") for c in docs.columns if c != row]
+    maps = written(keepers.groupBy(F.bitmap_bucket_number(F.col("row") + 1).alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position(F.col("row") + 1)).alias("bits")), "kept")
+    small = maps.count() * 4096 <= BITMAP_BYTES
+    rows = docs.select(F.struct(*columns).alias("doc"), F.bitmap_bucket_number(F.col(row) + 1).alias("bucket"),
+                       F.bitmap_bit_position(F.col(row) + 1).alias("bit"))
+    kept = F.expr("shiftright(cast(conv(hex(substring(bits, cast(bit div 8 as int) + 1, 1)), 16, 10) as int), "
+                  "cast(bit % 8 as int)) % 2 = 1")
+    return rows.join(F.broadcast(maps) if small else maps, "bucket").where(kept).select("doc.*")
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,9 +76,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def dedup_exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of equal texts."""
     prepare(spark)
-    rows = _numbered(docs)
-    verdict = exact_dedup(rows.select(_surrogate().alias("sid"), "text", "__row"), id_col="sid", row_col="__row")
-    return _only(rows, written(verdict.where("kept").select("row"), "kept"))
+    rows, row = _numbered(docs)
+    verdict = exact_dedup(rows.select(_surrogate().alias("sid"), "text", F.col(row).alias("__row")), id_col="sid",
+                          row_col="__row")
+    return _only(rows, row, verdict.where("kept").select("row"))
 
 
 def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,15 +88,15 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Near copies have a Jaccard similarity of 0.8 or more over five-word shingles.
     """
     prepare(spark)
-    rows = _numbered(docs)
-    keys = rows.select(F.col("__row").alias("row"), _surrogate().alias("sid"), F.xxhash64("text").alias("text"))
-    found = jaccard_join(rows.select("__row", "text"), id_col="__row", size=NEAR_WORDS, percent=NEAR_PERCENT)
+    rows, row = _numbered(docs)
+    keys = rows.select(F.col(row).alias("row"), _surrogate().alias("sid"), F.xxhash64("text").alias("text"))
+    found = jaccard_join(rows.select(F.col(row).alias("__row"), "text"), id_col="__row", size=NEAR_WORDS, percent=NEAR_PERCENT)
     found = found.select(F.col("id").alias("row"), "n_shingles", "component_id").join(keys, "row")
     # texts without words are no near copies: of those only rows equal in id and text are one
     blank = F.col("n_shingles") == 0
     best = found.groupBy(F.when(~blank, F.col("component_id")), F.when(blank, F.col("sid")),
                          F.when(blank, F.col("text"))).agg(F.min(F.struct("sid", "row")).alias("best"))
-    return _only(rows, written(best.select("best.row"), "kept"))
+    return _only(rows, row, best.select("best.row"))
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
