@@ -101,10 +101,32 @@ def _sums(X: np.ndarray, mask: np.ndarray):
     return n.astype("int64"), s, d, lo, hi
 
 
-def _batch_moments(features: Sequence[str], label: str | None, group_cols: Sequence[str] = ()):
+#: (count, sum, sum, centred product) of what :func:`_merge_moments` re-centres.
+_CENTRED = (("n", "s", "s", "m2"), ("np", "sx", "sx", "mxx"), ("np", "sy", "sy", "myy"), ("np", "sx", "sy", "mxy"),
+            ("ny", "say", "say", "mayy"))
+#: Groups that a task holds moments of before it passes them on.
+_HELD_GROUPS = 1000
+
+
+def _merge_moments(a: dict, b: dict) -> dict:
+    """Moments of two disjoint sets of rows, feature by feature, without leaving their means (Chan's update)."""
+    out = {"feature": a["feature"]}
+    for n, x, y, m in _CENTRED:
+        na, nb = a[n].astype("float64"), b[n].astype("float64")
+        shift = lambda c: b[c] / np.maximum(nb, 1) - a[c] / np.maximum(na, 1)
+        out[m] = a[m] + b[m] + np.where((na > 0) & (nb > 0), shift(x) * shift(y) * na * nb / np.maximum(na + nb, 1), 0.0)
+    for c in ("rows", "n", "s", "np", "sx", "sy", "ny", "say"):
+        out[c] = a[c] + b[c]
+    for pick, cols in ((np.fmin, ("mn", "pmn", "ymn", "aymn")), (np.fmax, ("mx", "pmx", "ymx", "aymx"))):
+        out |= {c: pick(a[c], b[c]) for c in cols}
+    return out
+
+
+def _task_moments(features: Sequence[str], label: str | None, group_cols: Sequence[str] = ()):
+    """Moments per task: batches are merged as they come, one row per group and feature leaves the task."""
     feats = list(features)
 
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
+    def one(pdf: pd.DataFrame) -> dict:
         X = pdf[feats].to_numpy(dtype="float64", na_value=np.nan)
         mask = ~np.isnan(X)
         n, s, d, mn, mx = _sums(X, mask)
@@ -120,28 +142,33 @@ def _batch_moments(features: Sequence[str], label: str | None, group_cols: Seque
         out |= {"np": npair, "sx": sx, "sy": sy, "mxx": (dx * dx).sum(axis=0), "myy": (dy * dy).sum(axis=0),
                 "mxy": (dx * dy).sum(axis=0), "pmn": pmn, "pmx": pmx, "ymn": ymn, "ymx": ymx,
                 "ny": ny, "say": say, "mayy": (day * day).sum(axis=0), "aymn": aymn, "aymx": aymx}
-        return pd.DataFrame(out)
+        return out
 
     def fn(batches):
+        held: dict = {}
+
+        def leave():
+            for key, moments in held.items():
+                yield pd.DataFrame(moments).assign(**dict(zip(group_cols, key)))
+            held.clear()
         for pdf in batches:
             if not len(pdf):
                 continue
-            if not group_cols:
-                yield one(pdf)
-                continue
-            for key, part in pdf.groupby(list(group_cols), dropna=False, sort=False):
-                table = one(part)
-                for c, v in zip(group_cols, key):
-                    table[c] = v
-                yield table
+            parts = pdf.groupby(list(group_cols), dropna=False, sort=False) if group_cols else [((), pdf)]
+            for key, part in parts:
+                key = tuple(None if pd.isna(v) else v for v in key)
+                held[key] = _merge_moments(held[key], one(part)) if key in held else one(part)
+            if len(held) > _HELD_GROUPS:
+                yield from leave()
+        yield from leave()
     return fn
 
 
 def _merged_moments(df: DataFrame, features: Sequence[str], label: str | None,
                     group_cols: Sequence[str] = ()) -> DataFrame:
-    """Moments per (group, feature) from per-batch centred moments.
+    """Moments per (group, feature) from per-task centred moments (tasks x features rows are shuffled).
 
-    Every batch is re-centred on the merged mean,
+    Every task's moments are re-centred on the merged mean,
     M2 = sum(m2_b + n_b (mean_b - mean)^2), which stays exact for a large
     common offset (merging raw sums of squares would cancel).  The merged mean
     and the sums use the same shuffle by (group, feature).
@@ -152,7 +179,7 @@ def _merged_moments(df: DataFrame, features: Sequence[str], label: str | None,
         cols.append(F.col(label).cast("double").alias(label))
     source = df.select(*gc, *cols)
     kinds = "".join(f", {c} {source.schema[c].dataType.simpleString()}" for c in gc)
-    parts = source.mapInPandas(_batch_moments(features, label, gc), _MOMENTS + kinds)
+    parts = source.mapInPandas(_task_moments(features, label, gc), _MOMENTS + kinds)
     w = Window.partitionBy(*gc, "feature")
 
     def centre(total, count):

@@ -128,3 +128,27 @@ def test_wide_study_correlation_with_leaks_and_cohorts(spark):
         assert wide[r.feature] == pytest.approx(r.value, rel=1e-9)
     assert profile.sort_by_value(profile.correlation_mean_imputed(df.withColumn("y", label.cast("int")), few, "y")
                                  ).toPandas().value.is_monotonic_decreasing
+
+
+def test_moments_leave_a_task_once_and_stay_exact(spark):
+    import numpy as np
+    from riskframe.operators import profile
+    n = 5000
+    df = spark.range(n).selectExpr("id % 3 AS g", "1e9 + id % 7 AS x", "IF(id % 5 = 0, NULL, id * 0.5) AS z",
+                                   "CAST(id % 2 AS double) AS y").repartition(3)
+    fn = profile._task_moments(["x", "z"], "y", ["g"])
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "100")  # some 17 batches a task
+    try:
+        parts = df.select("g", "x", "z", "y").mapInPandas(fn, profile._MOMENTS + ", g bigint")
+        assert parts.count() == 3 * 3 * 2  # tasks x groups x features
+        got = {r.feature: r for r in profile.feature_stats(df, ["x", "z"], "y", route="wide").collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    i = np.arange(n)
+    x, z, y = 1e9 + i % 7, i * 0.5, (i % 2).astype(float)
+    ok = i % 5 != 0
+    assert abs(got["x"].std - np.std(i % 7, ddof=1)) < 1e-9 and got["x"]["count"] == n
+    assert abs(got["z"].std - np.std(z[ok], ddof=1)) < 1e-9 * np.std(z[ok]) and got["z"]["count"] == ok.sum()
+    assert abs(got["x"].corr - np.corrcoef(i % 7, y)[0, 1]) < 1e-9
+    assert abs(got["z"].corr - np.corrcoef(z[ok], y[ok])[0, 1]) < 1e-9
