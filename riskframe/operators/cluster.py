@@ -1,29 +1,34 @@
-"""Clustering steps (R3, R7-R11): silhouette, KMeans splits, guided under-sampling, medoids.
+"""Clustering steps (R3, R7-R11): silhouette, KMeans splits, guided under-sampling, centroids, medoids.
 
 Silhouette is exact Euclidean: one all-pairs block pass emits, per row, the
 sum of distances to every cluster; everything after that is small grouped
 aggregation.  Spark's ClusteringEvaluator only offers squared Euclidean or
 cosine, so it is kept as the approximate ``mode='squared'``.
+
+Where the number of centres grows with the data (R3), centres are a table:
+rows meet their nearest centre in the metric cells of :mod:`knn`.  Medoids
+(R11) are PAM over all rows; its swaps are weighed by pairs within the radius
+that can matter, through the same cells.
 """
 
 from __future__ import annotations
 
-import math
 from functools import reduce
-from typing import Sequence
+from typing import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark import StorageLevel
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.evaluation import ClusteringEvaluator
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskframe.functions.rules import hash_key, hash_unit
-from riskframe.operators.knn import _matrix, distances, pairwise_blocks
+from riskframe.operators.knn import (CELL_BLOCK_ROWS, ROWS_PER_CELL, _ddl, _in_cells, _matrix, _meet, distances,
+                                     knn_join, pairwise_blocks)
 from riskframe.operators.resample import roles
+from riskframe.operators.splits import exact_rank
+from riskframe.session import cut_lineage
 
 
 def _cluster_sum_kernel(lkey, cl, rcl, vec, chunk: int = 256):
@@ -102,27 +107,57 @@ def kmeans_assign(df: DataFrame, features: Sequence[str], k: int, seed: int = 42
     return pred.join(F.broadcast(order.select("__p", out)), "__p").drop("__p")
 
 
-def cluster_sizes(df: DataFrame, features: Sequence[str], k: int, seed: int = 42) -> DataFrame:
+def by_size(assigned: DataFrame, cluster: str = "cluster") -> DataFrame:
+    """Clusters renumbered by size (0 = largest; ties by their old number)."""
+    sizes = assigned.groupBy(cluster).agg(F.count(F.lit(1)).alias("__size"))
+    # at most k rows
+    order = sizes.withColumn("__new", (F.row_number().over(Window.orderBy(F.col("__size").desc(), cluster)) - 1)
+                             .cast("int")).select(cluster, "__new")
+    return assigned.join(order, cluster).drop(cluster).withColumnRenamed("__new", cluster)
+
+
+def medoid_assign(df: DataFrame, features: Sequence[str], k: int, seed: int = 42) -> DataFrame:
+    """Clusters of :func:`medoids`, renumbered by size; rows are told apart by a written number."""
+    numbered = cut_lineage(df.withColumn("__row", F.monotonically_increasing_id()))
+    return by_size(medoids(numbered, ["__row"], features, k)[0]).drop("__row")
+
+
+#: Cluster functions (rows, features, k, seed) -> rows with ``cluster``, 0 the largest.
+METHODS: dict[str, Callable] = {"kmeans": kmeans_assign, "medoids": medoid_assign}
+PICKS = ("highest", "lowest", "mean", "median")
+
+
+def cluster_sizes(df: DataFrame, features: Sequence[str], k: int, seed: int = 42,
+                  method: str | Callable = "kmeans") -> DataFrame:
     """(cluster, size), cluster 0 the largest."""
-    return kmeans_assign(df, features, k, seed).groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
+    assign = METHODS[method] if isinstance(method, str) else method
+    return assign(df, features, k, seed).groupBy("cluster").agg(F.count(F.lit(1)).alias("size"))
 
 
 def under_cluster_guided(df: DataFrame, key: Sequence[str], features: Sequence[str], label: str = "label",
-                         k: int = 2, pick: str = "highest", seed: int = 42) -> tuple[DataFrame, DataFrame]:
+                         k: int = 2, pick: str = "highest", seed: int = 42,
+                         method: str | Callable = "kmeans") -> tuple[DataFrame, DataFrame]:
     """Cluster minority and majority into k each; score every (minority cluster,
     majority cluster) pair by the silhouette of its union with the class as label;
     keep all minority rows plus the majority cluster of the picked pair.
 
+    ``pick``: one of ``PICKS`` (highest or lowest silhouette, or the one closest
+    to their mean or median).  ``method``: a name of ``METHODS`` or a function
+    (rows, features, k, seed) -> rows with a column ``cluster``.
+
     Returns (sampled rows, pair scores (pair, min_cluster, maj_cluster, silhouette)).
     All k x k silhouettes come from one distance-sum pass over all rows.
     """
+    if pick not in PICKS:
+        raise ValueError(f"unknown pick {pick!r}")
     key = list(key)
+    assign = METHODS[method] if isinstance(method, str) else method
     maj, n_maj, mino, n_min = roles(df, label)
     parts = []
     for lab, role in ((mino, "min"), (maj, "maj")):
-        part = kmeans_assign(df.where(F.col(label) == lab), features, k, seed)
+        part = assign(df.where(F.col(label) == lab), features, k, seed)
         parts.append(part.withColumn("__role", F.lit(role)))
-    tagged = parts[0].unionByName(parts[1])
+    tagged = cut_lineage(parts[0].unionByName(parts[1]))  # the pairs are scored and picked from the same fit
     tagged = tagged.withColumn("__grp", F.concat_ws(":", "__role", F.col("cluster").cast("string"))) \
         .withColumn("__vec", F.array(*[F.col(f).cast("double") for f in features]))
     sums = cluster_distance_sums(tagged, key, "__grp", "__vec")
@@ -153,15 +188,49 @@ def under_cluster_guided(df: DataFrame, key: Sequence[str], features: Sequence[s
     return out, scores
 
 
+def centroids(df: DataFrame, features: Sequence[str], k: int, seed: int = 42, max_iter: int = 10,
+              tol: float = 1e-3) -> DataFrame:
+    """k-means whose centres are a table (cid, features...), exactly ``k`` rows whatever ``k`` is.
+
+    Equal rows are one point with a weight.  The first centres are the first k
+    points in hash order; a round joins every point to its nearest centre (metric
+    cells), averages per centre by ``groupBy`` and writes the new centres; it is
+    the last when the cost falls by less than ``tol``.  A centre that no point is
+    nearest to stays where it is.  With fewer points than ``k`` every point is a
+    centre, and they repeat in order.
+    """
+    feats = list(features)
+    vec = F.array(*feats)
+    points = cut_lineage(df.groupBy(*[F.col(f).cast("double").alias(f) for f in feats])
+                         .agg(F.count(F.lit(1)).alias("__w")).withColumn("__v", vec))
+    n = points.count()
+    ranked = exact_rank(points, feats, [], seed, "centre", rank_col="__r")
+    if n <= k:
+        copies = F.floor((F.lit(k) - F.col("__r")) / F.lit(max(n, 1))) + 1
+        return ranked.withColumn("__c", F.explode(F.sequence(F.lit(1), copies.cast("int")))).select(
+            (F.col("__r") - 1 + (F.col("__c") - 1) * n).alias("cid"), *feats)
+    centres, before = cut_lineage(ranked.where(F.col("__r") <= k).select((F.col("__r") - 1).alias("cid"), *feats)), None
+    for _ in range(max_iter):
+        near = knn_join(points, centres.withColumn("__v", vec), 1, [*feats, "__w"], ["cid"], "__v")
+        means = cut_lineage(near.groupBy(F.col("nn_cid").alias("cid")).agg(
+            *[(F.sum(F.col(f) * F.col("__w")) / F.sum("__w")).alias(f"__{f}") for f in feats],
+            F.sum(F.col("dist") * F.col("dist") * F.col("__w")).alias("__cost")))
+        cost = means.agg(F.sum("__cost")).first()[0]
+        centres = cut_lineage(centres.join(means, "cid", "left").select(
+            "cid", *[F.coalesce(f"__{f}", f).alias(f) for f in feats]))
+        if before is not None and before - cost <= tol * before:
+            break
+        before = cost
+    return centres
+
+
 def under_centroids(df: DataFrame, features: Sequence[str], label: str = "label", seed: int = 42,
-                    max_iter: int = 50) -> DataFrame:
-    """Majority replaced by exactly n_minority KMeans centroids; minority kept.
-
-    Returns (label, features...).  One algorithm at any size: Spark's KMeans
-    with k = n_minority, whose centres (k x features numbers) are in the
-    driver's and each task's memory.  Where the majority has fewer distinct
-    points than k, KMeans finds one centre per point and the centres repeat in
-    order.  A NULL or NaN feature is an error: impute before clustering.
+                    max_iter: int = 10) -> DataFrame:
+    """Majority replaced by exactly n_minority :func:`centroids`; minority kept.
+
+    Returns (label, features...).  One algorithm at any size; the centres are
+    never in one place.  A NULL or NaN feature is an error: impute before
+    clustering.
     """
     maj, n_maj, mino, n_min = roles(df, label)
     feats = list(features)
@@ -169,110 +238,140 @@ def under_centroids(df: DataFrame, features: Sequence[str], label: str = "label"
     majority = df.where(F.col(label) == maj)
     if n_min >= n_maj or n_min == 0:
         return minority.unionByName(majority.select(label, *feats))
-    va = VectorAssembler(inputCols=feats, outputCol="__fv", handleInvalid="error")
-    points = va.transform(majority).select("__fv").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        centres = KMeans(k=n_min, seed=seed, featuresCol="__fv", maxIter=max_iter).fit(points).clusterCenters()
-    finally:
-        points.unpersist()
-    rows = [(maj, *[float(x) for x in centres[i % len(centres)]]) for i in range(n_min)]
-    schema = ", ".join([f"`{label}` {df.schema[label].dataType.simpleString()}", *[f"`{f}` double" for f in feats]])
-    cent = df.sparkSession.createDataFrame(rows, schema)
-    return minority.select(label, *[F.col(f).cast("double").alias(f) for f in feats]).unionByName(cent)
+    whole = majority.select(*[F.when(F.col(f).isNull() | F.isnan(F.col(f).cast("double")), F.raise_error(
+        F.lit(f"under_centroids: NULL or NaN in {f}")).cast("double")).otherwise(F.col(f).cast("double")).alias(f)
+        for f in feats])
+    cent = centroids(whole, feats, n_min, seed, max_iter)
+    kind = df.schema[label].dataType
+    return minority.select(label, *[F.col(f).cast("double").alias(f) for f in feats]).unionByName(
+        cent.select(F.lit(maj).cast(kind).alias(label), *feats))
 
 
 # ---------------------------------------------------------------- medoids
 
-def _pam(X: np.ndarray, k: int, max_swaps: int = 100) -> np.ndarray:
-    """PAM build + swap on a sample; returns medoid row indices."""
-    D = distances(X, X)
-    med = [int(D.sum(axis=1).argmin())]
-    while len(med) < k:
-        best = D[:, med].min(axis=1)
-        gain = np.maximum(best[:, None] - D, 0).sum(axis=0)
-        gain[med] = -1
-        med.append(int(gain.argmax()))
-    cost = D[:, med].min(axis=1).sum()
-    for _ in range(max_swaps):
-        improved = False
-        for i in range(k):
-            for h in range(len(X)):
-                if h in med:
-                    continue
-                trial = med.copy()
-                trial[i] = h
-                c = D[:, trial].min(axis=1).sum()
-                if c < cost - 1e-12:
-                    med, cost, improved = trial, c, True
-        if not improved:
-            break
-    return np.array(med)
+def _sum_kernel(key, vec, chunk: int = 256):
+    """Distance sums of the right rows to a left block."""
+    def fn(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
+        if lp.empty or rp.empty:
+            return pd.DataFrame({**{k: [] for k in key}, "__g": []})
+        Q, R = _matrix(lp, vec), _matrix(rp, vec)
+        total = sum(distances(Q[s:s + chunk], R).sum(axis=0) for s in range(0, len(Q), chunk))
+        return pd.DataFrame({**{k: rp[k].to_numpy() for k in key}, "__g": total})
+    return fn
 
 
-def medoids(df: DataFrame, key: Sequence[str], features: Sequence[str], k: int, samples: int = 5,
-            sample_size: int | None = None, seed: int = 42) -> tuple[DataFrame, DataFrame]:
-    """CLARA k-medoids.
+def _swap_kernel(key, k: int, vec, chunk: int = 256):
+    """What each candidate (right row) gains as a further medoid (__g), and besides if medoid i goes (__b<i>)."""
+    def fn(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
+        cols = ["__g", *(f"__b{i}" for i in range(k))]
+        if lp.empty or rp.empty:
+            return pd.DataFrame({c: [] for c in [*key, *cols]})
+        Q, R = _matrix(lp, vec), _matrix(rp, vec)
+        d1, d2, own = (lp[c].to_numpy() for c in ("__d1", "__d2", "__own"))
+        out = np.zeros((1 + k, len(R)))
+        for s in range(0, len(Q), chunk):
+            part = slice(s, s + chunk)
+            D = distances(Q[part], R)
+            near = np.minimum(D - d1[part, None], 0.0)
+            out[0] += near.sum(axis=0)
+            if k > 1:
+                other = np.minimum(D - d2[part, None], 0.0) - near
+                for i in range(k):
+                    out[1 + i] += other[own[part] == i].sum(axis=0)
+        return pd.DataFrame({**{c: rp[c].to_numpy() for c in key}, **{c: out[j] for j, c in enumerate(cols)}})
+    return fn
+
 
-    ``samples`` hash-drawn samples of ``sample_size`` rows (default
-    ``40 + 2k + n^(1/3)``, or all rows if fewer) run PAM in parallel (one group
-    each); a sample that comes out short is an error.  Every candidate medoid set is then costed on all rows
-    with a broadcast of k x samples medoids, and the cheapest set assigns
-    clusters.  Returns (rows with ``cluster``, medoids (cluster, key..., features...)).
+def _stater(cells, meds: np.ndarray, key, vec):
+    """Nearest and second nearest medoid of each row, and the cells with rows nearer than the second."""
+    def run(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            Q = _matrix(pdf, vec)
+            D = distances(Q, meds)
+            own = D.argmin(axis=1)
+            d1 = D[np.arange(len(D)), own]
+            D[np.arange(len(D)), own] = np.inf
+            d2 = D.min(axis=1) if D.shape[1] > 1 else np.full(len(D), np.inf)
+            radius = np.where(np.isfinite(d2), d2, d1)
+            mine = pdf["__cell"].to_numpy()
+            to, _ = cells.value.visits(Q, mine, radius, 0)
+            yield pdf[[*key, vec]].assign(__d1=d1, __d2=d2, __own=own.astype("int32"), __to=pd.Series(
+                [[int(m), *t] for m, t in zip(mine, to)], dtype=object, index=pdf.index))
+    return run
+
+
+def medoids(df: DataFrame, key: Sequence[str], features: Sequence[str], k: int, max_swaps: int = 100,
+            rows_per_cell: int = ROWS_PER_CELL) -> tuple[DataFrame, DataFrame]:
+    """K-medoids by PAM over all rows, no sample.
+
+    Build: the row with the least sum of distances, then k - 1 times the row that
+    lowers the cost most.  Swap: the best exchange of a medoid for any row, as
+    long as it lowers the cost.  Rows keep the distances to their nearest and
+    second nearest medoid, so one aggregation gives the gain of every possible
+    exchange; only rows nearer than the second medoid can change anything, so a
+    row meets just the metric cells that its radius reaches.  The sum of all
+    distances for the first medoid is the one all-pairs pass.  Ties go to the
+    smaller key.  Medoids (k rows, a parameter) are the only rows on the driver.
+
+    Returns (rows with ``cluster``, medoids (cluster, key..., features...)).
     """
     key, feats = list(key), list(features)
-    n = df.count()
-    size = min(n, sample_size or 40 + 2 * k + math.ceil(n ** (1 / 3)))
-    if n < k:
-        raise ValueError(f"{k} medoids need at least {k} rows; there are {n}")
-    frac = min(1.0, (1.5 * size + 50) / n)  # short with a probability under 1e-9
-    # one scan: each row joins the samples whose hash draw it passes
-    draws = F.array(*[F.struct(F.lit(s).alias("s"), hash_unit(hash_key(seed, f"clara{s}", key)).alias("u"))
-                      for s in range(samples)])
-    pool = df.select("*", F.explode(F.filter(draws, lambda e: e["u"] < F.lit(frac))).alias("__d")) \
-        .select("*", F.col("__d.s").alias("__s"), F.col("__d.u").alias("__u")).drop("__d")
-    # each sample keeps its first ``size`` rows in hash order (about 1.5 x size + 50 candidates per sample)
-    w = Window.partitionBy("__s").orderBy("__u", *key)
-    pool = pool.withColumn("__r", F.row_number().over(w)).where(F.col("__r") <= size)
-    types = dict((f.name, f.dataType.simpleString()) for f in df.schema.fields)
-    schema = "__s int, cluster int, " + ", ".join([f"{c} {types[c]}" for c in key] +
-                                                  [f"{f} double" for f in feats])
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) < size:
-            raise ValueError(f"a sample has {len(pdf)} of {size} rows; use another seed")
-        pdf = pdf.sort_values(key).reset_index(drop=True)
-        X = pdf[feats].to_numpy(dtype="float64")
-        m = _pam(X, min(k, len(X)))
-        out = pdf.iloc[m][key].reset_index(drop=True)
-        for i, f in enumerate(feats):
-            out[f] = X[m, i]
-        out.insert(0, "cluster", np.arange(len(m), dtype="int32"))
-        out.insert(0, "__s", int(pdf["__s"].iloc[0]))
-        return out
-    cands = pool.select("__s", *key, *[F.col(f).cast("double").alias(f) for f in feats]) \
-        .groupBy("__s").applyInPandas(run, schema)
-    # samples x k candidate medoids: bounded by the parameters, folded in as literals
-    cand_rows = cands.collect()
-    by_sample: dict[int, list] = {}
-    for r in sorted(cand_rows, key=lambda r: (r["__s"], r["cluster"])):
-        by_sample.setdefault(r["__s"], []).append((r["cluster"], [float(r[f]) for f in feats]))
+    if df.count() < k:
+        raise ValueError(f"{k} medoids need at least {k} rows; there are {df.count()}")
+    vec = "__v"
+    points = df.select(*key, F.array(*[F.col(f).cast("double") for f in feats]).alias(vec))
+    cells, placed = _in_cells(points, key, vec, (), rows_per_cell)
+    shared = df.sparkSession.sparkContext.broadcast(cells)
+    points = placed.select(*key, vec)
+    ddl = _ddl(points, key)
+    first = pairwise_blocks(points, points.select(*key, vec), key, key, _sum_kernel(key, vec), f"{ddl}, __g double")
+    best = first.groupBy(*key).agg(F.sum("__g").alias("__g")).agg(
+        F.min(F.struct("__g", *key)).alias("b")).select("b.*")
+    fields = f"{ddl}, __v array<double>"
+
+    def take(rows: DataFrame) -> tuple:
+        """A medoid: its row and its vector."""
+        found = rows.join(placed, key).select(*key, vec).first()
+        return found, np.array(found[vec], dtype="float64")
+
+    def weigh(meds: list) -> tuple[DataFrame, DataFrame]:
+        """Rows with their state (written), and the gains of all candidates."""
+        at = np.stack([v for _, v in meds])
+        state = cut_lineage(placed.mapInPandas(_stater(shared, at, key, vec),
+                                               f"{fields}, __d1 double, __d2 double, __own int, __to array<int>"))
+        asks = state.select(*key, vec, "__d1", "__d2", "__own", F.explode("__to").alias("__cell"))
+        own = ", ".join(f"__b{i} double" for i in range(len(meds)))
+        gains = _meet(asks, placed, _swap_kernel(key, len(meds), vec), f"{ddl}, __g double, {own}", key, key,
+                      CELL_BLOCK_ROWS)
+        return state, gains.groupBy(*key).agg(*[F.sum(c).alias(c) for c in
+                                                ("__g", *(f"__b{i}" for i in range(len(meds))))])
+
+    meds = [take(best)]
+    while len(meds) < k:
+        _, gains = weigh(meds)
+        chosen = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.col(c) == F.lit(m[0][c]) for c in key])
+                                             for m in meds])
+        meds.append(take(gains.where(~chosen).agg(F.min(F.struct("__g", *key)).alias("b")).select("b.*")))
+    for _ in range(max_swaps if k < points.count() else 0):
+        state, gains = weigh(meds)
+        whole = state.groupBy("__own").agg(F.sum(F.col("__d2") - F.col("__d1")).alias("lost"),
+                                           F.sum("__d1").alias("cost")).collect()  # k rows
+        cost = sum(r["cost"] for r in whole)
+        lost = {r["__own"]: r["lost"] for r in whole}
+        options = F.array(*[F.struct((F.col("__g") + F.col(f"__b{i}") + F.lit(float(lost.get(i, 0.0)))).alias("d"),
+                                     *key, F.lit(i).alias("i")) for i in range(k)]) if k > 1 else F.array(
+            F.struct((F.col("__g")).alias("d"), *key, F.lit(0).alias("i")))
+        swap = gains.agg(F.min(F.array_min(options)).alias("b")).select("b.*").first()
+        if k == 1 or swap["d"] >= -1e-9 * max(cost, 1e-300):
+            break
+        meds[swap["i"]] = take(df.sparkSession.createDataFrame([tuple(swap[c] for c in key)], ddl))
     x = [F.col(f).cast("double") for f in feats]
-
-    def dist_to(m):
-        return F.sqrt(reduce(lambda a, b: a + b, [(xi - F.lit(mi)) * (xi - F.lit(mi)) for xi, mi in zip(x, m)]))
-
-    def nearest(meds):
-        return F.least(*[dist_to(m) for _, m in meds]) if len(meds) > 1 else dist_to(meds[0][1])
-
-    costs = df.agg(*[F.sum(nearest(meds)).alias(f"c{s}") for s, meds in by_sample.items()]).collect()[0]
-    best = min(by_sample, key=lambda s: (costs[f"c{s}"], s))
-    meds = by_sample[best]
-    # first medoid at the minimum distance wins ties
-    d = [dist_to(m) for _, m in meds]
-    near = nearest(meds)
-    label_expr = None
-    for (c, _), di in zip(meds, d):
-        label_expr = F.when(di == near, F.lit(c)) if label_expr is None else label_expr.when(di == near, F.lit(c))
-    assigned = df.withColumn("cluster", label_expr.cast("int"))
-    med_df = cands.where(F.col("__s") == F.lit(best)).drop("__s")
-    return assigned, med_df
+    d = [F.sqrt(reduce(lambda a, b: a + b, [(xi - F.lit(float(mi))) * (xi - F.lit(float(mi))) for xi, mi in zip(x, v)]))
+         for _, v in meds]
+    near = F.least(*d) if k > 1 else d[0]
+    cluster = reduce(lambda acc, ci: acc.when(d[ci] == near, F.lit(ci)), range(1, k), F.when(d[0] == near, F.lit(0)))
+    rows = [(c, *[m[0][f] for f in key], *[float(y) for y in m[1]]) for c, m in enumerate(meds)]
+    schema = f"cluster int, {ddl}, " + ", ".join(f"`{f}` double" for f in feats)
+    return df.withColumn("cluster", cluster.cast("int")), df.sparkSession.createDataFrame(rows, schema)

@@ -203,13 +203,20 @@ def _visit_kernel(k, lkey, rkey, out_rkey, vec, exclude_self, payload):
 
 def _meet(left: DataFrame, right: DataFrame, kernel, schema: str, lkey, rkey, block_rows: int) -> DataFrame:
     """``kernel`` on the rows of each cell (column __cell of both sides), in blocks of about ``block_rows``."""
-    size = lambda df, n: df.groupBy("__cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(n))
-    # one row per cell: bounded by the number of pivots
-    blocks = F.broadcast(cut_lineage(size(left, "__lblocks").join(size(right, "__rblocks"), "__cell")))
-    pick = lambda key, n: F.pmod(F.xxhash64(*key), F.col(n)).cast("int")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    lb = left.join(blocks, "__cell").withColumn("__lb", pick(lkey, "__lblocks")).withColumn("__rb", every("__rblocks"))
-    rb = right.join(blocks, "__cell").withColumn("__rb", pick(rkey, "__rblocks")).withColumn("__lb", every("__lblocks"))
+    def blocks(df: DataFrame) -> dict:  # one row per cell: bounded by the number of pivots
+        return {r["__cell"]: -(-r["n"] // block_rows) for r in df.groupBy("__cell").agg(F.count(F.lit(1)).alias("n")).collect()}
+
+    nl, nr = blocks(left), blocks(right)
+    if max([*nl.values(), *nr.values()], default=1) == 1:
+        lb, rb = (df.withColumns({"__lb": F.lit(0), "__rb": F.lit(0)}) for df in (left, right))
+    else:
+        both = [(c, nl[c], nr[c]) for c in nl.keys() & nr.keys()]
+        table = lambda: F.broadcast(left.sparkSession.createDataFrame(
+            both, "__cell int, __lblocks int, __rblocks int"))
+        pick = lambda key, n: F.pmod(F.xxhash64(*key), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        lb = left.join(table(), "__cell").withColumn("__lb", pick(lkey, "__lblocks")).withColumn("__rb", every("__rblocks"))
+        rb = right.join(table(), "__cell").withColumn("__rb", pick(rkey, "__rblocks")).withColumn("__lb", every("__lblocks"))
     at = ["__cell", "__lb", "__rb"]
     return lb.groupBy(*at).cogroup(rb.groupBy(*at)).applyInPandas(kernel, schema)
 
@@ -268,6 +275,8 @@ def cell_join(left: DataFrame, right: DataFrame, k: int, left_key: Sequence[str]
                               f"{schema}, {_ddl(left, [vec])}, __to array<int>, __th double", lkey, rkey, rows))
     own = first.where("dist >= 0").drop(vec, "__to", "__th")
     visits = first.where("dist < 0").select(*lkey, vec, "__to", "__th")
+    if len(cells.pivots) == 1:  # one cell: every row has met all rows
+        return own, visits
     others = visits.select(*lkey, vec, "__th", F.explode("__to").alias("__cell"))
     return own.unionByName(_meet(others, placed, _visit_kernel(*args), schema, lkey, rkey, rows)), visits
 

@@ -669,15 +669,30 @@ SQL["under_centroids"] = f"""WITH {T3}
 {checks([('minority_rows', '(SELECT count(*) FROM t3 WHERE label = 1)'),
          ('majority_rows', '(SELECT count(*) FROM t3 WHERE label = 1)'), ('cheaper_than_rows', 1)])}"""
 
-SQL["cluster_sizes"] = f"""WITH {T4}
-{checks([('rows', '(SELECT count(*) FROM t4)'), ('clusters', 3), ('largest_first', 1)])}"""
 
-SQL["under_cluster_guided"] = f"""WITH {T3}
-{checks([('minority_rows', '(SELECT count(*) FROM t3 WHERE label = 1)'), ('majority_kept_le_all', 1),
-         ('majority_kept_gt0', 1)])}"""
 
-SQL["cluster_medoids"] = f"""WITH {T3}
-{checks([('rows', '(SELECT count(*) FROM t3)'), ('clusters', 3), ('medoids_are_rows', 1)])}"""
+def _u(tag, key):
+    return f"(CAST(('0x' || substr(md5(concat_ws(':', '42', '{tag}', {key})), 1, 8)) AS BIGINT) / 4294967296.0::DOUBLE)"
+
+
+SQL["cluster_sizes"] = f"""WITH {T4},
+g AS (SELECT CASE WHEN {_u('group', 'vec_id')} < 0.5 THEN 0 WHEN {_u('group', 'vec_id')} < 0.8 THEN 1 ELSE 2 END AS g FROM t4),
+n AS (SELECT g, count(*) AS size FROM g GROUP BY g)
+SELECT CAST(row_number() OVER (ORDER BY size DESC) - 1 AS INTEGER) AS cluster, size FROM n"""
+
+SQL["under_cluster_guided"] = f"""WITH {T3}
+SELECT doc_id, label FROM t3 WHERE label = 1 OR {_u('group', 'doc_id')} < 0.6"""
+
+SQL["cluster_medoids"] = f"""WITH {T3},
+p AS (SELECT doc_id, {_u('group', 'doc_id')} AS u, {_u('a', 'doc_id')} AS ua, {_u('b', 'doc_id')} AS ub FROM t3),
+x AS (SELECT doc_id, CASE WHEN u < 0.4 THEN 0 WHEN u < 0.7 THEN 1 ELSE 2 END AS g,
+             CASE WHEN u >= 0.4 AND u < 0.7 THEN 30.0::DOUBLE ELSE 0.0::DOUBLE END + ua AS a,
+             CASE WHEN u >= 0.7 THEN 40.0::DOUBLE ELSE 0.0::DOUBLE END + ub AS b FROM p),
+s AS (SELECT m.g, m.doc_id AS medoid, count(*) AS size,
+             sum(sqrt((m.a - o.a) * (m.a - o.a) + (m.b - o.b) * (m.b - o.b))) AS cost
+      FROM x m JOIN x o ON m.g = o.g GROUP BY m.g, m.doc_id)
+SELECT medoid, size, round(cost, 6) AS cost FROM s
+QUALIFY row_number() OVER (PARTITION BY g ORDER BY cost, medoid) = 1"""
 
 _MODEL_CHECKS = f"""WITH {T3}, {split_cte('s', 't3', 'doc_id', 'label', 0.2)}
 {checks([('test_rows', '(SELECT count(*) FROM s WHERE is_test = 1)'),
@@ -692,14 +707,16 @@ SQL["fit_predict_chain"] = f"""WITH {T3}, {split_cte('s', 't3', 'doc_id', 'label
          ('test_pos', '(SELECT count(*) FROM s WHERE is_test = 1 AND label = 1)'), ('beats_majority', 1)])}"""
 
 SQL["grid_search"] = f"""WITH {T3}
-{checks([('configs', 8), ('fold_rows', 24), ('separating_fits', 24), ('scored_rows', '(SELECT 8 * count(*) FROM t3)')])}"""
+{checks([('configs', 8), ('fold_rows', 24), ('separating_fits', 24), ('train_apart', 1),
+         ('scored_rows', '(SELECT 8 * count(*) FROM t3)')])}"""
 
 SQL["select_l1"] = f"""WITH {T3}
 {checks([('rows_seen', '(SELECT count(*) FROM t3)'), ('optimal', 1), ('keeps_separating', 1)])}"""
 
 SQL["refit_top"] = f"""WITH {T3}, {split_cte('s', 't3', 'doc_id', 'label', 0.2)}
-{checks([('refits', 2), ('separating_fits', 4), ('train_rows', '(SELECT 2 * count(*) FROM s WHERE is_test = 0)'),
-         ('test_rows', '(SELECT 2 * count(*) FROM s WHERE is_test = 1)')])}"""
+{checks([('refits', 4), ('pipelines', 2), ('sampled', 4), ('separating_fits', 8),
+         ('train_rows', '(SELECT 4 * count(*) FROM s WHERE is_test = 0)'),
+         ('test_rows', '(SELECT 4 * count(*) FROM s WHERE is_test = 1)')])}"""
 
 SQL["train_best"] = f"""WITH {T3}, {split_cte('s', 't3', 'doc_id', 'label', 0.2)}
 {checks([('test_rows', '(SELECT count(*) FROM s WHERE is_test = 1)'), ('best_by_test', 1), ('model_is_the_best', 1),

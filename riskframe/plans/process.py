@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.operators import clean, evaluate, profile, splits
-from riskframe.plans.grid import Chain, FittedChain, fit_chain, grid_search
+from riskframe.plans.grid import Chain, FittedChain, config_table, fit_chain, grid_search, top_configs
 from riskframe.session import cut_lineage, shared_path
 from riskframe.sources.io import Timer
 
@@ -20,7 +20,7 @@ class Trained:
 
     config: int
     model: FittedChain
-    scores: DataFrame  # config, split, metrics, counts
+    scores: DataFrame  # config, split, metrics, counts, pipeline, steps, params
     cv: DataFrame  # config, fold, metrics, counts
     train: DataFrame
     test: DataFrame
@@ -29,7 +29,7 @@ class Trained:
 def train_test_process(df: DataFrame, configs: Sequence[Chain], features: Sequence[str], key: Sequence[str],
                        label: str = "label", test_size: float = 0.2, folds: int = 10, top: int = 5,
                        select_on: str = "test_f1", seed: int = 42) -> Trained:
-    """Stratified split, grid search on the train part, refit of the ``top`` configs by mean f1.
+    """Stratified split, grid search on the train part, refit of the ``top`` configs of each pipeline by mean f1.
 
     ``select_on`` is "<split>_<metric>": the refit whose score is highest is
     returned as the model (first config on ties).
@@ -38,8 +38,7 @@ def train_test_process(df: DataFrame, configs: Sequence[Chain], features: Sequen
     flagged = cut_lineage(splits.split_stratified(df, key, label, test_size, seed))
     train, test = splits.train_test(flagged)
     cv = grid_search(train, configs, features, key, label, folds, seed)
-    summary = evaluate.cv_summary(cv, ["config"], ["f1"], "f1")
-    chosen = [r.config for r in summary.orderBy(F.col("mean_f1").desc(), "config").limit(top).collect()]
+    chosen = top_configs(cv, configs, "f1", top)
     fitted = {c: fit_chain(configs[c], train, features, key, label, seed) for c in chosen}
     parts = None
     for c, chain in fitted.items():
@@ -47,7 +46,8 @@ def train_test_process(df: DataFrame, configs: Sequence[Chain], features: Sequen
             one = chain.transform(rows).select(F.lit(c).alias("config"), F.lit(name).alias("split"),
                                                F.col(label).alias("label"), "pred")
             parts = one if parts is None else parts.unionByName(one)
-    scores = cut_lineage(evaluate.evaluate_models(parts, ["config", "split"]))
+    scores = cut_lineage(evaluate.evaluate_models(parts, ["config", "split"]).join(
+        config_table(df.sparkSession, configs), "config"))
     best = scores.where(F.col("split") == split).orderBy(F.col(metric).desc(), "config").first().config
     return Trained(best, fitted[best], scores, cv, train, test)
 

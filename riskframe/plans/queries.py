@@ -773,33 +773,50 @@ def q_under_centroids(spark, d):
                             "cheaper_than_rows": F.lit(int(cost(centres) < cost(rows)))})
 
 
+def _planted(rows: DataFrame, key: str, spots: dict) -> DataFrame:
+    """Rows with columns a, b around planted spots: ``spots`` maps a label (None: all rows) to (upper share, x, y)."""
+    u = lambda tag: hash_unit(hash_key(42, tag, [key]))
+    at = {}
+    for c, axis in (("a", 1), ("b", 2)):
+        place = None
+        for label, groups in spots.items():
+            for share, *xy in groups:
+                here = u("group") < share
+                if label is not None:
+                    here = here & (F.col("label") == label)
+                place = F.when(here, xy[axis - 1]) if place is None else place.when(here, xy[axis - 1])
+        at[c] = place + u(c)
+    return rows.withColumns(at)
+
+
 @query("cluster_sizes")
 def q_cluster_sizes(spark, d):
-    """KMeans (k=3) cluster sizes of T4 (invariants: rows, clusters)."""
-    sizes = cluster.cluster_sizes(C.t4(spark, d), C.T4_FEATURES, 3)
-    return _checks_df(sizes, {"rows": F.sum("size"), "clusters": F.count(F.lit(1)),
-                              "largest_first": (F.max_by("size", -F.col("cluster")) == F.max("size")).cast("int")})
+    """Sizes of KMeans clusters (k=3) of T4's rows around three planted spots, largest first."""
+    t = _planted(C.t4(spark, d, as_columns=False), "vec_id", {None: [(0.5, 0.0, 0.0), (0.8, 30.0, 0.0), (1.0, 0.0, 40.0)]})
+    return cluster.cluster_sizes(t, ["a", "b"], 3)
+
+
+#: Two spots a class; the smaller minority spot and the larger majority spot lie farthest apart.
+CLASS_SPOTS = {0: [(0.6, 0.0, 0.0), (1.0, 30.0, 0.0)], 1: [(0.6, 3.0, 0.0), (1.0, 60.0, 5.0)]}
 
 
 @query("under_cluster_guided")
 def q_under_cluster_guided(spark, d):
-    """Cluster-guided under-sampling of T3 (k=2, highest silhouette)."""
-    t = C.t3(spark, d)
-    out, _ = cluster.under_cluster_guided(t, C.T3_KEY, C.T3_FEATURES, "label", 2)
-    n_maj = t.where("label = 0").count()
-    return _checks_df(out, {"minority_rows": F.count(F.when(F.col("label") == 1, 1)),
-                            "majority_kept_le_all": F.count(F.when(F.col("label") == 0, 1)) <= n_maj,
-                            "majority_kept_gt0": F.count(F.when(F.col("label") == 0, 1)) > 0})
+    """Rows kept of T3 around planted spots (k=2, highest silhouette): the minority and the majority
+    cluster of the best separated pair."""
+    t = _planted(C.t3(spark, d), "doc_id", CLASS_SPOTS)
+    return cluster.under_cluster_guided(t, C.T3_KEY, ["a", "b"], "label", 2)[0].select("doc_id", "label")
 
 
 @query("cluster_medoids")
 def q_cluster_medoids(spark, d):
-    """CLARA k-medoids (k=3) of T3 (invariants)."""
-    t = C.t3(spark, d)
-    assigned, meds = cluster.medoids(t, C.T3_KEY, C.T3_FEATURES, 3)
-    n_med_rows = meds.join(t, C.T3_KEY, "left_semi").count()
-    return _checks_df(assigned, {"rows": F.count(F.lit(1)), "clusters": F.countDistinct("cluster"),
-                                 "medoids_are_rows": F.lit(int(n_med_rows == 3))})
+    """Medoids (k=3) of T3's rows around planted spots, with cluster size and cost."""
+    t = _planted(C.t3(spark, d), "doc_id", {None: [(0.4, 0.0, 0.0), (0.7, 30.0, 0.0), (1.0, 0.0, 40.0)]})
+    assigned, meds = cluster.medoids(t, C.T3_KEY, ["a", "b"], 3)
+    far = F.sqrt((F.col("a") - F.col("ma")) * (F.col("a") - F.col("ma")) + (F.col("b") - F.col("mb")) * (F.col("b") - F.col("mb")))
+    to = meds.select("cluster", F.col("doc_id").alias("medoid"), F.col("a").alias("ma"), F.col("b").alias("mb"))
+    return assigned.join(to, "cluster").groupBy("medoid").agg(F.count(F.lit(1)).alias("size"),
+                                                              F.round(F.sum(far), 6).alias("cost"))
 
 
 # ------------------------------------------------------------ models B*, chains X*
@@ -854,10 +871,10 @@ def q_clf_mlp(spark, d):
 
 @query("fit_predict_chain")
 def q_fit_predict_chain(spark, d):
-    """Drop -> impute -> min-max -> top-decile |corr| -> SMOTE -> logistic, fit on train only."""
+    """Drop -> impute -> min-max -> top-decile |corr| -> cluster step -> SMOTE -> logistic, fit on train only."""
     flagged = splits.split_stratified(_separable(spark, d), C.T3_KEY, "label", 0.2)
     train, test = splits.train_test(flagged)
-    cfg = grid.Chain(0.5, True, "minmax", "percentile", "smote", "logistic")
+    cfg = grid.Chain(0.5, True, "minmax", "percentile", "smote", "logistic", cluster=(2, "highest", "kmeans"))
     fitted = grid.fit_chain(cfg, train, SEPARABLE, C.T3_KEY)
     pred = fitted.transform(test)
     right = F.sum((F.col("pred") == F.col("label")).cast("int")) / F.count(F.lit(1))
@@ -876,21 +893,26 @@ def q_grid_search(spark, d):
     cfgs = grid.grid_configs(SMALL_GRID)
     cv = grid.grid_search(t, cfgs, SEPARABLE, C.T3_KEY, "label", 3)
     return _checks_df(cv, {"configs": F.countDistinct("config"), "fold_rows": F.count(F.lit(1)),
-                           "separating_fits": F.count(F.when(F.col("f1") > 0.4, 1)),
+                           "separating_fits": F.count(F.when((F.col("f1") > 0.4) & (F.col("train_f1") > 0.4), 1)),
+                           "train_apart": F.max((F.col("train_f1") != F.col("f1")).cast("int")),
                            "scored_rows": F.sum(F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp"))})
 
 
 @query("refit_top")
 def q_refit_top(spark, d):
-    """Top 2 configs refit on the train split, scored on train and test (counts and scores)."""
+    """Top 2 configs of each of two pipelines refit on the train split, scored on train and test."""
     t = _separable(spark, d)
     flagged = splits.split_stratified(t, C.T3_KEY, "label", 0.2)
     train, test = splits.train_test(flagged)
-    cfgs = grid.grid_configs(SMALL_GRID)
+    plain = {k: v for k, v in SMALL_GRID.items() if k != "sampler"}
+    cfgs = grid.grid_configs(plain, "noSampling") + grid.grid_configs({**plain, "sampler": ["under_random"]}, "withSampling")
     cv = grid.grid_search(train, cfgs, SEPARABLE, C.T3_KEY, "label", 3)
     res = grid.refit_top(train, test, cfgs, cv, SEPARABLE, C.T3_KEY, "label", top=2)
     n = F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")
-    return _checks_df(res, {"refits": F.countDistinct("config"),
+    return _checks_df(res, {"refits": F.countDistinct("config"), "pipelines": F.countDistinct("pipeline"),
+                            "sampled": F.count(F.when((F.col("pipeline") == "withSampling")
+                                                      & (F.col("params")["sampler"] == "under_random")
+                                                      & F.array_contains("steps", "sampler"), 1)),
                             "separating_fits": F.count(F.when(F.col("f1") > 0.4, 1)),
                             "train_rows": F.sum(F.when(F.col("split") == "train", n)),
                             "test_rows": F.sum(F.when(F.col("split") == "test", n))})

@@ -86,3 +86,83 @@ def test_medoid_samples_grow_and_are_checked(spark):
     assert assigned.count() == 500 and med.count() == 2
     with pytest.raises(ValueError):
         cluster.medoids(df.limit(1), ["id"], ["a"], 2)
+
+
+def _pam(X, k):
+    """Plain PAM: build, then best swaps."""
+    D = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))
+    med = [int(D.sum(axis=0).argmin())]
+    while len(med) < k:
+        gain = np.minimum(D - D[:, med].min(axis=1)[:, None], 0).sum(axis=0)
+        gain[med] = np.inf
+        med.append(int(gain.argmin()))
+    cost = D[:, med].min(axis=1).sum()
+    while True:
+        trials = [(D[:, [*med[:i], h, *med[i + 1:]]].min(axis=1).sum(), h, i) for i in range(k) for h in range(len(X))]
+        c, h, i = min(trials)
+        if c >= cost - 1e-9 * cost:
+            return med, cost
+        med[i], cost = h, c
+
+
+@pytest.mark.parametrize("k, cells", [(1, 256), (3, 40)])
+def test_medoids_are_pam_over_all_rows(spark, k, cells):
+    rng = np.random.default_rng(11)
+    X = np.vstack([rng.normal(c, 1.0, (n, 2)) for c, n in ((0, 140), (5, 90), ((9, 0), 60), ((-7, 7), 10))])
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(X)], "id bigint, a double, b double")
+    assigned, meds = cluster.medoids(df, ["id"], ["a", "b"], k, rows_per_cell=cells)
+    want, cost = _pam(X, k)
+    got = {r.cluster: r.id for r in meds.collect()}
+    D = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))
+    assert D[:, list(got.values())].min(axis=1).sum() <= cost * (1 + 1e-9)
+    for r in assigned.collect():
+        assert D[r.id, got[r.cluster]] == D[r.id, list(got.values())].min()
+
+
+def test_centroids_follow_the_data(spark):
+    rng = np.random.default_rng(2)
+    X = np.vstack([rng.normal(20 * c, 0.5, (50, 2)) for c in range(6)])
+    df = spark.createDataFrame([(float(a), float(b)) for a, b in X], "a double, b double")
+    got = cluster.centroids(df, ["a", "b"], 40, max_iter=6).toPandas()
+    assert len(got) == 40 and sorted(got.cid) == list(range(40))
+    C = got[["a", "b"]].to_numpy()
+    cost = lambda c: (((X[:, None] - c[None]) ** 2).sum(-1).min(axis=1)).sum()
+    assert cost(C) < np.mean([cost(X[rng.choice(300, 40, replace=False)]) for _ in range(20)])
+    # one more round of plain k-means does not gain much: the rounds are real
+    near = ((X[:, None] - C[None]) ** 2).sum(-1).argmin(axis=1)
+    moved = np.array([X[near == c].mean(axis=0) if (near == c).any() else C[c] for c in range(40)])
+    assert cost(moved) > 0.9 * cost(C)
+
+
+@pytest.mark.parametrize("method, pick", [("kmeans", "highest"), ("medoids", "lowest"), ("kmeans", "median")])
+def test_cluster_guided_picks_from_recomputed_silhouettes(spark, method, pick):
+    rng = np.random.default_rng(8)
+    # two clusters a class, planted far apart; sizes tell them
+    spots = {(0, 0): ((0, 0), 40), (0, 1): ((30, 0), 25), (1, 0): ((3, 0), 12), (1, 1): ((60, 5), 8)}
+    rows, group = [], []
+    for (y, g), (at, n) in spots.items():
+        for _ in range(n):
+            rows.append((len(rows), *[float(v) for v in rng.normal(at, 0.6)], y))
+            group.append((y, g))
+    X = np.array([r[1:3] for r in rows])
+    df = spark.createDataFrame(rows, "id bigint, a double, b double, label int")
+    out, scores = cluster.under_cluster_guided(df, ["id"], ["a", "b"], "label", 2, pick, method=method)
+    sil = {}
+    for m in (0, 1):
+        for j in (0, 1):
+            use = [i for i, g in enumerate(group) if g in ((1, m), (0, j))]
+            sil[m, j] = _silhouette(X[use], np.array([group[i][0] for i in use]))
+    got = {(r.min_cluster, r.maj_cluster): r.silhouette for r in scores.collect()}
+    assert got == pytest.approx(sil)
+    values = list(sil.values())
+    centre = {"mean": np.mean(values), "median": np.median(values)}.get(pick)
+    best = {"highest": max, "lowest": min}.get(pick)
+    chosen = best(sil, key=sil.get) if best else min(sorted(sil), key=lambda p: abs(sil[p] - centre))
+    keep = {i for i, g in enumerate(group) if g[0] == 1 or g == (0, chosen[1])}
+    assert {r.id for r in out.collect()} == keep
+
+
+def test_unknown_pick_is_an_error(spark):
+    df = spark.createDataFrame([(1, 1.0, 0)], "id bigint, a double, label int")
+    with pytest.raises(ValueError):
+        cluster.under_cluster_guided(df, ["id"], ["a"], "label", 2, "best")
