@@ -660,7 +660,7 @@ SEPARABLE = [*C.T3_FEATURES, "sep"]
 def _separable(spark, d):
     """T3, min-max scaled, with a column that separates the classes up to noise: label + u, u in [0, 0.9)."""
     t = C.t3(spark, d).withColumn("sep", F.col("label") + 0.9 * hash_unit(hash_key(42, "sep", C.T3_KEY)))
-    return scale.MinMaxScaler(SEPARABLE).fit(t).transform(t)
+    return cut_lineage(scale.MinMaxScaler(SEPARABLE).fit(t).transform(t))  # fits read it many times
 
 
 @query("select_l1")
@@ -766,7 +766,7 @@ def q_under_centroids(spark, d):
     vec = F.array(*[F.col(f) for f in SEPARABLE]).alias("vec")
     majority = t.where("label = 0").select(F.col("doc_id").alias("id"), vec)
     centres = out.where("label = 0").select(F.monotonically_increasing_id().alias("id"), vec)
-    rows = resample.under_random(t, C.T3_KEY).where("label = 0").select(F.col("doc_id").alias("id"), vec)
+    rows = cut_lineage(resample.under_random(t, C.T3_KEY).where("label = 0").select(F.col("doc_id").alias("id"), vec))
     cost = lambda to: knn.knn_join(majority, to, 1, ["id"]).agg(F.avg(F.col("dist") * F.col("dist"))).first()[0]
     return _checks_df(out, {"minority_rows": F.count(F.when(F.col("label") == 1, 1)),
                             "majority_rows": F.count(F.when(F.col("label") == 0, 1)),
