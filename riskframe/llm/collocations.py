@@ -21,8 +21,8 @@ its words and not by a hash, and adds the counts per phrase text.
 
 With more than ``s`` shards the lowered support is 1: shards then report every
 window whose parts are frequent, and the bound from above is the exact count.
-Nothing is capped; reports are pre-aggregated before they are shuffled, and no
-pass shuffles text.
+Nothing is capped; reports and counts are added up within a task before they are
+shuffled, and no pass shuffles text.
 
 Scores are exact integers: products are decimals of 38 digits.
 
@@ -44,11 +44,15 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import group_sizes, group_starts, mix, span_hashes, utf8, written
+from .common import group_sizes, group_starts, mix, prepare, shared_path, span_hashes, utf8, written
 from .pretokens import cut_rows
 
 #: Bytes of one shard's text, and of all unfinished shards of a task.
-SHARD_BYTES, TASK_BYTES = 16 << 20, 48 << 20
+SHARD_BYTES, TASK_BYTES = 64 << 20, 160 << 20
+#: Bytes of text that are cut into words at a time.
+RUN_BYTES = 1 << 20
+#: Windows that are hashed at a time, and rows of a task's results that are merged before they leave it.
+SLICE, MERGED_ROWS = 1 << 18, 1 << 20
 #: Bits of the bitmap that stands for the union of one length.
 UNION_BITS = 1 << 25
 _BUCKET_BITS = 32768  # bits of a row of Spark's bitmap aggregation
@@ -74,7 +78,7 @@ def shard_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarra
     if not len(word_start):
         return pa.array([], pa.string()), np.zeros(0, np.int32)
     # words without the bytes between them, and where each begins there
-    kept = np.append(0, np.cumsum(inside))
+    kept = np.append(0, np.cumsum(inside, dtype=np.int64))
     cuts = np.append(kept[word_start], kept[-1])
     words = pa.Array.from_buffers(pa.large_string(), len(word_start), [
         None, pa.py_buffer(np.ascontiguousarray(cuts)), pa.py_buffer(np.ascontiguousarray(data[inside]))])
@@ -86,33 +90,50 @@ def shard_of(data: np.ndarray, offsets: np.ndarray) -> tuple[pa.Array, np.ndarra
     return coded.dictionary.cast(pa.string()), np.insert(coded.indices.to_numpy().astype(np.int32), at, -1)
 
 
-def _sharder(shard_bytes: int, task_bytes: int):
-    def places(data):
-        return lambda a, b: np.flatnonzero(_BREAK[data[a:b]]) + 1
+def joined(parts: list[tuple[pa.Array, np.ndarray]]) -> tuple[pa.Array, np.ndarray]:
+    """Several results of :func:`shard_of` as one, with a break between them."""
+    coded = pc.dictionary_encode(pa.concat_arrays([w for w, _ in parts]))
+    number = np.append(coded.indices.to_numpy().astype(np.int32), np.int32(-1))  # -1 stays -1
+    base, out = 0, []
+    for words, ids in parts:
+        out += [number[np.where(ids >= 0, ids + base, -1)], np.array([-1], np.int32)]
+        base += len(words)
+    return coded.dictionary, np.concatenate(out[:-1])
+
+
+def _pressed(data: bytes) -> bytes:
+    """Compressed, with the length before it: a third of the bytes where rows are written and handed over."""
+    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+
 
+def _unpressed(data: pa.Buffer) -> pa.Buffer:
+    return pa.decompress(data.slice(8), int.from_bytes(data.slice(0, 8).to_pybytes(), "little"), codec="zstd")
+
+
+def _sharder(shard_bytes: int, task_bytes: int):
     def flush(lang: str, parts: list) -> pa.RecordBatch:
-        sizes = np.concatenate([np.diff(o) for _, o in parts])
-        words, ids = shard_of(np.concatenate([d for d, _ in parts]), np.append(0, np.cumsum(sizes)))
+        words, ids = joined(parts)
         return pa.RecordBatch.from_pydict({
             "lang": pa.array([lang]), "n_words": pa.array([int((ids >= 0).sum())], pa.int64()),
-            "words": pa.array([words], pa.list_(pa.string())), "ids": pa.array([ids.tobytes()], pa.binary())})
+            "words": pa.array([_pressed("\n".join(words.to_pylist()).encode())], pa.binary()),
+            "ids": pa.array([_pressed(ids.tobytes())], pa.binary())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_parts: dict[str, list] = {}
         size: dict[str, int] = {}
+        run_bytes = min(RUN_BYTES, shard_bytes)
         for batch in batches:
             langs = pc.dictionary_encode(batch.column("lang"))
             for i, lang in enumerate(langs.dictionary.to_pylist()):
                 data, offsets = utf8(batch.column("text").filter(pc.equal(langs.indices, i)))
-                edges = cut_rows(offsets, shard_bytes, places(data))
+                edges = cut_rows(offsets, run_bytes, lambda a, b: np.flatnonzero(_BREAK[data[a:b]]) + 1)
                 at = 0
                 while at < len(edges) - 1:
-                    room = shard_bytes - size.get(lang, 0)
-                    upto = max(at + 1, int(np.searchsorted(edges, edges[at] + room, side="right")) - 1)
+                    upto = max(at + 1, int(np.searchsorted(edges, edges[at] + run_bytes, side="right")) - 1)
                     upto = min(upto, len(edges) - 1)
-                    part = data[edges[at]:edges[upto]].copy()
-                    open_parts.setdefault(lang, []).append((part, edges[at:upto + 1] - edges[at]))
-                    size[lang] = size.get(lang, 0) + len(part)
+                    part = shard_of(data[edges[at]:edges[upto]], edges[at:upto + 1] - edges[at])
+                    open_parts.setdefault(lang, []).append(part)
+                    size[lang] = size.get(lang, 0) + int(edges[upto] - edges[at])
                     at = upto
                     if size[lang] >= shard_bytes:
                         yield flush(lang, open_parts.pop(lang))
@@ -126,14 +147,25 @@ def _sharder(shard_bytes: int, task_bytes: int):
     return run
 
 
+def _fewer_tasks(rows: DataFrame) -> DataFrame:
+    """Up to eight input splits a task, but two tasks a core: the more a task holds, the fuller its shards
+    and the more of its results are added up before they are shuffled."""
+    return rows.coalesce(max(2 * rows.sparkSession.sparkContext.defaultParallelism, rows.rdd.getNumPartitions() // 8))
+
+
 def shards(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", shard_bytes: int = SHARD_BYTES,
            task_bytes: int = TASK_BYTES) -> DataFrame:
-    """lang, n_words, words, ids: the partition that is mined, written once."""
+    """lang, n_words, words (no word holds a newline), ids: the partition that is mined, written once."""
     rows = docs.select(F.coalesce(F.col(f"`{lang_col}`").cast("string"), F.lit("und")).alias("lang"),
                        F.col(f"`{text_col}`").alias("text")).where(F.length("text") > 0)
+    rows = _fewer_tasks(rows)
     made = rows.mapInArrow(_sharder(shard_bytes, task_bytes),
-                           "lang string, n_words long, words array<string>, ids binary")
-    return written(made.where("n_words > 0"), "phrase-shards")
+                           "lang string, n_words long, words binary, ids binary").where("n_words > 0")
+    spark = docs.sparkSession
+    prepare(spark)
+    path = shared_path(spark, "phrase-shards")
+    made.write.option("compression", "none").parquet(path)  # the columns are compressed
+    return spark.read.schema(made.schema).parquet(path)
 
 
 class Union:
@@ -154,39 +186,48 @@ class Union:
         return found
 
 
-def _unite(reports: DataFrame, min_count: int, bits: int) -> tuple[Union, bool]:
-    """The bitmap of the reported phrases that can reach ``min_count``, and whether there is any.
-
-    Its size and what reaches the driver (``bits / 8`` bytes) do not grow with the data.
-    """
-    able = reports.groupBy("key", "slack").agg(F.sum("excess").alias("excess")).where(
-        F.col("excess") + F.col("slack") >= min_count)
+def _bitmap(keys: DataFrame, bits: int) -> tuple[Union, bool]:
+    """The bitmap of some keys, and whether there is any; what reaches the driver (``bits / 8`` bytes) is fixed."""
     place = F.explode(F.array(*[F.shiftrightunsigned("key", s).bitwiseAND(F.lit(bits - 1)) + 1 for s in (0, 32)]))
-    rows = able.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(
+    rows = keys.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("bucket")).agg(
         F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bitmap")).collect()
     return Union(rows, bits), bool(rows)
 
 
+def _unite(reports: DataFrame, min_count: int, bits: int) -> tuple[Union, bool]:
+    """The bitmap of the reported phrases that can reach ``min_count``, and whether there is any."""
+    able = reports.groupBy("key", "slack").agg(F.sum("excess").alias("excess")).where(
+        F.col("excess") + F.col("slack") >= min_count)
+    return _bitmap(able.select("key"), bits)
+
+
 class _Shard:
-    """A shard's windows: keys and break-free starts of one length, grown word by word."""
+    """A shard's windows of some length, hashed slice by slice; a window is whole when no break is inside."""
 
     def __init__(self, lang: str, words: pa.Array, ids: np.ndarray):
         data, offsets = utf8(words)
-        own = _text_hash(lang)
-        self.ids = ids
-        self.word = np.append(mix(span_hashes(data, offsets[:-1], offsets[1:]) ^ own), np.uint64(0))  # -1: the last
-        self.keys, self.whole, self.length = self.word[ids], ids >= 0, 1
-
-    def grow(self) -> None:
-        n = len(self.keys) - 1
-        self.keys = mix(self.keys[:n] * _FACTOR + self.word[self.ids[self.length:self.length + n]])
-        self.whole = self.whole[:n] & (self.ids[self.length:self.length + n] >= 0)
-        self.length += 1
-
-    def among(self, union: Union, where: np.ndarray) -> np.ndarray:
-        out = where.copy()
-        at = np.flatnonzero(where)
-        out[at] = union.holds(self.keys[at])
+        own = mix(span_hashes(data, offsets[:-1], offsets[1:]) ^ _text_hash(lang))
+        self.ids, self.word = ids, np.append(own, np.uint64(0))  # -1: the last
+
+    def keys(self, length: int) -> Iterator[tuple[slice, np.ndarray, np.ndarray]]:
+        """Places, keys and wholeness of all windows."""
+        n = len(self.ids) - length + 1
+        for a in range(0, n, SLICE):
+            m = min(n - a, SLICE)
+            ids = self.ids[a:a + m]
+            key, whole = self.word[ids], ids >= 0
+            for t in range(1, length):
+                ids = self.ids[a + t:a + t + m]
+                key = mix(key * _FACTOR + self.word[ids])
+                whole &= ids >= 0
+            yield slice(a, a + m), key, whole
+
+    def among(self, length: int, union: Union, where: np.ndarray | None = None) -> np.ndarray:
+        """Which windows (of those in ``where``) are whole and held by ``union``."""
+        out = np.zeros(max(0, len(self.ids) - length + 1), bool)
+        for place, key, whole in self.keys(length):
+            at = np.flatnonzero(whole if where is None else whole & where[place])
+            out[place.start + at] = union.holds(key[at])
         return out
 
 
@@ -199,67 +240,100 @@ def _shards_in(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, _Shard
     for batch in batches:
         for i in range(batch.num_rows):
             row = {c: batch.column(c)[i].as_py() for c in ("lang", "n_words", "total", "slack")}
-            words = batch.column("words")[i].values
-            yield row, _Shard(row["lang"], words, np.frombuffer(batch.column("ids")[i].as_buffer(), np.int32)), words
+            words = pa.array(_unpressed(batch.column("words")[i].as_buffer()).to_pybytes().decode().split("\n"))
+            ids = np.frombuffer(_unpressed(batch.column("ids")[i].as_buffer()), np.int32)
+            yield row, _Shard(row["lang"], words, ids), words
+
+
+def _merged(batches: Iterator[pa.RecordBatch], by: list[str], added: str) -> Iterator[pa.RecordBatch]:
+    """The rows of a task's shards, those of equal ``by`` added up as far as ``MERGED_ROWS`` rows allow."""
+    held, n = [], 0
+
+    def leave(table: pa.Table) -> list[pa.RecordBatch]:
+        return table.combine_chunks().to_batches(max_chunksize=1 << 16)
+
+    def merge() -> pa.Table:
+        table = pa.Table.from_batches(held)
+        return table.group_by(by).aggregate([(added, "sum")]).rename_columns([*by, added]) if len(held) > 1 else table
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n > MERGED_ROWS:
+            table = merge()
+            if table.num_rows > MERGED_ROWS // 2:
+                yield from leave(table)
+                held, n = [], 0
+            else:
+                held, n = table.combine_chunks().to_batches(), table.num_rows
+    if held:
+        yield from leave(merge())
 
 
 def _miner(length: int, before, min_count: int):
     """Reports of the phrases of ``length`` words that are frequent in their shard."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def mine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, shard, _ in _shards_in(batches):
             support = -(-min_count * row["n_words"] // row["total"])
-            for _ in range(length - 2):
-                shard.grow()
-            where = shard.whole
-            if length > 1:
-                part = shard.among(before.value, where)
-                shard.grow()
+            if length > 1:  # both shorter windows can be frequent
+                part = shard.among(length - 1, before.value)
                 where = part[:-1] & part[1:]
-            keys = np.sort(shard.keys[where])
-            first = group_starts(keys)
-            count = group_sizes(first, len(keys))
+                keys = [key[where[place]] for place, key, _ in shard.keys(length)]
+                keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+                keys.sort()
+                first = group_starts(keys)
+                keys, count = keys[first], group_sizes(first, len(keys))
+            else:
+                keys, count = shard.word[:-1], np.bincount(shard.ids + 1, minlength=len(shard.word))[1:]
             kept = count >= support
-            keys, count = keys[first[kept]].astype(np.int64), count[kept]
+            keys, count = keys[kept].astype(np.int64), count[kept]
             # a shard that reports nothing has at most support - 1 occurrences
             yield pa.RecordBatch.from_pydict({
-                "key": pa.array(keys), "excess": pa.array(count - (support - 1)),
-                "slack": pa.array(np.full(len(keys), row["slack"]))})
-    return run
+                "key": pa.array(keys), "slack": pa.array(np.full(len(keys), row["slack"])),
+                "excess": pa.array(count - (support - 1))})
+    return lambda batches: _merged(mine(batches), ["key", "slack"], "excess")
 
 
-def _counter(unions):
-    """Exact counts of all windows that the unions hold, with their words."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counter(unions, first: int):
+    """Exact counts of all windows of ``first`` words or more that the unions hold, with their words."""
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, shard, words in _shards_in(batches):
-            n_ids, ids = len(words), shard.ids
-            number = ids.astype(np.int64)  # of the phrase at each position, exact; -1 for none
+            ids, number, where = shard.ids, shard.ids, None  # number: of the phrase at each place, exact
             for length, union in enumerate(unions.value, 1):
-                if length == 1:
-                    where = shard.among(union, shard.whole)
-                else:
-                    part = where
-                    shard.grow()
-                    where = shard.among(union, part[:-1] & part[1:])
+                where = shard.among(length, union, None if length == 1 else where[:-1] & where[1:])
                 at = np.flatnonzero(where)
                 if not len(at):
                     break
-                exact = number[at] if length == 1 else number[at] * n_ids + ids[at + length - 1]
-                _, first, same, count = np.unique(exact, return_index=True, return_inverse=True, return_counts=True)
-                number = np.full(len(where), -1, np.int64)
+                exact = number[at].astype(np.int64)
+                if length > 1:
+                    exact = exact * len(words) + ids[at + length - 1]
+                _, begin, same, n = np.unique(exact, return_index=True, return_inverse=True, return_counts=True)
+                number = np.full(len(where), -1, np.int32)
                 number[at] = same
-                begin = at[first]
-                said = [words.take(pa.array(ids[begin + t])) for t in range(length)]
-                text = pc.binary_join_element_wise(*said, " ") if length > 1 else said[0]
+                if length < first:
+                    continue
+                said = [words.take(pa.array(ids[at[begin] + t])) for t in range(length)]
                 yield pa.RecordBatch.from_pydict({
-                    "lang": pa.array([row["lang"]] * len(begin), pa.string()), "phrase": text,
-                    "n_words": pa.array(np.full(len(begin), length, np.int32)), "n": pa.array(count)})
-    return run
+                    "lang": pa.array([row["lang"]] * len(n), pa.string()),
+                    "phrase": pc.binary_join_element_wise(*said, " ") if length > 1 else said[0],
+                    "n_words": pa.array(np.full(len(n), length, np.int32)), "n": pa.array(n)})
+    return lambda batches: _merged(count(batches), ["lang", "phrase", "n_words"], "n")
 
 
-def frequent_phrases(parts: DataFrame, min_count: int = 100, longest: int = 5, bits: int = UNION_BITS) -> DataFrame:
+def _word_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Keys of single words, as shards have them."""
+    for batch in batches:
+        for lang in pc.unique(batch.column("lang")).to_pylist():
+            words = batch.column("phrase").filter(pc.equal(batch.column("lang"), lang))
+            yield pa.RecordBatch.from_pydict({"key": pa.array(_Shard(lang, words, np.zeros(0, np.int32)).word[:-1]
+                                                             .astype(np.int64))})
+
+
+def frequent_phrases(parts: DataFrame, min_count: int = 100, longest: int = 5, bits: int = UNION_BITS,
+                     every_word: bool = True) -> DataFrame:
     """lang, phrase, n_words, a (occurrences), total (words of the language) of all phrases with ``min_count``.
 
-    ``parts``: a result of :func:`shards`.
+    ``parts``: a result of :func:`shards`.  Unless ``every_word``, single words
+    are those of the longer phrases only.
     """
     spark = parts.sparkSession
     totals = parts.groupBy("lang").agg(F.sum("n_words").alias("total"))
@@ -268,19 +342,28 @@ def frequent_phrases(parts: DataFrame, min_count: int = 100, longest: int = 5, b
     slack = parts.select("lang", "n_words").join(totals, "lang").groupBy("lang", "total").agg(
         F.sum(support - 1).alias("slack"))
     languages = written(slack, "phrase-languages")
-    rows = parts.join(languages, "lang").select("lang", "n_words", "words", "ids", "total", "slack")
+    rows = _fewer_tasks(parts).join(languages, "lang").select(
+        "lang", "n_words", "words", "ids", "total", "slack")
     unions, before = [], None
     for length in range(1, longest + 1):
-        reports = rows.mapInArrow(_miner(length, before, min_count), "key long, excess long, slack long")
+        reports = rows.mapInArrow(_miner(length, before, min_count), "key long, slack long, excess long")
         union, some = _unite(reports, min_count, bits)
         if not some:
             break
         unions.append(union)
         before = spark.sparkContext.broadcast(union)
-    counted = rows.mapInArrow(_counter(spark.sparkContext.broadcast(unions)),
-                              "lang string, phrase string, n_words int, n long")
-    found = counted.groupBy("lang", "phrase", "n_words").agg(F.sum("n").alias("a")).where(F.col("a") >= min_count)
-    return written(found.join(languages.drop("slack"), "lang"), "phrases")
+
+    def count(unions: list[Union], first: int) -> DataFrame:
+        counted = rows.mapInArrow(_counter(spark.sparkContext.broadcast(unions), first),
+                                  "lang string, phrase string, n_words int, n long")
+        found = counted.groupBy("lang", "phrase", "n_words").agg(F.sum("n").alias("a")).where(F.col("a") >= min_count)
+        return written(found.join(languages.drop("slack"), "lang"), "phrases")
+    if every_word:
+        return count(unions, 1)
+    several = count(unions, 2)
+    said = several.select("lang", F.explode(F.split("phrase", " ")).alias("phrase")).distinct()
+    inside, _ = _bitmap(said.mapInArrow(_word_keys, "key long"), bits)
+    return several.unionByName(count([inside], 1))
 
 
 def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", min_count: int = 100,
@@ -293,7 +376,8 @@ def collocations(docs: DataFrame, text_col: str = "text", lang_col: str = "lang"
     (the first of equal ones).  Phrases inside a longer one that occurs at least
     ``contained_percent`` percent as often are left out.
     """
-    phrases = frequent_phrases(shards(docs, text_col, lang_col, shard_bytes), min_count, longest, bits)
+    phrases = frequent_phrases(shards(docs, text_col, lang_col, shard_bytes), min_count, longest, bits,
+                               every_word=False)
     several = phrases.where("n_words > 1").withColumn("w", F.split("phrase", " "))
     part = lambda a, n: F.array_join(F.slice("w", a, n), " ")
     cut = several.withColumn("k", F.explode(F.sequence(F.lit(1), F.col("n_words") - 1))).select(
