@@ -8,6 +8,7 @@ third of all rows never has to be sorted in one task.
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Sequence
 
 from pyspark.ml.feature import Bucketizer
@@ -68,12 +69,12 @@ def evaluate_models(long_preds: DataFrame, model_cols: Sequence[str], label: str
     return cm.select(*model_cols, *metric_columns(), "tn", "fp", "fn", "tp")
 
 
-def threshold_counts(df: DataFrame, model: str, score: str, label: str, thresholds: Column,
+def threshold_counts(df: DataFrame, model: str, score: str, label: str, thresholds: Column | Sequence[float],
                      group_cols: Sequence[str] = ()) -> DataFrame:
     """(group..., model, place, tn, fp, fn, tp) of the rules ``score > threshold``.
 
-    ``thresholds`` is an array column, the same for all rows of a model.  Each
-    row is bucketed once, by how many of the sorted thresholds lie below its
+    ``thresholds`` are numbers, or an array column, the same for all rows of a
+    model.  Each row is bucketed once, by how many of the sorted thresholds lie below its
     score, and counted: at most 2 (thresholds + 1) counts per model, whatever
     the scores.  The cells of a threshold are sums over the buckets beyond it,
     so neither rows nor scores are multiplied by thresholds.  A NULL score is
@@ -82,10 +83,16 @@ def threshold_counts(df: DataFrame, model: str, score: str, label: str, threshol
     keys = [*group_cols, model]
     y = F.when(F.col(label).isNull(), F.raise_error(F.lit("threshold_counts: NULL label")).cast("int")) \
         .otherwise((F.col(label) == 1).cast("int"))
-    cuts = F.array_sort(thresholds)
-    below = F.coalesce(F.size(F.filter(cuts, lambda t: F.col(score) > t)), F.lit(0))
-    hist = df.select(*keys, y.alias("__y"), F.when(F.col(score).isNull(), 0).otherwise(below).alias("__b"),
-                     thresholds.alias("__ts")).groupBy(*keys, "__y", "__b", "__ts").agg(F.count(F.lit(1)).alias("__n"))
+    if isinstance(thresholds, Column):
+        below = F.coalesce(F.size(F.filter(F.array_sort(thresholds), lambda t: F.col(score) > t)), F.lit(0))
+        hist = df.select(*keys, y.alias("__y"), F.when(F.col(score).isNull(), 0).otherwise(below).alias("__b"),
+                         thresholds.alias("__ts")).groupBy(*keys, "__y", "__b", "__ts").agg(
+            F.count(F.lit(1)).alias("__n"))
+    else:  # literals: the bucket is compiled, and the thresholds join the few counts afterwards
+        cuts = [float(t) for t in thresholds]
+        above = reduce(lambda a, b: a + b, [(F.col(score) > F.lit(t)).cast("int") for t in cuts], F.lit(0))
+        hist = df.select(*keys, y.alias("__y"), F.coalesce(above, F.lit(0)).alias("__b")).groupBy(
+            *keys, "__y", "__b").agg(F.count(F.lit(1)).alias("__n")).withColumn("__ts", F.array(*map(F.lit, cuts)))
     per = hist.groupBy(*keys, "__ts").agg(F.collect_list(F.struct("__y", "__b", "__n")).alias("__h"))
     cells = per.select(*keys, "__h", F.array_sort("__ts").alias("__cuts"), F.posexplode("__ts").alias("place", "threshold"))
     rank = F.size(F.filter("__cuts", lambda t: t < F.col("threshold")))  # buckets 0..rank are not above it
@@ -108,8 +115,7 @@ def threshold_grid(df: DataFrame, scorers: Sequence[tuple[str, Column]], thresho
     arr = F.array(*[F.struct(F.lit(n).alias("model"), F.lit(i).alias("__m"), c.cast("double").alias("score"))
                     for i, (n, c) in enumerate(scorers)])
     long = df.select(*gc, F.col(label).alias("__label"), F.explode(arr).alias("__s")).select(*gc, "__label", "__s.*")
-    cm = threshold_counts(long, "model", "score", "__label", F.array(*[F.lit(float(t)) for t in thresholds]),
-                          [*gc, "__m"])
+    cm = threshold_counts(long, "model", "score", "__label", thresholds, [*gc, "__m"])
     return cm.select(*gc, "model", (F.col("__m") * stride + F.col("place")).alias("ordinal"), "threshold",
                      *metric_columns(), "tn", "fp", "fn", "tp")
 

@@ -85,7 +85,7 @@ def q_schema_table(spark, d):
 
 @query("sink_roundtrip")
 def q_sink_roundtrip(spark, d):
-    """T1 label counts and describe written as CSV and read back."""
+    """T1 label counts written as CSV and read back."""
     vc = profile.value_counts(C.t1(spark, d), "label")
     return io.sink_and_reload(vc, "label_info", "csv")
 

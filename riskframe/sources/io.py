@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 import time
+import uuid
 from dataclasses import dataclass
 from functools import reduce
 from typing import Mapping, Sequence
@@ -91,6 +93,44 @@ def sink_and_reload(df: DataFrame, name: str, fmt: str = "csv") -> DataFrame:
     return reader.load(path)
 
 
+def write_results(tables: dict[str, DataFrame], base: str, fmt: str = "csv") -> str:
+    """A result folder.  Every table is written aside, under a new name, then one manifest publishes them all.
+
+    The manifest (table, path, schema, rows) is written last: readers see the
+    tables of one run or none, and a run that ends early leaves no manifest.
+    Returns the manifest's path.
+    """
+    run, rows = uuid.uuid4().hex, []
+    spark = None
+    for name, df in tables.items():
+        spark = df.sparkSession
+        path = write_table(df, f"{base.rstrip('/')}/{name}-{run}", fmt)
+        rows.append((name, path, df.schema.json(), _reload(spark, path, df.schema, fmt).count(), fmt))
+    if spark is None:
+        raise ValueError("write_results: no tables")
+    manifest = f"{base.rstrip('/')}/manifest-{run}"
+    spark.createDataFrame(rows, "table string, path string, schema string, rows bigint, format string").coalesce(1) \
+        .write.json(manifest)
+    return manifest
+
+
+def read_results(spark: SparkSession, manifest: str) -> dict[str, DataFrame]:
+    """The tables that a manifest of :func:`write_results` names; a table that lost rows is an error."""
+    out = {}
+    for r in spark.read.schema("table string, path string, schema string, rows bigint, format string") \
+            .json(manifest).collect():  # one row per table
+        df = _reload(spark, r["path"], T.StructType.fromJson(json.loads(r["schema"])), r["format"])
+        if df.count() != r["rows"]:
+            raise ValueError(f"{r['table']}: the manifest has {r['rows']} rows")
+        out[r["table"]] = df
+    return out
+
+
+def _reload(spark: SparkSession, path: str, schema: T.StructType, fmt: str) -> DataFrame:
+    reader = spark.read.format(fmt).schema(schema)
+    return (reader.option("header", True) if fmt == "csv" else reader).load(path)
+
+
 @dataclass(frozen=True)
 class Field:
     name: str

@@ -59,6 +59,7 @@ def test_scalers(spark):
     assert st == pytest.approx(list(ref))
     rb = [r.x for r in scale.RobustScaler(["x"]).fit(df).transform(df).collect() if r.x is not None]
     assert rb == pytest.approx([(1 - 2) / 1.5, 0.0, 2 / 1.5])
+    assert scale.Identity().transform(df).collect() == df.collect()
     nz = scale.normalize_rows(spark.createDataFrame([(3.0, 4.0), (0.0, 0.0)], "a double, b double"), ["a", "b"]).collect()
     assert (nz[0].a, nz[0].b, nz[1].a) == (0.6, 0.8, 0.0)
 

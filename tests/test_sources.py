@@ -51,3 +51,29 @@ def test_timer(spark):
         pass
     r = t.table().collect()[0]
     assert r.name == "x" and r.seconds >= 0
+
+
+def test_result_folder_round_trips_by_its_manifest(spark, tmp_path):
+    import pytest
+    from riskframe.operators import profile
+    from riskframe.sources.io import Timer
+    rows = [(i, float(i) / 3 if i % 4 else None, i * 1e9, i % 2, "a,\"b\"" if i % 3 else None) for i in range(40)]
+    df = spark.createDataFrame(rows, "id bigint, x double, y double, label int, note string")
+    with Timer(spark, "run") as timer:
+        tables = {"describe": profile.describe(df, ["x", "y"]), "counts": profile.value_counts(df, "label"),
+                  "types": io.schema_table(df), "correlation": profile.correlation(df, ["x", "y"], "label"), "rows": df}
+    tables["elapsed"] = timer.table()
+    first = io.write_results(tables, str(tmp_path / "results"))
+    again = io.read_results(spark, first)
+    assert again.keys() == tables.keys()
+    for name, table in tables.items():
+        assert again[name].schema.simpleString() == table.schema.simpleString()
+        assert sorted(map(repr, again[name].collect())) == sorted(map(repr, table.collect())), name
+    # a second run leaves the first one readable, and lost files are noticed
+    io.write_results({"counts": tables["counts"].limit(1)}, str(tmp_path / "results"))
+    assert io.read_results(spark, first)["counts"].count() == 2
+    import pathlib
+    for f in pathlib.Path(again["counts"].inputFiles()[0].removeprefix("file://")).parent.glob("part-*"):
+        f.write_text("")
+    with pytest.raises(ValueError):
+        io.read_results(spark, first)
