@@ -25,30 +25,34 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.operators.knn import (CELL_BLOCK_ROWS, ROWS_PER_CELL, _ddl, _in_cells, _matrix, _meet, distances,
-                                     knn_join, pairwise_blocks)
+                                     knn_join, paired_distances, pairwise_blocks, same_key_pairs)
 from riskframe.operators.resample import roles
 from riskframe.operators.splits import exact_rank
 from riskframe.session import cut_lineage
 
 
-def _cluster_sum_kernel(lkey, cl, rcl, vec, chunk: int = 256):
-    """Distance sums of two blocks, ``chunk`` left rows at a time (bounds the distance matrix)."""
+def _cluster_sum_kernel(lkey, cl, rcl, vec, chunk: int = 256, wide: int = 1024):
+    """Distance sums of two blocks, ``chunk`` x ``wide`` pairs at a time (the distances stay in the processor's cache)."""
     def fn(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         if lp.empty or rp.empty:
             return pd.DataFrame({**{k: [] for k in lkey}, "__lc": [], "__rc": [], "__sd": []})
-        R, rc = _matrix(rp, vec), rp[rcl].to_numpy()
-        out = []
-        for s in range(0, len(lp), chunk):
-            part = lp.iloc[s:s + chunk]
-            D = distances(_matrix(part, vec), R)
-            same = np.ones(D.shape, dtype=bool)
-            for k in lkey:
-                same &= part[k].to_numpy()[:, None] == rp[k].to_numpy()[None, :]
-            D[same] = 0.0
-            for c in pd.unique(rc):
-                out.append(pd.DataFrame({**{k: part[k].to_numpy() for k in lkey}, "__lc": part[cl].to_numpy(),
-                                         "__rc": np.full(len(part), c), "__sd": D[:, rc == c].sum(axis=1)}))
-        return pd.concat(out, ignore_index=True)
+        codes, names = pd.factorize(rp[rcl])
+        rp = rp.iloc[np.argsort(codes, kind="stable")]  # a cluster's rows lie together
+        codes = np.sort(codes)
+        Q, R = _matrix(lp, vec), _matrix(rp, vec)
+        total = np.zeros((len(Q), len(names)))
+        for t in range(0, len(R), wide):
+            starts = np.flatnonzero(np.diff(codes[t:t + wide], prepend=-1))
+            here = codes[t:t + wide][starts]
+            for s in range(0, len(Q), chunk):
+                total[s:s + chunk, here] += np.add.reduceat(distances(Q[s:s + chunk], R[t:t + wide]), starts, axis=1)
+        i, j = same_key_pairs(lp, rp, lkey, lkey)  # rows of one key have no distance
+        np.subtract.at(total, (i, codes[j]), paired_distances(Q[i], R[j]))
+        n = len(names)
+        # whole arrays, no pieces put together: text columns of several chunks cannot be handed to Spark
+        return pd.DataFrame({**{k: np.repeat(lp[k].to_numpy(), n) for k in lkey},
+                             "__lc": np.repeat(lp[cl].to_numpy(), n),
+                             "__rc": np.tile(np.asarray(names), len(lp)), "__sd": total.reshape(-1)})
     return fn
 
 
@@ -158,7 +162,7 @@ def under_cluster_guided(df: DataFrame, key: Sequence[str], features: Sequence[s
         part = assign(df.where(F.col(label) == lab), features, k, seed)
         parts.append(part.withColumn("__role", F.lit(role)))
     tagged = cut_lineage(parts[0].unionByName(parts[1]))  # the pairs are scored and picked from the same fit
-    tagged = tagged.withColumn("__grp", F.concat_ws(":", "__role", F.col("cluster").cast("string"))) \
+    tagged = tagged.withColumn("__grp", F.col("cluster") + F.when(F.col("__role") == "min", 0).otherwise(k)) \
         .withColumn("__vec", F.array(*[F.col(f).cast("double") for f in features]))
     sums = cluster_distance_sums(tagged, key, "__grp", "__vec")
     sizes = tagged.groupBy(F.col("__grp").alias("__rc")).agg(F.count(F.lit(1)).alias("__n"))
@@ -166,14 +170,12 @@ def under_cluster_guided(df: DataFrame, key: Sequence[str], features: Sequence[s
     own = s.where(F.col("__lc") == F.col("__rc")).select(
         *key, "__lc", F.when(F.col("__n") > 1, F.col("__sd") / (F.col("__n") - 1)).alias("a"),
         F.col("__n").alias("__own_n"))
-    other = s.where(F.split("__lc", ":")[0] != F.split("__rc", ":")[0]).select(
+    other = s.where((F.col("__lc") < k) != (F.col("__rc") < k)).select(
         *key, "__rc", (F.col("__sd") / F.col("__n")).alias("b"))
     j = own.join(other, key)
     sil = F.when(F.col("__own_n") <= 1, F.lit(0.0)).otherwise(
         F.coalesce((F.col("b") - F.col("a")) / F.nullif(F.greatest("a", "b"), F.lit(0.0)), F.lit(0.0)))
-    is_min = F.split("__lc", ":")[0] == "min"
-    min_c = F.when(is_min, F.split("__lc", ":")[1]).otherwise(F.split("__rc", ":")[1]).cast("int")
-    maj_c = F.when(is_min, F.split("__rc", ":")[1]).otherwise(F.split("__lc", ":")[1]).cast("int")
+    min_c, maj_c = F.least("__lc", "__rc"), F.greatest("__lc", "__rc") - k
     scores = j.select(min_c.alias("min_cluster"), maj_c.alias("maj_cluster"), sil.alias("s")) \
         .groupBy("min_cluster", "maj_cluster").agg(F.avg("s").alias("silhouette")) \
         .withColumn("pair", F.col("min_cluster") * k + F.col("maj_cluster"))

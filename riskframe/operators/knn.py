@@ -32,13 +32,13 @@ from riskframe.session import cut_lineage
 DEFAULT_BLOCK_ROWS = 0   # 0: sized from the data
 #: Right rows of a cell on average, most pivots (their coordinates are in every task), most rows of a cell's block.
 ROWS_PER_CELL, MAX_PIVOTS, CELL_BLOCK_ROWS = 256, 2048, 16_384
-MIN_BLOCK_ROWS, MAX_BLOCK_ROWS, TARGET_BLOCKS = 512, 100_000, 256
+MIN_BLOCK_ROWS, MAX_BLOCK_ROWS, TARGET_BLOCKS = 512, 100_000, 32
 
 
 def _n_blocks(df: DataFrame, block_rows: int) -> int:
     """Blocks per side.  Replication (and shuffle) grows with the number of
     blocks on the other side, memory with the block size: aim for at most
-    ~256 blocks of 512 to 100k rows."""
+    ~32 blocks of 512 to 100k rows."""
     n = df.count()
     if block_rows <= 0:
         block_rows = min(MAX_BLOCK_ROWS, max(MIN_BLOCK_ROWS, math.ceil(n / TARGET_BLOCKS)))
@@ -78,6 +78,25 @@ def distances(Q: np.ndarray, R: np.ndarray) -> np.ndarray:
     return np.sqrt(acc)
 
 
+def paired_distances(Q: np.ndarray, R: np.ndarray) -> np.ndarray:
+    """Distances of row i of ``Q`` to row i of ``R``, summed like :func:`distances`."""
+    acc = np.zeros(len(Q))
+    for j in range(Q.shape[1]):
+        d = Q[:, j] - R[:, j]
+        acc += d * d
+    return np.sqrt(acc)
+
+
+def same_key_pairs(lp: pd.DataFrame, rp: pd.DataFrame, lkey: Sequence[str], rkey: Sequence[str]
+                   ) -> tuple[np.ndarray, np.ndarray]:
+    """Positions of all pairs of rows with equal keys (a NULL equals nothing)."""
+    names = [f"k{i}" for i in range(len(lkey))]
+    sides = [pdf[list(key)].set_axis(names, axis=1).reset_index(drop=True).rename_axis(at).reset_index().dropna()
+             for pdf, key, at in ((lp, lkey, "i"), (rp, rkey, "j"))]
+    both = sides[0].merge(sides[1], on=names)
+    return both["i"].to_numpy(), both["j"].to_numpy()
+
+
 def _key_rank(pdf: pd.DataFrame, key: Sequence[str]) -> np.ndarray:
     """Position of each row in key order (for tie-breaking)."""
     order = np.lexsort([pdf[k].to_numpy() for k in reversed(key)])

@@ -167,3 +167,20 @@ def test_unknown_pick_is_an_error(spark):
     df = spark.createDataFrame([(1, 1.0, 0)], "id bigint, a double, label int")
     with pytest.raises(ValueError):
         cluster.under_cluster_guided(df, ["id"], ["a"], "label", 2, "best")
+
+
+def test_clusters_named_by_text_and_blocks_of_many_rows(spark):
+    # more rows a block than a chunk of the kernel; cluster names are text
+    rng = np.random.default_rng(6)
+    lab = np.array([i % 3 for i in range(900)])
+    X = rng.normal(size=(900, 2)) + lab[:, None] * 4.0
+    df = spark.createDataFrame([(i, [float(v) for v in X[i]], f"c{lab[i]}") for i in range(900)],
+                               "id bigint, vec array<double>, c string")
+    assert cluster.silhouette(df, ["id"], "c").first().silhouette == pytest.approx(_silhouette(X, lab), rel=1e-9)
+
+
+def test_cluster_guided_with_more_rows_than_a_chunk(spark):
+    df = spark.range(1400).select("id", (F.col("id") % 7 * 1.0 + F.when(F.col("id") % 5 == 0, 50.0).otherwise(0.0)).alias("a"),
+                                  (F.col("id") % 11 * 1.0).alias("b"), (F.col("id") % 4 == 0).cast("int").alias("label"))
+    out, scores = cluster.under_cluster_guided(df, ["id"], ["a", "b"], "label", 2)
+    assert scores.count() == 4 and out.where("label = 1").count() == 350 and out.count() < 1400
