@@ -4,8 +4,8 @@ A chain is drop -> impute -> scale -> select -> [cluster under-sampling] ->
 [sampler] -> model, so that its four shapes are those with and without either
 resampling step.  Every step is fitted on the training rows only; resamplers
 run in ``fit`` and never at prediction time.  The grid is fitted as a tree: every distinct
-prefix (per fold) is fitted once, its output persisted and shared by all
-configs below it, and released when the fold is done.  Folds run side by
+prefix (per fold) is fitted once, its output kept and shared by all
+configs below it, and persisted rows are released when the fold is done.  Folds run side by
 side; a fold's predictions are scored by one aggregation.
 """
 
@@ -181,13 +181,25 @@ def fit_chain(cfg: Chain, train: DataFrame, features: Sequence[str], key: Sequen
     """Fit every step on ``train`` (resampling only here)."""
     df, feats, fitted = train, list(features), []
     for depth in range(DEPTH):
-        m, df, feats = _fit_prefix_step(depth, cfg, df, feats, list(key), label)
+        m, after, feats = _fit_prefix_step(depth, cfg, df, feats, list(key), label)
         if m is not None:
             fitted.append(m)
+        elif after is not df:
+            after = cut_lineage(after)  # resampled rows: the steps below read them several times
+        df = after
     model = Classifier(cfg.model, feats, label, key, seed, **cfg.model_params).fit(df)
     return FittedChain(fitted, feats, model)
 
 
+def fit_chains(configs: Sequence[Chain], ordinals: Sequence[int], train: DataFrame, features: Sequence[str],
+               key: Sequence[str], label: str = "label", seed: int = 42, parallelism: int = 8) -> dict[int, FittedChain]:
+    """Config ordinal -> chain fitted on ``train``; the fits are independent jobs, submitted side by side."""
+    from concurrent.futures import ThreadPoolExecutor
+
+    with ThreadPoolExecutor(max_workers=max(1, parallelism)) as pool:
+        return dict(zip(ordinals, pool.map(lambda c: fit_chain(configs[c], train, features, key, label, seed), ordinals)))
+
+
 def grid_configs(options: dict[str, Sequence], pipeline: str = "chain") -> list[Chain]:
     """Cartesian expansion of step options (driver-side: bounded by the grid)."""
     names = list(options)
@@ -231,8 +243,8 @@ def grid_search(df: DataFrame, configs: Sequence[Chain], features: Sequence[str]
     A fold's chains are scored on its validation rows and on its training rows
     (as they came, not resampled), all by one aggregation.
 
-    Prefixes are shared: a fold fits each distinct prefix once and persists
-    its output.  Folds, and the model fits below the prefixes, are independent
+    Prefixes are shared: a fold fits each distinct prefix once; scaled rows are
+    persisted, resampled ones written.  Folds, and the model fits below the prefixes, are independent
     jobs submitted from driver threads, ``parallelism`` fits at a time (each fit
     is itself distributed).  A fold's scores go to the shared checkpoint folder
     before its prefixes are released.
@@ -240,13 +252,12 @@ def grid_search(df: DataFrame, configs: Sequence[Chain], features: Sequence[str]
     from concurrent.futures import ThreadPoolExecutor
 
     key, features = list(key), list(features)
-    f = splits.folds_stratified(df, key, label, folds, seed).persist(StorageLevel.MEMORY_AND_DISK)
-    f.count()  # once, before the folds read it side by side
+    # written once: the plans below it start at these rows, however long the history of ``df``
+    f = cut_lineage(splits.folds_stratified(df, key, label, folds, seed))
     cfgs = list(enumerate(configs))
     with ThreadPoolExecutor(max_workers=max(1, parallelism)) as fits, ThreadPoolExecutor(max_workers=folds) as pool:
         results = list(pool.map(lambda fold: _score_fold(f, fold, cfgs, features, key, label, seed, fits),
                                 range(folds)))
-    f.unpersist()
     return reduce(lambda a, b: a.unionByName(b), results)
 
 
@@ -280,9 +291,8 @@ def _score_fold(f: DataFrame, fold: int, cfgs, features: list[str], key: list[st
                 continue
             steps, d, feats = cache[cfg.prefix(depth - 1)]
             m, d2, feats2 = _fit_prefix_step(depth - 1, cfg, d, feats, key, label)
-            if d2 is not d:
-                d2 = d2.persist(StorageLevel.MEMORY_AND_DISK)
-                held.append(d2)
+            if d2 is not d and depth > FUSED + 1:  # resampled rows are written; what is selected is read off the rest
+                d2 = cut_lineage(d2)
             cache[pre] = (steps + ([m] if m is not None else []), d2, feats2)
 
     def fit_one(item):
@@ -320,11 +330,10 @@ def refit_top(df_train: DataFrame, df_test: DataFrame, configs: Sequence[Chain],
 
     Returns a score row per config and split: config, split, metrics, counts, pipeline, steps, params.
     """
-    parts = []
-    for ordinal in top_configs(cv, configs, "f1", top):
-        fitted = fit_chain(configs[ordinal], df_train, features, key, label, seed)
-        for name, d in (("train", df_train), ("test", df_test)):
-            parts.append(fitted.transform(d).select(F.lit(ordinal).alias("config"), F.lit(name).alias("split"),
-                                                    F.col(label).alias("label"), "pred"))
+    df_train, df_test = cut_lineage(df_train), cut_lineage(df_test)  # every refit and score reads them
+    fitted = fit_chains(configs, top_configs(cv, configs, "f1", top), df_train, features, key, label, seed)
+    parts = [chain.transform(d).select(F.lit(ordinal).alias("config"), F.lit(name).alias("split"),
+                                       F.col(label).alias("label"), "pred")
+             for ordinal, chain in fitted.items() for name, d in (("train", df_train), ("test", df_test))]
     scores = evaluate.evaluate_models(reduce(lambda a, b: a.unionByName(b), parts), ["config", "split"])
     return scores.join(config_table(df_train.sparkSession, configs), "config")

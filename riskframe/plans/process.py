@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.operators import clean, evaluate, profile, splits
-from riskframe.plans.grid import Chain, FittedChain, config_table, fit_chain, grid_search, top_configs
+from riskframe.plans.grid import Chain, FittedChain, config_table, fit_chains, grid_search, top_configs
 from riskframe.session import cut_lineage, shared_path
 from riskframe.sources.io import Timer
 
@@ -39,7 +39,7 @@ def train_test_process(df: DataFrame, configs: Sequence[Chain], features: Sequen
     train, test = splits.train_test(flagged)
     cv = grid_search(train, configs, features, key, label, folds, seed)
     chosen = top_configs(cv, configs, "f1", top)
-    fitted = {c: fit_chain(configs[c], train, features, key, label, seed) for c in chosen}
+    fitted = fit_chains(configs, chosen, train, features, key, label, seed)
     parts = None
     for c, chain in fitted.items():
         for name, rows in (("train", train), ("test", test)):
