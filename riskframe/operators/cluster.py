@@ -346,7 +346,7 @@ def medoids(df: DataFrame, key: Sequence[str], features: Sequence[str], k: int,
         asks = state.select(*key, vec, "__d1", "__d2", "__own", F.explode("__to").alias("__cell"))
         own = ", ".join(f"__b{i} double" for i in range(len(meds)))
         gains = _meet(asks, placed, _swap_kernel(key, len(meds), vec), f"{ddl}, __g double, {own}", key, key,
-                      CELL_BLOCK_ROWS)
+                      (CELL_BLOCK_ROWS, CELL_BLOCK_ROWS))
         return state, gains.groupBy(*key).agg(*[F.sum(c).alias(c) for c in
                                                 ("__g", *(f"__b{i}" for i in range(len(meds))))])
 

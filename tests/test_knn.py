@@ -99,3 +99,45 @@ def test_no_right_rows(spark):
     df, _, _ = _vecs(spark, n=4)
     assert knn.knn_join(df, df.limit(0), 3, ["id"]).count() == 0
     assert knn.knn_join(df.limit(0), df, 3, ["id"]).count() == 0
+
+
+def _ranked(df, k, **options):
+    got = {}
+    for r in knn.knn_join(df, df, k, ["id"], exclude_self=True, **options).collect():
+        got.setdefault(r.id, []).append((r["rank"], r.nn_id))
+    return {i: [j for _, j in sorted(v)] for i, v in got.items()}
+
+
+def test_rows_without_structure_are_copied_once_a_bin(spark):
+    rng = np.random.default_rng(1)
+    X = rng.normal(size=(2500, 16))
+    df = spark.createDataFrame([(i, [float(v) for v in X[i]]) for i in range(2500)], "id bigint, vec array<double>")
+    _, visits = knn.cell_join(df, df, 3, ["id"], ["id"], exclude_self=True, rows_per_cell=32)
+    # 78 cells, hardly any ruled out: a row was copied to each of them
+    assert max(len(r["__to"]) for r in visits.select("__to").collect()) <= knn.TARGET_BINS
+    D = ((X[:, None, :] - X[None, :, :]) ** 2).sum(-1)
+    np.fill_diagonal(D, np.inf)
+    want = np.argsort(D, axis=1)[:, :3]
+    assert _ranked(df, 3, rows_per_cell=32) == {i: [int(j) for j in want[i]] for i in range(2500)}
+
+
+def test_text_keys_over_several_bins(spark):
+    X = [[float(i % 29), float(i % 31)] for i in range(400)]
+    df = spark.createDataFrame([(f"r{i:03d}", X[i]) for i in range(400)], "id string, vec array<double>")
+    want = _brute(np.array(X), 2)
+    assert _ranked(df, 2, block_rows=60, rows_per_cell=20) == {f"r{i:03d}": [f"r{j:03d}" for j in v] for i, v in want.items()}
+
+
+def test_single_precision_bounds_lose_no_pair(spark):
+    # rows that single precision cannot tell apart, far from the origin, among far ones and many equal ones
+    rng = np.random.default_rng(4)
+    X = np.vstack([1e6 + rng.normal(scale=1e-3, size=(200, 3)), rng.normal(scale=1e8, size=(40, 3)),
+                   np.repeat([[5.0, 5.0, 5.0]], 60, axis=0), np.zeros((3, 3))])
+    df = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(X)], "id bigint, vec array<double>")
+    acc = np.zeros((len(X), len(X)))
+    for c in X.T:
+        acc += (c[:, None] - c[None, :]) ** 2
+    D = np.sqrt(acc)
+    np.fill_diagonal(D, np.inf)
+    want = {i: [int(j) for j in np.lexsort((np.arange(len(X)), D[i]))[:4]] for i in range(len(X))}
+    assert _ranked(df, 4, block_rows=90, rows_per_cell=16) == want
