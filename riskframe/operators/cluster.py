@@ -7,8 +7,8 @@ cosine, so it is kept as the approximate ``mode='squared'``.
 
 Where the number of centres grows with the data (R3), centres are a table:
 rows meet their nearest centre in the metric cells of :mod:`knn`.  Medoids
-(R11) are PAM over all rows; its swaps are weighed by pairs within the radius
-that can matter, through the same cells.
+(R11) are PAM over all rows; candidates are bounded by the cells' means and
+spreads, and those that can be best weighed pair by pair.
 """
 
 from __future__ import annotations
@@ -24,8 +24,8 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskframe.operators.knn import (CELL_BLOCK_ROWS, ROWS_PER_CELL, _ddl, _in_cells, _matrix, _meet, distances,
-                                     knn_join, paired_distances, pairwise_blocks, same_key_pairs)
+from riskframe.operators.knn import (_ddl, _in_cells, _matrix, distances, knn_join, paired_distances, pairwise_blocks,
+                                     same_key_pairs)
 from riskframe.operators.resample import roles
 from riskframe.operators.splits import exact_rank
 from riskframe.session import cut_lineage
@@ -251,18 +251,29 @@ def under_centroids(df: DataFrame, features: Sequence[str], label: str = "label"
 
 # ---------------------------------------------------------------- medoids
 
-def _sum_kernel(key, vec, chunk: int = 256):
+#: Rows of a cell on average, for the bounds of medoid sums: cells are as many as the pivots may be from 32,768 rows on.
+MEDOID_CELL_ROWS = 16
+
+
+def _tiles(n: int, m: int, tall: int = 256, wide: int = 1024):
+    """Slices of left and right rows whose distances stay in the processor's cache."""
+    return ((slice(s, s + tall), slice(t, t + wide)) for t in range(0, m, wide) for s in range(0, n, tall))
+
+
+def _sum_kernel(key, vec):
     """Distance sums of the right rows to a left block."""
     def fn(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         if lp.empty or rp.empty:
             return pd.DataFrame({**{k: [] for k in key}, "__g": []})
         Q, R = _matrix(lp, vec), _matrix(rp, vec)
-        total = sum(distances(Q[s:s + chunk], R).sum(axis=0) for s in range(0, len(Q), chunk))
+        total = np.zeros(len(R))
+        for s, t in _tiles(len(Q), len(R)):
+            total[t] += distances(Q[s], R[t]).sum(axis=0)
         return pd.DataFrame({**{k: rp[k].to_numpy() for k in key}, "__g": total})
     return fn
 
 
-def _swap_kernel(key, k: int, vec, chunk: int = 256):
+def _swap_kernel(key, k: int, vec):
     """What each candidate (right row) gains as a further medoid (__g), and besides if medoid i goes (__b<i>)."""
     def fn(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
         cols = ["__g", *(f"__b{i}" for i in range(k))]
@@ -271,51 +282,107 @@ def _swap_kernel(key, k: int, vec, chunk: int = 256):
         Q, R = _matrix(lp, vec), _matrix(rp, vec)
         d1, d2, own = (lp[c].to_numpy() for c in ("__d1", "__d2", "__own"))
         out = np.zeros((1 + k, len(R)))
-        for s in range(0, len(Q), chunk):
-            part = slice(s, s + chunk)
-            D = distances(Q[part], R)
-            near = np.minimum(D - d1[part, None], 0.0)
-            out[0] += near.sum(axis=0)
+        for s, t in _tiles(len(Q), len(R)):
+            D = distances(Q[s], R[t])
+            near = np.minimum(D - d1[s, None], 0.0)
+            out[0, t] += near.sum(axis=0)
             if k > 1:
-                other = np.minimum(D - d2[part, None], 0.0) - near
+                other = np.minimum(D - d2[s, None], 0.0) - near
                 for i in range(k):
-                    out[1 + i] += other[own[part] == i].sum(axis=0)
+                    out[1 + i, t] += other[own[s] == i].sum(axis=0)
         return pd.DataFrame({**{c: rp[c].to_numpy() for c in key}, **{c: out[j] for j, c in enumerate(cols)}})
     return fn
 
 
-def _stater(cells, meds: np.ndarray, key, vec):
-    """Nearest and second nearest medoid of each row, and the cells with rows nearer than the second."""
+def _stater(meds: np.ndarray, vec):
+    """Nearest medoid of each row, and the distances to it and to the second nearest."""
     def run(batches):
         for pdf in batches:
             if not len(pdf):
                 continue
-            Q = _matrix(pdf, vec)
-            D = distances(Q, meds)
+            D = distances(_matrix(pdf, vec), meds)
             own = D.argmin(axis=1)
             d1 = D[np.arange(len(D)), own]
             D[np.arange(len(D)), own] = np.inf
             d2 = D.min(axis=1) if D.shape[1] > 1 else np.full(len(D), np.inf)
-            radius = np.where(np.isfinite(d2), d2, d1)
-            mine = pdf["__cell"].to_numpy()
-            to, _ = cells.value.visits(Q, mine, radius, 0)
-            yield pdf[[*key, vec]].assign(__d1=d1, __d2=d2, __own=own.astype("int32"), __to=pd.Series(
-                [[int(m), *t] for m, t in zip(mine, to)], dtype=object, index=pdf.index))
+            yield pdf.assign(__d1=d1, __d2=d2, __own=own.astype("int32"))
+    return run
+
+
+class _Spread:
+    """Per cell (and nearest medoid) of rows: number, mean, mean square around it, ring around the pivot;
+    sum, least and greatest distance to the nearest and second nearest medoid.  Bounded by pivots x medoids.
+
+    Distance is convex and its square's mean known, so n |x - mean| <= sum of distances <= n sqrt(|x - mean|^2 + var).
+    """
+
+    def __init__(self, cells, rows: DataFrame, dims: int, vec: str, own: bool):
+        limits = [f(c) for c in ("__d1", "__d2") for f in (F.sum, F.min, F.max)] if own else []
+        found = rows.groupBy("__cell", *(["__own"] if own else [])).agg(
+            F.count(F.lit(1)), F.avg(F.col("__pd") * F.col("__pd")), F.min("__pd"), F.max("__pd"),
+            *[F.avg(F.col(vec)[j]) for j in range(dims)], *limits).collect()
+        table = np.array([tuple(r) for r in found], dtype="float64")
+        self.pivot = cells.pivots[table[:, 0].astype(int)]
+        self.own, table = table[:, 1].astype(int), table[:, 1 + own:]
+        self.n, square, self.low, self.high = table[:, :4].T
+        self.mean = np.ascontiguousarray(table[:, 4:4 + dims])
+        self.limits = table[:, 4 + dims:].T.reshape(-1, 3, len(table))
+        off = self.mean - self.pivot
+        self.var = np.maximum(square - (off * off).sum(axis=1), 0) + 1e-9 * square
+
+    def sums(self, Q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least and greatest sum of each group's distances to each row of ``Q``."""
+        D = distances(Q, self.mean)
+        return self.n * D, self.n * np.sqrt(D * D + self.var)
+
+    def total(self, Q: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Least and greatest sum of all distances."""
+        low, high = (x.sum(axis=1) for x in self.sums(Q))
+        return low * (1 - 1e-9), high * (1 + 1e-9)
+
+    def gains(self, Q: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Least and greatest gain (row, i) of each row of ``Q`` in place of medoid i; i = k: as a further one."""
+        low, high = self.sums(Q)
+        P = distances(Q, self.pivot)
+        near, far = np.maximum(np.maximum(P - self.high, self.low - P), 0), P + self.high
+        out = np.zeros((2, len(Q), k + 1))
+        for j, (total, least, most) in enumerate(self.limits if k > 1 else self.limits[:1]):
+            every, none = far * (1 + 1e-9) <= least, near * (1 - 1e-9) >= most
+            under = np.maximum(self.n * np.minimum(near - most, 0), low - total - self.n * np.maximum(far - least, 0))
+            slack = 1e-10 * (high + total)
+            under = np.where(every, low - total, np.where(none, 0.0, under)) - slack
+            over = np.where(every, high - total, np.where(none, 0.0, np.minimum(high - total, 0))) + slack
+            for i in range(k + 1):
+                use = (self.own == i) if j else (self.own != i)
+                out[0, :, i] += under[:, use].sum(axis=1)
+                out[1, :, i] += over[:, use].sum(axis=1)
+        return out[0], out[1]
+
+
+def _bounder(spread, vec, bounds: Callable, chunk: int = 128):
+    """Rows with the least and greatest value (__lo, __hi) that ``bounds`` finds for them."""
+    def run(batches):
+        for pdf in batches:
+            Q = _matrix(pdf, vec) if len(pdf) else np.zeros((0, 1))
+            found = [bounds(spread.value, Q[s:s + chunk]) for s in range(0, len(Q), chunk)]
+            if found:
+                yield pdf.assign(__lo=np.concatenate([x[0] for x in found]), __hi=np.concatenate([x[1] for x in found]))
     return run
 
 
 def medoids(df: DataFrame, key: Sequence[str], features: Sequence[str], k: int, max_swaps: int = 100,
-            rows_per_cell: int = ROWS_PER_CELL) -> tuple[DataFrame, DataFrame]:
+            rows_per_cell: int = MEDOID_CELL_ROWS) -> tuple[DataFrame, DataFrame]:
     """K-medoids by PAM over all rows, no sample.
 
     Build: the row with the least sum of distances, then k - 1 times the row that
     lowers the cost most.  Swap: the best exchange of a medoid for any row, as
-    long as it lowers the cost.  Rows keep the distances to their nearest and
-    second nearest medoid, so one aggregation gives the gain of every possible
-    exchange; only rows nearer than the second medoid can change anything, so a
-    row meets just the metric cells that its radius reaches.  The sum of all
-    distances for the first medoid is the one all-pairs pass.  Ties go to the
-    smaller key.  Medoids (k rows, a parameter) are the only rows on the driver.
+    long as it lowers the cost.  Each step first bounds what every row would give,
+    from the means and spreads of metric cells (at most pivots x medoids of them);
+    only rows whose bounds reach the best are then weighed against all rows, pair
+    by pair, so the choice is exact.  Work is rows x cells, and all pairs only
+    where cells say nothing (many dimensions, no clusters).  Ties go to the
+    smaller key.  Medoids (k rows, a parameter) and the cells' table are all that
+    the driver holds.
 
     Returns (rows with ``cluster``, medoids (cluster, key..., features...)).
     """
@@ -325,48 +392,63 @@ def medoids(df: DataFrame, key: Sequence[str], features: Sequence[str], k: int,
     vec = "__v"
     points = df.select(*key, F.array(*[F.col(f).cast("double") for f in feats]).alias(vec))
     cells, placed = _in_cells(points, key, vec, (), rows_per_cell)
-    shared = df.sparkSession.sparkContext.broadcast(cells)
-    points = placed.select(*key, vec)
-    ddl = _ddl(points, key)
-    first = pairwise_blocks(points, points.select(*key, vec), key, key, _sum_kernel(key, vec), f"{ddl}, __g double")
-    best = first.groupBy(*key).agg(F.sum("__g").alias("__g")).agg(
-        F.min(F.struct("__g", *key)).alias("b")).select("b.*")
-    fields = f"{ddl}, __v array<double>"
+    share = df.sparkSession.sparkContext.broadcast
+    n = int(cells.n.sum())
+    ddl = _ddl(placed, key)
+    fields = f"{ddl}, {_ddl(placed, [vec])}, __cell int, __pd double"
 
     def take(rows: DataFrame) -> tuple:
         """A medoid: its row and its vector."""
         found = rows.join(placed, key).select(*key, vec).first()
         return found, np.array(found[vec], dtype="float64")
 
-    def weigh(meds: list) -> tuple[DataFrame, DataFrame]:
-        """Rows with their state (written), and the gains of all candidates."""
+    def hopeful(rows: DataFrame, spread: _Spread, bounds: Callable, but: list) -> DataFrame:
+        """The rows (key, vector) whose least value is not above the least greatest value."""
+        bounded = rows.select(*key, vec).mapInPandas(_bounder(share(spread), vec, bounds),
+                                                     f"{ddl}, {_ddl(placed, [vec])}, __lo double, __hi double")
+        if but:
+            bounded = bounded.where(~reduce(lambda a, b: a | b, [
+                reduce(lambda a, b: a & b, [F.col(c) == F.lit(m[0][c]) for c in key]) for m in but]))
+        bounded = cut_lineage(bounded)
+        least = bounded.agg(F.min("__hi")).first()[0]
+        return bounded.where(F.col("__lo") <= F.lit(least)).select(*key, vec)
+
+    def near(meds: list) -> tuple[DataFrame, _Spread]:
+        """Rows with their state (written), and its spread over the cells."""
         at = np.stack([v for _, v in meds])
-        state = cut_lineage(placed.mapInPandas(_stater(shared, at, key, vec),
-                                               f"{fields}, __d1 double, __d2 double, __own int, __to array<int>"))
-        asks = state.select(*key, vec, "__d1", "__d2", "__own", F.explode("__to").alias("__cell"))
-        own = ", ".join(f"__b{i} double" for i in range(len(meds)))
-        gains = _meet(asks, placed, _swap_kernel(key, len(meds), vec), f"{ddl}, __g double, {own}", key, key,
-                      (CELL_BLOCK_ROWS, CELL_BLOCK_ROWS))
-        return state, gains.groupBy(*key).agg(*[F.sum(c).alias(c) for c in
-                                                ("__g", *(f"__b{i}" for i in range(len(meds))))])
-
+        state = cut_lineage(placed.mapInPandas(_stater(at, vec), f"{fields}, __d1 double, __d2 double, __own int"))
+        return state, _Spread(cells, state, len(feats), vec, True)
+
+    def weigh(state: DataFrame, candidates: DataFrame, m: int) -> DataFrame:
+        """The gains of the candidates."""
+        own = ", ".join(f"__b{i} double" for i in range(m))
+        gains = pairwise_blocks(state.select(*key, vec, "__d1", "__d2", "__own"), candidates, key, key,
+                                _swap_kernel(key, m, vec), f"{ddl}, __g double, {own}")
+        return gains.groupBy(*key).agg(*[F.sum(c).alias(c) for c in ("__g", *(f"__b{i}" for i in range(m)))])
+
+    first = hopeful(placed, _Spread(cells, placed, len(feats), vec, False), _Spread.total, [])
+    best = pairwise_blocks(placed.select(*key, vec), first, key, key, _sum_kernel(key, vec), f"{ddl}, __g double") \
+        .groupBy(*key).agg(F.sum("__g").alias("__g")).agg(F.min(F.struct("__g", *key)).alias("b")).select("b.*")
     meds = [take(best)]
     while len(meds) < k:
-        _, gains = weigh(meds)
-        chosen = reduce(lambda a, b: a | b, [reduce(lambda a, b: a & b, [F.col(c) == F.lit(m[0][c]) for c in key])
-                                             for m in meds])
-        meds.append(take(gains.where(~chosen).agg(F.min(F.struct("__g", *key)).alias("b")).select("b.*")))
-    for _ in range(max_swaps if k < points.count() else 0):
-        state, gains = weigh(meds)
+        m = len(meds)
+        state, spread = near(meds)
+        candidates = hopeful(state, spread, lambda s, Q, m=m: [x[:, m] for x in s.gains(Q, m)], meds)
+        meds.append(take(weigh(state, candidates, m).agg(F.min(F.struct("__g", *key)).alias("b")).select("b.*")))
+    for _ in range(max_swaps if 1 < k < n else 0):
+        state, spread = near(meds)
         whole = state.groupBy("__own").agg(F.sum(F.col("__d2") - F.col("__d1")).alias("lost"),
                                            F.sum("__d1").alias("cost")).collect()  # k rows
         cost = sum(r["cost"] for r in whole)
         lost = {r["__own"]: r["lost"] for r in whole}
+        loss = np.array([lost.get(i, 0.0) for i in range(k)])
+        candidates = hopeful(state, spread, lambda s, Q, loss=loss: [
+            (x[:, :-1] + loss).min(axis=1) + sign * 1e-9 * cost for x, sign in zip(s.gains(Q, k), (-1, 1))], [])
+        gains = weigh(state, candidates, k)
         options = F.array(*[F.struct((F.col("__g") + F.col(f"__b{i}") + F.lit(float(lost.get(i, 0.0)))).alias("d"),
-                                     *key, F.lit(i).alias("i")) for i in range(k)]) if k > 1 else F.array(
-            F.struct((F.col("__g")).alias("d"), *key, F.lit(0).alias("i")))
+                                     *key, F.lit(i).alias("i")) for i in range(k)])
         swap = gains.agg(F.min(F.array_min(options)).alias("b")).select("b.*").first()
-        if k == 1 or swap["d"] >= -1e-9 * max(cost, 1e-300):
+        if swap["d"] >= -1e-9 * max(cost, 1e-300):
             break
         meds[swap["i"]] = take(df.sparkSession.createDataFrame([tuple(swap[c] for c in key)], ddl))
     x = [F.col(f).cast("double") for f in feats]

@@ -42,13 +42,13 @@ ROWS_PER_CELL, MAX_PIVOTS = 256, 2048
 MIN_BIN_ROWS, CELL_BLOCK_ROWS, TARGET_BINS = 1024, 65_536, 16
 #: Most tasks that pairs of blocks are dealt to.
 MAX_TASKS = 512
-MIN_BLOCK_ROWS, MAX_BLOCK_ROWS, TARGET_BLOCKS = 512, 100_000, 32
+MIN_BLOCK_ROWS, MAX_BLOCK_ROWS, TARGET_BLOCKS = 512, 100_000, 16
 
 
 def _n_blocks(df: DataFrame, block_rows: int) -> int:
     """Blocks per side.  Replication (and shuffle) grows with the number of
     blocks on the other side, memory with the block size: aim for at most
-    ~32 blocks of 512 to 100k rows."""
+    ~16 blocks of 512 to 100k rows."""
     n = df.count()
     if block_rows <= 0:
         block_rows = min(MAX_BLOCK_ROWS, max(MIN_BLOCK_ROWS, math.ceil(n / TARGET_BLOCKS)))
@@ -63,10 +63,12 @@ def pairwise_blocks(left: DataFrame, right: DataFrame, left_key: Sequence[str],
     # fresh attribute ids: both sides may derive from one Dataset (self joins)
     left = left.select(*[F.col(f"`{c}`").alias(c) for c in left.columns]).alias("__l")
     right = right.select(*[F.col(f"`{c}`").alias(c) for c in right.columns]).alias("__r")
-    lb = left.withColumn("__lb", F.pmod(F.xxhash64(*left_key), F.lit(bl))) \
-        .withColumn("__rb", F.explode(F.sequence(F.lit(0), F.lit(br - 1))))
-    rb = right.withColumn("__rb", F.pmod(F.xxhash64(*right_key), F.lit(br))) \
-        .withColumn("__lb", F.explode(F.sequence(F.lit(0), F.lit(bl - 1))))
+    # block numbers of one type on both sides: numbers of another type hash to other partitions, and their groups never meet
+    pick = lambda keys, n: F.pmod(F.xxhash64(*keys), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    lb = left.withColumn("__lb", pick(left_key, bl)).withColumn("__rb", every(br))
+    rb = right.withColumn("__rb", pick(right_key, br)).withColumn("__lb", every(bl))
+    lb, rb = (df.repartition(min(MAX_TASKS, bl * br), "__lb", "__rb") for df in (lb, rb))
     return lb.groupBy("__lb", "__rb").cogroup(rb.groupBy("__lb", "__rb")).applyInPandas(kernel, schema)
 
 

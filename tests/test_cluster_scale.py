@@ -184,3 +184,18 @@ def test_cluster_guided_with_more_rows_than_a_chunk(spark):
                                   (F.col("id") % 11 * 1.0).alias("b"), (F.col("id") % 4 == 0).cast("int").alias("label"))
     out, scores = cluster.under_cluster_guided(df, ["id"], ["a", "b"], "label", 2)
     assert scores.count() == 4 and out.where("label = 1").count() == 350 and out.count() < 1400
+
+
+def test_medoids_weigh_few_rows_and_are_exact(spark, monkeypatch):
+    # three spots; candidates are bounded by cells, so few are weighed against all rows
+    rng = np.random.default_rng(3)
+    X = np.vstack([rng.uniform(c, np.add(c, 1.0), (n, 2)) for c, n in (((0, 0), 600), ((30, 0), 450), ((0, 40), 450))])
+    df = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(X)], "id bigint, a double, b double")
+    weighed, blocks = [], cluster.pairwise_blocks
+    monkeypatch.setattr(cluster, "pairwise_blocks", lambda left, right, *a, **kw: (
+        weighed.append(right.count()), blocks(left, right, *a, **kw))[1])
+    _, meds = cluster.medoids(df, ["id"], ["a", "b"], 3)
+    assert max(weighed) < 300
+    D = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))
+    want = {int(np.arange(s, e)[D[s:e, s:e].sum(axis=1).argmin()]) for s, e in ((0, 600), (600, 1050), (1050, 1500))}
+    assert {r.id for r in meds.collect()} == want

@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from riskframe.operators import knn
 
@@ -141,3 +142,18 @@ def test_single_precision_bounds_lose_no_pair(spark):
     np.fill_diagonal(D, np.inf)
     want = {i: [int(j) for j in np.lexsort((np.arange(len(X)), D[i]))[:4]] for i in range(len(X))}
     assert _ranked(df, 4, block_rows=90, rows_per_cell=16) == want
+
+
+def test_every_pair_of_blocks_meets(spark):
+    import pandas as pd
+    df = spark.range(600).select("id", F.array(F.col("id").cast("double")).alias("vec"))
+
+    def sizes(lp, rp):
+        return pd.DataFrame({"id": rp["id"].to_numpy(), "n": [len(lp)] * len(rp)})
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # as with tables that are not tiny
+    try:
+        met = knn.pairwise_blocks(df, df, ["id"], ["id"], sizes, "id bigint, n bigint", block_rows=100)
+        got = {r.id: r.n for r in met.groupBy("id").agg(F.sum("n").alias("n")).collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert got == {i: 600 for i in range(600)}
