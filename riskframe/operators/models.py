@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from riskframe.operators.knn import knn_classify
 
 KINDS = ("logistic", "forest", "svc", "knn", "mlp")
+#: Rows of a partition that a fit iterates over: each of its many short jobs has one task, and one answer, a partition.
+FIT_ROWS = 25_000
 
 
 def _spark_estimator(kind: str, n_rows: int, n_features: int, seed: int, params: dict):
@@ -98,7 +100,7 @@ class Classifier(Estimator):
         try:
             n = train.count()
             est = _spark_estimator(self.kind, n, len(self.features), self.seed, self.opts)
-            fitted = est.fit(train)
+            fitted = est.fit(train.coalesce(max(1, -(-n // FIT_ROWS))))
         finally:
             train.unpersist()
         return ClassifierModel(self.kind, self.features, fitted=fitted)
