@@ -397,9 +397,13 @@ def medoids(df: DataFrame, key: Sequence[str], features: Sequence[str], k: int,
     ddl = _ddl(placed, key)
     fields = f"{ddl}, {_ddl(placed, [vec])}, __cell int, __pd double"
 
+    def once(rows: DataFrame) -> DataFrame:
+        """A row a key: candidates are weighed by key, and a repeated one counts once."""
+        return rows.groupBy(*key).agg(F.min(vec).alias(vec))
+
     def take(rows: DataFrame) -> tuple:
-        """A medoid: its row and its vector."""
-        found = rows.join(placed, key).select(*key, vec).first()
+        """A medoid: its row and its vector (the least one if rows share the key)."""
+        found = once(rows.select(*key).join(placed, key)).first()
         return found, np.array(found[vec], dtype="float64")
 
     def hopeful(rows: DataFrame, spread: _Spread, bounds: Callable, but: list) -> DataFrame:
@@ -411,7 +415,7 @@ def medoids(df: DataFrame, key: Sequence[str], features: Sequence[str], k: int,
                 reduce(lambda a, b: a & b, [F.col(c) == F.lit(m[0][c]) for c in key]) for m in but]))
         bounded = cut_lineage(bounded)
         least = bounded.agg(F.min("__hi")).first()[0]
-        return bounded.where(F.col("__lo") <= F.lit(least)).select(*key, vec)
+        return once(bounded.where(F.col("__lo") <= F.lit(least)))
 
     def near(meds: list) -> tuple[DataFrame, _Spread]:
         """Rows with their state (written), and its spread over the cells."""

@@ -199,3 +199,15 @@ def test_medoids_weigh_few_rows_and_are_exact(spark, monkeypatch):
     D = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))
     want = {int(np.arange(s, e)[D[s:e, s:e].sum(axis=1).argmin()]) for s, e in ((0, 600), (600, 1050), (1050, 1500))}
     assert {r.id for r in meds.collect()} == want
+
+
+def test_medoids_of_repeated_keys(spark, monkeypatch):
+    # every row twice: a candidate counts once, so the swaps come to an end
+    rng = np.random.default_rng(12)
+    X = np.vstack([rng.normal(c, 1.0, (40, 2)) for c in (0, 9)])
+    once = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(X)], "id bigint, a double, b double")
+    steps, blocks = [], cluster.pairwise_blocks
+    monkeypatch.setattr(cluster, "pairwise_blocks", lambda *a, **kw: (steps.append(1), blocks(*a, **kw))[1])
+    twice = {r.id for r in cluster.medoids(once.unionByName(once), ["id"], ["a", "b"], 2)[1].collect()}
+    assert len(steps) < 20
+    assert twice == {r.id for r in cluster.medoids(once, ["id"], ["a", "b"], 2)[1].collect()}
