@@ -44,7 +44,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import group_sizes, group_starts, mix, prepare, shared_path, span_hashes, utf8, written
+from .common import give_back, group_sizes, group_starts, mix, prepare, shared_path, span_hashes, utf8, written
 from .pretokens import cut_rows
 
 #: Bytes of one shard's text, and of all unfinished shards of a task.
@@ -94,29 +94,45 @@ def joined(parts: list[tuple[pa.Array, np.ndarray]]) -> tuple[pa.Array, np.ndarr
     """Several results of :func:`shard_of` as one, with a break between them."""
     coded = pc.dictionary_encode(pa.concat_arrays([w for w, _ in parts]))
     number = np.append(coded.indices.to_numpy().astype(np.int32), np.int32(-1))  # -1 stays -1
-    base, out = 0, []
+    base, at, out = 0, 0, np.full(sum(len(ids) + 1 for _, ids in parts), -1, np.int32)
     for words, ids in parts:
-        out += [number[np.where(ids >= 0, ids + base, -1)], np.array([-1], np.int32)]
-        base += len(words)
-    return coded.dictionary, np.concatenate(out[:-1])
+        out[at:at + len(ids)] = number[np.where(ids >= 0, ids + base, -1)]
+        base, at = base + len(words), at + len(ids) + 1
+    return coded.dictionary, out[:-1]
 
 
-def _pressed(data: bytes) -> bytes:
+def _pressed(data: bytes | pa.Buffer | np.ndarray) -> bytes:
     """Compressed, with the length before it: a third of the bytes where rows are written and handed over."""
-    return len(data).to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
+    size = memoryview(data).nbytes
+    return size.to_bytes(8, "little") + pa.compress(data, codec="zstd", asbytes=True)
 
 
 def _unpressed(data: pa.Buffer) -> pa.Buffer:
     return pa.decompress(data.slice(8), int.from_bytes(data.slice(0, 8).to_pybytes(), "little"), codec="zstd")
 
 
+def _listed(words: pa.Array) -> pa.Buffer:
+    """The words, a newline between them."""
+    rows = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words.cast(pa.large_string()))
+    return pc.binary_join(rows, pa.scalar("\n", pa.large_string()))[0].as_buffer()
+
+
+def _unlisted(data: pa.Buffer) -> pa.Array:
+    """Inverse of :func:`_listed`."""
+    rows = np.frombuffer(data, np.uint8)
+    end = np.append(np.flatnonzero(rows == 0x0A), len(rows))
+    kept = rows[rows != 0x0A]
+    return pa.Array.from_buffers(pa.large_string(), len(end), [
+        None, pa.py_buffer(np.append(0, end - np.arange(len(end)))), pa.py_buffer(kept)]).cast(pa.string())
+
+
 def _sharder(shard_bytes: int, task_bytes: int):
     def flush(lang: str, parts: list) -> pa.RecordBatch:
         words, ids = joined(parts)
         return pa.RecordBatch.from_pydict({
             "lang": pa.array([lang]), "n_words": pa.array([int((ids >= 0).sum())], pa.int64()),
-            "words": pa.array([_pressed("\n".join(words.to_pylist()).encode())], pa.binary()),
-            "ids": pa.array([_pressed(ids.tobytes())], pa.binary())})
+            "words": pa.array([_pressed(_listed(words))], pa.binary()),
+            "ids": pa.array([_pressed(ids)], pa.binary())})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_parts: dict[str, list] = {}
@@ -142,8 +158,9 @@ def _sharder(shard_bytes: int, task_bytes: int):
                 lang = max(size, key=size.get)
                 yield flush(lang, open_parts.pop(lang))
                 del size[lang]
-        for lang, parts in open_parts.items():
-            yield flush(lang, parts)
+        for lang in list(open_parts):
+            yield flush(lang, open_parts.pop(lang))
+        give_back()
     return run
 
 
@@ -240,9 +257,11 @@ def _shards_in(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, _Shard
     for batch in batches:
         for i in range(batch.num_rows):
             row = {c: batch.column(c)[i].as_py() for c in ("lang", "n_words", "total", "slack")}
-            words = pa.array(_unpressed(batch.column("words")[i].as_buffer()).to_pybytes().decode().split("\n"))
+            words = _unlisted(_unpressed(batch.column("words")[i].as_buffer()))
             ids = np.frombuffer(_unpressed(batch.column("ids")[i].as_buffer()), np.int32)
             yield row, _Shard(row["lang"], words, ids), words
+            del words, ids
+            give_back()
 
 
 def _merged(batches: Iterator[pa.RecordBatch], by: list[str], added: str) -> Iterator[pa.RecordBatch]:
@@ -254,7 +273,7 @@ def _merged(batches: Iterator[pa.RecordBatch], by: list[str], added: str) -> Ite
 
     def merge() -> pa.Table:
         table = pa.Table.from_batches(held)
-        return table.group_by(by).aggregate([(added, "sum")]).rename_columns([*by, added]) if len(held) > 1 else table
+        return table.group_by(by, use_threads=False).aggregate([(added, "sum")]).rename_columns([*by, added]) if len(held) > 1 else table
     for batch in batches:
         held.append(batch)
         n += batch.num_rows
@@ -267,6 +286,8 @@ def _merged(batches: Iterator[pa.RecordBatch], by: list[str], added: str) -> Ite
                 held, n = table.combine_chunks().to_batches(), table.num_rows
     if held:
         yield from leave(merge())
+    held.clear()
+    give_back()
 
 
 def _miner(length: int, before, min_count: int):
@@ -277,13 +298,16 @@ def _miner(length: int, before, min_count: int):
             if length > 1:  # both shorter windows can be frequent
                 part = shard.among(length - 1, before.value)
                 where = part[:-1] & part[1:]
-                keys = [key[where[place]] for place, key, _ in shard.keys(length)]
-                keys = np.concatenate(keys) if keys else np.zeros(0, np.uint64)
+                keys, upto = np.empty(np.count_nonzero(where), np.uint64), 0
+                for place, key, _ in shard.keys(length):
+                    found = key[where[place]]
+                    keys[upto:upto + len(found)] = found
+                    upto += len(found)
                 keys.sort()
                 first = group_starts(keys)
                 keys, count = keys[first], group_sizes(first, len(keys))
             else:
-                keys, count = shard.word[:-1], np.bincount(shard.ids + 1, minlength=len(shard.word))[1:]
+                keys, count = shard.word[:-1], _occurrences(shard.ids, len(shard.word) - 1)
             kept = count >= support
             keys, count = keys[kept].astype(np.int64), count[kept]
             # a shard that reports nothing has at most support - 1 occurrences
@@ -293,6 +317,36 @@ def _miner(length: int, before, min_count: int):
     return lambda batches: _merged(mine(batches), ["key", "slack"], "excess")
 
 
+def _occurrences(numbers: np.ndarray, n: int) -> np.ndarray:
+    """How often each of the numbers 0 to n - 1 occurs; -1 does not count."""
+    count, step = np.zeros(n + 1, np.int64), max(SLICE, n)
+    for a in range(0, len(numbers), step):
+        count += np.bincount(numbers[a:a + step] + 1, minlength=n + 1)
+    return count[1:]
+
+
+def _numbered(where: np.ndarray, number: np.ndarray, ids: np.ndarray, length: int, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The phrases of ``length`` words at the places ``where``, numbered by ``number``, their first words' numbers, and
+    ``ids``, their last words: a number for each place (-1: none), and a place of each phrase."""
+    def slices() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for a in range(0, len(where), SLICE):
+            at = np.flatnonzero(where[a:a + SLICE]) + a
+            if len(at):
+                yield at, number[at].astype(np.int64) * n_words + ids[at + length - 1]
+    exact, fresh, held = np.zeros(0, np.int64), [], 0
+    for _, keys in slices():
+        fresh.append(np.unique(keys))
+        held += len(fresh[-1])
+        if held > max(len(exact), SLICE):
+            exact, fresh, held = np.unique(np.concatenate([exact, *fresh])), [], 0
+    exact = np.unique(np.concatenate([exact, *fresh]))
+    out, place = np.full(len(where), -1, np.int32), np.zeros(len(exact), np.int64)
+    for at, keys in slices():
+        out[at] = own = np.searchsorted(exact, keys)
+        place[own] = at
+    return out, place
+
+
 def _counter(unions, first: int):
     """Exact counts of all windows of ``first`` words or more that the unions hold, with their words."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -300,22 +354,28 @@ def _counter(unions, first: int):
             ids, number, where = shard.ids, shard.ids, None  # number: of the phrase at each place, exact
             for length, union in enumerate(unions.value, 1):
                 where = shard.among(length, union, None if length == 1 else where[:-1] & where[1:])
-                at = np.flatnonzero(where)
-                if not len(at):
+                if not where.any():
                     break
-                exact = number[at].astype(np.int64)
-                if length > 1:
-                    exact = exact * len(words) + ids[at + length - 1]
-                _, begin, same, n = np.unique(exact, return_index=True, return_inverse=True, return_counts=True)
-                number = np.full(len(where), -1, np.int32)
-                number[at] = same
-                if length < first:
+                if length == 1:
+                    number = np.where(where, ids, np.int32(-1))
+                    n = _occurrences(number, len(words)) if first == 1 else None
+                else:
+                    number, place = _numbered(where, number, ids, length, len(words))
+                    n = _occurrences(number, len(place)) if length >= first else None
+                if n is None:
                     continue
-                said = [words.take(pa.array(ids[at[begin] + t])) for t in range(length)]
-                yield pa.RecordBatch.from_pydict({
-                    "lang": pa.array([row["lang"]] * len(n), pa.string()),
-                    "phrase": pc.binary_join_element_wise(*said, " ") if length > 1 else said[0],
-                    "n_words": pa.array(np.full(len(n), length, np.int32)), "n": pa.array(n)})
+                if length == 1:
+                    own = np.flatnonzero(n)
+                    said, n = [words.take(pa.array(own))], n[own]
+                else:
+                    said = [words.take(pa.array(ids[place + t])) for t in range(length)]
+                for a in range(0, len(n), SLICE):
+                    m = min(len(n) - a, SLICE)
+                    several = [x.slice(a, m) for x in said]
+                    yield pa.RecordBatch.from_pydict({
+                        "lang": pa.array([row["lang"]] * m, pa.string()),
+                        "phrase": pc.binary_join_element_wise(*several, " ") if length > 1 else several[0],
+                        "n_words": pa.array(np.full(m, length, np.int32)), "n": pa.array(n[a:a + m])})
     return lambda batches: _merged(count(batches), ["lang", "phrase", "n_words"], "n")
 
 

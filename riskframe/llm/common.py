@@ -18,6 +18,8 @@ from riskframe.session import ensure_checkpoint_dir, shared_path, ship_package
 
 #: UTF-8 bytes of text that one kernel call should get.
 CHUNK_BYTES = 4 << 20
+#: Bytes of a batch handed to a Python worker: it is held by the JVM, with room to double, and by the worker.
+BATCH_BYTES = 8 << 20
 #: Java regex of one word, and of the characters between words.
 WORD = r"[^\x20\x09-\x0D]+"
 SPACES = " \t\n\x0b\x0c\r"
@@ -30,9 +32,12 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def prepare(spark: SparkSession) -> None:
-    """Make checkpoints and the executors' imports work; safe to call again."""
+    """Make checkpoints and the executors' imports work, and keep batches for Python small; safe to call again."""
     ensure_checkpoint_dir(spark)
     ship_package(spark)
+    held = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(held).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(held, f"{BATCH_BYTES}b")
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

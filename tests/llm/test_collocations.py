@@ -1,13 +1,15 @@
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
+from riskframe.llm import collocations as mod
 from riskframe.llm.collocations import collocations, frequent_phrases, shard_of, shards
-from riskframe.llm.common import utf8
+from riskframe.llm.common import prepare, utf8
 
 from . import cases
 
@@ -107,3 +109,49 @@ def test_empty_and_blank(spark):
     assert collocations(cases.empty(spark)).count() == 0
     blank = cases.frame(spark, [(1, " .\n", "en", None, 1, "c", 7, "z"), (2, None, None, None, 1, "c", 7, "z")])
     assert collocations(blank, min_count=1).count() == 0
+
+
+class Held:
+    def __init__(self, value):
+        self.value = value
+
+
+def all_words(n_words):
+    union = mod.Union([], 1 << 15)
+    union.bits[:] = 255  # holds every window
+    words = pa.array([f"w{i}" for i in range(40)])
+    ids = np.random.default_rng(0).integers(0, 40, n_words).astype(np.int32)
+    row = pa.RecordBatch.from_pydict({
+        "lang": pa.array(["en"]), "n_words": pa.array([n_words]), "total": pa.array([n_words]), "slack": pa.array([0]),
+        "words": pa.array([mod._pressed(mod._listed(words))], pa.binary()), "ids": pa.array([mod._pressed(ids)], pa.binary())})
+    return union, words, ids, row
+
+
+def test_counting_a_shard_takes_few_bytes_a_word():
+    union, words, ids, row = all_words(1 << 21)
+    tracemalloc.start()
+    try:
+        out = pa.Table.from_batches(list(mod._counter(Held([union] * 3), 2)(iter([row]))))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert peak < 28 * len(ids)  # whole-shard sorts took 71
+    exact = Counter(zip(ids[:-1].tolist(), ids[1:].tolist(), strict=True))
+    several = {r["phrase"]: r["n"] for r in out.to_pylist() if r["n_words"] == 2}
+    assert several == {f"w{a} w{b}": n for (a, b), n in exact.items()}
+
+
+def test_word_lists_survive_pressing():
+    for said in (["a"], ["a", "é", "", "日本"], [""]):
+        assert mod._unlisted(mod._unpressed(pa.py_buffer(mod._pressed(mod._listed(pa.array(said)))))).to_pylist() == said
+
+
+def test_batches_for_python_are_bounded(spark):
+    held = "spark.sql.execution.arrow.maxBytesPerBatch"
+    spark.conf.unset(held)
+    prepare(spark)
+    assert int(spark.conf.get(held).rstrip("b")) <= 8 << 20
+    spark.conf.set(held, "1048576b")
+    prepare(spark)
+    assert int(spark.conf.get(held).rstrip("b")) == 1 << 20  # a smaller one stays
+    spark.conf.unset(held)
