@@ -36,8 +36,10 @@ BITS = 16
 BUCKETS = 1 << BITS
 #: Bound of the training sample: expected documents of each language.
 PER_LANGUAGE = 1200
-#: Bytes of text in one kernel call: n-gram arrays take up to a hundred bytes per byte of text.
+#: Texts longer than this are counted piece by piece.
 RUN_BYTES = 1 << 20
+#: Bytes of shorter texts in one kernel call: n-gram arrays take up to a hundred bytes per byte of text.
+SLICE_BYTES = 1 << 18
 _PARTS = 16  # ranges of features whose counts are summed together
 _FOLD: list[np.ndarray] = []
 
@@ -161,7 +163,7 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """How many of the task's documents hold each feature, as ranges of the feature space."""
     df, seen, docs = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, bool), 0
     for whole in batches:
-        for batch in row_slices(whole, "text", RUN_BYTES):
+        for batch in row_slices(whole, "text", SLICE_BYTES):
             docs += batch.num_rows
             if _is_long(batch):
                 df += long_counts(batch.column("text"))[0] > 0
@@ -176,6 +178,7 @@ def _presence(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_pydict({
             "part": pa.array(list(range(_PARTS)), pa.int32()), "docs": pa.array([docs] * _PARTS, pa.int64()),
             "df": pa.array([x.tobytes() for x in df.reshape(_PARTS, -1)], pa.binary())})
+    give_back()
 
 
 def _sum_presence(table: pa.Table) -> pa.Table:
@@ -198,7 +201,7 @@ def inverse_frequencies(docs: DataFrame) -> np.ndarray:
 def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sparse counts of the sampled documents."""
     for whole in batches:
-        for batch in row_slices(whole, "text", RUN_BYTES):
+        for batch in row_slices(whole, "text", SLICE_BYTES):
             at, count, found = [], [], []
             if _is_long(batch):
                 counts = long_counts(batch.column("text"))[0]
@@ -212,6 +215,7 @@ def _vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 count.append(c.astype(np.int32).tobytes())
             yield pa.RecordBatch.from_pydict({"key": batch.column("key"), "lang": batch.column("lang"),
                                               "at": pa.array(at, pa.binary()), "count": pa.array(count, pa.binary())})
+    give_back()
 
 
 def train_ftrl(samples: list[tuple[np.ndarray, np.ndarray, int]], classes: int, epochs: int = 4, alpha: float = 0.5,
@@ -268,6 +272,8 @@ def _trainer(idf: np.ndarray, languages: list[str]):
         full = np.vstack([w, bias])
         logits = np.array([x @ full[at] for at, x, _ in held])
         t = fit_temperature(logits, np.array([y for _, _, y in held])) if held else 1.0
+        del rows, samples, held
+        give_back()
         return pa.table({"weights": pa.array([w.tobytes()], pa.binary()), "bias": pa.array([bias.tobytes()], pa.binary()),
                          "temperature": pa.array([t])})
     return train
@@ -297,7 +303,7 @@ def fit(docs: DataFrame, learn: Column, text_col: str = "text", lang_col: str =
     return Model(languages, weights, np.frombuffer(row.bias), row.temperature)
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text", run_bytes: int = RUN_BYTES) -> DataFrame:
+def predict(docs: DataFrame, model: Model, text_col: str = "text", run_bytes: int = SLICE_BYTES) -> DataFrame:
     """``docs`` with lang_pred and score after its own columns (columns of these names are replaced).
 
     Only the text goes to the Python workers; other columns stay where they are.

@@ -1,6 +1,8 @@
+import tracemalloc
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from riskframe.llm import language_id as lid
@@ -183,3 +185,16 @@ def test_one_epoch_of_ftrl_equals_plain_steps():
     for f in range(50):
         assert w[f] == pytest.approx([weight(f, k) for k in range(3)])
     assert bias == pytest.approx([weight(lid.BUCKETS, k) for k in range(3)])
+
+
+def test_short_texts_are_counted_in_small_slices():
+    batch = pa.RecordBatch.from_pydict({"text": pa.array(["the quick brown fox, " * 100] * 1000)})
+    list(lid._presence(iter([batch.slice(0, 1)])))  # tables that stay
+    tracemalloc.start()
+    try:
+        out = list(lid._presence(iter([batch])))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert out[0]["docs"][0].as_py() == 1000
+    assert peak < 60 << 20  # slices of 1 MB took 162 MB
