@@ -23,6 +23,15 @@ from riskframe.operators.knn import knn_classify
 KINDS = ("logistic", "forest", "svc", "knn", "mlp")
 #: Rows of a partition that a fit iterates over: each of its many short jobs has one task, and one answer, a partition.
 FIT_ROWS = 25_000
+#: A forest's task answers with the counts of every open node, and there are more nodes the more rows: so no more tasks
+#: than cores, as long as none has more rows than this.
+FOREST_ROWS = 1_000_000
+
+
+def fit_partitions(kind: str, n_rows: int, cores: int) -> int:
+    """Partitions that a fit iterates over."""
+    parts = max(1, -(-n_rows // FIT_ROWS))
+    return max(min(parts, cores), -(-n_rows // FOREST_ROWS)) if kind == "forest" else parts
 
 
 def _spark_estimator(kind: str, n_rows: int, n_features: int, seed: int, params: dict):
@@ -37,7 +46,9 @@ def _spark_estimator(kind: str, n_rows: int, n_features: int, seed: int, params:
     if kind == "forest":
         return RandomForestClassifier(numTrees=params.get("n_trees", 100), maxDepth=params.get("max_depth", 30),
                                       featureSubsetStrategy=params.get("features", "sqrt"), seed=seed,
-                                      maxBins=params.get("max_bins", 32), **common)
+                                      maxBins=params.get("max_bins", 32),
+                                      cacheNodeIds=True,  # else every pass walks every row down every tree
+                                      **common)
     if kind == "svc":
         c = params.get("C", 1.0)
         return LinearSVC(regParam=1.0 / (c * max(n_rows, 1)), maxIter=params.get("max_iter", 1000),
@@ -100,7 +111,7 @@ class Classifier(Estimator):
         try:
             n = train.count()
             est = _spark_estimator(self.kind, n, len(self.features), self.seed, self.opts)
-            fitted = est.fit(train.coalesce(max(1, -(-n // FIT_ROWS))))
+            fitted = est.fit(train.coalesce(fit_partitions(self.kind, n, df.sparkSession.sparkContext.defaultParallelism)))
         finally:
             train.unpersist()
         return ClassifierModel(self.kind, self.features, fitted=fitted)
