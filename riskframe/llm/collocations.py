@@ -260,8 +260,10 @@ def _shards_in(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[dict, _Shard
             words = _unlisted(_unpressed(batch.column("words")[i].as_buffer()))
             ids = np.frombuffer(_unpressed(batch.column("ids")[i].as_buffer()), np.int32)
             yield row, _Shard(row["lang"], words, ids), words
+            large = len(ids) > SLICE
             del words, ids
-            give_back()
+            if large:
+                give_back()
 
 
 def _merged(batches: Iterator[pa.RecordBatch], by: list[str], added: str) -> Iterator[pa.RecordBatch]:
