@@ -13,7 +13,10 @@ language ID; where a stage gets them they count as empty.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from urllib.parse import unquote
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.llm import language_id as lid
@@ -36,29 +39,70 @@ def _surrogate() -> Column:
     return F.coalesce(F.col("doc_id").cast("long"), own)
 
 
+def _bitmap(number: Column) -> tuple[Column, Column]:
+    """Which bitmap has the bit of a row number from 0, and where."""
+    return F.bitmap_bucket_number(number + 1), F.bitmap_bit_position(number + 1)
+
+
+def _places(docs: DataFrame) -> tuple[Column, Column] | None:
+    """File and position of each row, where ``docs`` holds every row of its Parquet files once; else None.
+
+    Only file footers are read.  A row then has the same place in every later read.
+    """
+    try:
+        about = docs.metadataColumn("_metadata")
+        path, at = about["file_path"], about["row_index"]
+        bucket, bit = _bitmap(at)
+        held = docs.select(path.alias("path"), bucket.alias("bucket"), bit.alias("bit")).groupBy("path", "bucket").agg(
+            F.count(F.lit(1)).alias("n"), F.bitmap_count(F.bitmap_construct_agg("bit")).alias("places"))
+        found = held.agg(F.sum("n").alias("n"), F.sum("places").alias("places")).first()
+        files = [unquote(f) for f in docs.inputFiles()]
+        stored = docs.sparkSession.read.schema(docs.schema).parquet(*files).count() if found.n else None
+    except AnalysisException:  # not read from Parquet files, or not from all of their rows as they are
+        return None
+    return (path, at) if found.n and found.n == found.places == stored else None
+
+
 def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs``, written with a number for every row, and the name of that column (one that ``docs`` has not)."""
+    """``docs`` with a number for every row, and the name of that column (one that ``docs`` has not).
+
+    Rows of Parquet files are numbered by their place there, so texts are not
+    written again; others are written with their numbers.
+    """
     name = "__row"
-    while name in docs.columns:
+    while any(c.lower().startswith(name) for c in docs.columns):
         name += "_"
-    return written(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
-
-
+    places = _places(docs)
+    if not places:
+        return written(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+    path, at = f"{name}path", f"{name}at"
+    placed = docs.select("*", places[0].alias(path), places[1].alias(at))
+    files = sorted(r[0] for r in placed.select(path).distinct().collect())
+    known = docs.sparkSession.createDataFrame(list(enumerate(files)), f"`{name}` long, `{path}` string")
+    number = F.shiftleft(F.col(name), FILE_BITS) + F.col(at)
+    return placed.join(F.broadcast(known), path).select(*[F.col(f"`{c}`") for c in docs.columns], number.alias(name)), name
+
+
+#: A row's number is its file's number and, in so many bits, its position there.
+FILE_BITS = 40
 #: Most bytes of row bitmaps that are broadcast (a quarter of a billion rows and more); beyond, rows are joined to them.
 BITMAP_BYTES = 32 << 20
 
 
-def _only(docs: DataFrame, row: str, keepers: DataFrame) -> DataFrame:
+def _only(docs: DataFrame, row: str, keepers: DataFrame, copy: Column | None = None) -> DataFrame:
     """The rows of numbered ``docs`` whose numbers are in ``keepers`` (column row), without their numbers.
 
-    The decisions are a bit a row, so texts are not shuffled to meet them.
+    A row comes once for each ``copy`` (a column of ``keepers``) with its number.
+    The decisions are a bit a row and copy, so texts are not shuffled to meet them.
     """
     columns = [F.col(f"`{c}`") for c in docs.columns if c != row]
-    maps = written(keepers.groupBy(F.bitmap_bucket_number(F.col("row") + 1).alias("bucket")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(F.col("row") + 1)).alias("bits")), "kept")
+    bucket, bit = _bitmap(F.col("row"))
+    copy = F.lit(1) if copy is None else copy
+    maps = written(keepers.groupBy(bucket.alias("bucket"), copy.alias("copy")).agg(
+        F.bitmap_construct_agg(bit).alias("bits")), "kept").select("bucket", "bits")
     small = maps.count() * 4096 <= BITMAP_BYTES
-    rows = docs.select(F.struct(*columns).alias("doc"), F.bitmap_bucket_number(F.col(row) + 1).alias("bucket"),
-                       F.bitmap_bit_position(F.col(row) + 1).alias("bit"))
+    bucket, bit = _bitmap(F.col(row))
+    rows = docs.select(F.struct(*columns).alias("doc"), bucket.alias("bucket"), bit.alias("bit"))
     kept = F.expr("shiftright(cast(conv(hex(substring(bits, cast(bit div 8 as int) + 1, 1)), 16, 10) as int), "
                   "cast(bit % 8 as int)) % 2 = 1")
     return rows.join(F.broadcast(maps) if small else maps, "bucket").where(kept).select("doc.*")
@@ -102,9 +146,10 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Emit every document as many times as the mix takes it (0, 1 or 2)."""
     prepare(spark)
-    mixed = mix_sources(docs, keep=tuple(docs.columns))
-    return mixed.where("copies > 0").select("kept", F.explode(
-        F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("kept.*")
+    rows, row = _numbered(docs)
+    mixed = mix_sources(rows, keep=(row,)).where("copies > 0").select(
+        F.col(f"kept.{row}").alias("row"), F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy"))
+    return _only(rows, row, mixed, F.col("copy"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

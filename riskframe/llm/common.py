@@ -136,12 +136,24 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
+#: Bytes that the running sum takes at a time.
+_BLOCK = 1 << 16
+_BLOCK_POWERS = _powers(_BASE, _BLOCK)
+_BLOCK_BACK = _powers(_BASE_INVERSE, _BLOCK)
+
+
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """64-bit hash of each byte span: differences of one running polynomial sum."""
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * _powers(_BASE, len(data))[:-1], dtype=np.uint64, out=sums[1:])
-    back = _powers(_BASE_INVERSE, len(data))
-    return mix((sums[end] - sums[start]) * back[start] + (end - start).astype(np.uint64))
+    for k, at in enumerate(range(0, len(data), _BLOCK)):  # one array as long as the data, not five
+        part = _BYTE[data[at:at + _BLOCK]]
+        part *= _BLOCK_POWERS[:len(part)]
+        part *= np.uint64(pow(int(_BLOCK_POWERS[_BLOCK]), k, 1 << 64))
+        part[:1] += sums[at:at + 1]
+        np.cumsum(part, dtype=np.uint64, out=sums[at + 1:at + 1 + len(part)])
+    far = _powers(_BLOCK_BACK[_BLOCK], len(data) // _BLOCK)
+    back = far[start // _BLOCK] * _BLOCK_BACK[start % _BLOCK]
+    return mix((sums[end] - sums[start]) * back + (end - start).astype(np.uint64))
 
 
 def run_hashes(words: np.ndarray, at: np.ndarray, length: int, factor: int) -> np.ndarray:

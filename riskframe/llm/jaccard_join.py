@@ -36,10 +36,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import (CHUNK_BYTES, NO_ID, Words, blobs, by_bucket, chunked, group_sizes, group_starts, member, mix,
-                     row_slices, run_hashes, span_hashes, text_bytes, utf8, written)
+from .common import (CHUNK_BYTES, NO_ID, Words, blobs, by_bucket, chunked, give_back, group_sizes, group_starts, member,
+                     mix, row_slices, run_hashes, span_hashes, text_bytes, utf8, written)
 from .graph import components
 
+#: Bytes of text that are fingerprinted at a time: their arrays take up to forty bytes per byte of text.
+PRINT_BYTES = 1 << 20
 #: Bytes of shingle hashes that one bucket should hold.
 BUCKET_BYTES = 8 << 20
 _F = 0x9E3779B97F4A7C15
@@ -90,11 +92,13 @@ class ShingleSets:
 def _fingerprints(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in row_slices(whole, "text"):
+            for batch in row_slices(whole, "text", PRINT_BYTES):
                 sets = ShingleSets(batch.column("text"), size)
                 yield pa.RecordBatch.from_pydict({
                     "chunk": batch.column("chunk"), "id": batch.column("id"), "n": pa.array(sets.n, pa.int64()),
                     "a": pa.array(sets.prints["a"].copy()), "b": pa.array(sets.prints["b"].copy())})
+                del sets
+        give_back()
     return run
 
 
@@ -142,6 +146,8 @@ def _shingle_sender(size: int, buckets: int):
                                      return_counts=True)
             out = [(b, _planes(keys[s], counts[s], _bucket_base(b, buckets, shift), shift))
                    for b, s in by_bucket(keys, buckets)]
+            del sets, use, keys, counts
+            give_back()
         chunk = table["chunk"][0].as_py() if out else 0
         return pa.table({"bucket": pa.array([r[0] for r in out], pa.int32()),
                          "chunk": pa.array([chunk] * len(out), pa.int32()),
@@ -213,6 +219,8 @@ def _prefixer(size: int, percent: int, buckets: int):
                 out["tokens"].append(head[places].view(np.int64))
                 out["places"].append(places)
                 out["members"].append(keys.tobytes())
+            del sets, known, level, order, cut, shared, lone
+            give_back()
         kinds = [pa.int64()] * 4 + [pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary()]
         return pa.table({k: pa.array(v, t) for (k, v), t in zip(out.items(), kinds, strict=True)})
     return pick
@@ -227,6 +235,7 @@ def _verifier(percent: int):
                 common = int(member(x, y).sum())
                 keep.append(100 * common >= percent * (len(x) + len(y) - common))
             yield pa.RecordBatch.from_pydict({k: batch.column(k).filter(pa.array(keep, pa.bool_())) for k in "ab"})
+        give_back()
     return verify
 
 

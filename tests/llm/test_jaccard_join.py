@@ -1,5 +1,11 @@
+import tracemalloc
+
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from riskframe.llm import common
+from riskframe.llm import jaccard_join as jaccard
 from riskframe.llm.graph import components
 from riskframe.llm.jaccard_join import jaccard_join
 
@@ -63,3 +69,26 @@ def test_components(spark):
     edges = [(1, 2), (2, 3), (9, 8), (7, 8), (5, 3), (4, 4)]
     out = components(spark.createDataFrame(edges, "a long, b long")).collect()
     assert dict(map(tuple, out)) == {1: 1, 2: 1, 3: 1, 5: 1, 7: 7, 8: 7, 9: 7}
+
+
+def test_span_hashes_do_not_depend_on_blocks():
+    data = np.random.default_rng(1).integers(97, 123, 200_000).astype(np.uint8)
+    start = np.array([0, 5, 65_530, 65_536, 131_071, 150_000, 199_990, 200_000])
+    end = np.minimum(start + np.array([7, 0, 12, 70_000, 2, 9, 10, 0]), 200_000)
+    got = common.span_hashes(data, start, end)
+    alone = [common.span_hashes(data[s:e], np.array([0]), np.array([e - s]))[0] for s, e in zip(start, end, strict=True)]
+    assert got.tolist() == alone
+    value = sum(int(common._BYTE[b]) * pow(int(common._BASE), i, 1 << 64) for i, b in enumerate(data[:7].tolist())) + 7
+    assert got[0] == common.mix(np.array([value % (1 << 64)], np.uint64))[0]
+
+
+def test_fingerprints_hold_little_memory():
+    words = [f"{w:x}" for w in np.random.default_rng(2).integers(0, 1 << 40, 400_000)]
+    texts = [" ".join(words[i:i + 500]) for i in range(0, len(words), 500)]
+    batch = pa.RecordBatch.from_pydict({"chunk": pa.array([0] * len(texts), pa.int32()),
+                                        "id": pa.array(range(len(texts)), pa.int64()), "text": texts})
+    tracemalloc.start()
+    rows = sum(b.num_rows for b in jaccard._fingerprints(5)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert rows == len(texts) and peak < 10 * sum(map(len, texts)), peak

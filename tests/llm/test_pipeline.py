@@ -1,4 +1,10 @@
+import random
+from collections import Counter
+from pathlib import Path
+
 import corpus_pipeline as pipeline
+from riskframe.llm.mixing import mix_sources
+from riskframe.session import ensure_checkpoint_dir
 
 from . import cases
 from .test_exact_dedup import normal
@@ -81,3 +87,66 @@ def test_copies_go_where_an_id_repeats(spark):
     near = run(spark, "jaccard_join", rows)
     assert len(near) == 6 and sum(r[0] == 1 for r in near) == 1
     assert {(r[0], r[1]) for r in near if r[0] != 1} == {(5, "other"), (7, "third"), (None, None), (8, ""), (9, "")}
+
+
+def stored(spark, rows, at, files=3):
+    cases.frame(spark, rows).repartition(files).write.parquet(str(at))
+    return spark.read.parquet(str(at))
+
+
+def test_stages_on_stored_rows_write_no_texts_again(spark, tmp_path):
+    r = random.Random(5)
+    rows = [(i, " ".join(f"{r.getrandbits(40):x}" for _ in range(150)), "en", f"s{i % 3}", 1, "c", 7, "z") for i in range(400)]
+    rows += [(1000 + i, rows[i][1], *rows[i][2:]) for i in range(20)]
+    docs = stored(spark, rows, tmp_path / "docs")
+    size = sum(p.stat().st_size for p in (tmp_path / "docs").rglob("*.parquet"))
+    shared = Path(spark.conf.get("spark.checkpoint.dir", None) or ensure_checkpoint_dir(spark).removeprefix("file:"))
+    roots = {shared, shared.parent}
+    held = lambda: {p: p.stat().st_size for root in roots for p in root.glob("**/riskframe-*/**/*.parquet")}
+    for name in ("exact_dedup", "jaccard_join", "mixing"):
+        before = held()
+        out = dict(pipeline.STAGES)[name](spark, docs, "")
+        got = Counter(map(tuple, out.collect()))
+        wrote = sum(v for p, v in held().items() if p not in before)
+        assert 0 < wrote < size / 4, (name, wrote, size)
+        if name != "mixing":
+            assert got == Counter(rows[:400])
+        else:
+            assert set(got) <= set(rows) and max(got.values()) <= 2
+            mixed = mix_sources(cases.frame(spark, rows)).collect()
+            assert {r[0]: n for r, n in got.items()} == {r.id: r.copies for r in mixed if r.copies}
+
+
+def test_stages_take_stored_rows_as_others(spark, tmp_path):
+    rows = cases.documents()
+    docs = stored(spark, rows, tmp_path / "a b%20c" / "docs")
+    assert pipeline._places(docs)
+    for name in ("exact_dedup", "mixing"):
+        stage = dict(pipeline.STAGES)[name]
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        assert Counter(map(tuple, out.collect())) == Counter(run(spark, name, rows)), name
+
+
+def test_rows_that_are_no_whole_files_are_written(spark, tmp_path):
+    rows = [r for r in cases.documents() if r[0] is not None]
+    docs = stored(spark, rows, tmp_path / "docs")
+    none = docs.limit(0)
+    twice = docs.union(docs)
+    joined = docs.join(spark.range(2).withColumnRenamed("id", "n"))
+    for some in (docs.where("doc_id > 30"), docs.limit(40), none, twice, joined, docs.sample(0.5, 1), cases.frame(spark, rows)):
+        assert pipeline._places(some) is None
+    few = Counter(r for r in rows if r[0] > 30)
+    numbered, row = pipeline._numbered(docs.where("doc_id > 30"))
+    assert Counter(map(tuple, numbered.drop(row).collect())) == few
+    assert numbered.select(row).distinct().count() == few.total()
+
+
+def test_row_numbers_of_files_are_distinct(spark, tmp_path):
+    rows = cases.documents() + [cases.documents()[0]] * 5
+    numbered, row = pipeline._numbered(stored(spark, rows, tmp_path / "docs", 7))
+    got = numbered.collect()
+    assert len({r[row] for r in got}) == len(got) == len(rows)
+    assert Counter(tuple(r)[:-1] for r in got) == Counter(rows)
+    again = {r[row]: tuple(r) for r in numbered.repartition(5).collect()}
+    assert again == {r[row]: tuple(r) for r in got}
