@@ -89,8 +89,8 @@ def strings(data: np.ndarray, offsets: np.ndarray) -> pa.Array:
         pa.py_buffer(np.ascontiguousarray(data))]).cast(pa.string())
 
 
-_IS_SPACE = np.zeros(256, bool)
-_IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+IS_SPACE = np.zeros(256, bool)
+IS_SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 
 
 class Words:
@@ -99,7 +99,7 @@ class Words:
     def __init__(self, data: np.ndarray, offsets: np.ndarray):
         n = len(data)
         inside = np.zeros(n + 1, bool)
-        inside[:n] = ~_IS_SPACE[data]
+        inside[:n] = ~IS_SPACE[data]
         begins = inside[:n].copy()
         begins[1:] &= ~inside[:n - 1]
         edge = offsets[:-1][offsets[:-1] < n]

@@ -14,7 +14,8 @@ and memory is bounded by the run (or one document).
 
 Tokens come from a given tokenizer file whose pre-tokenizer never joins words
 over ASCII white space; each distinct piece of a word is encoded once per worker
-as long as the cache has room.
+as long as the cache has room.  A run is tokenised in slices, cut between words,
+and the cache is a few arrays: a worker holds it while it waits, beside the next stage.
 
 Defined cases: null text counts as empty (only the end id); repeated rows are
 packed separately; a null id is kept; an empty table gives no rows.
@@ -33,17 +34,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, give_back, group_sizes, group_starts, row_slices, utf8
-from .pretokens import NUMBER, byte_classes, contractions, runs, spans
+from .common import IS_SPACE, Words, give_back, group_sizes, group_starts, member, row_slices, span_hashes, utf8
+from .pretokens import NUMBER, byte_classes, contractions, cut_rows, runs, spans
 from .token_counts import byte_letters
 
 TIERS = (2048, 1024, 512, 256)
 #: Bytes of text that are tokenised and packed at a time.
 RUN_BYTES = 2 << 20
+#: Bytes of a run that are tokenised in one kernel call: its arrays take up to a hundred bytes per byte of text.
+SLICE_BYTES = 1 << 18
 #: Tokens of one step group.
 STEP_TOKENS = 64 * 2048
-#: Bytes of pieces that a worker's cache holds before it starts anew; changes no result.
-CACHE_BYTES = 96 << 20
+#: Bytes that a worker's cache of pieces holds before it starts anew; changes no result.
+CACHE_BYTES = 24 << 20
 SCHEMA = ("id {id}, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long, "
           "sequence_length long, step_group long")
 
@@ -93,14 +96,36 @@ class PieceEncoder:
                      and not before[1].get("add_prefix_space") and not before[1].get("use_regex"))
         self.added = [x["content"].lower().encode() for x in spec.get("added_tokens", [])]
         self.letters = byte_letters()
-        self._clear()
-
-    def _clear(self) -> None:
-        self.slot: dict[bytes, int] = {}
-        self.held = 0
-        self.start, self.size, self.ids = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
-
-    def _learn(self, pieces: list[bytes]) -> None:
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget all pieces."""
+        self.keys, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # ascending hashes, and whose they are
+        self.text, self.edge = np.zeros(0, np.uint8), np.zeros(1, np.int64)  # bytes of all pieces
+        self.ids, self.token = np.zeros(0, np.uint32), np.zeros(1, np.int64)  # ids of all pieces
+
+    def held(self) -> int:
+        """Bytes of the cache."""
+        return sum(x.nbytes for x in (self.keys, self.slot, self.text, self.edge, self.ids, self.token))
+
+    def _known(self, text: np.ndarray, edge: np.ndarray, keys: np.ndarray) -> np.ndarray:
+        """The slot of each piece of ``text``, -1 for those not in the cache; equal hashes are compared byte by byte."""
+        slots = np.full(len(keys), -1)
+        if not len(self.keys):
+            return slots
+        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
+        slot, size = self.slot[at], np.diff(edge)
+        hit = np.flatnonzero((self.keys[at] == keys) & (np.diff(self.edge)[slot] == size))
+        slot, size = slot[hit], size[hit]
+        first = np.cumsum(size) - size
+        byte = np.arange(int(size.sum()))
+        differs = self.text[byte + np.repeat(self.edge[slot] - first, size)] != text[byte + np.repeat(edge[hit] - first, size)]
+        same = np.bincount(np.repeat(np.arange(len(hit)), size)[differs], minlength=len(hit)) == 0
+        slots[hit[same]] = slot[same]
+        return slots
+
+    def _learn(self, pieces: list[bytes], keys: np.ndarray) -> None:
+        """Give new pieces the next slots; of equal hashes the first is found again."""
         got: list = [None] * len(pieces)
         other = []
         for i, piece in enumerate(pieces):
@@ -116,11 +141,15 @@ class PieceEncoder:
         for i, e in zip(other, encoded, strict=True):
             got[i] = e.ids
         size = np.array([len(x) for x in got], np.int64)
-        self.slot.update(zip(pieces, range(len(self.slot), len(self.slot) + len(pieces)), strict=True))
-        self.held += sum(map(len, pieces)) + 200 * len(pieces)
-        self.start = np.append(self.start, len(self.ids) + np.cumsum(size) - size)
-        self.size = np.append(self.size, size)
+        new, first = np.unique(keys, return_index=True)
+        slot = first + len(self.edge) - 1
+        fresh = ~member(new, self.keys)
+        at = np.searchsorted(self.keys, new[fresh])
+        self.keys, self.slot = np.insert(self.keys, at, new[fresh]), np.insert(self.slot, at, slot[fresh])
+        self.text = np.append(self.text, np.frombuffer(b"".join(pieces), np.uint8))
+        self.edge = np.append(self.edge, self.edge[-1] + np.cumsum([len(p) for p in pieces]))
         self.ids = np.append(self.ids, np.fromiter((i for x in got for i in x), np.uint32, int(size.sum())))
+        self.token = np.append(self.token, self.token[-1] + np.cumsum(size))
 
     def pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes with plain words in lower case, and the edges of all pieces and of the white space between them."""
@@ -157,29 +186,44 @@ class PieceEncoder:
         inner[:-1] &= ~kept
         return np.where(kept, data, low), np.flatnonzero(edge | inner)
 
-    def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int,
+               slice_bytes: int = SLICE_BYTES) -> tuple[np.ndarray, np.ndarray]:
         """All ids of some texts, each text's followed by ``end_id``, and the texts' n + 1 offsets."""
+        edges = cut_rows(offsets, slice_bytes, lambda a, b: np.flatnonzero(IS_SPACE[data[a:b]]))
+        parts, sizes, at = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)], 0
+        while at < len(edges) - 1:
+            upto = max(at + 1, int(np.searchsorted(edges, edges[at] + slice_bytes, side="right")) - 1)
+            ids, size = self._encode(data[edges[at]:edges[upto]], edges[at:upto + 1] - edges[at])
+            parts.append(ids)
+            sizes.append(size)
+            at = upto
+        before = np.append(0, np.cumsum(np.concatenate(sizes)))[np.searchsorted(edges, offsets)]
+        return np.insert(np.concatenate(parts), before[1:], end_id), before + np.arange(len(offsets))
+
+    def _encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of some texts or parts of texts, and how many each has."""
         n = len(offsets) - 1
         if not len(data):
-            return np.full(n, end_id, np.uint32), np.arange(n + 1)
+            return np.zeros(0, np.uint32), np.zeros(n, np.int64)
         shown, cuts = self.pieces(data, offsets)
         found = spans(shown, cuts)
-        distinct = found.dictionary.to_pylist()
-        if self.held > CACHE_BYTES:
-            self._clear()
-        fresh = [p for p in distinct if p not in self.slot]
-        if fresh:
-            self._learn(fresh)
-        slots = np.fromiter(map(self.slot.__getitem__, distinct), np.int64, len(distinct))[found.indices.to_numpy()]
-        size = self.size[slots]
+        distinct = found.dictionary
+        edge = np.frombuffer(distinct.buffers()[1], np.int64, len(distinct) + 1)
+        text = np.frombuffer(distinct.buffers()[2], np.uint8, edge[-1])
+        keys = span_hashes(text, edge[:-1], edge[1:])
+        if self.held() > CACHE_BYTES:
+            self.clear()
+        slots = self._known(text, edge, keys)
+        fresh = np.flatnonzero(slots < 0)
+        if len(fresh):
+            slots[fresh] = np.arange(len(fresh)) + len(self.edge) - 1
+            self._learn(distinct.take(pa.array(fresh)).to_pylist(), keys[fresh])
+        slots = slots[found.indices.to_numpy()]
+        start = self.token[slots]
+        size = self.token[slots + 1] - start
         before = np.append(0, np.cumsum(size))  # tokens before each piece
-        at_row = np.searchsorted(cuts, offsets)
-        edges = before[at_row] + np.arange(n + 1)
-        out = np.full(edges[-1], end_id, np.uint32)
-        doc = np.repeat(np.arange(n), np.diff(before[at_row]))
-        at = np.arange(before[-1])
-        out[at + doc] = self.ids[at + np.repeat(self.start[slots] - before[:-1], size)]
-        return out, edges
+        out = self.ids[np.arange(before[-1]) + np.repeat(start - before[:-1], size)]
+        return out, np.diff(before[np.searchsorted(cuts, offsets)])
 
 
 class Packer:
@@ -270,30 +314,37 @@ def _packed(path: str, end_id: int, tiers: tuple[int, ...], step_tokens: int, ru
         sequences = groups = 0
         for whole in batches:
             for batch in row_slices(whole, "text", run_bytes):
-                data, offsets = utf8(batch.column("text"))
-                ids, edges = encoder.encode(data, offsets, end_id)
-                packer = Packer(tiers)
-                packer.pack(np.diff(edges).tolist())
-                step = np.array(packer.step_groups(step_tokens), np.int64)
-                table = np.array(packer.pieces, np.int64).reshape(-1, 4)
-                seq, doc, start, length = table[np.argsort(table[:, 0], kind="stable")].T
-                end = np.cumsum(length)
-                first = group_starts(seq)
-                begin = end - length
-                yield pa.RecordBatch.from_pydict({
-                    "id": batch.column("id").take(pa.array(doc)), "start": pa.array(start), "length": pa.array(length),
-                    "ids": pa.array([ids[a:a + n].astype("<u4").tobytes() for a, n in
-                                     zip((edges[doc] + start).tolist(), length.tolist(), strict=True)], pa.binary()),
-                    "doc_tokens": pa.array(np.diff(edges)[doc]), "sequence_id": pa.array(seq + task + sequences),
-                    "offset": pa.array(begin - np.repeat(begin[first], group_sizes(first, len(seq)))),
-                    "sequence_length": pa.array(np.array(packer.lengths, np.int64)[seq]),
-                    "step_group": pa.array(step[seq] + task + groups)})
-                sequences += len(packer.lengths)
-                groups += int(step.max()) + 1
+                out, more, steps = _packed_run(batch, encoder, end_id, tiers, step_tokens, task + sequences, task + groups)
+                yield out
+                sequences += more
+                groups += steps
+        whole = batch = out = None
         give_back()
     return run
 
 
+def _packed_run(batch: pa.RecordBatch, encoder: PieceEncoder, end_id: int, tiers: tuple[int, ...], step_tokens: int,
+                sequence: int, group: int) -> tuple[pa.RecordBatch, int, int]:
+    """The pieces of a run of documents, numbered from ``sequence`` and ``group``; how many of these there are."""
+    ids, edges = encoder.encode(*utf8(batch.column("text")), end_id)
+    packer = Packer(tiers)
+    packer.pack(np.diff(edges).tolist())
+    step = np.array(packer.step_groups(step_tokens), np.int64)
+    table = np.array(packer.pieces, np.int64).reshape(-1, 4)
+    seq, doc, start, length = table[np.argsort(table[:, 0], kind="stable")].T
+    end = np.cumsum(length)
+    first = group_starts(seq)
+    begin = end - length
+    return pa.RecordBatch.from_pydict({
+        "id": batch.column("id").take(pa.array(doc)), "start": pa.array(start), "length": pa.array(length),
+        "ids": pa.array([ids[a:a + n].astype("<u4").tobytes() for a, n in
+                         zip((edges[doc] + start).tolist(), length.tolist(), strict=True)], pa.binary()),
+        "doc_tokens": pa.array(np.diff(edges)[doc]), "sequence_id": pa.array(seq + sequence),
+        "offset": pa.array(begin - np.repeat(begin[first], group_sizes(first, len(seq)))),
+        "sequence_length": pa.array(np.array(packer.lengths, np.int64)[seq]),
+        "step_group": pa.array(step[seq] + group)}), len(packer.lengths), int(step.max()) + 1
+
+
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = 1,
          tiers: tuple[int, ...] = TIERS, step_tokens: int = STEP_TOKENS, run_bytes: int = RUN_BYTES) -> DataFrame:
     """One row per piece: id, start, length, ids (little-endian unsigned 32-bit), doc_tokens, sequence_id,

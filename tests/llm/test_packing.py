@@ -1,7 +1,12 @@
+import tracemalloc
+
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from riskframe.llm.packing import Packer, pack
+from riskframe.llm import packing
+from riskframe.llm.common import utf8
+from riskframe.llm.packing import Packer, PieceEncoder, pack
 from riskframe.llm.queries import tokenizer_path
 
 from . import cases
@@ -60,3 +65,44 @@ def test_empty_table_and_tiers(spark):
     assert pack(cases.empty(spark), tokenizer_path()).count() == 0
     with pytest.raises(ValueError):
         pack(cases.empty(spark), tokenizer_path(), tiers=(2000, 1000))
+
+
+def rare_words(n_bytes, seed=0):
+    rng = np.random.default_rng(seed)
+    letters = rng.integers(97, 123, n_bytes, dtype=np.uint8)
+    letters[rng.random(n_bytes) < 0.15] = 0x20
+    return letters.tobytes().decode()
+
+
+def test_a_run_is_tokenised_in_little_memory():
+    found = PieceEncoder(tokenizer_path())
+    data, offsets = utf8(pa.array([rare_words(1 << 20), "", rare_words(1 << 20, 1)]))
+    found.encode(data[:1000], np.array([0, 1000]), 1)
+    tracemalloc.start()
+    ids, edges = found.encode(data, offsets, 1)
+    held, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    # ids of 5 bytes a byte of text at most; what is kept of some 300,000 words; arrays of a slice
+    assert held < 24 << 20 and peak < 64 << 20
+    whole = encoder().encode_batch([data[a:b].tobytes().decode() for a, b in zip(offsets, offsets[1:])],
+                                   add_special_tokens=False)
+    assert ids.tolist() == [i for e in whole for i in [*e.ids, 1]]
+    assert np.diff(edges).tolist() == [len(e.ids) + 1 for e in whole]
+
+
+@pytest.mark.parametrize("cache_bytes", [1 << 20, 0])
+@pytest.mark.parametrize("slice_bytes", [1, 40, 1 << 20])
+@pytest.mark.parametrize("equal_hashes", [False, True])
+def test_slices_cache_and_equal_hashes_change_no_ids(monkeypatch, cache_bytes, slice_bytes, equal_hashes):
+    monkeypatch.setattr(packing, "CACHE_BYTES", cache_bytes)
+    if equal_hashes:
+        monkeypatch.setattr(packing, "span_hashes", lambda data, start, end: np.full(len(start), 7, np.uint64))
+    texts = [r[1] or "" for r in cases.documents()] + [
+        "", "  \t ", "it's we'll 'S x's 12ab34", "\u00c9t\u00c9 \u00bd\u00b2 \u00fcber\u2009x\n\ny", "a" * 3000, "\u00e9" * 500 + " z"]
+    found, tokenizer = PieceEncoder(tokenizer_path()), encoder()
+    texts += [f"a {mark}b {mark} c{mark}" for mark in map(bytes.decode, found.added[:2])]
+    want = [[*tokenizer.encode(t, add_special_tokens=False).ids, 1] for t in texts]
+    data, offsets = utf8(pa.array(texts))
+    for _ in range(2):  # the second time from the cache
+        ids, edges = found.encode(data, offsets, 1, slice_bytes)
+        assert [ids[a:b].tolist() for a, b in zip(edges, edges[1:])] == want
