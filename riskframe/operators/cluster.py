@@ -1,8 +1,8 @@
 """Clustering steps (R3, R7-R11): silhouette, KMeans splits, guided under-sampling, centroids, medoids.
 
-Silhouette is exact Euclidean: one all-pairs block pass emits, per row, the
-sum of distances to every cluster; everything after that is small grouped
-aggregation.  Spark's ClusteringEvaluator only offers squared Euclidean or
+Silhouette is exact Euclidean: one pass emits, per row, the sum of distances to
+every cluster (all pairs of blocks, each once, by matrix products); everything
+after that is small grouped aggregation.  Spark's ClusteringEvaluator only offers squared Euclidean or
 cosine, so it is kept as the approximate ``mode='squared'``.
 
 Where the number of centres grows with the data (R3), centres are a table:
@@ -24,48 +24,103 @@ from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskframe.operators.knn import (_ddl, _in_cells, _matrix, distances, knn_join, paired_distances, pairwise_blocks,
-                                     same_key_pairs)
+from riskframe.operators.knn import (MIN_BLOCK_ROWS, Products, _ddl, _in_cells, _matrix, _n_blocks, distances, knn_join,
+                                     own_pair_blocks, pairwise_blocks, same_key_pairs)
 from riskframe.operators.resample import roles
 from riskframe.operators.splits import exact_rank
 from riskframe.session import cut_lineage
 
 
-def _cluster_sum_kernel(lkey, cl, rcl, vec, chunk: int = 256, wide: int = 1024):
-    """Distance sums of two blocks, ``chunk`` x ``wide`` pairs at a time (the distances stay in the processor's cache)."""
-    def fn(lp: pd.DataFrame, rp: pd.DataFrame) -> pd.DataFrame:
-        if lp.empty or rp.empty:
-            return pd.DataFrame({**{k: [] for k in lkey}, "__lc": [], "__rc": [], "__sd": []})
-        codes, names = pd.factorize(rp[rcl])
-        rp = rp.iloc[np.argsort(codes, kind="stable")]  # a cluster's rows lie together
-        codes = np.sort(codes)
-        Q, R = _matrix(lp, vec), _matrix(rp, vec)
-        total = np.zeros((len(Q), len(names)))
-        for t in range(0, len(R), wide):
-            starts = np.flatnonzero(np.diff(codes[t:t + wide], prepend=-1))
-            here = codes[t:t + wide][starts]
-            for s in range(0, len(Q), chunk):
-                total[s:s + chunk, here] += np.add.reduceat(distances(Q[s:s + chunk], R[t:t + wide]), starts, axis=1)
-        i, j = same_key_pairs(lp, rp, lkey, lkey)  # rows of one key have no distance
-        np.subtract.at(total, (i, codes[j]), paired_distances(Q[i], R[j]))
-        n = len(names)
-        # whole arrays, no pieces put together: text columns of several chunks cannot be handed to Spark
-        return pd.DataFrame({**{k: np.repeat(lp[k].to_numpy(), n) for k in lkey},
-                             "__lc": np.repeat(lp[cl].to_numpy(), n),
-                             "__rc": np.tile(np.asarray(names), len(lp)), "__sd": total.reshape(-1)})
+#: Rows of a side of a tile (its distances stay in the processor's cache), clusters whose sums share a row of partial
+#: sums, sums that a block of rows may hold.
+TILE, WIDTH, BLOCK_SUMS = 512, 16, 2 ** 24
+
+
+def _slice_sums(D: np.ndarray, starts: np.ndarray, axis: int) -> np.ndarray:
+    """Sums along ``axis`` of the slices that begin at ``starts``."""
+    if len(starts) > 16:
+        return np.add.reduceat(D, starts, axis=axis)
+    cut = [slice(a, b) for a, b in zip(starts, [*starts[1:], D.shape[axis]])]
+    return np.stack([(D[:, c] if axis else D[c]).sum(axis=axis) for c in cut], axis=axis)
+
+
+def _sums_out(pdf: pd.DataFrame, key, total: np.ndarray) -> pd.DataFrame:
+    """Partial sums (row, cluster) as rows of ``WIDTH`` clusters."""
+    width = min(WIDTH, max(1, total.shape[1]))
+    n = -(-total.shape[1] // width)
+    wide = np.zeros((len(pdf), n * width))
+    wide[:, :total.shape[1]] = total
+    wide = wide.reshape(-1, width)
+    # whole arrays, no pieces put together: text columns of several chunks cannot be handed to Spark
+    return pd.DataFrame({**{c: np.repeat(pdf[c].to_numpy(), n) for c in [*key, "__lc"]},
+                         "__j": np.tile(np.arange(n, dtype="int32"), len(pdf)),
+                         **{f"__s{i}": wide[:, i] for i in range(width)}})
+
+
+def _cluster_sum_kernel(key, clusters: int, vec):
+    """Distance sums of the rows of two blocks to each other's clusters: every pair is measured once, for both rows."""
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.iloc[np.argsort(pdf["__code"].to_numpy(), kind="stable")]  # a cluster's rows lie together
+        block, one = pdf["__b"].to_numpy(), pdf["__lo"].iloc[0] == pdf["__hi"].iloc[0]
+        at = [np.flatnonzero(block == pdf[c].iloc[0]) for c in (("__lo",) if one else ("__lo", "__hi"))]
+        total = np.zeros((len(pdf), clusters + 1))  # the last: rows without a cluster
+        if not all(len(x) for x in at):
+            return _sums_out(pdf, key, total[:, :clusters])
+        left, right = pdf.iloc[at[0]], pdf.iloc[at[-1]]
+        X = _matrix(pdf, vec)
+        pairs, codes = Products(X[at[0]], X[at[-1]]), [pdf["__code"].to_numpy()[x] for x in at]
+        sums = [np.zeros((len(x), clusters + 1)) for x in at]
+        tall, wide = -(-len(left) // TILE), -(-len(right) // TILE)
+        i, j = same_key_pairs(left, right, key, key)  # rows of one key have no distance
+        i, j = (i[i != j], j[i != j]) if one else (i, j)
+        tile = i // TILE * wide + j // TILE
+        order = np.argsort(tile, kind="stable")
+        i, j, tile = i[order], j[order], tile[order]
+        cut = lambda code, x: np.flatnonzero(np.diff(code[x], prepend=code[x][0] - 1))
+        for a in range(tall):
+            s = slice(a * TILE, (a + 1) * TILE)
+            for b in range(a if one else 0, wide):
+                t = slice(b * TILE, (b + 1) * TILE)
+                D = pairs.distances(s, t)
+                same = slice(*np.searchsorted(tile, [a * wide + b, a * wide + b + 1]))
+                D[i[same] - s.start, j[same] - t.start] = 0.0
+                starts = cut(codes[-1], t)
+                sums[0][s, codes[-1][t][starts]] += _slice_sums(D, starts, 1)
+                if not one or a != b:
+                    starts = cut(codes[0], s)
+                    sums[-1][t, codes[0][s][starts]] += _slice_sums(D, starts, 0).T
+        for x, found in zip(at, sums):
+            total[x] = found
+        return _sums_out(pdf, key, total[:, :clusters])
     return fn
 
 
 def cluster_distance_sums(df: DataFrame, key: Sequence[str], cluster: str, vec: str = "vec",
                           block_rows: int = 0) -> DataFrame:
-    """(key..., own cluster, other cluster, sum of distances from the row to that cluster)."""
+    """(key..., own cluster, other cluster, sum of distances from the row to that cluster).
+
+    All pairs are measured, each once, block by block.
+    """
     key = list(key)
-    types = dict((f.name, f.dataType.simpleString()) for f in df.schema.fields)
-    schema = ", ".join([f"{k} {types[k]}" for k in key] +
-                       [f"__lc {types[cluster]}", f"__rc {types[cluster]}", "__sd double"])
-    sel = df.select(*key, cluster, vec)
-    sums = pairwise_blocks(sel, sel, key, key, _cluster_sum_kernel(key, cluster, cluster, vec), schema, block_rows)
-    return sums.groupBy(*key, "__lc", "__rc").agg(F.sum("__sd").alias("__sd"))
+    kind = df.schema[cluster].dataType.simpleString()
+    # one row per cluster, as the sums have for each row
+    found = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("n")).orderBy(cluster).collect()
+    names = [r[cluster] for r in found if r[cluster] is not None]
+    n, clusters = sum(r["n"] for r in found), len(names)
+    table = lambda name: F.broadcast(df.sparkSession.createDataFrame(list(enumerate(names)), f"__code int, {name} {kind}"))
+    rows = df.select(*key, F.col(cluster).alias("__lc"), vec).join(table("__lc"), "__lc", "left") \
+        .withColumn("__code", F.coalesce("__code", F.lit(-1)))
+    ddl, width = _ddl(rows, [*key, "__lc"]), min(WIDTH, max(1, clusters))
+    parts = [f"__s{i}" for i in range(width)]
+    schema = f"{ddl}, __j int, " + ", ".join(f"{c} double" for c in parts)
+    if block_rows <= 0 and clusters:
+        block_rows = min(max(MIN_BLOCK_ROWS, BLOCK_SUMS // clusters), -(-n // _n_blocks(n, 0)))
+    # by key and vector: rows of one key need not be in one block
+    sums = own_pair_blocks(rows, [*key, vec], _n_blocks(n, block_rows), _cluster_sum_kernel(key, clusters, vec), schema)
+    sums = sums.groupBy(*key, "__lc", "__j").agg(*[F.sum(c).alias(c) for c in parts])
+    return sums.select(*key, "__lc", (F.col("__j") * width).alias("__first"), F.posexplode(F.array(*parts)).alias("__i", "__sd")) \
+        .withColumn("__code", F.col("__first") + F.col("__i")).join(table("__rc"), "__code") \
+        .select(*key, "__lc", "__rc", F.greatest("__sd", F.lit(0.0)).alias("__sd"))
 
 
 def silhouette_per_row(df: DataFrame, key: Sequence[str], cluster: str, vec: str = "vec") -> DataFrame:

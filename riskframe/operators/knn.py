@@ -17,7 +17,7 @@ within the row's k-th distance so far are measured.  Where distances say nothing
 there, at a matrix product's cost a pair.
 
 :func:`pairwise_blocks` is the plain all-pairs form for kernels that need every
-pair (exact silhouettes).
+pair; :func:`own_pair_blocks` takes the pairs of one table once (exact silhouettes).
 
 Distances are Euclidean, summed over dimensions in order (same arithmetic as a
 sequential SQL ``list_distance``); ties are broken by the right-hand key.
@@ -45,11 +45,10 @@ MAX_TASKS = 512
 MIN_BLOCK_ROWS, MAX_BLOCK_ROWS, TARGET_BLOCKS = 512, 100_000, 16
 
 
-def _n_blocks(df: DataFrame, block_rows: int) -> int:
+def _n_blocks(n: int, block_rows: int) -> int:
     """Blocks per side.  Replication (and shuffle) grows with the number of
     blocks on the other side, memory with the block size: aim for at most
     ~16 blocks of 512 to 100k rows."""
-    n = df.count()
     if block_rows <= 0:
         block_rows = min(MAX_BLOCK_ROWS, max(MIN_BLOCK_ROWS, math.ceil(n / TARGET_BLOCKS)))
     return max(1, math.ceil(n / block_rows))
@@ -59,7 +58,7 @@ def pairwise_blocks(left: DataFrame, right: DataFrame, left_key: Sequence[str],
                     kernel: Callable[[pd.DataFrame, pd.DataFrame], pd.DataFrame], schema: str,
                     block_rows: int = DEFAULT_BLOCK_ROWS) -> DataFrame:
     """Apply ``kernel(left_block, right_block)`` to every pair of blocks."""
-    bl, br = _n_blocks(left, block_rows), _n_blocks(right, block_rows)
+    bl, br = _n_blocks(left.count(), block_rows), _n_blocks(right.count(), block_rows)
     # fresh attribute ids: both sides may derive from one Dataset (self joins)
     left = left.select(*[F.col(f"`{c}`").alias(c) for c in left.columns]).alias("__l")
     right = right.select(*[F.col(f"`{c}`").alias(c) for c in right.columns]).alias("__r")
@@ -72,6 +71,20 @@ def pairwise_blocks(left: DataFrame, right: DataFrame, left_key: Sequence[str],
     return lb.groupBy("__lb", "__rb").cogroup(rb.groupBy("__lb", "__rb")).applyInPandas(kernel, schema)
 
 
+def own_pair_blocks(df: DataFrame, by: Sequence[str], blocks: int, kernel: Callable[[pd.DataFrame], pd.DataFrame],
+                    schema: str) -> DataFrame:
+    """Apply ``kernel`` to the rows of every two blocks of ``df``, taken once (and of every block alone).
+
+    Rows are dealt to blocks by a hash of ``by``; the kernel gets them with their block __b and the pair's __lo <= __hi.
+    """
+    here = F.pmod(F.xxhash64(*by), F.lit(blocks)).cast("int")
+    rows = df.withColumn("__b", here).withColumn("__o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))) \
+        .withColumns({"__lo": F.least("__b", "__o"), "__hi": F.greatest("__b", "__o")}).drop("__o")
+    # more tasks than pairs, so that few tasks get two of them
+    tasks = min(MAX_TASKS, 2 * blocks * (blocks + 1))
+    return rows.repartition(tasks, "__lo", "__hi").groupBy("__lo", "__hi").applyInPandas(kernel, schema)
+
+
 def _matrix(pdf: pd.DataFrame, vec: str) -> np.ndarray:
     if pdf[vec].isna().any():
         raise ValueError("a vector is NULL: drop or impute such rows before a neighbour search")
@@ -99,6 +112,52 @@ def paired_distances(Q: np.ndarray, R: np.ndarray) -> np.ndarray:
     return np.sqrt(acc)
 
 
+#: Up to so many dimensions distances are summed one by one; beyond, a product gives their squares.  A square below this
+#: share of the squared norms has lost digits there: it is measured.
+FEW_DIMS, LOST = 4, 2.0 ** -10
+
+
+class Products:
+    """Distances of slices of ``Q`` and ``R`` by a matrix product of rows around their middle.
+
+    A squared distance is wrong by (dimensions + 4) 2^-52 of the squared norms at most, so those that are not below
+    ``LOST`` of these keep 10 digits and more; the others are measured.  Where they are many, the slices are
+    first moved to the middle of the right one.
+    """
+
+    def __init__(self, Q: np.ndarray, R: np.ndarray):
+        self.Q, self.R = Q, R
+        if Q.shape[1] > FEW_DIMS:
+            self.moved = self._around(Q, R, R.mean(axis=0))
+
+    @staticmethod
+    def _around(Q: np.ndarray, R: np.ndarray, middle: np.ndarray) -> tuple:
+        q, r = Q - middle, R - middle
+        qn, rn = (q * q).sum(axis=1), (r * r).sum(axis=1)
+        return (np.column_stack([-2 * q, qn, np.ones(len(q))]), np.column_stack([r, np.ones(len(r)), rn]), qn, rn)
+
+    @staticmethod
+    def _squares(q: np.ndarray, r: np.ndarray, qn: np.ndarray, rn: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Squared distances, and the places of those that lost digits."""
+        D = q @ r.T
+        if D.min() > LOST * (qn.max() + rn.max()):
+            return D, np.zeros(0, np.int64)
+        return D, np.flatnonzero(~(D > LOST * (qn[:, None] + rn)).reshape(-1))
+
+    def distances(self, s: slice, t: slice) -> np.ndarray:
+        Q, R = self.Q[s], self.R[t]
+        if Q.shape[1] <= FEW_DIMS:
+            return distances(Q, R)
+        with np.errstate(over="ignore", invalid="ignore"):
+            D, lost = self._squares(*(x[at] for x, at in zip(self.moved, (s, t, s, t))))
+            if 64 * len(lost) > D.size:
+                D, lost = self._squares(*self._around(Q, R, R.mean(axis=0)))
+        D.reshape(-1)[lost] = 0.0
+        np.sqrt(D, out=D)
+        D.reshape(-1)[lost] = _measure(Q, R, *np.divmod(lost, len(R)))
+        return D
+
+
 def same_key_pairs(lp: pd.DataFrame, rp: pd.DataFrame, lkey: Sequence[str], rkey: Sequence[str]
                    ) -> tuple[np.ndarray, np.ndarray]:
     """Positions of all pairs of rows with equal keys (a NULL equals nothing)."""
@@ -501,4 +560,4 @@ def vec_from_columns(df: DataFrame, features: Sequence[str], vec: str = "vec") -
     return df.withColumn(vec, F.array(*[F.col(f).cast("double") for f in features]))
 
 
-__all__ = ["pairwise_blocks", "knn_join", "cell_join", "knn_classify", "distances", "vec_from_columns"]
+__all__ = ["pairwise_blocks", "own_pair_blocks", "knn_join", "cell_join", "knn_classify", "distances", "vec_from_columns"]

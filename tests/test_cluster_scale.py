@@ -1,8 +1,9 @@
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from riskframe.operators import cluster, scale
+from riskframe.operators import cluster, knn, scale
 
 
 def _silhouette(X, lab):
@@ -211,3 +212,69 @@ def test_medoids_of_repeated_keys(spark, monkeypatch):
     twice = {r.id for r in cluster.medoids(once.unionByName(once), ["id"], ["a", "b"], 2)[1].collect()}
     assert len(steps) < 20
     assert twice == {r.id for r in cluster.medoids(once, ["id"], ["a", "b"], 2)[1].collect()}
+
+
+def _distance_sums(ids, X, lab):
+    """Sums of distances to each cluster by key and own cluster; rows of one key have no distance."""
+    D = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))
+    D[ids[:, None] == ids[None]] = 0.0
+    out = {}
+    for i in range(len(X)):
+        for c in set(lab) - {None}:
+            at = (ids[i], lab[i], c)
+            out[at] = out.get(at, 0.0) + D[i, [x == c for x in lab]].sum()
+    return out
+
+
+def _sums_of(df):
+    return {(r.id, r["__lc"], r["__rc"]): r["__sd"] for r in cluster.cluster_distance_sums(df, ["id"], "c").collect()}
+
+
+def _refuse(*_, **__):
+    raise AssertionError("all pairs of rows measured")
+
+
+def test_pairs_are_measured_once_and_by_products(monkeypatch):
+    rng = np.random.default_rng(21)
+    X, block, code = rng.normal(size=(1500, 16)) + 50.0, np.arange(1500) % 2, np.arange(1500) % 3
+    one_by_one, pairs = [], []
+    measure, products = knn._measure, knn.Products.distances
+    monkeypatch.setattr(knn, "distances", _refuse)
+    monkeypatch.setattr(knn, "_measure", lambda Q, R, i, j: (one_by_one.append(len(i)), measure(Q, R, i, j))[1])
+    monkeypatch.setattr(knn.Products, "distances", lambda *a: (D := products(*a), pairs.append(D.size))[0])
+    rows = pd.DataFrame({"id": np.arange(1500), "__lc": code, "__code": code, "vec": list(X), "__b": block})
+    kernel, got = cluster._cluster_sum_kernel(["id"], 3, "vec"), np.zeros((1500, 3))
+    for lo, hi in ((0, 0), (0, 1), (1, 1)):
+        out = kernel(rows[rows["__b"].isin([lo, hi])].assign(__lo=lo, __hi=hi))
+        got[out["id"]] += out[["__s0", "__s1", "__s2"]].to_numpy()
+    D = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))
+    assert got == pytest.approx(np.stack([D[:, code == c].sum(axis=1) for c in range(3)], axis=1), rel=1e-11)
+    assert sum(one_by_one) == 1500  # a row and itself
+    assert sum(pairs) < 0.75 * 1500 ** 2
+
+
+@pytest.mark.parametrize("dims", [2, 6])
+def test_distance_sums_of_tight_far_equal_and_repeated_rows(spark, monkeypatch, dims):
+    # clusters a millionth as wide as they lie apart, one of equal rows, rows without a cluster, repeated and missing keys
+    monkeypatch.setattr(cluster, "pairwise_blocks", _refuse)
+    rng = np.random.default_rng(22)
+    lab = ["a"] * 300 + ["b"] * 300 + ["c"] * 40 + [None] * 20 + ["d"]
+    far = np.repeat([0.0, 1e6, -3e6, 5.0, 7.0], [300, 300, 40, 20, 1])
+    X = rng.normal(size=(661, dims)) * np.repeat([1.0, 1.0, 0.0, 1.0, 1.0], [300, 300, 40, 20, 1])[:, None] + far[:, None]
+    ids = np.arange(661)
+    ids[[5, 310, 311]], ids[601] = 7, 602
+    df = spark.createDataFrame([(int(i), [float(v) for v in x], c) for i, x, c in zip(ids, X, lab)],
+                               "id bigint, vec array<double>, c string")
+    got = _sums_of(df)
+    want = _distance_sums(ids, X, lab)
+    assert got.keys() == want.keys()
+    for at, v in want.items():
+        assert got[at] == pytest.approx(v, rel=1e-9, abs=0.0 if v == 0 else 1e-9 * v), at
+    # a row without a key is like no other row
+    nameless = df.withColumn("id", F.when(F.col("id") < 20, F.col("id")))
+    want = _distance_sums(np.where(ids < 20, ids, -1 - np.arange(661)), X, lab)
+    whole = {}
+    for (i, own, c), v in want.items():
+        at = (i if i >= 0 else None, own, c)
+        whole[at] = whole.get(at, 0.0) + v
+    assert _sums_of(nameless) == pytest.approx(whole, rel=1e-9)
