@@ -1,8 +1,9 @@
 """Clustering steps (R3, R7-R11): silhouette, KMeans splits, guided under-sampling, centroids, medoids.
 
 Silhouette is exact Euclidean: one pass emits, per row, the sum of distances to
-every cluster (all pairs of blocks, each once, by matrix products); everything
-after that is small grouped aggregation.  Spark's ClusteringEvaluator only offers squared Euclidean or
+every cluster (all pairs of blocks, each once, by matrix products; of one
+dimension, running sums over the sorted rows); everything after that is small
+grouped aggregation.  Spark's ClusteringEvaluator only offers squared Euclidean or
 cosine, so it is kept as the approximate ``mode='squared'``.
 
 Where the number of centres grows with the data (R3), centres are a table:
@@ -32,8 +33,8 @@ from riskframe.session import cut_lineage
 
 
 #: Rows of a side of a tile (its distances stay in the processor's cache), clusters whose sums share a row of partial
-#: sums, sums that a block of rows may hold.
-TILE, WIDTH, BLOCK_SUMS = 512, 16, 2 ** 24
+#: sums, sums that a block of rows may hold, rows of a part of a line.
+TILE, WIDTH, BLOCK_SUMS, LINE_ROWS = 512, 16, 2 ** 24, 100_000
 
 
 def _slice_sums(D: np.ndarray, starts: np.ndarray, axis: int) -> np.ndarray:
@@ -95,28 +96,101 @@ def _cluster_sum_kernel(key, clusters: int, vec):
     return fn
 
 
+def _line(x: np.ndarray, code: np.ndarray, middle: np.ndarray, n: np.ndarray, total: np.ndarray, n_before: np.ndarray,
+          before: np.ndarray) -> np.ndarray:
+    """Distance sums of ascending ``x`` to clusters of ``n`` rows that sum to ``total`` around their ``middle``.
+
+    ``n_before`` and ``before``: number and sum of the rows below ``x``; they are moved past it.
+    """
+    out = np.empty((len(x), len(n)))
+    for c in range(len(n)):
+        y, own = x - middle[c], code == c
+        k, s = n_before[c] + np.cumsum(own), before[c] + np.cumsum(np.where(own, y, 0.0))
+        out[:, c] = y * (2 * k - n[c]) - 2 * s + total[c]
+        n_before[c], before[c] = k[-1], s[-1]
+    return np.maximum(out, 0.0)
+
+
+def _line_sums(rows: DataFrame, key: list, clusters: int, n: int, vec: str, ddl: str, schema: str) -> DataFrame:
+    """Partial distance sums of rows of one dimension: sorted, what lies below and above a row is known from running sums.
+
+    Rows are dealt to ranges; the ranges' counts and sums (ranges x clusters) are all that tasks share.
+    """
+    def flat(batches):
+        for pdf in batches:
+            if len(pdf):
+                yield pdf[[*key, "__lc", "__code"]].assign(__v=_matrix(pdf, vec)[:, 0])
+
+    line = rows.mapInPandas(flat, f"{ddl}, __code int, __v double")
+    line = cut_lineage(line.repartitionByRange(max(1, -(-n // LINE_ROWS)), "__v").sortWithinPartitions("__v")
+                       .withColumn("__p", F.spark_partition_id()))
+    spark, real = rows.sparkSession, line.where("__code >= 0")
+    # a row's value, so that sums over equal rows are exactly 0
+    middles = real.groupBy("__code").agg(F.percentile_approx("__v", 0.5).alias("__m")).collect()
+    middle = np.zeros(clusters)
+    for r in middles:
+        middle[r["__code"]] = r["__m"]
+    table = F.broadcast(spark.createDataFrame([(r["__code"], r["__m"]) for r in middles], "__code int, __m double"))
+    parts = real.join(table, "__code").groupBy("__p", "__code").agg(
+        F.count(F.lit(1)).alias("n"), F.sum(F.col("__v") - F.col("__m")).alias("s")).collect()
+    ranges = 1 + max((r["__p"] for r in parts), default=0)
+    counts, sums = np.zeros((ranges + 1, clusters), np.int64), np.zeros((ranges + 1, clusters))
+    for r in parts:
+        counts[r["__p"] + 1, r["__code"]], sums[r["__p"] + 1, r["__code"]] = r["n"], r["s"]
+    shared = spark.sparkContext.broadcast((middle, counts.cumsum(axis=0), sums.cumsum(axis=0)))
+
+    def run(batches):
+        middle, counts, sums = shared.value
+        at = None
+        for pdf in batches:
+            if len(pdf):
+                if at is None:  # a task reads one range
+                    p = min(int(pdf["__p"].iloc[0]), len(counts) - 1)
+                    at = counts[p].copy(), sums[p].copy()
+                yield _sums_out(pdf, key, _line(pdf["__v"].to_numpy(), pdf["__code"].to_numpy(), middle, counts[-1],
+                                                sums[-1], *at))
+
+    def of_one_key(pdf):
+        middle = shared.value[0]
+        pdf = pdf.sort_values("__v")
+        x, code = pdf["__v"].to_numpy(), pdf["__code"].to_numpy()
+        n = np.array([(code == c).sum() for c in range(clusters)], dtype="int64")
+        total = np.array([(x[code == c] - middle[c]).sum() for c in range(clusters)])
+        return _sums_out(pdf, key, -_line(x, code, middle, n, total, np.zeros(clusters, np.int64), np.zeros(clusters)))
+
+    out = line.mapInPandas(run, schema)
+    repeated = line.groupBy(*key).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").dropna(subset=key)
+    if repeated.isEmpty():
+        return out
+    # rows of one key have no distance
+    return out.unionByName(line.join(repeated.drop("__n"), key).groupBy(*key).applyInPandas(of_one_key, schema))
+
+
 def cluster_distance_sums(df: DataFrame, key: Sequence[str], cluster: str, vec: str = "vec",
                           block_rows: int = 0) -> DataFrame:
     """(key..., own cluster, other cluster, sum of distances from the row to that cluster).
 
-    All pairs are measured, each once, block by block.
+    Rows of one dimension are sorted; else all pairs are measured, each once, block by block.
     """
     key = list(key)
     kind = df.schema[cluster].dataType.simpleString()
     # one row per cluster, as the sums have for each row
-    found = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("n")).orderBy(cluster).collect()
+    found = df.groupBy(cluster).agg(F.count(F.lit(1)).alias("n"), F.max(F.size(vec)).alias("dims")).orderBy(cluster).collect()
     names = [r[cluster] for r in found if r[cluster] is not None]
-    n, clusters = sum(r["n"] for r in found), len(names)
+    n, dims, clusters = sum(r["n"] for r in found), max((r["dims"] or 0 for r in found), default=0), len(names)
     table = lambda name: F.broadcast(df.sparkSession.createDataFrame(list(enumerate(names)), f"__code int, {name} {kind}"))
     rows = df.select(*key, F.col(cluster).alias("__lc"), vec).join(table("__lc"), "__lc", "left") \
         .withColumn("__code", F.coalesce("__code", F.lit(-1)))
     ddl, width = _ddl(rows, [*key, "__lc"]), min(WIDTH, max(1, clusters))
     parts = [f"__s{i}" for i in range(width)]
     schema = f"{ddl}, __j int, " + ", ".join(f"{c} double" for c in parts)
-    if block_rows <= 0 and clusters:
-        block_rows = min(max(MIN_BLOCK_ROWS, BLOCK_SUMS // clusters), -(-n // _n_blocks(n, 0)))
-    # by key and vector: rows of one key need not be in one block
-    sums = own_pair_blocks(rows, [*key, vec], _n_blocks(n, block_rows), _cluster_sum_kernel(key, clusters, vec), schema)
+    if dims == 1:
+        sums = _line_sums(rows, key, clusters, n, vec, ddl, schema)
+    else:
+        if block_rows <= 0 and clusters:
+            block_rows = min(max(MIN_BLOCK_ROWS, BLOCK_SUMS // clusters), -(-n // _n_blocks(n, 0)))
+        # by key and vector: rows of one key need not be in one block
+        sums = own_pair_blocks(rows, [*key, vec], _n_blocks(n, block_rows), _cluster_sum_kernel(key, clusters, vec), schema)
     sums = sums.groupBy(*key, "__lc", "__j").agg(*[F.sum(c).alias(c) for c in parts])
     return sums.select(*key, "__lc", (F.col("__j") * width).alias("__first"), F.posexplode(F.array(*parts)).alias("__i", "__sd")) \
         .withColumn("__code", F.col("__first") + F.col("__i")).join(table("__rc"), "__code") \
@@ -219,7 +293,7 @@ def under_cluster_guided(df: DataFrame, key: Sequence[str], features: Sequence[s
     tagged = cut_lineage(parts[0].unionByName(parts[1]))  # the pairs are scored and picked from the same fit
     tagged = tagged.withColumn("__grp", F.col("cluster") + F.when(F.col("__role") == "min", 0).otherwise(k)) \
         .withColumn("__vec", F.array(*[F.col(f).cast("double") for f in features]))
-    sums = cluster_distance_sums(tagged, key, "__grp", "__vec")
+    sums = cut_lineage(cluster_distance_sums(tagged, key, "__grp", "__vec"))  # read as own and as other cluster's
     sizes = tagged.groupBy(F.col("__grp").alias("__rc")).agg(F.count(F.lit(1)).alias("__n"))
     s = sums.join(F.broadcast(sizes), "__rc")
     own = s.where(F.col("__lc") == F.col("__rc")).select(

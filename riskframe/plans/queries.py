@@ -660,7 +660,8 @@ SEPARABLE = [*C.T3_FEATURES, "sep"]
 def _separable(spark, d):
     """T3, min-max scaled, with a column that separates the classes up to noise: label + u, u in [0, 0.9)."""
     t = C.t3(spark, d).withColumn("sep", F.col("label") + 0.9 * hash_unit(hash_key(42, "sep", C.T3_KEY)))
-    return cut_lineage(scale.MinMaxScaler(SEPARABLE).fit(t).transform(t))  # fits read it many times
+    t = cut_lineage(t)  # the texts are read once; the scaler and fits read the numbers many times
+    return scale.MinMaxScaler(SEPARABLE).fit(t).transform(t)
 
 
 @query("select_l1")
@@ -872,7 +873,8 @@ def q_clf_mlp(spark, d):
 @query("fit_predict_chain")
 def q_fit_predict_chain(spark, d):
     """Drop -> impute -> min-max -> top-decile |corr| -> cluster step -> SMOTE -> logistic, fit on train only."""
-    flagged = splits.split_stratified(_separable(spark, d), C.T3_KEY, "label", 0.2)
+    # written: every step's fit reads the split
+    flagged = cut_lineage(splits.split_stratified(_separable(spark, d), C.T3_KEY, "label", 0.2))
     train, test = splits.train_test(flagged)
     cfg = grid.Chain(0.5, True, "minmax", "percentile", "smote", "logistic", cluster=(2, "highest", "kmeans"))
     fitted = grid.fit_chain(cfg, train, SEPARABLE, C.T3_KEY)

@@ -253,10 +253,11 @@ def test_pairs_are_measured_once_and_by_products(monkeypatch):
     assert sum(pairs) < 0.75 * 1500 ** 2
 
 
-@pytest.mark.parametrize("dims", [2, 6])
+@pytest.mark.parametrize("dims", [1, 2, 6])
 def test_distance_sums_of_tight_far_equal_and_repeated_rows(spark, monkeypatch, dims):
     # clusters a millionth as wide as they lie apart, one of equal rows, rows without a cluster, repeated and missing keys
     monkeypatch.setattr(cluster, "pairwise_blocks", _refuse)
+    monkeypatch.setattr(cluster, "LINE_ROWS", 150, raising=False)
     rng = np.random.default_rng(22)
     lab = ["a"] * 300 + ["b"] * 300 + ["c"] * 40 + [None] * 20 + ["d"]
     far = np.repeat([0.0, 1e6, -3e6, 5.0, 7.0], [300, 300, 40, 20, 1])
@@ -278,3 +279,19 @@ def test_distance_sums_of_tight_far_equal_and_repeated_rows(spark, monkeypatch,
         at = (i if i >= 0 else None, own, c)
         whole[at] = whole.get(at, 0.0) + v
     assert _sums_of(nameless) == pytest.approx(whole, rel=1e-9)
+
+
+def test_rows_of_one_dimension_are_sorted_not_paired(spark, monkeypatch):
+    for name in ("pairwise_blocks", "own_pair_blocks"):
+        monkeypatch.setattr(cluster, name, _refuse, raising=False)
+    monkeypatch.setattr(cluster, "LINE_ROWS", 300, raising=False)
+    rng = np.random.default_rng(23)
+    X, lab = rng.uniform(size=(1000, 1)).round(2), np.array([i % 4 for i in range(1000)])
+    df = spark.createDataFrame([(i, [float(X[i, 0])], int(lab[i])) for i in range(1000)], "id bigint, vec array<double>, c int")
+    assert cluster.silhouette(df, ["id"], "c").first().silhouette == pytest.approx(_silhouette(X, lab), rel=1e-9)
+    guided = spark.createDataFrame([(i, float(X[i, 0] + (i % 5 == 0)), int(i % 5 == 0)) for i in range(1000)],
+                                   "id bigint, a double, label int")
+    out, scores = cluster.under_cluster_guided(guided, ["id"], ["a"], "label", 2)
+    assert scores.count() == 4 and out.where("label = 1").count() == 200 and out.count() < 1000
+    with pytest.raises(Exception, match="a vector"):
+        _sums_of(df.withColumn("vec", F.array(F.when(F.col("id") > 3, F.col("vec")[0]))))
