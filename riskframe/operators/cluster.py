@@ -68,8 +68,8 @@ def _cluster_sum_kernel(key, clusters: int, vec):
         if not all(len(x) for x in at):
             return _sums_out(pdf, key, total[:, :clusters])
         left, right = pdf.iloc[at[0]], pdf.iloc[at[-1]]
-        X = _matrix(pdf, vec)
-        pairs, codes = Products(X[at[0]], X[at[-1]]), [pdf["__code"].to_numpy()[x] for x in at]
+        X, codes = [_matrix(pdf.iloc[x], vec) for x in at], [pdf["__code"].to_numpy()[x] for x in at]
+        pairs = Products(X[0], X[-1])
         sums = [np.zeros((len(x), clusters + 1)) for x in at]
         tall, wide = -(-len(left) // TILE), -(-len(right) // TILE)
         i, j = same_key_pairs(left, right, key, key)  # rows of one key have no distance
