@@ -68,13 +68,15 @@ def t2(spark: SparkSession, sf_dir: str) -> DataFrame:
 def t3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """labels joined to documents: small, imbalanced (quality = 0 is positive)."""
     lab = table(spark, sf_dir, "labels")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    text = F.col("text")
+    docs = table(spark, sf_dir, "documents").select(  # numbers meet the labels, no text is shuffled
+        "doc_id", F.col("n_chars").cast("double").alias("n_chars"),
+        F.length(text).cast("double").alias("text_len"),
+        F.size(F.split(F.trim(text), r"\s+")).cast("double").alias("n_words"),
+        F.size(F.split(text, "\n")).cast("double").alias("n_lines"))
     j = lab.join(docs, "doc_id", "inner")
     return j.select(
-        "doc_id", F.col("n_chars").cast("double").alias("n_chars"),
-        F.length("text").cast("double").alias("text_len"),
-        F.size(F.split(F.trim(F.col("text")), r"\s+")).cast("double").alias("n_words"),
-        F.size(F.split(F.col("text"), "\n")).cast("double").alias("n_lines"),
+        "doc_id", "n_chars", "text_len", "n_words", "n_lines",
         F.col("toxic").cast("double").alias("toxic"),
         (F.col("quality") == 0).cast("int").alias("label"))
 
